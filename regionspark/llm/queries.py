@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from regionspark.llm import mixing, quality_rules
+from regionspark.llm import byte_bpe, jaccard_join, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
