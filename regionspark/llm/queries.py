@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from regionspark.llm import byte_bpe, jaccard_join, mixing, quality_rules
+from regionspark.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op7_mixing": mixing.op7_mixing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
