@@ -16,7 +16,8 @@ EPOCHS = 2
 def targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size, target, budget) for items (source, size). Sources share `share` times all sizes by weight; a target
     stops at `epochs` times its source's size and the excess is shared by weight again. Sorted by the fill level at
-    which each source stops, the final level is the first one that leaves its source below its stop. The windows run
+    which each source stops, the final level is the first one that leaves its source below its stop, which is
+    the highest such level, as each later one takes off more than its share. The windows run
     over one row per source, never over documents."""
     sizes = items.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -27,7 +28,7 @@ def targets(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rows = rows.withColumn("total", F.sum("source_size").over(everything))
     rows = rows.withColumn("below", F.sum("stop").over(order) - F.col("stop")).withColumn("open", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
     rows = rows.withColumn("fill", (share * F.col("total") - F.col("below")) / F.col("open"))
-    rows = rows.withColumn("final", F.min(F.when(F.col("fill") <= F.col("level"), F.col("fill"))).over(everything))
+    rows = rows.withColumn("final", F.max(F.when(F.col("fill") <= F.col("level"), F.col("fill"))).over(everything))
     return rows.select("source", "source_size", F.least(F.col("stop").cast("double"), F.col("final") * F.col("weight")).alias("target"), F.floor(share * F.col("total")).alias("budget"))
 
 
@@ -97,7 +98,7 @@ w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 l AS (SELECT *, 2 * source_size AS stop, 2 * source_size / weight::DOUBLE AS level FROM w),
 f AS (SELECT *, (1.5 * (sum(source_size) OVER ())::DOUBLE - (sum(stop) OVER (ORDER BY level, source NULLS LAST) - stop)::DOUBLE)
                 / (sum(weight) OVER (ORDER BY level, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS fill FROM l),
-t AS (SELECT source, source_size, least(stop::DOUBLE, (min(CASE WHEN fill <= level THEN fill END) OVER ()) * weight) AS target FROM f),
+t AS (SELECT source, source_size, least(stop::DOUBLE, (max(CASE WHEN fill <= level THEN fill END) OVER ()) * weight) AS target FROM f),
 q AS (SELECT i.*, t.source_size, t.target, sum(size) OVER (PARTITION BY i.source ORDER BY turn, doc_id) - size AS start
       FROM i JOIN t ON i.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
