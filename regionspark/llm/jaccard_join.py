@@ -10,10 +10,11 @@ sets themselves. Sets are 64-bit hashes of shingles.
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionspark.llm.common import binaries, components, dropped, hashed_texts, lists, load, mix, written
@@ -161,11 +162,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: bo
     return out
 
 
-def _close(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of candidate rows that sizes and the short sketches' Hamming distance allow."""
-    away = sum((F.bit_count(F.get("short_a", i).bitwiseXOR(F.get("short_b", i))) for i in range(1, SHORT)), F.bit_count(F.get("short_a", 0).bitwiseXOR(F.get("short_b", 0))))
+def _side(x: str) -> list[Column]:
+    return [F.col("id").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("short").alias(f"short_{x}")]
+
+
+def _close(percent: int) -> Column:
+    """Whether sizes and the Hamming distance of the short sketches allow a and b to link."""
+    away = reduce(lambda n, m: n + m, [F.bit_count(F.get("short_a", i).bitwiseXOR(F.get("short_b", i))) for i in range(SHORT)])
     small = F.least("size_a", "size_b")
-    return rows.where((100 * small >= percent * F.greatest("size_a", "size_b")) & (percent * away <= (100 - percent) * small))
+    return (100 * small >= percent * F.greatest("size_a", "size_b")) & (percent * away <= (100 - percent) * small)
 
 
 def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -> DataFrame:
@@ -175,8 +180,9 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     Words are runs of anything but ASCII white space, A-Z lower-cased if `lower`; fewer than k words are one shingle.
     A null, empty or blank text has the empty set, links with nothing and is its own class and component. Equal sets
     are one class, named by its smallest doc_id, before anything is compared, so copies are never paired. A class is
-    first checked against the smallest class of the bucket that it shares most often; then classes of different
-    components that share a bucket are checked, so no link is lost. doc_id is the key (long); other columns are ignored.
+    first checked against one hub, the class that leads most of its buckets (a bucket is led by the class that meets
+    most others; an unedited original leads its copies). Then classes of different components that share a bucket are
+    compared by the short sketches inside the join, which lets only close pairs out, and checked, so no link is lost. doc_id is the key (long); other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -185,24 +191,26 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     heads = classes.select(F.col("class_id").alias("doc_id"))
     full = written(base.where(F.size("keys") > 0).join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "short", "keys"))
     marks = full.select("id", F.explode("keys").alias("key"))
-    shared = marks.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    met = written(marks.join(shared, "key").select("key", "id", "first"))
+    shared = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(marks.join(shared, "key"))
     _tidy(spark)
     sizes = full.select("id", "n_shingles", "short")
-    a = sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("size_a"), F.col("short").alias("short_a"))
-    b = sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("short").alias("short_b"))
-    often = met.where("first < id").groupBy("id", "first").agg(F.count("*").alias("n"))
-    best = often.groupBy("id").agg(F.max(F.struct("n", (-F.col("first")).alias("first"))).alias("m")).select((-F.col("m.first")).alias("a"), F.col("id").alias("b"))
-    pairs = written(_close(best.join(b, "b").join(a, "a"), percent).select("a", "b"))
+    popular = met.groupBy("id").agg(F.sum("n").alias("popular"))
+    hubs = met.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
+    often = met.join(hubs, "key").where("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    best = often.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("m")).select("id", (-F.col("m.hub")).alias("hub"))
+    best = best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    pairs = written(best.join(sizes.select(*_side("b")), "b").join(sizes.select(*_side("a")), "a").where(_close(percent)).select("a", "b"))
     edges = _verified(pairs, docs, percent, k, lower)
     _tidy(spark)
     labels = components(edges)
     named = met.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
-    rest = written(named.join(mixed, "key"))
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("label").alias("p")), rest.select("key", F.col("id").alias("b"), F.col("label").alias("q"))
-    more = x.join(y, "key").where("a < b and p <> q").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(_close(more.join(b, "b").join(a, "a"), percent).select("a", "b"))
+    rest = written(named.join(mixed, "key").join(sizes, "id"))
+    x = rest.select("key", F.col("label").alias("p"), *_side("a"))
+    y = rest.select(F.col("key").alias("key_b"), F.col("label").alias("q"), *_side("b"))
+    apart = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
+    more = written(x.join(y, apart & _close(percent)).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         labels = components(edges.union(_verified(more, docs, percent, k, lower)))
     for done in (met, rest, pairs, more):
