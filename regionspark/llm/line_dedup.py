@@ -64,11 +64,13 @@ def _prefixes(rank, percent: int, least: int):
                 prefix = np.where(long, size - -(-size * percent // 100) + 1, 0)
                 within = np.arange(len(g)) - np.repeat(offsets[:-1], size)
                 kept = g[within < np.repeat(prefix, size)]
+                sketch = np.zeros(len(size), np.uint64)
+                np.bitwise_xor.at(sketch, np.repeat(np.arange(len(size)), size), np.uint64(1) << (mix(g) & np.uint64(63)))
                 ends = np.concatenate([[0], np.cumsum(prefix)])
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)),
-                     pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), lists(kept, ends)],
-                    names=["doc_id", "line", "size", "h1", "h2", "prefix"],
+                     pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), pa.array(sketch.view(np.int64)), lists(kept, ends)],
+                    names=["doc_id", "line", "size", "h1", "h2", "sketch", "prefix"],
                 )
                 yield out.filter(pa.array(long))
 
@@ -91,27 +93,19 @@ def _wanted_sets(rank):
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, rank, percent: int) -> DataFrame:
-    """(doc_id, line) of the later lines of those pairs (a: later, b: earlier; structs doc_id, line) whose sets link."""
-    spots = pairs.select("a.*").union(pairs.select("b.*")).distinct()
+    """(doc_id, line) of the later lines of those pairs (doc_id, line: later, doc_b, line_b: earlier) whose sets link."""
+    spots = pairs.select("doc_id", "line").union(pairs.select("doc_b", "line_b")).distinct()
     per = spots.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))  # a document's own lines
     sets = written(docs.join(per, "doc_id").select("doc_id", "text", "lines").mapInArrow(_wanted_sets(rank), "doc_id long, line int, members binary"))
-    key = F.struct("doc_id", "line")
-    joined = pairs.join(sets.select(key.alias("a"), F.col("members").alias("x")), "a").join(sets.select(key.alias("b"), F.col("members").alias("y")), "b")
-    ok = joined.select("a", "b", "x", "y").mapInArrow(_checked_spots(percent), "doc_id long, line int")
-    out = written(ok.distinct())
+    _tidy(docs.sparkSession)
+    later, earlier = sets.withColumnRenamed("members", "x"), sets.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("members").alias("y"))
+    joined = pairs.join(later, ["doc_id", "line"]).join(earlier, ["doc_b", "line_b"])
+    ok = joined.select("doc_id", "line", "x", "y").mapInArrow(_checked(percent), "a long, b int")
+    out = written(ok.distinct().toDF("doc_id", "line"))
     dropped(sets)
     return out
 
 
-def _checked_spots(percent: int):
-    def run(batches):
-        for batch in _checked(percent)(batches):
-            a = batch.column(0)
-            yield pa.RecordBatch.from_arrays([a.field(0), a.field(1)], names=["doc_id", "line"])
-
-    return run
-
-
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines): numbers (from 0, ascending) of the lines of docs (doc_id, text) that repeat an earlier line.
 
@@ -127,32 +121,39 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rank = spark.sparkContext.broadcast(rarity(docs))
-    lines = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, prefix array<long>"))
-    heads = written(lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "prefix")).alias("head")).select("h1", "h2", "size", "head.*"))
+    lines = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, sketch long, prefix array<long>"))
+    heads = written(lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "prefix")).alias("head")).select("h1", "h2", "size", "head.*"))
     _tidy(spark)
-    marks = heads.select("doc_id", "line", "size", F.posexplode("prefix").alias("pos", "word"))
+    marks = heads.select("doc_id", "line", "size", "sketch", F.posexplode("prefix").alias("pos", "word"))
     shared = marks.groupBy("word").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = written(marks.join(shared, "word"))
     _tidy(spark)
-    later = met.select("word", F.struct("doc_id", "line").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
-    earlier = met.select("word", F.struct("doc_id", "line").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "first")
+    others = met.select(*[F.col(c).alias(f"{n}_b") for c, n in (("word", "word"), ("doc_id", "doc"), ("line", "line"), ("size", "size"), ("sketch", "sketch"), ("pos", "pos"))], "first")
+    later = met.drop("first")
 
     def candidates(x: DataFrame, y: DataFrame) -> DataFrame:
-        overlap = 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-        near = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & ((100 + percent) * overlap >= percent * (F.col("size_a") + F.col("size_b")))
-        return x.join(y, (x.word == y.word) & (F.col("b") < F.col("a")) & near).select("a", "b")
-
-    often = candidates(later, earlier.where("b.doc_id = first")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    firsts = written(often.groupBy("a").agg(F.max_by("b", "n").alias("b")))
+        """Pairs that share a prefix word and that length, position and the sketches' Hamming distance allow."""
+        left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+        both = F.col("size") + F.col("size_b")
+        near = (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & ((100 + percent) * left >= percent * both)
+        near = near & ((100 + percent) * F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) <= (100 - percent) * both)
+        before = (F.col("doc_b") < F.col("doc_id")) | ((F.col("doc_b") == F.col("doc_id")) & (F.col("line_b") < F.col("line")))
+        return x.join(y, (x.word == y.word_b) & before & near).select("doc_id", "line", "doc_b", "line_b")
+
+    often = candidates(later, others.where("doc_b = first")).groupBy("doc_id", "line", "doc_b", "line_b").agg(F.count("*").alias("n"))
+    best = often.groupBy("doc_id", "line").agg(F.max(F.struct("n", "doc_b", "line_b")).alias("m"))
+    firsts = written(best.select("doc_id", "line", "m.doc_b", "m.line_b"))
     found = _matched(firsts, docs, rank, percent)
-    open_ = later.join(found.select(F.struct("doc_id", "line").alias("a")), "a", "left_anti")
-    rest = written(candidates(open_, earlier).distinct().join(firsts, ["a", "b"], "left_anti"))
+    _tidy(spark)
+    open_ = later.join(found, ["doc_id", "line"], "left_anti")
+    rest = written(candidates(open_, others).distinct().join(firsts, ["doc_id", "line", "doc_b", "line_b"], "left_anti"))
     _tidy(spark)
     found = written(found.union(_matched(rest, docs, rank, percent)).distinct().withColumn("hit", F.lit(True)))
     for done in (met, firsts, rest):
         dropped(done)
-    kept = heads.drop("prefix").join(found, ["doc_id", "line"], "left").select("h1", "h2", "size", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.drop("prefix").join(kept, ["h1", "h2", "size"]).where("hit or doc_id <> d or line <> l")
+    _tidy(spark)
+    kept = heads.drop("prefix", "sketch").join(found, ["doc_id", "line"], "left").select("h1", "h2", "size", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lines.drop("prefix", "sketch").join(kept, ["h1", "h2", "size"]).where("hit or doc_id <> d or line <> l")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a document's own lines
 
 
