@@ -20,9 +20,12 @@ SCRIPTS = ((HANGUL, "ko"), (THAI, "th"), (DEVANAGARI, "hi"), (BENGALI, "bn"), (C
 FIRST = ((ARABIC, "ar"), (DEVANAGARI, "hi"), (THAI, "th"), (KANA, "ja"), (HANGUL, "ko"), (HAN_BASIC, "zh-Hans"))
 
 
-@F.pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _nfc(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return nfc(text)
 
 
 def collapse(text: Column) -> Column:
