@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,12 @@ from regionspark.llm.jaccard_join import _checked, _sums, _tidy
 #: Word counts are kept for so many hash values: a table of fixed size, whatever the corpus.
 RARITY = 1 << 18
 PERCENT = 80
+#: Smallest hashes of a line's words by which variants of one line are first brought together.
+LEADS = 2
+#: Shares of the words that are joined one after another.
+PASSES = 2
+#: Bits by which a scan recognises what it has to return; a table of fixed size that may let too much through.
+MARKS = 1 << 25
 MIN_WORDS = 5
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0x2545F4914F6CDD1D)
 
@@ -64,45 +72,96 @@ def _prefixes(rank, percent: int, least: int):
                 prefix = np.where(long, size - -(-size * percent // 100) + 1, 0)
                 within = np.arange(len(g)) - np.repeat(offsets[:-1], size)
                 kept = g[within < np.repeat(prefix, size)]
-                sketch = np.zeros(len(size), np.uint64)
-                np.bitwise_xor.at(sketch, np.repeat(np.arange(len(size)), size), np.uint64(1) << (mix(g) & np.uint64(63)))
+                spot = mix(g)
+                sketch = np.zeros(2 * len(size), np.uint64)
+                np.bitwise_xor.at(sketch, 2 * np.repeat(np.arange(len(size)), size) + (spot >> np.uint64(63)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
                 ends = np.concatenate([[0], np.cumsum(prefix)])
+                least_of = [np.minimum.reduceat(mix(g ^ _B * np.uint64(t)), offsets[:-1]) + np.uint64(t) for t in range(1, LEADS + 1)]
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)),
-                     pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), pa.array(sketch.view(np.int64)), lists(kept, ends)],
-                    names=["doc_id", "line", "size", "h1", "h2", "sketch", "prefix"],
+                     pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), pa.array(sketch[::2].copy().view(np.int64)), pa.array(sketch[1::2].copy().view(np.int64)),
+                     lists(np.stack(least_of, axis=1).ravel(), np.arange(len(size) + 1) * LEADS), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((kept >> np.uint64(33)).astype(np.int32)))],
+                    names=["doc_id", "line", "size", "h1", "h2", "sketch", "sketch2", "leads", "prefix"],
                 )
                 yield out.filter(pa.array(long))
 
     return run
 
 
-def _wanted_sets(rank):
+def _spot(doc_id: np.ndarray, line: np.ndarray | int = 0) -> np.ndarray:
+    """Place of a line, or of a document (line 0), among MARKS bits."""
+    return (mix(doc_id.astype(np.int64).view(np.uint64) * _A + np.asarray(line, np.int64).view(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
+def _marks(spots: DataFrame) -> np.ndarray:
+    """The bits of lines (doc_id, line) and of their documents. Bits are gathered into 64-bit words before they come
+    here, so MARKS / 64 rows at most."""
+
+    def place(batches):
+        for batch in batches:
+            doc, line = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            at = np.unique(np.concatenate([_spot(doc, line + 1), _spot(doc)]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    words = spots.mapInArrow(place, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def _wanted_sets(rank, marks):
     def run(batches):
+        bits = np.unpackbits(marks.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            lines = batch.column(2)
-            want_row = np.repeat(np.arange(len(batch)), np.diff(lines.offsets.to_numpy()))
-            want = want_row * (1 << 31) + lines.flatten().to_numpy()
+            batch = batch.filter(pa.array(bits[_spot(batch.column(0).to_numpy())]))
+            ids = batch.column(0).to_numpy()
             for first, row, number, _, g, offsets in _line_sets(batch.column(1), rank.value):
-                mine = np.flatnonzero(np.isin((first + row) * (1 << 31) + number, want))
+                mine = np.flatnonzero(bits[_spot(ids[first + row], number.astype(np.int64) + 1)])
                 size = np.diff(offsets)[mine]
                 pick = np.repeat(offsets[:-1][mine] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[mine])), pa.array(number[mine].astype(np.int32)), binaries(g[pick], np.concatenate([[0], np.cumsum(size)]))], names=["doc_id", "line", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[mine]]), pa.array(number[mine].astype(np.int32)), binaries(g[pick], np.concatenate([[0], np.cumsum(size)]))], names=["doc_id", "line", "members"])
 
     return run
 
 
+def _earlier():
+    """Whether line b comes before the other."""
+    return (F.col("doc_b") < F.col("doc_id")) | ((F.col("doc_b") == F.col("doc_id")) & (F.col("line_b") < F.col("line")))
+
+
+def _away():
+    return F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) + F.bit_count(F.col("sketch2").bitwiseXOR(F.col("sketch2_b")))
+
+
+def _score():
+    """Sketch distance per mille of both sizes: the lower, the likelier a link."""
+    return F.floor(1000 * _away() / (F.col("size") + F.col("size_b"))).cast("int")
+
+
+def _near(percent: int):
+    """Whether sizes and the Hamming distance of the 128-bit parity sketches allow two lines to link."""
+    both = F.col("size") + F.col("size_b")
+    return (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & ((100 + percent) * _away() <= (100 - percent) * both)
+
+
 def _matched(pairs: DataFrame, docs: DataFrame, rank, percent: int) -> DataFrame:
-    """(doc_id, line) of the later lines of those pairs (doc_id, line: later, doc_b, line_b: earlier) whose sets link."""
+    """(doc_id, line) of the later lines of those pairs (doc_id, line: later, doc_b, line_b: earlier, score) whose sets
+    link. Of each line the most promising pair is checked first, and only lines that it leaves open meet their others."""
     spots = pairs.select("doc_id", "line").union(pairs.select("doc_b", "line_b")).distinct()
-    per = spots.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))  # a document's own lines
-    sets = written(docs.join(per, "doc_id").select("doc_id", "text", "lines").mapInArrow(_wanted_sets(rank), "doc_id long, line int, members binary"))
-    _tidy(docs.sparkSession)
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(spots))
+    sets = written(docs.mapInArrow(_wanted_sets(rank, marks), "doc_id long, line int, members binary"))
     later, earlier = sets.withColumnRenamed("members", "x"), sets.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("members").alias("y"))
-    joined = pairs.join(later, ["doc_id", "line"]).join(earlier, ["doc_b", "line_b"])
-    ok = joined.select("doc_id", "line", "x", "y").mapInArrow(_checked(percent), "a long, b int")
-    out = written(ok.distinct().toDF("doc_id", "line"))
-    dropped(sets)
+
+    def linked(some: DataFrame) -> DataFrame:
+        joined = some.join(later, ["doc_id", "line"]).join(earlier, ["doc_b", "line_b"])
+        return written(joined.select("doc_id", "line", "x", "y").mapInArrow(_checked(percent), "a long, b int").distinct().toDF("doc_id", "line"))
+
+    best = written(pairs.groupBy("doc_id", "line").agg(F.min(F.struct("score", "doc_b", "line_b")).alias("m")).select("doc_id", "line", "m.doc_b", "m.line_b"))
+    first = linked(best)
+    others = pairs.drop("score").join(best, ["doc_id", "line", "doc_b", "line_b"], "left_anti").join(first, ["doc_id", "line"], "left_anti")
+    out = written(first.union(linked(others)))
+    for done in (sets, best, first):
+        dropped(done)
     return out
 
 
@@ -113,47 +172,54 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
     words (A-Z lower-cased) is percent / 100 or more, whether or not the earlier one repeats another itself. Lines
     of fewer than min_words words are neither compared nor listed. Rows without a doc_id are ignored.
 
-    Words are ordered by rarity; linked lines share a word among the first size - ceil(J * size) + 1. Lines with equal
-    sets are one class before the join. In each word's bucket a line is first checked against a line of the bucket's
-    first document; only lines that find no match there meet the rest, so a bucket of variants of one line is not
-    paired throughout, and no match is lost.
+    Lines with equal sets are one class before the join. Words are ordered by rarity; two linked lines share a word
+    among the first size - ceil(J * size) + 1 of the larger set and fewer of the smaller (prefix filter); position and
+    length filters and a parity sketch's Hamming distance act inside the join. Before that a line is checked against the
+    first line that shares one of its smallest word hashes, and a line that has its match there only serves as the
+    earlier side afterwards: variants of one line are not paired throughout, and no match is lost.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rank = spark.sparkContext.broadcast(rarity(docs))
-    lines = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, sketch long, prefix array<long>"))
-    heads = written(lines.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "prefix")).alias("head")).select("h1", "h2", "size", "head.*"))
-    _tidy(spark)
-    marks = heads.select("doc_id", "line", "size", "sketch", F.posexplode("prefix").alias("pos", "word"))
-    shared = marks.groupBy("word").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = written(marks.join(shared, "word"))
+    full = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, sketch long, sketch2 long, leads array<long>, prefix array<int>"))
+    heads = written(full.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "sketch2", "leads", "prefix")).alias("head")).select("h1", "h2", "size", "head.*"))
+    lines = written(full.select("doc_id", "line", "size", "h1", "h2"))
+    dropped(full)
     _tidy(spark)
-    others = met.select(*[F.col(c).alias(f"{n}_b") for c, n in (("word", "word"), ("doc_id", "doc"), ("line", "line"), ("size", "size"), ("sketch", "sketch"), ("pos", "pos"))], "first")
-    later = met.drop("first")
-
-    def candidates(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs that share a prefix word and that length, position and the sketches' Hamming distance allow."""
-        left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
-        both = F.col("size") + F.col("size_b")
-        near = (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & ((100 + percent) * left >= percent * both)
-        near = near & ((100 + percent) * F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_b"))) <= (100 - percent) * both)
-        before = (F.col("doc_b") < F.col("doc_id")) | ((F.col("doc_b") == F.col("doc_id")) & (F.col("line_b") < F.col("line")))
-        return x.join(y, (x.word == y.word_b) & before & near).select("doc_id", "line", "doc_b", "line_b")
-
-    often = candidates(later, others.where("doc_b = first")).groupBy("doc_id", "line", "doc_b", "line_b").agg(F.count("*").alias("n"))
-    best = often.groupBy("doc_id", "line").agg(F.max(F.struct("n", "doc_b", "line_b")).alias("m"))
-    firsts = written(best.select("doc_id", "line", "m.doc_b", "m.line_b"))
-    found = _matched(firsts, docs, rank, percent)
+    led = heads.select("doc_id", "line", "size", "sketch", "sketch2", F.explode("leads").alias("lead"))
+    leaders = led.groupBy("lead").agg(F.min(F.struct("doc_id", "line", "size", "sketch", "sketch2")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    leaders = leaders.select("lead", F.col("m.doc_id").alias("doc_b"), F.col("m.line").alias("line_b"), F.col("m.size").alias("size_b"), F.col("m.sketch").alias("sketch_b"), F.col("m.sketch2").alias("sketch2_b"))
+    firsts = written(led.join(leaders, "lead").where(_earlier() & _near(percent)).select("doc_id", "line", "doc_b", "line_b", _score().alias("score")).distinct())
+    found = _matched(firsts, docs, rank, percent).withColumn("hit", F.lit(True))  # at most LEADS pairs a line
+    marked = written(heads.join(found, ["doc_id", "line"], "left").select("doc_id", "line", "size", "sketch", "sketch2", F.col("hit").isNull().alias("open"), "prefix"))
+    slim = written(heads.select("doc_id", "line", "size", "h1", "h2"))
+    dropped(heads)
     _tidy(spark)
-    open_ = later.join(found, ["doc_id", "line"], "left_anti")
-    rest = written(candidates(open_, others).distinct().join(firsts, ["doc_id", "line", "doc_b", "line_b"], "left_anti"))
+    # the smaller set of a pair meets the larger one within its first size - ceil(2 J / (1 + J) * size) + 1 words
+    short = F.col("size") - F.ceil(2 * percent * F.col("size") / F.lit(100 + percent)).cast("int") + 1
+    left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+    fits = (F.col("word") == F.col("word_b")) & (F.col("size") <= F.col("size_b")) & ((100 + percent) * left >= percent * (F.col("size") + F.col("size_b")))
+    unlike = (F.col("doc_id") != F.col("doc_b")) | (F.col("line") != F.col("line_b"))
+    turn = lambda a, b: F.when(_earlier(), F.col(a)).otherwise(F.col(b))
+    parts = []
+    for turn_of in range(PASSES):  # a share of the words each, so shuffle files of one share only lie on disk
+        words = F.filter(F.transform("prefix", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.pmod(x["word"], F.lit(PASSES)) == turn_of)
+        entry = lambda rows, x: rows.select("doc_id", "line", "size", "sketch", "sketch2", "open", F.explode(x).alias("w")).select("doc_id", "line", "size", "sketch", "sketch2", "open", "w.pos", "w.word")
+        small = entry(marked, F.filter(words, lambda x: x["pos"] < short))
+        large = entry(marked, words).toDF("doc_b", "line_b", "size_b", "sketch_b", "sketch2_b", "open_b", "pos_b", "word_b")
+        met = small.join(large, fits & unlike & F.when(_earlier(), F.col("open")).otherwise(F.col("open_b")) & _near(percent))
+        met = met.select(turn("doc_id", "doc_b").alias("doc_id"), turn("line", "line_b").alias("line"), turn("doc_b", "doc_id").alias("doc_b"), turn("line_b", "line").alias("line_b"), _score().alias("score"))
+        parts.append(written(met.distinct()))
+    rest = written(reduce(DataFrame.union, parts).distinct().join(firsts.drop("score"), ["doc_id", "line", "doc_b", "line_b"], "left_anti"))
+    for part in parts:
+        dropped(part)
     _tidy(spark)
-    found = written(found.union(_matched(rest, docs, rank, percent)).distinct().withColumn("hit", F.lit(True)))
-    for done in (met, firsts, rest):
+    found = written(found.drop("hit").union(_matched(rest, docs, rank, percent)).distinct().withColumn("hit", F.lit(True)))
+    for done in (marked, firsts, rest):
         dropped(done)
     _tidy(spark)
-    kept = heads.drop("prefix", "sketch").join(found, ["doc_id", "line"], "left").select("h1", "h2", "size", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.drop("prefix", "sketch").join(kept, ["h1", "h2", "size"]).where("hit or doc_id <> d or line <> l")
+    kept = slim.join(found, ["doc_id", "line"], "left").select("h1", "h2", "size", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    gone = lines.join(kept, ["h1", "h2", "size"]).where("hit or doc_id <> d or line <> l")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a document's own lines
 
 
