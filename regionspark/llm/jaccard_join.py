@@ -2,7 +2,7 @@
 
 Every distinct shingle set gets, for its size band, a bit sketch: a shingle's hash names a block and a bit in it, and
 the bits of all shingles are XORed. A differing shingle flips one bit, so the Hamming distance of two sketches is at
-most the symmetric difference of the sets, and with at most d differences d + 3 blocks leave three untouched. Equal
+most the symmetric difference of the sets, and with at most d differences one of d + 1 blocks is untouched. Equal
 blocks are joined (pigeonhole), pairs are checked by size and by the Hamming distance of a short sketch, then by the
 sets themselves. Sets are 64-bit hashes of shingles.
 """
@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 from regionspark.llm.common import binaries, components, dropped, hashed_texts, lists, load, mix, written
 
-#: Blocks beyond the differences allowed, so that a set may leave out so many weak blocks.
-SPARE = 2
-#: A block with fewer shingles says little and is left out where SPARE covers it.
-WEAK = 3
 #: 64-bit words of the short sketch that is compared before the sets are.
 SHORT = 8
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -68,16 +64,25 @@ def shingle_sets(texts: pa.Array, k: int, lower: bool):
         yield first, n, g, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))]).astype(np.int64)
 
 
+def block_counts(d: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of a sketch per band, and how many of them a set may leave out: beyond the d + 1 of the pigeonhole there
+    are as many as are likely to be empty (mean and three deviations, for the band's smallest size), so that empty
+    blocks, which all sets share, need not be joined."""
+    empty = (d + 1) * np.exp(-bounds[:-1] / (d + 1))
+    spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64) + 1
+    return d + 1 + spare, spare
+
+
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _block_keys(g: np.ndarray, offsets: np.ndarray, band: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_keys(g: np.ndarray, offsets: np.ndarray, band: np.ndarray, d: np.ndarray, counts: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sets' blocks under the given band of each set (band < 0 or d = 0: none), and the offsets of the sets."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    blocks = np.where((band >= 0) & (size > 0), d[np.maximum(band, 0)] + 1 + SPARE, 0)
+    blocks = np.where((band >= 0) & (size > 0), counts[np.maximum(band, 0)], 0)
     blocks[(band >= 0) & (d[np.maximum(band, 0)] == 0)] = 0  # only equal sets link; those are one class already
     base = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
     r = np.repeat(np.arange(n), size)
@@ -86,15 +91,27 @@ def _block_keys(g: np.ndarray, offsets: np.ndarray, band: np.ndarray, d: np.ndar
     at = base[r] + ((h >> np.uint64(32)) * blocks[r].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     parity, held = np.zeros(base[-1], np.uint64), np.bincount(at, minlength=base[-1])
     np.bitwise_xor.at(parity, at, np.uint64(1) << (h & np.uint64(63)))
+    whole = np.zeros(base[-1], np.uint64)
+    np.bitwise_xor.at(whole, at, mix(h))  # a block of few shingles has few bits: the XOR of its hashes goes with them
     own = np.repeat(np.arange(n), blocks)
     index = np.arange(base[-1]) - base[own]
-    keys = mix(mix(parity * _C1 + held.astype(np.uint64)) * _C2 + index.astype(np.uint64) * _C3 + band[own].astype(np.uint64))
-    weak = held < WEAK
-    few = np.bincount(own[weak], minlength=n) <= SPARE
+    keys = mix(mix(mix(parity * _C1 + held.astype(np.uint64)) + whole) * _C2 + index.astype(np.uint64) * _C3 + band[own].astype(np.uint64))
+    weak = held == 0
+    few = np.bincount(own[weak], minlength=n) <= spare[np.maximum(band, 0)]
     keep = ~(weak & few[own])
     return keys[keep], np.concatenate([[0], np.cumsum(np.bincount(own[keep], minlength=n))]).astype(np.int64)
 
 
+def _marks(k: int, lower: bool):
+    def run(batches):
+        for batch in batches:
+            for first, n, g, offsets in shingle_sets(batch.column(1), k, lower):
+                sums = [pa.array(_sums(x, offsets).view(np.int64)) for x in (mix(g + _C1), mix(g ^ _C2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.diff(offsets)), *sums], names=["doc_id", "n_shingles", "h1", "h2"])
+
+    return run
+
+
 def _sketches(percent: int, k: int, lower: bool):
     def run(batches):
         for batch in batches:
@@ -103,7 +120,8 @@ def _sketches(percent: int, k: int, lower: bool):
                 bounds = bands(percent, int(size.max(initial=1)) + 1)
                 d = differences(percent, bounds)
                 band = np.searchsorted(bounds, size, "right") - 1
-                low, high = _block_keys(g, offsets, band, d), _block_keys(g, offsets, band - 1, d)
+                counts, spare = block_counts(d, bounds)
+                low, high = (_block_keys(g, offsets, x, d, counts, spare) for x in (band, band - 1))
                 many = np.concatenate([[0], np.cumsum(np.diff(low[1]) + np.diff(high[1]))])
                 keys = np.empty(many[-1], np.uint64)
                 for values, off, shift in ((low[0], low[1], many[:-1]), (high[0], high[1], many[:-1] + np.diff(low[1]))):
@@ -114,10 +132,9 @@ def _sketches(percent: int, k: int, lower: bool):
                 h = mix(g * _C2 + _C1)
                 np.bitwise_xor.at(short, r * SHORT + (h >> np.uint64(61)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(size), pa.array(_sums(mix(g + _C1), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _C2), offsets).view(np.int64)),
-                     lists(short, np.arange(n + 1) * SHORT), lists(keys, many)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "short", "keys"],
-                )
+                    [batch.column(0).slice(first, n), pa.array(size), lists(short, np.arange(n + 1) * SHORT), lists(keys, many)],
+                    names=["doc_id", "n_shingles", "short", "keys"],
+                )
 
     return run
 
@@ -186,15 +203,18 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    base = written(docs.mapInArrow(_sketches(percent, k, lower), "doc_id long, n_shingles long, h1 long, h2 long, short array<long>, keys array<long>"))
+    base = written(docs.mapInArrow(_marks(k, lower), "doc_id long, n_shingles long, h1 long, h2 long"))
     classes = base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
     heads = classes.select(F.col("class_id").alias("doc_id"))
-    full = written(base.where(F.size("keys") > 0).join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "short", "keys"))
+    every = docs.mapInArrow(_sketches(percent, k, lower), "doc_id long, n_shingles long, short array<long>, keys array<long>").where(F.size("keys") > 0)
+    full = written(every.join(heads, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
+    _tidy(spark)
     marks = full.select("id", F.explode("keys").alias("key"))
     shared = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(marks.join(shared, "key"))
+    sizes = written(full.select("id", "n_shingles", "short"))
+    dropped(full)
     _tidy(spark)
-    sizes = full.select("id", "n_shingles", "short")
     popular = met.groupBy("id").agg(F.sum("n").alias("popular"))
     hubs = met.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
     often = met.join(hubs, "key").where("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("n"))
@@ -213,7 +233,7 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     more = written(x.join(y, apart & _close(percent)).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         labels = components(edges.union(_verified(more, docs, percent, k, lower)))
-    for done in (met, rest, pairs, more):
+    for done in (met, sizes, rest, pairs, more):
         dropped(done)
     _tidy(spark)
     named = classes.join(labels, classes.class_id == labels.id, "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
