@@ -17,6 +17,8 @@ from regionspark.llm.common import load
 
 #: The sample of labelled rows: most documents a language, letters taken of each, letters a language. Bounds the model.
 DOCUMENTS, PER_DOCUMENT, LETTERS = 200, 1000, 40_000
+#: Most labels; more are refused, so their counts and models have a known size.
+LABELS = 400
 #: A text is parsed in windows of so many letters, each starting a phrase; windows run side by side in numpy.
 WINDOW = 256
 #: Scale of the score: bits per letter become odds at this rate.
@@ -79,9 +81,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     all. What reaches the driver is bounded by labels * 3 * letters transitions.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("turn"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = docs.sparkSession.createDataFrame(rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LABELS + 1).collect(), "lang string, n long")
+    if counts.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     share = F.col("turn").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    some = rows.join(counts, "lang").where(share * F.col("n") < 2 * documents + 20)
+    some = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * documents + 20)
     first = F.row_number().over(W.partitionBy("lang").orderBy(share, "text"))
     some = some.withColumn("rank", first).where(F.col("rank") <= documents).select("lang", "rank", "text")
 
@@ -120,7 +124,7 @@ class _Parser:
         self.bits = np.array([np.log2(max(n, 2)) for _, n, _ in models])
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """(models, texts): phrases of each text."""
+        """(models, texts): phrases of each text; a letter that a sample lacks ends one."""
         cut = [-(-len(p) // WINDOW) for p in parts]
         lanes = sum(cut)
         grid = np.full(lanes * WINDOW, self.pad, np.int32)
