@@ -69,18 +69,20 @@ def _prefixes(rank, percent: int, least: int):
             for first, row, number, n_words, g, offsets in _line_sets(batch.column(1), rank.value):
                 size = np.diff(offsets)
                 long = n_words >= least
-                prefix = np.where(long, size - -(-size * percent // 100) + 1, 0)
+                least_size = -(-size * percent // 100)
+                alone = (least_size == size) & (100 * size // percent == size)  # no set of another size or with other words can link
+                prefix = np.where(long & ~alone, size - least_size + 1, 0)
                 within = np.arange(len(g)) - np.repeat(offsets[:-1], size)
                 kept = g[within < np.repeat(prefix, size)]
                 spot = mix(g)
                 sketch = np.zeros(2 * len(size), np.uint64)
                 np.bitwise_xor.at(sketch, 2 * np.repeat(np.arange(len(size)), size) + (spot >> np.uint64(63)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
                 ends = np.concatenate([[0], np.cumsum(prefix)])
-                least_of = [np.minimum.reduceat(mix(g ^ _B * np.uint64(t)), offsets[:-1]) + np.uint64(t) for t in range(1, LEADS + 1)]
+                least_of = np.stack([np.minimum.reduceat(mix(g ^ _B * np.uint64(t)), offsets[:-1]) + np.uint64(t) for t in range(1, LEADS + 1)], axis=1)
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)),
                      pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), pa.array(sketch[::2].copy().view(np.int64)), pa.array(sketch[1::2].copy().view(np.int64)),
-                     lists(np.stack(least_of, axis=1).ravel(), np.arange(len(size) + 1) * LEADS), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((kept >> np.uint64(33)).astype(np.int32)))],
+                     lists(least_of[~alone].ravel(), np.concatenate([[0], np.cumsum(~alone * LEADS)])), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((kept >> np.uint64(33)).astype(np.int32)))],
                     names=["doc_id", "line", "size", "h1", "h2", "sketch", "sketch2", "leads", "prefix"],
                 )
                 yield out.filter(pa.array(long))
@@ -170,9 +172,11 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
 
     A line repeats an earlier one, in order of (doc_id, line number), when the Jaccard similarity of their sets of
     words (A-Z lower-cased) is percent / 100 or more, whether or not the earlier one repeats another itself. Lines
-    of fewer than min_words words are neither compared nor listed. Rows without a doc_id are ignored.
+    of fewer than min_words words are neither compared nor listed (1 takes every line that has a word). Rows without a
+    doc_id are ignored.
 
-    Lines with equal sets are one class before the join. Words are ordered by rarity; two linked lines share a word
+    Lines with equal sets are one class before the join; a set so small that only an equal one can link (at 0.8 up to
+    three words) needs no more than that. Words are ordered by rarity; two linked lines share a word
     among the first size - ceil(J * size) + 1 of the larger set and fewer of the smaller (prefix filter); position and
     length filters and a parity sketch's Hamming distance act inside the join. Before that a line is checked against the
     first line that shares one of its smallest word hashes, and a line that has its match there only serves as the
@@ -191,7 +195,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
     leaders = leaders.select("lead", F.col("m.doc_id").alias("doc_b"), F.col("m.line").alias("line_b"), F.col("m.size").alias("size_b"), F.col("m.sketch").alias("sketch_b"), F.col("m.sketch2").alias("sketch2_b"))
     firsts = written(led.join(leaders, "lead").where(_earlier() & _near(percent)).select("doc_id", "line", "doc_b", "line_b", _score().alias("score")).distinct())
     found = _matched(firsts, docs, rank, percent).withColumn("hit", F.lit(True))  # at most LEADS pairs a line
-    marked = written(heads.join(found, ["doc_id", "line"], "left").select("doc_id", "line", "size", "sketch", "sketch2", F.col("hit").isNull().alias("open"), "prefix"))
+    marked = written(heads.where(F.size("prefix") > 0).join(found, ["doc_id", "line"], "left").select("doc_id", "line", "size", "sketch", "sketch2", F.col("hit").isNull().alias("open"), "prefix"))
     slim = written(heads.select("doc_id", "line", "size", "h1", "h2"))
     dropped(heads)
     _tidy(spark)

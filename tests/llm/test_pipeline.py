@@ -1,5 +1,7 @@
 """The pipeline's stages on their own inputs."""
 
+import random
+
 import corpus_pipeline as p
 from pyspark.sql import functions as F
 
@@ -35,3 +37,23 @@ def test_odd_input(spark):
     for docs in (odd, odd.limit(0)):
         for _, stage in p.STAGES:
             docs = common.written(stage(spark, docs, SF))
+
+
+def test_short_lines(spark):
+    """Lines of any word count are compared, also a set of four words with one of five that holds it (4 / 5 = 0.8)."""
+    rng = random.Random(7)
+    texts = ["Read more\nk l m n o\nAll rights reserved\nx", "read MORE\nl m n o\nmore\nm n o", "x\nmore read", "Read", "\n\nall rights", "X\n\ny z\n"]
+    texts += ["\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in t.split("\n"):
+            w = set(line.lower().split())
+            if not any(w and 100 * len(w & x) >= 80 * len(w | x) for x in seen):
+                kept.append(line)
+            seen.append(w)
+        if "\n".join(kept).split() or len(kept) == len(t.split("\n")):
+            want[i] = "\n".join(kept)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in p.lines(spark, docs, SF).collect()}
+    assert {i: r.text for i, r in out.items()} == want and all(r.n_chars == len(r.text) for r in out.values())
