@@ -164,27 +164,29 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 # --- connected components ---------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id reachable.
 
-    Each round points every id at the smallest label seen among its neighbours and then at that label's own label
-    (pointer jumping), so chains shrink quickly; each round is written to the shared folder. Aggregates are
-    combined before the shuffle, so an id with very many edges does not gather them in one task.
+    Each round points every id at the smallest label seen among its neighbours, the id that is a label also at the
+    smallest one that any id under it has found (hooking), and then every id at its label's own label (pointer jumping),
+    so chains shrink quickly in any order of ids. It ends when no label moves, however many rounds that takes. Each
+    round is written to the shared folder. Aggregates are combined before the shuffle, so an id with very many edges
+    does not gather them in one task.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        up = labels.select(F.col("id").alias("now"), F.col("component").alias("above"))
-        new = written(step.join(up, "now", "left").select("id", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")))
+        step = written(labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("now")))
+        hooks = step.groupBy(F.col("was").alias("root")).agg(F.min("now").alias("hook"))
+        hooked = step.join(hooks, step.id == hooks.root, "left").select("id", "was", F.least("now", "hook").alias("now"))
+        up = hooked.select(F.col("id").alias("now"), F.col("now").alias("above"))
+        new = written(hooked.join(up, "now", "left").select("id", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         dropped(labels)
+        dropped(step)
         scratch, labels = new._scratch, new.select("id", "component")
         labels._scratch = scratch
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     dropped(both)
     return labels

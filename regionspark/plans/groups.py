@@ -64,23 +64,26 @@ def visual_pairs(layers: DataFrame, strip: float = 400.0) -> DataFrame:
     return a.join(c, ["image_id", "font_family", "strip"]).where(alike).select("image_id", A["seq"].alias("a"), C["seq"].alias("b")).distinct()
 
 
-def visual_groups(layers: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def visual_groups(layers: DataFrame, pairs: DataFrame) -> DataFrame:
     """(image_id, seq, component): smallest seq reachable over the pairs. Each round takes the least label of the
-    neighbours and then that label's label, and is checkpointed; it ends when no label moves."""
+    neighbours, hooks the seq that is a label to the least one found under it, takes that label's label, and is
+    checkpointed; it ends when no label moves, however many rounds that takes."""
     spark = layers.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="regionspark-"))
     both = pairs.union(pairs.select("image_id", "b", "a")).distinct().checkpoint()
     labels = layers.select("image_id", "seq", F.col("seq").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("seq", "b"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("seq")).agg(F.min("component").alias("near"))
         step = labels.join(near, ["image_id", "seq"], "left").select("image_id", "seq", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("now"))
-        above = labels.select("image_id", F.col("seq").alias("now"), F.col("component").alias("above"))
-        new = step.join(above, ["image_id", "now"], "left").select("image_id", "seq", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")).checkpoint()
+        step = step.checkpoint()
+        hooks = step.groupBy("image_id", F.col("was").alias("seq")).agg(F.min("now").alias("hook"))
+        hooked = step.join(hooks, ["image_id", "seq"], "left").select("image_id", "seq", "was", F.least("now", "hook").alias("now"))
+        above = hooked.select("image_id", F.col("seq").alias("now"), F.col("now").alias("above"))
+        new = hooked.join(above, ["image_id", "now"], "left").select("image_id", "seq", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")).checkpoint()
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return labels
-    raise RuntimeError("groups did not settle")
 
 
 def group_consensus(layers: DataFrame, image_width: Column) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionspark.llm import byte_bpe, chat_formatting, common, fingerprints, html_extraction, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, queries
+from regionspark.plans import groups
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -168,6 +169,17 @@ def test_jaccard_join(spark, percent, k):
     assert [out[i].component_id for i in range(len(texts))] == want and [out[i].n_shingles for i in range(len(texts))] == [len(x) for x in sets]
 
 
+def test_long_chains(spark):
+    """Chains of 300 in falling and in shuffled order of ids, as components and as visual groups, need few rounds but no cap."""
+    falling, shuffled = [0, *range(299, 0, -1)], list(range(1000, 1300))
+    random.Random(2).shuffle(shuffled)
+    edges = spark.createDataFrame([e for ids in (falling, shuffled) for e in zip(ids, ids[1:])], "a long, b long")
+    assert {r.id: r.component for r in common.components(edges).collect()} == {i: 0 if i < 300 else 1000 for i in falling + shuffled}
+    layers = edges.selectExpr("1 AS image_id", "a AS seq").union(edges.selectExpr("1", "b")).distinct()
+    found = groups.visual_groups(layers, edges.selectExpr("1 AS image_id", "a", "b"))
+    assert {r.seq: r.component for r in found.collect()} == {i: 0 if i < 300 else 1000 for i in falling + shuffled}
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nsecond line"), (1, 1, "assistant", "> Hello   THERE\nHi"), (1, 2, "user", ">> Hello there\n> Hi\nthanks"), (1, 3, "user", "new topic"), (1, 4, "user", "> second line\nlate"), (1, 5, "x", "> never said\nend")]
     out = {r.turn: r for r in chat_formatting.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
