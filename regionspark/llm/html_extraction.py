@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,51 +18,68 @@ LABELLED = 4000
 # Element names of the HTML standard by how they take part in a page's text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas|math"
-SKIPPED = frozenset("aside button dialog fieldset footer form head input label menu nav option".split())
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas"
+SKIPPED = frozenset("annotation annotation-xml aside button dialog fieldset footer form head input label menu nav option".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Parts of class and id names of what is not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adslot|adunit|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|discussion|footer|gdpr|"
-    r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|responses|reviews?|share|sharing|sidebar|signup|site-header|skip|social|"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adslot|adunit|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|"
+    r"masthead|menu|modal|nav|navbar|navigation|newsletter|overlay|pager|pagination|popup|promo|promoted|promotion|replies|respond|sidebar|signup|site-header|skip|"
     r"sponsor|sponsored|sponsors|subscribe|subscription|toolbar|topbar|widgets?)(?:$|[\s_\d-])",
     re.I,
 )
+#: Parts of such names that an article's own sections have too; see page_items.
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:discussion|notice|related|responses|reviews?|share|sharing|social)(?:$|[\s_\d-])", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+#: Comments, what is no text with all it holds, and declarations; an svg may end in its own tag.
+_DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=[\s\"']/)|/)>|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>")
 #: Elements that an opening tag of the same kind ends, as their end tags may be left out.
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAGS = ("a", "article", "b", "blockquote", "br", "div", "em", "figure", "h1", "h2", "h3", "h4", "i", "img", "li", "main", "ol", "p", "pre", "section", "span", "strong", "table", "td", "th", "tr", "ul", "other")
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _boilerplate(name: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element is no part of the article; None if only its words can tell."""
+    doubt = False
     if name in SKIPPED or (name == "header" and not in_article) or (attributes and HIDDEN.search(attributes)):
         return True
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        value = m[2] or m[3] or m[4] or ""
-        if value.lower() in ROLES if m[1].lower() == "role" else MARKS.search(value):
+        value, role = m[2] or m[3] or m[4] or "", m[1].lower() == "role"
+        if value.lower() in ROLES if role else MARKS.search(value):
             return name not in ("html", "body", "article", "main")
-    return False
+        doubt |= not role and DOUBTFUL.search(value) is not None
+    return (None if in_article else True) if doubt and name not in ("html", "body", "article", "main") else False
 
 
 def page_items(page: str) -> list[tuple]:
     """The page as a flat list: ('w', words, text, in a skipped element, inside article or main) and
-    ('t', name, is a block, in a skipped element, inside article or main) in page order."""
+    ('t', name, is a block, in a skipped element, inside article or main) in page order.
+
+    An element inside article or main that DOUBTFUL names (its own section, or its share buttons) is judged by what it
+    holds: each word counts 1, or -1 in a link, and each link -1; it is skipped if that leaves nothing."""
     items, stack, skip, inside, at = [], [], 0, 0, 0
+    score, links, out = 0, 0, []
 
     def text(end: int) -> None:
+        nonlocal score
         if end > at and (part := page[at:end]).strip():
-            items.append(("w", len(html.unescape(part).split()), part, skip > 0, inside > 0))
+            n = len(html.unescape(part).split())
+            score += 0 if skip else -n if links else n
+            items.append(("w", n, part, skip > 0, inside > 0))
         elif end > at:
             items.append(("w", 0, " ", skip > 0, inside > 0))
 
     def close(k: int) -> None:
-        nonlocal skip, inside
-        for _, was_skip, was_inside in stack[k:]:
+        nonlocal skip, inside, score, links
+        for name, was_skip, was_inside, doubt in reversed(stack[k:]):
             skip -= was_skip
             inside -= was_inside
+            links -= name == "a"
+            if doubt and score <= doubt[1]:
+                out.append((doubt[0], len(items)))
+                score = doubt[1]
         del stack[k:]
 
     page = _DROPPED.sub(" ", page)
@@ -77,9 +95,11 @@ def page_items(page: str) -> list[tuple]:
                     close(k)
             bad = _boilerplate(name, m[3], inside > 0)
             if name not in VOID and not m[3].endswith("/"):
-                stack.append((name, bad, name in ("article", "main")))
-                skip += bad
+                stack.append((name, bool(bad), name in ("article", "main"), (len(items), score) if bad is None else None))
+                skip += bool(bad)
                 inside += name in ("article", "main")
+                links += name == "a"
+                score -= name == "a" and not skip
             items.append(("t", name, name in BLOCKS, skip > 0, inside > 0))
         else:
             items.append(("t", name, name in BLOCKS, skip > 0, inside > 0))
@@ -89,7 +109,14 @@ def page_items(page: str) -> list[tuple]:
             if k >= 0:
                 close(k)
     text(len(page))
-    return items
+    close(0)
+    if not out:
+        return items
+    edge = [0] * (len(items) + 1)
+    for first, end in out:
+        edge[first] += 1
+        edge[end] -= 1
+    return [(*i[:3], i[3] or n > 0, i[4]) for i, n in zip(items, accumulate(edge))]
 
 
 def learn(pages: DataFrame, html_col: str = "html", labelled: int = LABELLED) -> dict[str, float]:

@@ -213,6 +213,24 @@ def test_html():
     assert html_extraction.article("", cost) == "" and html_extraction.article("plain words", cost) == "plain words"
 
 
+def test_html_keeps_the_rest():
+    cost = dict.fromkeys(html_extraction.TAGS, 0.3)
+    text = lambda page: html_extraction.article(page, cost)
+    for dropped in ('<svg class="i"/>', "<svg/>", '<svg width=1 />', '<svg class="i"><path d="M0"/><text>no</text></svg>', "<script>no</script>", "<title>no</title>"):
+        assert text(f"<p>a</p>{dropped}<p>b c d</p>") == "a\nb c d", dropped
+    assert text("<p>a</p><title-card>x</title-card><p>b</p><select-box>y</select-box>").split() == ["a", "x", "b", "y"]
+    assert text("<p>one two <math><mi>x</mi><mo>=</mo><mn>2</mn></math> three</p><math/><p>four</p>") == "one two x=2 three\nfour"
+    for mark in ("discussion", "related-work", "reviews", "responses", "social-policy", "share", "notice"):
+        own = f'<section id="{mark}"><h2>Heading</h2><p>A text of the article with <a href="x">a link</a> in it.</p></section>'
+        want = "Before it.\nHeading\nA text of the article with a link in it.\nAfter it."
+        assert text(f"<main><p>Before it.</p>{own}<p>After it.</p></main>") == want, mark
+        assert text(f"<article><p>Before it.</p>{own}<p>After it.</p></article>") == want, mark
+        buttons = f'<div class="{mark}">See <a href="x">Some other page</a> <a href="y">And one more</a></div>'
+        assert text(f"<main><p>Before it, a text.</p>{buttons}<p>After it.</p></main>") == "Before it, a text.\nAfter it.", mark
+    assert text('<main><p>Before it.</p><section id="reviews"><p>Three more words.</p><div class="share"><a>Tell a friend of it</a></div></section></main>') == "Before it.\nThree more words."
+    assert text('<main><p>Before it.</p><div class="related sidebar"><p>Some words in a side bar</p></div></main>') == "Before it."
+
+
 def test_html_articles(spark):
     pages = common.load(spark, SF, "pages")
     out = {r.page_id: r.text for r in html_extraction.op8_html_extraction(spark, SF).collect()}
