@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain, compress, count
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionspark.llm.common import load
+from regionspark.llm.common import binaries, load, mix
 
 #: White space as the pattern's \s means it: the Unicode property, without the four ASCII separators that Python adds.
 _SPACE = r"\p{White_Space}"
@@ -30,6 +32,38 @@ _OTHER = re.compile(r"[^\t-\r -~\xc0-\u024f]")
 _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 #: Entries of a worker's memory of pieces; it is emptied when full, so results never depend on it.
 PIECES = 400_000
+#: Pieces up to so many bytes are encoded many at a time; slots of the memory of pairs of tokens.
+SHORT, SLOTS = 64, 1 << 21
+#: Pieces that are encoded at once; a power of two.
+GROUP = 1 << 15
+#: Characters of text whose pieces are gathered before new ones are encoded together.
+GATHER = 2 << 20
+
+
+class _Lookup:
+    """An unchanging map of distinct 64-bit keys to 32-bit values (0 or more) for whole arrays: -1 where a key is missing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        self.mask, self.keys, self.values = np.uint64(size - 1), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        left, at = np.arange(len(keys)), (mix(keys) & self.mask).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.values[at] < 0)
+            _, one = np.unique(at[free], return_index=True)  # of those that want a slot, one gets it
+            got = free[one]
+            self.keys[at[got]], self.values[at[got]] = keys[left[got]], values[left[got]]
+            rest = np.delete(np.arange(len(left)), got)
+            left, at = left[rest], (at[rest] + 1) & int(self.mask)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (mix(keys) & self.mask).astype(np.int64)
+        out = self.values[at]
+        on = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(on):
+            at[on] = (at[on] + 1) & int(self.mask)
+            out[on] = self.values[at[on]]
+            on = on[(out[on] >= 0) & (self.keys[at[on]] != keys[on])]
+        return out
 
 
 class Encoder:
@@ -48,7 +82,8 @@ class Encoder:
         self.plain = re.compile(plain.replace(r"(?!\S)", r"(?![^\t-\r ])").replace(r"\s+", r"[\t-\r ]+"))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.packed = _Pieces(self)
+        self._tables = None
+        self.forget()
 
     def pieces(self, text: str) -> list[str]:
         return (self.pattern if _OTHER.search(text) else self.plain).findall(text)
@@ -123,12 +158,182 @@ class Encoder:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk(self.last_tokens(piece))
 
+    # --- many pieces at a time: the same tables for whole arrays ---
+
+    def tables(self) -> None:
+        """Trie of the tokens, mergeable pairs, token sizes, and the parts at both edges of a token (filled when needed)."""
+        if self._tables:
+            return
+        nodes, ends, merged = {b"": 0}, {}, []
+        for token, i in self.ranks.items():
+            for k in range(1, len(token) + 1):
+                nodes.setdefault(token[:k], len(nodes))
+            ends[nodes[token]] = i
+            merged += [(self.ranks[token[:k]] << 32 | self.ranks[token[k:]], i) for k in range(1, len(token)) if token[:k] in self.ranks and token[k:] in self.ranks]
+        keys = np.array([nodes[n[:-1]] << 8 | n[-1] for n in nodes if n], np.uint64)
+        self.child = _Lookup(keys, np.arange(1, len(nodes), dtype=np.int32))
+        self.token_of = np.full(len(nodes), -1, np.int32)
+        self.token_of[list(ends)] = list(ends.values())
+        merged = np.array(merged, np.uint64).reshape(-1, 2)
+        self.merged = _Lookup(merged[:, 0].copy(), merged[:, 1].astype(np.int32))
+        most = max(self.tokens) + 1
+        self.size_of = np.zeros(most, np.int64)
+        for i, token in self.tokens.items():
+            self.size_of[i] = len(token)
+        self.start_of = np.concatenate([[0], np.cumsum(self.size_of)])
+        self.letters = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(most)), np.uint8)
+        self.chains = [np.full((most, 8), -1, np.int32) for _ in (0, 1)]  # right parts of a token, left parts of a token, whole first
+        self.slots, self.fit = np.full(SLOTS, np.uint64(1 << 63), np.uint64), np.zeros(SLOTS, bool)
+        self._tables = True
+
+    def grown(self, tokens: np.ndarray, side: int) -> np.ndarray:
+        """The parts that stand at one edge of each token while it grows, whole token first, -1 after the last."""
+        for t in np.unique(tokens[self.chains[side][tokens, 0] < 0]).tolist():
+            parts = [self.ranks[p] for p, _ in self.edge(t, 1 - side)]
+            if len(parts) > self.chains[side].shape[1]:
+                more = np.full((len(self.chains[side]), len(parts) - self.chains[side].shape[1]), -1, np.int32)
+                self.chains[side] = np.concatenate([self.chains[side], more], axis=1)
+            self.chains[side][t, : len(parts)] = parts
+        return self.chains[side][tokens]
+
+    def fit_many(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """fits() for arrays of tokens; a part's limit is the token that it became part of."""
+        key = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+        at = (mix(key) & np.uint64(SLOTS - 1)).astype(np.int64)
+        out, new = self.fit[at], np.flatnonzero(self.slots[at] != key)
+        if len(new):
+            _, one, back = np.unique(key[new], return_index=True, return_inverse=True)
+            a, b = self.grown(first[new][one], 0), self.grown(second[new][one], 1)
+            bad = np.zeros(len(one), bool)
+            for i in range(a.shape[1]):
+                for j in range(b.shape[1]):
+                    on = np.flatnonzero((a[:, i] >= 0) & (b[:, j] >= 0) & ~bad)
+                    if not len(on):
+                        break
+                    m = self.merged(a[on, i].astype(np.uint64) << np.uint64(32) | b[on, j].astype(np.uint64))
+                    hit = m >= 0
+                    hit &= True if i == 0 else m < a[on, i - 1]
+                    hit &= True if j == 0 else m <= b[on, j - 1]
+                    bad[on[hit]] = True
+            out[new] = ~bad[back]
+            self.slots[at[new]] = key[new]
+            self.fit[at[new]] = out[new]
+        return out
+
+    def last_tokens_many(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The last token of each prefix of each piece; data: the pieces' bytes, starts: their places in it and its end."""
+        self.tables()
+        size = np.diff(starts)
+        place = np.arange(len(data)) - np.repeat(starts[:-1], size)
+        stop = np.repeat(starts[1:], size)
+        place, found, at, node, length = place.astype(np.uint8), [], np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        while len(at):  # walk the trie from every byte at once
+            node = self.child(node.astype(np.uint64) << np.uint64(8) | data[at + length].astype(np.uint64))
+            on = node >= 0
+            at, node = at[on], node[on]
+            length += 1
+            whole = self.token_of[node]
+            ok = np.flatnonzero(whole >= 0)
+            found.append((at[ok], np.full(len(ok), length - 1), whole[ok]))
+            on = at + length < stop[at]
+            at, node = at[on], node[on]
+        begin, length, token = (np.concatenate(x) for x in zip(*found))
+        end = begin + length
+        order = np.argsort(place[end], kind="stable")
+        begin, end, token = begin[order], end[order], token[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(place[end]))])
+        last = np.full(len(data), -1, np.int32)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):  # by length of the prefix
+            b, e, t = begin[lo:hi], end[lo:hi], token[lo:hi]
+            alone = place[b] == 0
+            last[e[alone]] = t[alone]
+            rest = np.flatnonzero(~alone)
+            before = last[b[rest] - 1]
+            ok = self.fit_many(before, t[rest])
+            last[e[rest[ok]]] = t[rest[ok]]
+        if (last < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        return last
+
+    def encode_many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and how many each has."""
+        coded = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        counts, parts = np.zeros(len(coded), np.int64), []
+        for k in range(0, len(coded), GROUP):
+            long = {i: np.array(self.encode_piece(coded[i]), np.int32) for i in (k + np.flatnonzero(size[k : k + GROUP] > SHORT)).tolist()}
+            own = np.setdiff1d(np.arange(k, min(k + GROUP, len(coded))), list(long))
+            starts = np.concatenate([[0], np.cumsum(size[own])]).astype(np.int64)
+            last = self.last_tokens_many(np.frombuffer(b"".join([coded[i] for i in own.tolist()]), np.uint8), starts)
+            live, end, steps = np.arange(len(own)), starts[1:].copy(), []
+            while len(live):  # walk back from the ends of all pieces
+                t = last[end[live] - 1]
+                steps.append((live, t))
+                end[live] -= self.size_of[t]
+                live = live[end[live] > starts[live]]
+            n = np.bincount(np.concatenate([x for x, _ in steps]), minlength=len(own)) if steps else np.zeros(0, np.int64)
+            flat, ends = np.empty(n.sum(), np.int32), np.cumsum(n)
+            for step, (live, t) in enumerate(steps):
+                flat[ends[live] - 1 - step] = t
+            if long:
+                flat = np.split(flat, ends[:-1])
+                both = dict(zip(own.tolist(), flat)) | long
+                flat, counts[list(long)] = np.concatenate([both[i] for i in sorted(both)]), [len(x) for x in long.values()]
+            counts[own] = n
+            parts.append(flat)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), counts
+
+    def forget(self) -> None:
+        """Empty the memory of pieces: piece to number, and by number where its ids are and how often it was met."""
+        self.numbers, self.flat, self.at, self.met = defaultdict(count().__next__), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the half of the memory that was met most often."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: PIECES // 2])
+        wanted = np.zeros(len(self.met), bool)
+        wanted[keep] = True
+        old, counts, met = list(compress(self.numbers, wanted.tolist())), np.diff(self.at)[keep], self.met[keep]
+        flat = self.flat[np.repeat(self.at[keep] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        self.forget()
+        self.numbers.update(zip(old, map(lambda _: self.numbers.default_factory(), old)))
+        self.flat, self.at, self.met = flat, np.concatenate([[0], np.cumsum(counts)]), met // 2
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; the pieces not met before are encoded together."""
+        out, i = [], 0
+        while i < len(texts):
+            split, size = [], 0
+            while i < len(texts) and size < GATHER:
+                split.append(self.pieces(texts[i] or ""))
+                size += len(texts[i] or "")
+                i += 1
+            if len(self.numbers) > PIECES:
+                self.forget_rare()
+            known, lengths = len(self.numbers), np.fromiter(map(len, split), np.int64, len(split))
+            number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum())
+            flat, counts = self.encode_many(list(self.numbers)[known:])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.met = np.append(self.met, np.zeros(len(counts), np.int64)) + np.bincount(number, minlength=len(self.numbers))
+            first, many = self.at[number], self.at[number + 1] - self.at[number]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            ids = self.flat[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])].astype("<u4").tobytes()
+            bounds = (4 * ends[np.concatenate([[0], np.cumsum(lengths)])]).tolist()
+            out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, self.pieces(text)))
+        return self.encode_texts([text])[0]
+
+    def decode_many(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's bytes start (with the end of all)."""
+        self.tables()
+        size = self.size_of[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.letters[np.repeat(self.start_of[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_many(np.frombuffer(ids, "<u4").astype(np.int64))[0].tobytes()
 
     def prefixes(self, text: str) -> bytes:
         """For each byte of the text the last token of its piece's prefix that ends there."""
@@ -158,20 +363,6 @@ class Encoder:
         return after, np.concatenate(out).astype("<u4").tobytes()
 
 
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.encode_piece(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= PIECES:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
-
-
 @lru_cache(4)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -194,10 +385,9 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     """
     path, pattern = _vocabulary(path, pattern)
 
-    @F.pandas_udf(T.BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        own = encoder(path, pattern)
-        return pd.Series([own.encode(x) if x else b"" for x in texts], dtype=object)
+    @F.arrow_udf(T.BinaryType())
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array(encoder(path, pattern).encode_texts(texts.to_pylist()), pa.binary())
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -206,10 +396,16 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     """docs with `out`: binary, the bytes that the ids stand for; null ids give an empty binary."""
     path, pattern = _vocabulary(path, None)
 
-    @F.pandas_udf(T.BinaryType())
-    def back(packed: pd.Series) -> pd.Series:
-        own = encoder(path, pattern)
-        return pd.Series([own.decode(x) if x else b"" for x in packed], dtype=object)
+    @F.arrow_udf(T.BinaryType())
+    def back(packed: pa.Array) -> pa.Array:
+        own, parts = encoder(path, pattern), []
+        for k in range(0, len(packed), 500):
+            some = packed.slice(k, 500).fill_null(b"").cast(pa.large_binary())
+            starts = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            flat = np.frombuffer(some.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]].view("<u4").astype(np.int64)
+            letters, ends = own.decode_many(flat)
+            parts.append(binaries(letters, ends[(starts - starts[0]) // 4]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return docs.withColumn(out, back(F.col(ids)))
 
