@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes
     finally:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -170,8 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every id at the smallest label seen among its neighbours, the id that is a label also at the
     smallest one that any id under it has found (hooking), and then every id at its label's own label (pointer jumping),
     so chains shrink quickly in any order of ids. It ends when no label moves, however many rounds that takes. Each
-    round is written to the shared folder. Aggregates are combined before the shuffle, so an id with very many edges
-    does not gather them in one task.
+    round is written to the shared folder. Aggregates are combined before the shuffle; the joins read written tables, so
+    Spark splits the partition of an id with very many edges (skew join).
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))

@@ -2,43 +2,68 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionspark.llm.common import binaries, dropped, hashed_texts, let, lists, load, mix, written
-from regionspark.llm.jaccard_join import _checked, _sums, _tidy
+from regionspark.llm.common import binaries, dropped, hashed_texts, let, load, mix, written
+from regionspark.llm.jaccard_join import _checked, _sums
 
-#: Word counts are kept for so many hash values: a table of fixed size, whatever the corpus.
-RARITY = 1 << 18
+#: Word counts are kept for so many hash values: a table of fixed size, whatever the corpus; it travels in slices.
+RARITY, SLICE = 1 << 19, 1 << 11
+#: Words whose counts a task adds to its table at once.
+GATHER = 1 << 21
 PERCENT = 80
-#: Smallest hashes of a line's words by which variants of one line are first brought together.
-LEADS = 2
-#: Shares of the words that are joined one after another.
-PASSES = 2
-#: Bits by which a scan recognises what it has to return; a table of fixed size that may let too much through.
+#: Prefix entries that are joined at once, and entries of one word beyond which it is split into cells.
+PART, CELL = 300_000, 20_000
+#: Pairs that are compared at once in a task.
+PAIRS = 1 << 21
+#: Bits by which a scan recognises the lines it has to return, and lines up to which it is used (16 bits a line); where
+#: there are more, the texts are joined to them instead.
 MARKS = 1 << 25
+MARKED = MARKS // 16
 MIN_WORDS = 5
-_A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0x2545F4914F6CDD1D)
+_A = np.uint64(0x9FB21C651E98DF25)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rank of each of RARITY hash values by how often words with it occur in all texts, rarest first."""
+def _counted(df: DataFrame, values, size: int) -> np.ndarray:
+    """How often each number below `size` comes up in all rows; values(batch) yields arrays of such numbers. Tasks add up
+    their own counts and send slices of the table; slices are added as they come in, so no task holds more than one table."""
 
     def count(batches):
-        total = np.zeros(RARITY, np.int64)
+        total, held, n = np.zeros(size, np.int64), [], 0
         for batch in batches:
-            for _, _, h, *_ in hashed_texts(batch.column(0), True):
-                total += np.bincount((h & np.uint64(RARITY - 1)).astype(np.int64), minlength=RARITY)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["value", "n"])
-
-    found = docs.select("text").mapInArrow(count, "value int, n long").groupBy("value").agg(F.sum("n").alias("n")).toPandas()  # RARITY rows at most
-    total = np.zeros(RARITY, np.int64)
-    total[found["value"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+            for some in values(batch):
+                held.append(some.astype(np.int32))
+                n += len(some)
+                if n > GATHER:
+                    total += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        total += np.bincount(np.concatenate([np.zeros(0, np.int32), *held]), minlength=size)
+        yield sent(total, np.flatnonzero(total.reshape(-1, SLICE).any(axis=1)))
+
+    def sent(total, slices):
+        return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), binaries(total.reshape(-1, SLICE)[slices].ravel(), np.arange(len(slices) + 1) * SLICE)], names=["slice", "counts"])
+
+    def add(batches):
+        total, seen = np.zeros(size, np.int64), set()
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[k * SLICE : (k + 1) * SLICE] += np.frombuffer(counts.as_buffer(), np.int64)
+                seen.add(k)
+        yield sent(total, np.array(sorted(seen), np.int64))
+
+    schema = "slice int, counts binary"
+    out = np.zeros(size, np.int64)
+    for x in df.mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect():  # size / SLICE rows
+        out[x.slice * SLICE : (x.slice + 1) * SLICE] = np.frombuffer(x.counts, np.int64)
+    return out
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """Rank of each of RARITY hash values by how often words with it occur in all texts, rarest first."""
+    total = _counted(docs.select("text"), lambda batch: ((h & np.uint64(RARITY - 1)) for _, _, h, *_ in hashed_texts(batch.column(0), True)), RARITY)
     rank = np.empty(RARITY, np.uint32)
     rank[np.lexsort((np.arange(RARITY), total))] = np.arange(RARITY, dtype=np.uint32)
     return rank
@@ -50,13 +75,25 @@ def _line_sets(texts: pa.Array, rank: np.ndarray):
     for first, n, h, row, data, starts, off in hashed_texts(texts, True):
         if not len(h):
             continue
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data == 10, out=breaks[1:])
         number = breaks[starts] - breaks[off[row]]
         new = np.ones(len(h), bool)
         new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
         line = np.cumsum(new) - 1
-        order = np.lexsort((h, rank[(h & np.uint64(RARITY - 1)).astype(np.int64)], line))
-        g, at = h[order], line[order]
+        key = line * RARITY + rank[(h & np.uint64(RARITY - 1)).astype(np.int64)]
+        bits = len(h).bit_length()
+        if int(key[-1]).bit_length() + 21 + bits < 63:  # sorting numbers is faster than sorting places by them
+            packed = np.sort(key << bits | np.arange(len(h)))
+            order, key = packed & ((1 << bits) - 1), packed >> bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        tied = np.union1d(same, same + 1)  # words of one hash value are put in order by their whole hashes
+        own = order[tied]
+        order[tied] = own[np.lexsort((h[own], key[tied]))]
+        g, at = h[order], key // RARITY
         fresh = np.ones(len(g), bool)
         fresh[1:] = (g[1:] != g[:-1]) | (at[1:] != at[:-1])
         g, at = g[fresh], at[fresh]
@@ -74,16 +111,16 @@ def _prefixes(rank, percent: int, least: int):
                 prefix = np.where(long & ~alone, size - least_size + 1, 0)
                 within = np.arange(len(g)) - np.repeat(offsets[:-1], size)
                 kept = g[within < np.repeat(prefix, size)]
-                spot = mix(g)
-                sketch = np.zeros(2 * len(size), np.uint64)
-                np.bitwise_xor.at(sketch, 2 * np.repeat(np.arange(len(size)), size) + (spot >> np.uint64(63)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+                spot, other = mix(g), mix(g + _A)
+                bit, upper = np.uint64(1) << (spot & np.uint64(63)), spot >> np.uint64(63)
+                sketch = [np.bitwise_xor.reduceat(np.where(upper == half, bit, 0), offsets[:-1]).view(np.int64) for half in (0, 1)]
                 ends = np.concatenate([[0], np.cumsum(prefix)])
-                least_of = np.stack([np.minimum.reduceat(mix(g ^ _B * np.uint64(t)), offsets[:-1]) + np.uint64(t) for t in range(1, LEADS + 1)], axis=1)
+                leads = [pa.array((np.minimum.reduceat(x, offsets[:-1]) ^ tag).view(np.int64), mask=alone) for x, tag in ((other, np.uint64(0)), (spot, _A))]
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)),
-                     pa.array(_sums(mix(g + _A), offsets).view(np.int64)), pa.array(_sums(mix(g ^ _B), offsets).view(np.int64)), pa.array(sketch[::2].copy().view(np.int64)), pa.array(sketch[1::2].copy().view(np.int64)),
-                     lists(least_of[~alone].ravel(), np.concatenate([[0], np.cumsum(~alone * LEADS)])), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((kept >> np.uint64(33)).astype(np.int32)))],
-                    names=["doc_id", "line", "size", "h1", "h2", "sketch", "sketch2", "leads", "prefix"],
+                     pa.array(_sums(spot, offsets).view(np.int64)), pa.array(_sums(other, offsets).view(np.int64)), *map(pa.array, sketch), *leads,
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((kept >> np.uint64(33)).astype(np.int32)))],
+                    names=["doc_id", "line", "size", "h1", "h2", "sketch", "sketch2", "lead1", "lead2", "prefix"],
                 )
                 yield out.filter(pa.array(long))
 
@@ -111,17 +148,36 @@ def _marks(spots: DataFrame) -> np.ndarray:
     return out
 
 
+def _picked(ids, lines, g, offsets, mine):
+    size = np.diff(offsets)[mine]
+    pick = np.repeat(offsets[:-1][mine] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+    return pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(lines[mine].astype(np.int32)), binaries(g[pick], np.concatenate([[0], np.cumsum(size)]))], names=["doc_id", "line", "members"])
+
+
 def _wanted_sets(rank, marks):
+    """The sets of the lines that the marks name; the marks may name others too."""
+
     def run(batches):
         bits = np.unpackbits(marks.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[_spot(batch.column(0).to_numpy())]))
             ids = batch.column(0).to_numpy()
             for first, row, number, _, g, offsets in _line_sets(batch.column(1), rank.value):
-                mine = np.flatnonzero(bits[_spot(ids[first + row], number.astype(np.int64) + 1)])
-                size = np.diff(offsets)[mine]
-                pick = np.repeat(offsets[:-1][mine] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[mine]]), pa.array(number[mine].astype(np.int32)), binaries(g[pick], np.concatenate([[0], np.cumsum(size)]))], names=["doc_id", "line", "members"])
+                yield _picked(ids[first + row], number, g, offsets, np.flatnonzero(bits[_spot(ids[first + row], number.astype(np.int64) + 1)]))
+
+    return run
+
+
+def _listed_sets(rank):
+    """The sets of the lines whose numbers come with the texts."""
+
+    def run(batches):
+        for batch in batches:
+            ids, wanted = batch.column(0).to_numpy(), batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            owner = np.repeat(np.arange(len(ids)), wanted.value_lengths().to_numpy())
+            listed = owner << 32 | wanted.flatten().to_numpy().astype(np.int64)
+            for first, row, number, _, g, offsets in _line_sets(batch.column(1), rank.value):
+                yield _picked(ids[first + row], number, g, offsets, np.flatnonzero(np.isin((first + row) << 32 | number, listed)))
 
     return run
 
@@ -142,22 +198,31 @@ def _score():
 
 def _near(percent: int):
     """Whether sizes and the Hamming distance of the 128-bit parity sketches allow two lines to link."""
-    both = F.col("size") + F.col("size_b")
-    return (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & ((100 + percent) * _away() <= (100 - percent) * both)
+    return (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")) & ((100 + percent) * _away() <= (100 - percent) * (F.col("size") + F.col("size_b")))
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, rank, percent: int) -> DataFrame:
+def _matched(pairs: DataFrame, docs: DataFrame, rank, percent: int, single: bool = False) -> DataFrame:
     """(doc_id, line) of the later lines of those pairs (doc_id, line: later, doc_b, line_b: earlier, score) whose sets
-    link. Of each line the most promising pair is checked first, and only lines that it leaves open meet their others."""
-    spots = pairs.select("doc_id", "line").union(pairs.select("doc_b", "line_b")).distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(spots))
-    sets = written(docs.mapInArrow(_wanted_sets(rank, marks), "doc_id long, line int, members binary"))
+    link. Of each line the most promising pair is checked first, and only lines that it leaves open meet their others;
+    single: there is but one pair a line."""
+    spots = written(pairs.select("doc_id", "line").union(pairs.select("doc_b", "line_b")).distinct())
+    schema = "doc_id long, line int, members binary"
+    if spots.count() <= MARKED:
+        sets = written(docs.mapInArrow(_wanted_sets(rank, docs.sparkSession.sparkContext.broadcast(_marks(spots))), schema))
+    else:
+        listed = spots.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("lines"))  # a document's own lines
+        sets = written(docs.join(listed, docs.doc_id == F.col("_id")).select("doc_id", "text", "lines").mapInArrow(_listed_sets(rank), schema).distinct())
+    dropped(spots)
     later, earlier = sets.withColumnRenamed("members", "x"), sets.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("members").alias("y"))
 
     def linked(some: DataFrame) -> DataFrame:
         joined = some.join(later, ["doc_id", "line"]).join(earlier, ["doc_b", "line_b"])
         return written(joined.select("doc_id", "line", "x", "y").mapInArrow(_checked(percent), "a long, b int").distinct().toDF("doc_id", "line"))
 
+    if single:
+        out = linked(pairs)
+        dropped(sets)
+        return out
     best = written(pairs.groupBy("doc_id", "line").agg(F.min(F.struct("score", "doc_b", "line_b")).alias("m")).select("doc_id", "line", "m.doc_b", "m.line_b"))
     first = linked(best)
     others = pairs.drop("score").join(best, ["doc_id", "line", "doc_b", "line_b"], "left_anti").join(first, ["doc_id", "line"], "left_anti")
@@ -167,6 +232,135 @@ def _matched(pairs: DataFrame, docs: DataFrame, rank, percent: int) -> DataFrame
     return out
 
 
+#: A word of a line's prefix: flags are 1 for an open line (no match yet), 2 and 4 for the sides of the join that it stands
+#: on (2: as the smaller set, 4: as the larger one).
+_ENTRY = np.dtype([("word", "<i4"), ("cell", "<i4"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("flags", "<i4"), ("doc", "<i8"), ("s1", "<u8"), ("s2", "<u8")])
+
+
+def _buckets(words: np.ndarray) -> np.ndarray:
+    return words & np.int32(RARITY - 1)
+
+
+def _spread(percent: int, parts: int, entries):
+    """Rows (part, rows): the prefix entries of lines, packed, by the part in which they meet their word's others.
+
+    A word of up to CELL entries has one cell. One of more has a grid: open lines as the smaller set against all as the
+    larger one, and the closed ones as the smaller set against the open ones, each side cut into shares of about CELL, so
+    every pair of lines of which one is open meets in one cell, and no cell is larger than two shares."""
+
+    def run(batches):
+        every, opened = entries.value
+        shares = [np.maximum(-(-n // CELL), 1) for n in (every, opened, every - opened)]
+        for batch in batches:
+            doc, line, size, s1, s2, is_open = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            prefix = batch.column(6)
+            many = prefix.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(doc)), many)
+            e = np.zeros(len(owner), _ENTRY)
+            e["word"] = prefix.flatten().to_numpy()
+            e["pos"] = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            for name, column in (("doc", doc), ("line", line), ("size", size), ("s1", s1.view(np.uint64)), ("s2", s2.view(np.uint64))):
+                e[name] = column[owner]
+            # the smaller set of a pair meets the larger one within its first size - ceil(2 J / (1 + J) * size) + 1 words
+            small = e["pos"] < e["size"] + 2 * percent * e["size"].astype(np.int64) // -(100 + percent) + 1
+            e["flags"] = is_open[owner] | small << 1 | 4
+            at = _buckets(e["word"])
+            hot = every[at] > CELL
+            out = [e[~hot]]
+            if hot.any():
+                e, at = e[hot], at[hot]
+                where = mix(e["doc"].view(np.uint64) * _A + e["line"].astype(np.uint64))
+                all_, open_, closed = (x[at] for x in shares)
+                now, less = (e["flags"] & 1) > 0, (e["flags"] & 2) > 0
+                for grid, side, pick, own, other in ((0, 2, less & now, open_, all_), (0, 4, np.ones(len(e), bool), all_, open_), (1, 2, less & ~now, closed, open_), (1, 4, now, open_, closed)):
+                    k = np.flatnonzero(pick)
+                    copies = np.repeat(k, other[k])
+                    turn = np.arange(len(copies)) - np.repeat(np.cumsum(other[k]) - other[k], other[k])
+                    mine = (where[copies] % own[copies].astype(np.uint64)).astype(np.int64)
+                    first, second = (mine, turn) if side == 2 else (turn, mine)
+                    more = e[copies]
+                    more["flags"] = more["flags"] & 1 | side
+                    more["cell"] = (1 + grid + 2 * (first * np.where(grid, open_, all_)[copies] + second)) & 0x7FFFFFFF
+                    out.append(more)
+            e = np.concatenate(out)
+            part = (mix(e["word"].astype(np.uint64) << np.uint64(32) | e["cell"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            full = np.flatnonzero(np.diff(ends))
+            data, bounds = e[order].tobytes(), np.append(ends[full], ends[-1]) * _ENTRY.itemsize
+            rows = pa.Array.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), rows], names=["part", "rows"])
+
+    return run
+
+
+def _met(e: np.ndarray, percent: int):
+    """Pairs (doc_id, line, doc_b, line_b, score) of a part's entries that share a word and pass the length, positional and
+    sketch filters, the later line first; it is open."""
+    e = e[np.lexsort((e["size"], e["cell"], e["word"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["cell"][1:] != e["cell"][:-1])
+    place = np.cumsum(new) << 32 | e["size"]
+    for opened in (1, 0):  # open lines as the smaller set against all, closed ones against open ones
+        a = np.flatnonzero((e["flags"] & 3) == (2 | opened))
+        b = np.flatnonzero((e["flags"] & 4 > 0) & ((e["flags"] & 1 > 0) | (opened == 1)))
+        low = np.searchsorted(place[b], place[a])
+        many = np.searchsorted(place[b], (place[a] & ~0xFFFFFFFF) | 100 * e["size"][a].astype(np.int64) // percent, "right") - low
+        total = np.concatenate([[0], np.cumsum(many)])
+        i = 0
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
+            n = many[i:j]
+            x = np.repeat(a[i:j], n)
+            y = b[np.repeat(low[i:j] - (total[i:j] - total[i]), n) + np.arange(total[j] - total[i])]
+            i = j
+            both = e["size"][x].astype(np.int64) + e["size"][y]
+            left = np.minimum(e["size"][x] - e["pos"][x], e["size"][y] - e["pos"][y])
+            ok = np.flatnonzero((100 + percent) * left.astype(np.int64) >= percent * both)
+            x, y, both = x[ok], y[ok], both[ok]
+            away = np.bitwise_count(e["s1"][x] ^ e["s1"][y]).astype(np.int64) + np.bitwise_count(e["s2"][x] ^ e["s2"][y])
+            ok = np.flatnonzero((100 + percent) * away <= (100 - percent) * both)
+            x, y, score = x[ok], y[ok], 1000 * away[ok] // both[ok]
+            before = (e["doc"][x] < e["doc"][y]) | ((e["doc"][x] == e["doc"][y]) & (e["line"][x] < e["line"][y]))
+            x, y = np.where(before, y, x), np.where(before, x, y)  # x is the later one
+            ok = ((e["flags"][x] & 1) > 0) & ((e["doc"][x] != e["doc"][y]) | (e["line"][x] != e["line"][y]))
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(e["doc"][x]), pa.array(e["line"][x]), pa.array(e["doc"][y]), pa.array(e["line"][y]), pa.array(score[ok].astype(np.int32))], names=["doc_id", "line", "doc_b", "line_b", "score"])
+
+
+def _meet(percent: int):
+    def run(batches):
+        part, held = None, []
+        for batch in batches:
+            for k, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k != part and held:
+                    yield from _met(np.concatenate(held), percent)
+                    held = []
+                part = k
+                held.append(np.frombuffer(rows.as_buffer(), _ENTRY))
+        if held:
+            yield from _met(np.concatenate(held), percent)
+
+    return run
+
+
+def _prefix_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of lines (doc_id, line, size, sketch, sketch2, open, prefix) of which the later one is open: prefix
+    entries travel packed, by parts of words, and meet in sorted arrays."""
+
+    def values(batch):
+        prefix, is_open = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+        at = _buckets(prefix.flatten().to_numpy())
+        yield at
+        yield at[np.repeat(is_open, prefix.value_lengths().to_numpy())] + RARITY
+
+    counts = _counted(marked.select("open", "prefix"), values, 2 * RARITY)
+    parts = int(-(-counts[:RARITY].sum() // PART)) or 1
+    entries = marked.sparkSession.sparkContext.broadcast((counts[:RARITY], counts[RARITY:]))
+    spread = marked.select("doc_id", "line", "size", "sketch", "sketch2", "open", "prefix").mapInArrow(_spread(percent, parts, entries), "part int, rows binary")
+    return spread.repartition("part").sortWithinPartitions("part").mapInArrow(_meet(percent), "doc_id long, line int, doc_b long, line_b int, score int").distinct()
+
+
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines): numbers (from 0, ascending) of the lines of docs (doc_id, text) that repeat an earlier line.
 
@@ -179,66 +373,53 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN
     three words) needs no more than that. Words are ordered by rarity; two linked lines share a word
     among the first size - ceil(J * size) + 1 of the larger set and fewer of the smaller (prefix filter); position and
     length filters and a parity sketch's Hamming distance act inside the join. Before that a line is checked against the
-    first line that shares one of its smallest word hashes, and a line that has its match there only serves as the
+    first line that has the same smallest word hash, by two ways of hashing, and a line that has its match there only serves as the
     earlier side afterwards: variants of one line are not paired throughout, and no match is lost.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rank = spark.sparkContext.broadcast(rarity(docs))
-    full = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, sketch long, sketch2 long, leads array<long>, prefix array<int>"))
-    heads = written(full.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "sketch2", "leads", "prefix")).alias("head")).select("h1", "h2", "size", "head.*"))
-    lines = written(full.select("doc_id", "line", "size", "h1", "h2"))
-    dropped(full)
-    _tidy(spark)
-    led = heads.select("doc_id", "line", "size", "sketch", "sketch2", F.explode("leads").alias("lead"))
+    full = written(docs.mapInArrow(_prefixes(rank, percent, min_words), "doc_id long, line int, size int, h1 long, h2 long, sketch long, sketch2 long, lead1 long, lead2 long, prefix array<int>"))
+    heads = full.groupBy("h1", "h2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "sketch2", "lead1", "lead2", "prefix")).alias("head"))
+    heads = written(heads.select("h1", "size", "head.*"))
+    led = heads.select("doc_id", "line", "size", "sketch", "sketch2", F.explode(F.array("lead1", "lead2")).alias("lead")).where("lead is not null")
     leaders = led.groupBy("lead").agg(F.min(F.struct("doc_id", "line", "size", "sketch", "sketch2")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    leaders = leaders.select("lead", F.col("m.doc_id").alias("doc_b"), F.col("m.line").alias("line_b"), F.col("m.size").alias("size_b"), F.col("m.sketch").alias("sketch_b"), F.col("m.sketch2").alias("sketch2_b"))
-    firsts = written(led.join(leaders, "lead").where(_earlier() & _near(percent)).select("doc_id", "line", "doc_b", "line_b", _score().alias("score")).distinct())
-    found = _matched(firsts, docs, rank, percent).withColumn("hit", F.lit(True))  # at most LEADS pairs a line
-    marked = written(heads.where(F.size("prefix") > 0).join(found, ["doc_id", "line"], "left").select("doc_id", "line", "size", "sketch", "sketch2", F.col("hit").isNull().alias("open"), "prefix"))
-    slim = written(heads.select("doc_id", "line", "size", "h1", "h2"))
-    dropped(heads)
-    _tidy(spark)
-    # the smaller set of a pair meets the larger one within its first size - ceil(2 J / (1 + J) * size) + 1 words
-    short = F.col("size") - F.ceil(2 * percent * F.col("size") / F.lit(100 + percent)).cast("int") + 1
-    left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
-    fits = (F.col("word") == F.col("word_b")) & (F.col("size") <= F.col("size_b")) & ((100 + percent) * left >= percent * (F.col("size") + F.col("size_b")))
-    unlike = (F.col("doc_id") != F.col("doc_b")) | (F.col("line") != F.col("line_b"))
-    turn = lambda a, b: F.when(_earlier(), F.col(a)).otherwise(F.col(b))
-    parts = []
-    for turn_of in range(PASSES):  # a share of the words each, so shuffle files of one share only lie on disk
-        words = F.filter(F.transform("prefix", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.pmod(x["word"], F.lit(PASSES)) == turn_of)
-        entry = lambda rows, x: rows.select("doc_id", "line", "size", "sketch", "sketch2", "open", F.explode(x).alias("w")).select("doc_id", "line", "size", "sketch", "sketch2", "open", "w.pos", "w.word")
-        small = entry(marked, F.filter(words, lambda x: x["pos"] < short))
-        large = entry(marked, words).toDF("doc_b", "line_b", "size_b", "sketch_b", "sketch2_b", "open_b", "pos_b", "word_b")
-        met = small.join(large, fits & unlike & F.when(_earlier(), F.col("open")).otherwise(F.col("open_b")) & _near(percent))
-        met = met.select(turn("doc_id", "doc_b").alias("doc_id"), turn("line", "line_b").alias("line"), turn("doc_b", "doc_id").alias("doc_b"), turn("line_b", "line").alias("line_b"), _score().alias("score"))
-        parts.append(written(met.distinct()))
-    rest = written(reduce(DataFrame.union, parts).distinct().join(firsts.drop("score"), ["doc_id", "line", "doc_b", "line_b"], "left_anti"))
-    for part in parts:
-        dropped(part)
-    _tidy(spark)
-    found = written(found.drop("hit").union(_matched(rest, docs, rank, percent)).distinct().withColumn("hit", F.lit(True)))
-    for done in (marked, firsts, rest):
+    # written first, so that both sides of the join come from exchanges and a hot lead's lines are split. Where a hash
+    # join is asked for here and below, the hashed side has one row a key.
+    leaders = written(leaders.select("lead", F.col("m.doc_id").alias("doc_b"), F.col("m.line").alias("line_b"), F.col("m.size").alias("size_b"), F.col("m.sketch").alias("sketch_b"), F.col("m.sketch2").alias("sketch2_b")))
+    near = led.join(leaders.hint("shuffle_hash"), "lead").where(_near(percent) & _earlier()).select("doc_id", "line", F.struct(_score().alias("score"), "doc_b", "line_b").alias("m"))
+    firsts = written(near.groupBy("doc_id", "line").agg(F.min("m").alias("m")).select("doc_id", "line", "m.doc_b", "m.line_b", "m.score"))  # the more promising leader
+    dropped(leaders)
+    early = _matched(firsts, docs, rank, percent, single=True)
+    found = early.withColumn("hit", F.lit(True))
+    ready = heads.where(F.size("prefix") > 0).select("doc_id", "line", "size", "sketch", "sketch2", "prefix")
+    marked = written(ready.join(found.hint("shuffle_hash"), ["doc_id", "line"], "left").select(*ready.columns, F.col("hit").isNull().alias("open")))
+    rest = written(_prefix_pairs(marked, percent).join(firsts.drop("score"), ["doc_id", "line", "doc_b", "line_b"], "left_anti"))
+    dropped(marked)
+    late = _matched(rest, docs, rank, percent)
+    for done in (firsts, rest):
         dropped(done)
-    _tidy(spark)
-    kept = slim.join(found, ["doc_id", "line"], "left").select("h1", "h2", "size", F.col("doc_id").alias("d"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit"))
-    gone = lines.join(kept, ["h1", "h2", "size"]).where("hit or doc_id <> d or line <> l")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a document's own lines
+    # a line goes if it does not lead its class or if a match was found for it
+    class_of = ["doc_id", "line", "h1"]
+    own = full.select(*class_of, F.lit(0).alias("head")).union(heads.select(*class_of, F.lit(1))).repartition("doc_id").groupBy(*class_of).agg(F.max("head").alias("head"))
+    gone = own.where("head = 0").select("doc_id", "line").union(early).union(late)
+    out = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")))  # a document's own lines
+    for done in (full, heads, early, late):
+        dropped(done)
+    return out
 
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated lines taken out of `text` (other lines stay as they are, joined by \\n) and the columns
     n_lines and n_removed (long). Null texts stay null with 0 lines; an empty text is one line; rows without doc_id and
     other columns stay unchanged; rows that share a doc_id are treated as one document, line by line."""
-    gone = repeated_lines(docs, percent, min_words).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_gone"))
-    none = F.array().cast("array<int>")
-    joined = docs.join(gone, docs.doc_id == F.col("_id"), "left")
-    split = F.split(F.col("text"), "\n", -1)
-    kept = let(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    named = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in {"n_lines", "n_removed"}]
-    return joined.select(*named, F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size(F.coalesce("_gone", none)).cast("long").alias("n_removed"))
+    gone = repeated_lines(docs, percent, min_words)
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id")).join(gone.withColumnRenamed("doc_id", "other").hint("shuffle_hash"), F.col("id") == F.col("other"), "left")
+    text = F.col("row.text")
+    split = F.split(text, "\n", -1)
+    kept = let(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines")), lambda i: F.get(x, i)), "\n"))
+    named = [F.when(F.col("lines").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in {"n_lines", "n_removed"}]
+    return joined.select(*named, F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
