@@ -9,7 +9,6 @@ sets themselves. Sets are 64-bit hashes of shingles.
 
 from __future__ import annotations
 
-import gc
 from functools import reduce
 
 import numpy as np
@@ -161,12 +160,6 @@ def _checked(percent: int):
     return run
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now rather than when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int, lower: bool) -> DataFrame:
     """The pairs (a, b) whose sets link, by the sets of the documents they name."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -201,20 +194,18 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     most others; an unedited original leads its copies). Then classes of different components that share a bucket are
     compared by the short sketches inside the join, which lets only close pairs out, and checked, so no link is lost. doc_id is the key (long); other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     base = written(docs.mapInArrow(_marks(k, lower), "doc_id long, n_shingles long, h1 long, h2 long"))
-    classes = base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the joins with it have exchanges on both sides and the rows of a class of very many copies are split
+    classes = written(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
     heads = classes.select(F.col("class_id").alias("doc_id"))
     every = docs.mapInArrow(_sketches(percent, k, lower), "doc_id long, n_shingles long, short array<long>, keys array<long>").where(F.size("keys") > 0)
     full = written(every.join(heads, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
-    _tidy(spark)
     marks = full.select("id", F.explode("keys").alias("key"))
     shared = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(marks.join(shared, "key"))
     sizes = written(full.select("id", "n_shingles", "short"))
     dropped(full)
-    _tidy(spark)
     popular = met.groupBy("id").agg(F.sum("n").alias("popular"))
     hubs = met.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
     often = met.join(hubs, "key").where("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("n"))
@@ -222,7 +213,6 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     best = best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     pairs = written(best.join(sizes.select(*_side("b")), "b").join(sizes.select(*_side("a")), "a").where(_close(percent)).select("a", "b"))
     edges = _verified(pairs, docs, percent, k, lower)
-    _tidy(spark)
     labels = components(edges)
     named = met.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("key")
@@ -232,13 +222,18 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     apart = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("p") != F.col("q"))
     more = written(x.join(y, apart & _close(percent)).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        labels = components(edges.union(_verified(more, docs, percent, k, lower)))
-    for done in (met, sizes, rest, pairs, more):
+        further = _verified(more, docs, percent, k, lower)
+        dropped(labels)
+        labels = components(edges.union(further))
+        dropped(further)
+    for done in (met, sizes, rest, pairs, more, edges):
         dropped(done)
-    _tidy(spark)
     named = classes.join(labels, classes.class_id == labels.id, "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    own = base.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
-    return own.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = base.where("n_shingles > 0").join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "class_id", "component_id")
+    out = written(own.union(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))))
+    for done in (base, classes, labels):
+        dropped(done)
+    return out
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
