@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from regionspark.llm.common import load
 
-#: The sample of labelled rows: most documents a language, letters taken of each, letters a language. Bounds the model.
-DOCUMENTS, PER_DOCUMENT, LETTERS = 200, 1000, 40_000
-#: Most labels; more are refused, so their counts and models have a known size.
-LABELS = 400
-#: A text is parsed in windows of so many letters, each starting a phrase; windows run side by side in numpy.
+#: The sample of labelled rows: labels (those of most rows), documents a label, letters taken of each, letters a label and
+#: letters of all labels. Bounds the model.
+LABELS, DOCUMENTS, PER_DOCUMENT, LETTERS, ALL_LETTERS = 200, 200, 1000, 40_000, 400_000
+#: Symbols that get a column in the table of next states; the others are looked up in a sorted list.
+COLUMNS = 64
+#: Long texts are parsed in windows of so many letters side by side; see _Parser.phrases.
 WINDOW = 256
 #: Scale of the score: bits per letter become odds at this rate.
 SHARP = 8
@@ -73,74 +74,173 @@ def automaton(text: np.ndarray) -> np.ndarray:
     return np.array([(s, c, t) for s, own in enumerate(step) for c, t in own.items()], np.int32).reshape(-1, 3)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", documents: int = DOCUMENTS, per_document: int = PER_DOCUMENT, letters: int = LETTERS) -> list[tuple[str, int, bytes]]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", labels: int = LABELS, documents: int = DOCUMENTS, per_document: int = PER_DOCUMENT, letters: int = LETTERS) -> list[tuple[str, int, bytes]]:
     """A model per label: (label, letters learnt, packed transitions). Rows without text or label teach nothing.
 
-    Of each label the `documents` rows with the lowest hashes of their key are used (a filter by hash that keeps about
-    twice as many comes first, so no label gathers in one task), of each the first per_document symbols, `letters` in
-    all. What reaches the driver is bounded by labels * 3 * letters transitions.
+    The sample is bounded: the `labels` labels of most rows (ties by code point); of each the `documents` rows with the
+    lowest hashes of their key (a filter by hash that keeps about twice as many comes first, so no label gathers in one
+    task); of each row a span of per_document symbols from a place that its hash decides; `letters` in all, and fewer where
+    the labels together would pass ALL_LETTERS. What reaches the driver is bounded by 3 transitions a letter.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("turn"))
-    counts = docs.sparkSession.createDataFrame(rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LABELS + 1).collect(), "lang string, n long")
-    if counts.count() > LABELS:
-        raise ValueError(f"more than {LABELS} labels")
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()
+    counts = docs.sparkSession.createDataFrame(top, "lang string, n long")
     share = F.col("turn").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     some = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * documents + 20)
     first = F.row_number().over(W.partitionBy("lang").orderBy(share, "text"))
-    some = some.withColumn("rank", first).where(F.col("rank") <= documents).select("lang", "rank", "text")
+    some = some.withColumn("rank", first).where(F.col("rank") <= documents).select("lang", "rank", "turn", "text")
+    most = min(letters, ALL_LETTERS // max(len(top), 1))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [symbols(t)[:per_document] for t in pdf.sort_values("rank")["text"]]
-        seen = np.concatenate([np.append(p, 32) for p in parts])[:letters]
+        parts = []
+        for turn, t in pdf.sort_values("rank")[["turn", "text"]].itertuples(index=False):
+            own = symbols(t)
+            start = turn % max(len(own) - per_document + 1, 1)
+            parts += [own[start : start + per_document], np.array([32], np.int32)]
+        seen = np.concatenate(parts)[:most]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(seen)], "moves": [automaton(seen).tobytes()]})
 
     return sorted((r.lang, r.n, bytes(r.moves)) for r in some.groupBy("lang").applyInPandas(learn, "lang string, n long, moves binary").collect())
 
 
+_NEW = 1 << 30
+
+
 class _Parser:
-    """All models in one table: row = state, column = symbol; an entry is the next state's row, and a bit for a new phrase."""
+    """All models in one table of next states: a column for each of the COLUMNS - 1 symbols that most transitions have, and
+    sorted (state, symbol) keys for the other symbols, so a large alphabet does not widen the table. An entry with _NEW
+    begins a phrase: the symbol that did not match is the first of the next one, or no part of any if the sample lacks it."""
 
     def __init__(self, models: list[tuple[str, int, bytes]]):
-        moves = [np.frombuffer(m, np.int32).reshape(-1, 3) for _, _, m in models]
-        alphabet = np.unique(np.concatenate([np.zeros(0, np.int32), *[m[:, 1] for m in moves]]))
-        self.column = np.zeros(0x110000, np.int32)  # 0: unknown to all
-        self.column[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.pad = width = len(alphabet) + 1
-        width += 1
-        tables, self.roots, base = [], [], 0
-        for m in moves:
-            states = int(m[:, [0, 2]].max(initial=0)) + 1
-            own = np.full((states, width), -1, np.int64)
-            own[m[:, 0], self.column[m[:, 1]]] = m[:, 2]
-            again = np.where(own[0] >= 0, own[0], 0)  # the mismatched symbol starts the next phrase
-            entry = np.where(own >= 0, own, again[None, :] + (1 << 40))
-            flag, state = entry >> 40, entry & ((1 << 40) - 1)
-            full = (state + base) * width + (flag << 40)
-            full[:, self.pad] = (np.arange(states) + base) * width
-            tables.append(full)
-            self.roots.append(base * width)
-            base += states
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-        self.bits = np.array([np.log2(max(n, 2)) for _, n, _ in models])
+        moves, base = [], 0
+        self.roots = []
+        for _, _, packed in models:
+            own = np.frombuffer(packed, np.int32).reshape(-1, 3).astype(np.int64)
+            self.roots.append(base)
+            own[:, [0, 2]] += base
+            moves.append(own)
+            base = int(own[:, [0, 2]].max(initial=base)) + 1
+        own = np.concatenate([np.zeros((0, 3), np.int64), *moves])
+        symbol, n = np.unique(own[:, 1], return_counts=True)
+        usual = symbol[np.argsort(-n, kind="stable")[: COLUMNS - 1]]
+        self.column = np.zeros(0x110000, np.uint8)  # 0: looked up in the sorted list
+        self.column[usual] = np.arange(1, len(usual) + 1)
+        root_of = np.repeat(np.array(self.roots, np.int64), np.diff(np.append(self.roots, base)).astype(np.int64)) if models else np.zeros(0, np.int64)
+        self.root_of = root_of.astype(np.int32)
+        table = np.full((base, COLUMNS), -1, np.int32)
+        common = self.column[own[:, 1]] > 0
+        table[own[common, 0], self.column[own[common, 1]]] = own[common, 2]
+        for root, end in zip(self.roots, np.append(self.roots[1:], base).astype(np.int64)):
+            again = np.where(table[root] >= 0, table[root], root) | _NEW
+            part = table[root:end]
+            np.copyto(part, again[None, :], where=part < 0)
+        self.table = table.ravel()
+        keys = own[~common, 0] << 21 | own[~common, 1]
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], own[~common, 2][order]
+
+    def _rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        def find(s):
+            key = s.astype(np.int64) << 21 | symbol
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            return np.where(self.keys[at] == key, self.next[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+        out, root = find(state), self.root_of[state]
+        start = find(root)
+        return np.where(out >= 0, out, np.where(start >= 0, start, root) | _NEW)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """(models, lanes) states and (lanes) symbols to entries."""
+        column = self.column[symbol]
+        entry = self.table[state * COLUMNS + column]
+        if not column.all():
+            rare = np.flatnonzero(column == 0)
+            entry[:, rare] = self._rare(state[:, rare].ravel(), np.tile(symbol[rare], len(state))).reshape(len(state), -1)
+        return entry
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """(models, texts): phrases of each text; a letter that a sample lacks ends one."""
-        cut = [-(-len(p) // WINDOW) for p in parts]
-        lanes = sum(cut)
-        grid = np.full(lanes * WINDOW, self.pad, np.int32)
-        at = 0
-        for p, n in zip(parts, cut):
-            grid[at : at + len(p)] = self.column[p]
-            at += n * WINDOW
+        """(models, texts): phrases of each text; a letter that a sample lacks ends one.
+
+        All windows are parsed at once as if a phrase began with each. Then each window but a text's first is parsed again
+        from where the window before ends, up to the first place at which both parses begin a phrase, as they are one from
+        there on. In the rare window without such a place the next one follows letter by letter."""
+        models = len(self.roots)
+        cut = np.array([-(-len(p) // WINDOW) for p in parts])
+        first = np.concatenate([[0], np.cumsum(cut)]).astype(np.int64)
+        lanes = int(first[-1])
+        grid, length = np.full(lanes * WINDOW, 32, np.int32), np.full(lanes, WINDOW)
+        for p, a, b in zip(parts, first[:-1], first[1:]):
+            grid[a * WINDOW : a * WINDOW + len(p)] = p
+            length[b - 1] = len(p) - (b - a - 1) * WINDOW
         grid = np.ascontiguousarray(grid.reshape(lanes, WINDOW).T)
         state = np.repeat(np.array(self.roots, np.int64)[:, None], lanes, axis=1)
-        count = np.ones_like(state)
-        for column in grid:
-            entry = self.table[state + column]
-            count += entry >> 40
-            state = entry & ((1 << 40) - 1)
-        starts = np.concatenate([[0], np.cumsum(cut)])[:-1].astype(np.int64)
-        return np.add.reduceat(count, starts, axis=1)
+        begins = np.zeros((WINDOW, models, lanes), bool)
+        for k, symbol in enumerate(grid):
+            live = length > k
+            if not live.any():
+                break
+            entry = self.step(state, symbol)
+            state = np.where(live, entry & (_NEW - 1), state)
+            begins[k] = (entry >= _NEW) & live
+        after = begins.sum(axis=0)  # phrases that begin inside a window, after its first letter's
+        inner = np.ones(lanes, bool)
+        inner[first[:-1]] = False
+        lane = np.tile(np.flatnonzero(inner), models)
+        model = np.repeat(np.arange(models), int(inner.sum()))
+        came = state[model, lane - 1]
+        count, met = np.zeros(len(lane), np.int64), np.full(len(lane), -1)
+        on, own = np.arange(len(lane)), came.copy()
+        for k in range(WINDOW):
+            on = on[length[lane[on]] > k]
+            if not len(on):
+                break
+            symbol = grid[k, lane[on]]
+            column = self.column[symbol]
+            entry = self.table[own[on] * COLUMNS + column].astype(np.int64)
+            if not column.all():
+                rare = np.flatnonzero(column == 0)
+                entry[rare] = self._rare(own[on][rare], symbol[rare])
+            new = entry >= _NEW
+            own[on] = entry & (_NEW - 1)
+            count[on] += new
+            both = new & (begins[k, model[on], lane[on]] if k else True)  # the fresh parse always begins at the first letter
+            met[on[both]] = k
+            on = on[~both]
+        total = np.ones((models, len(parts)), np.int64)
+        text = np.repeat(np.arange(len(parts)), cut)
+        np.add.at(total, (np.tile(np.arange(models)[:, None], len(parts)), np.arange(len(parts))[None, :]), after[:, first[:-1]])
+        so_far = np.cumsum(begins, axis=0, dtype=np.int16)
+        value = count + np.where(met >= 0, after[model, lane] - so_far[met, model, lane], 0)
+        lost = np.flatnonzero(met < 0)
+        fixed: dict[tuple[int, int], tuple[int, int]] = {}
+        for i in sorted(lost.tolist(), key=lambda i: (model[i], lane[i])):  # these windows' ends differ from the fresh ones
+            m, at, now = int(model[i]), int(lane[i]), int(own[i])
+            if (m, at) in fixed:
+                continue  # an earlier window's correction went through it
+            while at + 1 < lanes and inner[at + 1]:
+                n, now, joined = self._one(grid[: length[at + 1], at + 1], now, begins[:, m, at + 1])
+                fixed[m, at + 1] = (n, now)
+                at += 1
+                if joined:
+                    break
+        np.add.at(total, (model, text[lane]), value)
+        place = {(int(m), int(x)): i for i, (m, x) in enumerate(zip(model, lane))} if fixed else {}
+        for (m, at), (n, _) in fixed.items():
+            total[m, text[at]] += n - int(value[place[m, at]])
+        return total
+
+    def _one(self, symbols_: np.ndarray, state: int, begins: np.ndarray) -> tuple[int, int, bool]:
+        """A window letter by letter from `state`: phrases that begin in it, the state at its end, whether it met the fresh parse."""
+        n = 0
+        for k, symbol in enumerate(symbols_.tolist()):
+            entry = int(self.step(np.array([[state]]), np.array([symbol]))[0, 0])
+            state = entry & (_NEW - 1)
+            if entry >= _NEW:
+                n += 1
+                if k == 0 or begins[k]:
+                    n += int(begins[k + 1 :].sum())
+                    return n, -1, True
+        return n, state, False
 
 
 #: The parser that this worker made last, by the mark of its models.
@@ -151,8 +251,10 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
     """docs with lang_pred (a label of the models; `und` if the text is null or has no letter, or without models) and
     score (0 to 1: the label's share when 2^(-8 * bits per letter) are made odds; 0 for `und`).
 
-    Bits per letter are phrases * log2(letters learnt) / letters of the text: the label with fewest wins, ties go to
-    the first by code point. Columns of these names are replaced. Whole texts are parsed; no shuffle.
+    Bits per letter are phrases / letters of the text, times log2 of the letters that the largest model has learnt: a
+    pointer costs the same in all models, so a label of a few letters does not win by cheap ones. The label with fewest
+    wins, ties go to the first by code point. Columns of these names are replaced, others stay. Whole texts are parsed in
+    one go; no shuffle.
     """
     shared, mark = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
@@ -163,11 +265,12 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
             _PARSERS[mark] = _Parser(shared.value)
         own = _PARSERS[mark]
         names = np.array([m[0] for m in shared.value], object)
+        pointer = np.log2(max([2, *[m[1] for m in shared.value]]))
         pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         wait, rows, lanes = [], [], 0
 
         def flush():
-            bits = own.phrases(wait) * own.bits[:, None] / np.array([len(p) for p in wait])
+            bits = own.phrases(wait) * pointer / np.array([len(p) for p in wait])
             odds = np.exp2(-SHARP * (bits - bits.min(axis=0)))
             best = bits.argmin(axis=0)
             pred[rows], score[rows] = names[best], odds[best, np.arange(len(rows))] / odds.sum(axis=0)
@@ -181,14 +284,15 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
             wait.append(part)
             rows.append(i)
             lanes += -(-len(part) // WINDOW)
-            if lanes >= LANES:
+            if lanes * len(names) >= 4 * LANES:
                 flush()
                 wait, rows, lanes = [], [], 0
         if wait:
             flush()
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.withColumn("_lang", predict(F.col(text))).withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+    row, found = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]), predict(F.col(text))
+    return docs.select(F.struct(row.alias("row"), found.alias("found")).alias("both")).select("both.row.*", "both.found.*")
 
 
 def held_out(key: str = "doc_id"):
