@@ -158,22 +158,29 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, k: int = K) -> DataFr
 
     Documents are dealt into ranges of doc_id (bounds from all ids), so texts move once. The highest id of a range is
     also sent to the range above, where it follows that range's last document; the highest id of all follows the
-    lowest. Null texts are empty; a single document follows itself; rows without doc_id are left out; doc_id is a key.
+    lowest. Null texts are empty; a single document follows itself; rows without doc_id come after all others; rows of
+    one doc_id follow each other by a hash of their texts.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    docs = docs.select("doc_id", "text", rank.alias("rank"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).collect()[0].c or []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
-    slot = F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))  # 0 holds the highest ids
-    tops = docs.groupBy(slot.alias("slot")).agg(F.max("doc_id").alias("top")).orderBy("slot").collect()  # one row a slot
+    cuts = docs.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).collect()[0].c if parts > 1 else None
+    bounds = sorted({int(c) for c in cuts or []}, reverse=True)
+    falling = F.array(*[F.lit(c) for c in bounds]).cast("array<long>")
+    # slot: how many bounds are not below the id, by steps that halve; 0 holds the highest ids
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    slot = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(falling, at + step - 1) >= F.col("rank"), F.lit(False)), at + step).otherwise(at))
+    tops = docs.groupBy(slot.alias("slot")).agg(F.max("rank").alias("top")).orderBy("slot").collect()  # one row a slot
     if not tops:
         return spark.createDataFrame([], _SCHEMA)
     before = {t.top: tops[i - 1].slot for i, t in enumerate(tops)}  # the first follows the last
-    also = F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv])
-    rows = docs.select("doc_id", "text", F.explode(F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("copied")), F.when(F.try_element_at(also, F.col("doc_id")).isNotNull(), F.struct(F.try_element_at(also, F.col("doc_id")).alias("slot"), F.lit(True).alias("copied")))))).alias("s"))
-    dealt = rows.select("s.slot", "doc_id", "text", "s.copied").repartitionByRange(parts, "slot").sortWithinPartitions("slot", "copied", F.desc("doc_id"))
-    return dealt.mapInArrow(_edited(bits, k), _SCHEMA)
+    also = F.create_map(*[F.lit(x).cast(t) for kv in before.items() for x, t in zip(kv, ("long", "int"))])
+    again = F.try_element_at(also, F.col("rank"))
+    places = F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("copied")), F.when(again.isNotNull(), F.struct(again.alias("slot"), F.lit(True).alias("copied")))))
+    rows = docs.select("doc_id", "rank", "text", F.explode(places).alias("s")).select("s.slot", "doc_id", "rank", "text", "s.copied")
+    dealt = rows.repartitionById(parts, "slot").sortWithinPartitions("slot", "copied", F.desc("rank"), F.xxhash64("text"), "text")
+    return dealt.select("slot", "doc_id", "text", "copied").mapInArrow(_edited(bits, k), _SCHEMA)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
