@@ -21,8 +21,8 @@ CONFIDENT = 0.95
 #: Weight of a pseudo-labelled document beside a labelled one.
 PSEUDO = 0.5
 BINS = 64
-#: A calibration group (crc32(doc_id) mod 5 = 4) is kept out of training.
-FOLDS, CALIBRATION = 5, 4
+#: By crc32(doc_id) mod 5: labels of fold 4 only calibrate, those of fold 3 are used for nothing but measuring.
+FOLDS, CALIBRATION, HELD_OUT = 5, 4, 3
 
 
 @dataclass
@@ -153,8 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
     """Views [text, metadata] for docs (doc_id, text, source, lang) and labels (doc_id, quality 0 or 1).
 
     Round 0 learns from labelled rows. In each later round every other document that one view is sure of, after
-    calibration, teaches the other. Each round is one pass that returns counts of fixed-size tables; texts are never
-    shuffled. Rows without doc_id or quality, and repeated ids beyond the first by quality, are not labels.
+    calibration, teaches the other; documents of the calibration and held-out folds that have labels teach nothing. Each
+    later round is one pass that returns counts of fixed-size tables; the first one and the calibrations read only labelled
+    documents' texts; texts are never shuffled. Rows without doc_id or quality are not labels; of repeated ids the lowest
+    quality counts.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", _meta_fields(docs).alias("meta"))
@@ -164,12 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
     some = named.where(share * max(total, 1) < 1.1 * labelled + 50).orderBy(share, "doc_id").limit(labelled)
     some = some.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % FOLDS).toPandas().sort_values("doc_id")  # at most `labelled` rows
     pick = lambda keep: (some.doc_id.to_numpy(np.int64)[keep], (some.quality.to_numpy()[keep] > 0).astype(np.int64))
-    held_rows = (some.fold == CALIBRATION).to_numpy(bool)
-    known, held = pick(~held_rows), pick(held_rows)
+    fold = some.fold.to_numpy(np.int64)
+    known, held, apart = pick((fold != CALIBRATION) & (fold != HELD_OUT)), pick(fold == CALIBRATION), pick((fold == CALIBRATION) | (fold == HELD_OUT))
+    of = lambda ids: rows.join(F.broadcast(spark.createDataFrame([(int(x),) for x in ids[0]], "id long")), F.col("doc_id") == F.col("id"), "left_semi")  # at most `labelled` ids
+    teachers, judges = of(known), of(held)
     views: list[View] = []
     for turn in range(rounds + 1):
-        shared = spark.sparkContext.broadcast((views, known, held))
-        counts = rows.mapInArrow(_count(shared), "part int, feature int, n double").groupBy("part", "feature").agg(F.sum("n").alias("n")).toPandas()  # 2 * (TEXT + META) rows at most
+        shared = spark.sparkContext.broadcast((views, known, apart))
+        counts = (rows if views else teachers).mapInArrow(_count(shared), "part int, feature int, n double").groupBy("part", "feature").agg(F.sum("n").alias("n")).toPandas()  # 2 * (TEXT + META) rows at most
         tables = [np.zeros((2, TEXT)), np.zeros((2, META))]
         part, feature = counts.part.to_numpy(np.int64), counts.feature.to_numpy(np.int64)
         for view in (0, 1):
@@ -177,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled: in
             tables[view][part[mine] % 2, feature[mine]] = counts.n.to_numpy()[mine]
         views = [View(_log_odds(t)) for t in tables]
         shared = spark.sparkContext.broadcast((views, held, known))
-        check = rows.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS == CALIBRATION).mapInArrow(_scored(shared), "doc_id long, s_text double, s_meta double, p_text double, p_meta double, label int").where("label >= 0").toPandas()  # held labels only
+        check = judges.mapInArrow(_scored(shared), "doc_id long, s_text double, s_meta double, p_text double, p_meta double, label int").where("label >= 0").toPandas()  # held labels only
         for view, column in zip(views, ("s_text", "s_meta")):
             score = check[column].to_numpy()
             if len(score):
