@@ -437,8 +437,10 @@ def edit(docs: DataFrame, start: str, end: str, new: str, text: str = "text", pr
             rows.append(own.edited(t, p if t else b"", a, b, n))
         return pd.DataFrame(rows, columns=["text", "prefixes"])
 
-    done = docs.withColumn("_edit", again(text, prefixes, start, end, new))
-    return done.withColumn(text, F.col("_edit.text")).withColumn(prefixes, F.col("_edit.prefixes")).drop("_edit")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    done = docs.select(F.struct(row.alias("row"), again(text, prefixes, start, end, new).alias("new")).alias("both"))
+    named = {text: "both.new.text", prefixes: "both.new.prefixes"}
+    return done.select(*[F.col(named.get(c, f"both.row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def ids_of(docs: DataFrame, prefixes: str = "prefixes", text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
