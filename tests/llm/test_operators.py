@@ -205,7 +205,7 @@ def test_mixing(spark):
 
 
 def test_html():
-    cost = dict.fromkeys(html_extraction.TAGS, 0.3)
+    cost = html_extraction.Weights()
     page = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><header><a href=x>Home</a> Site</header><nav><ul><li><a>One</a></ul></nav><div id="cookie-notice">We use cookies</div>
     <main><h1>Big  title</h1><p>First para &lt;b&gt; with <a href="y">a link</a>,<br>more.<p>Second&nbsp;one<div class="ad-slot">Buy now</div><form>Search <input></form><ul><li>one item<li>two items</ul></main>
     <aside>Related</aside><section class="comments"><p>I like it so much that I write a long comment here</section><footer>&copy; 2020</footer></body></html>"""
@@ -214,7 +214,7 @@ def test_html():
 
 
 def test_html_keeps_the_rest():
-    cost = dict.fromkeys(html_extraction.TAGS, 0.3)
+    cost = html_extraction.Weights()
     text = lambda page: html_extraction.article(page, cost)
     for dropped in ('<svg class="i"/>', "<svg/>", '<svg width=1 />', '<svg class="i"><path d="M0"/><text>no</text></svg>', "<script>no</script>", "<title>no</title>"):
         assert text(f"<p>a</p>{dropped}<p>b c d</p>") == "a\nb c d", dropped
@@ -267,8 +267,263 @@ def test_line_dedup(spark):
 
 
 def test_quality_classifier_held_out(spark):
-    sf = "/root/testdata/sf0.1"
+    """Accuracy on the fold whose labels neither teach nor calibrate."""
+    sf, fold = "/root/testdata/sf0.1", quality_classifier.HELD_OUT
     d, labels = common.load(spark, sf, "documents"), common.load(spark, sf, "labels")
     held = labels.join(quality_classifier.score(d, quality_classifier.train(d, labels)), "doc_id").toPandas()
-    held = held[[zlib.crc32(str(x).encode()) % 5 == 4 for x in held.doc_id]]
+    held = held[[zlib.crc32(str(x).encode()) % quality_classifier.FOLDS == fold for x in held.doc_id]]
     assert ((held.score >= 0.5) == (held.quality == 1)).mean() > max(0.94, held.quality.mean() + 0.05)
+
+
+def test_quality_classifier_brute_force(spark):
+    """Odds of the first round counted with plain dictionaries, scores of the views, and pooled calibration."""
+    from collections import Counter
+
+    q = quality_classifier
+    d, labels = common.load(spark, SF, "documents").select("doc_id", "text", "lang", "source"), common.load(spark, SF, "labels")
+    views = q.train(d, labels, rounds=0)
+    text, label = {r.doc_id: r.text for r in d.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    code = lambda t: ((t[0] | t[1] << 8 | t[2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+    grams = {k: [code(t.encode()[i : i + 3]) for i in range(len(t.encode()) - 2)] for k, t in text.items()}
+    counts = [Counter(), Counter()]
+    for k, y in label.items():
+        if zlib.crc32(str(k).encode()) % q.FOLDS not in (q.CALIBRATION, q.HELD_OUT):
+            counts[y].update(grams[k])
+    share = [{x: (c[x] + 1) / (sum(c.values()) + q.TEXT) for x in range(q.TEXT)} for c in counts]
+    odds = [np.log(share[1][x]) - np.log(share[0][x]) for x in range(q.TEXT)]
+    assert np.allclose(views[0].odds, odds)
+    out = {r.doc_id: r.p_text for r in q.score(d, views).collect()}
+    for k in list(text)[:60]:
+        s = sum(odds[x] for x in grams[k]) / max(len(grams[k]), 1)
+        assert abs(out[k] - views[0].chance[np.searchsorted(views[0].edges, s, "right")]) < 1e-9 or np.abs(views[0].edges - s).min() < 1e-9
+    good, total = np.array([0, 3, 1, 0, 5.0]), np.array([2, 4, 4, 1, 5.0])
+    best = q._isotonic(good, total)
+    assert (np.diff(best) >= 0).all() and len(best) == 5 and np.allclose(best[1:4], best[1])
+
+
+CLASH = ["_id", "_gone", "_words", "_size", "_lang", "_edit", "row", "found", "both", "lines", "id", "other", "d", "s", "m", "mark", "words", "taken", "cut", "copies", "rank", "slot", "label", "meta", "size", "new", "own"]
+
+
+def test_clashing_columns(spark):
+    base = docs(spark, ["One line of some words here\nand one more line of words", None, "", "One line of some words here\nb"], lang="en")
+    many = base.select("*", *[F.lit(f"keep {c}").alias(c) for c in CLASH])
+    before = {r.doc_id: [r[c] for c in CLASH] for r in many.collect()}
+
+    def same_columns(df, rows):
+        got = df.collect()
+        assert len(got) == rows and all([r[c] for c in CLASH] == before[r.doc_id] for r in got)
+
+    same_columns(line_dedup.without_repeats(many), 4)
+    same_columns(quality_rules.ledger(many), 4)
+    assert mixing.mixed_documents(many).columns == many.columns and all([r[c] for c in CLASH] == before[r.doc_id] for r in mixing.mixed_documents(many).collect())
+    same_columns(jaccard_join.one_of_each(many), 4)
+    same_columns(byte_bpe.decode(byte_bpe.encode(many)), 4)
+    same_columns(byte_bpe.edit(byte_bpe.with_prefixes(many.withColumns({"a": F.lit(0), "b": F.lit(0), "c": F.lit("x")})), "a", "b", "c"), 4)
+    same_columns(language_id.identify(many, language_id.fit(many)), 4)
+    same_columns(fingerprints.simhash(many), 4)
+    same_columns(html_extraction.extract(many.withColumn("html", F.col("text")), html_extraction.Weights()), 4)
+    assert jaccard_join.linked(many).count() == mixing.mix(many).count() == fingerprints.edited_fingerprints(many).count() == 4
+    assert quality_classifier.score(many, quality_classifier.train(many, many.selectExpr("doc_id", "1 AS quality", "label"), rounds=1)).count() == 4
+    chat = spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "v", "> a\nb")], "conv_id long, turn long, role string, text string").select("*", *[F.lit(1).alias(c) for c in (*CLASH, "level", "body", "thread", "parent", "spot", "stretch", "ahead")])
+    assert chat_formatting.conversations(chat).count() == 2 and [r.turns for r in chat_formatting.threads(chat).collect()] == [[0, 1]]
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that share an id, or have none, stay rows of their own in every operator."""
+    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (1, "other words are here", "en", "s", 20), (None, "x y z", None, None, 5), (None, "x y z", None, None, 5), (2, "p q r s t u", "en", "t", 11)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(df).collect()
+    size = sum(len(r[1].split()) for r in rows)
+    assert len(out) == 6 and all(0 <= r.taken <= 2 * r.size for r in out) and abs(sum(r.taken for r in out) - 1.5 * size) <= 6
+    mixed = mixing.mixed_documents(df).collect()
+    taken = sum(len(r.text.split()) for r in mixed)
+    assert taken == sum(r.taken for r in out) and sum(r.doc_id is None for r in mixed) <= 4
+    prints = fingerprints.edited_fingerprints(df).collect()
+    assert len(prints) == 6 and sum(r.doc_id is None for r in prints) == 2
+    again = fingerprints.edited_fingerprints(df.repartition(3)).collect()
+    assert sorted(map(str, prints)) == sorted(map(str, again))
+    assert line_dedup.without_repeats(df, min_words=1).count() == 6 and jaccard_join.linked(df.where("doc_id is not null")).count() == 4
+    assert quality_classifier.score(df, quality_classifier.train(df, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int"))).count() == 6
+
+
+def test_mixing_cuts_keep_white_space(spark):
+    text = "  one\n\ntwo \t three  four "
+    df = docs(spark, [text] * 1 + ["w " * 40])
+    for r in mixing.mixed_documents(df).collect():
+        assert text.startswith(r.text) or ("w " * 40).startswith(r.text)
+        assert r.n_chars == len(r.text)
+    part = mixing.mixed_documents(df, share=0.03).collect()
+    assert [r.text for r in part] in (["w"], ["  one"])
+
+
+def test_fingerprints_brute_force():
+    """The votes of a text's shingles with plain integers."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    m = (1 << 64) - 1
+
+    def mix(x):
+        for _ in (0, 1):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & m
+        return x ^ x >> 32
+
+    def word(w):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode())
+        return mix((sum(int(common._TABLE[c]) * pow(common._ODD, i, 1 << 64) for i, c in enumerate(b)) + len(b)) & m)
+
+    def brute(text):
+        h = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        votes = [0.0] * 128
+        grams = Counter()
+        for i in range(max(len(h) - 4, min(len(h), 1))):
+            g = h[i]
+            for step, x in enumerate(h[i + 1 : i + 5], 1):
+                g = mix((g * int(fingerprints._C1) + x * int(fingerprints._C2) + step) & m)
+            grams[g] += 1
+        for g, n in grams.items():
+            for half in (0, 1):
+                value = mix((g + half * int(fingerprints._C2)) & m).to_bytes(8, "little")
+                for bit in range(64):
+                    votes[64 * half + bit] += (1 + math.log2(n)) * (1 if value[bit // 8] >> (7 - bit % 8) & 1 else -1)
+        return "".join("1" if v > 1e-4 else "0" for v in votes)
+
+    texts = ["", " ", "one", "ONE", "one two three", "a b c d e f g h", "x " * 30 + "y", "Ünï côdé 字 word " * 3, "a b c d e a b c d e a b c d e f"]
+    got = fingerprints.fingerprints(pa.array([*texts, None]))
+    assert ["".join(f"{b:08b}" for b in row) for row in got] == [*map(brute, texts), "0" * 128]
+
+
+def _longest_matches(learnt, text):
+    n, match = 1, ""
+    for c in text:
+        if match + c in learnt:
+            match += c
+        else:
+            n, match = n + 1, c if c in learnt else ""
+    return n
+
+
+def test_language_brute_force(spark):
+    rng = random.Random(8)
+    speak = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alphabets = {"aa": "abcdea bc", "bb": "abxyzx yz", "cc": "mnopab "}
+    rows = [(i, speak(alphabets[k], rng.choice([5, 80, 700])), k) for i, k in enumerate(list(alphabets) * 30)]
+    df = spark.createDataFrame([*rows, (900, "a", "zz"), (901, None, "aa"), (902, "12 !", "aa"), (903, "ab", None)], "doc_id long, text string, lang string")
+    models = language_id.fit(df.where("doc_id < 60 or doc_id >= 900"))
+    assert [m[0] for m in models] == ["aa", "bb", "cc", "zz"]
+    samples = {}
+    for k, n, moves in models:  # the learnt text is the automaton's longest path
+        step = {(int(a), int(c)): int(b) for a, c, b in np.frombuffer(moves, np.int32).reshape(-1, 3)}
+        longest, into = {0: ""}, sorted(step.items(), key=lambda x: x[0])
+        changed = True
+        while changed:
+            changed = False
+            for (a, c), b in into:
+                if a in longest and len(longest[a]) + 1 > len(longest.get(b, "")):
+                    longest[b], changed = longest[a] + chr(c), True
+        samples[k] = max(longest.values(), key=len)
+        assert len(samples[k]) == n
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(df, models).collect()}
+    for i, t, _ in rows[60:]:
+        parsed = "".join(map(chr, language_id.symbols(t)))
+        if any(c != " " for c in parsed):
+            need = {k: _longest_matches(x, parsed) for k, x in samples.items()}
+            assert out[i] == min(sorted(need), key=need.get)
+    assert out[901] == out[902] == "und" and out[900] in samples
+
+
+def test_language_windows_and_large_alphabets(spark):
+    """Phrases reach over the windows of long texts; 3000 letters do not widen the table; any number of labels works."""
+    rng = random.Random(4)
+    wide = [chr(0x4E00 + rng.randrange(3000)) for _ in range(40_000)]
+    models = []
+    for label, sample in (("wide", "".join(wide)), ("slim", "".join(rng.choice("abcd ") for _ in range(40_000)).replace("  ", " "))):
+        learnt = language_id.symbols(sample)
+        models.append((label, len(learnt), language_id.automaton(learnt).tobytes()))
+    parser = language_id._Parser(models)
+    assert sum(x.nbytes for x in (parser.table, parser.keys, parser.next, parser.column, parser.root_of)) < 150e6
+    text = "".join(wide[100:2000]) + "".join(rng.choice("abcdz ") for _ in range(1500)) + "".join(wide[30_000:33_000])
+    part = language_id.symbols(text)
+    seen, learnt = "".join(map(chr, part)), ["".join(wide), "".join(map(chr, language_id.symbols(sample)))]
+    assert parser.phrases([part, part[:300]])[:, 0].tolist() == [_longest_matches(x, seen) for x in learnt]
+    many = spark.createDataFrame([(i, f"text number {'abcdefghij'[i % 10]} " * 5, f"l{i}") for i in range(450)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many)) == language_id.LABELS and language_id.identify(many, language_id.fit(many)).where("lang_pred <> 'und'").count() == 450
+
+
+def test_threads(spark):
+    rows = [(1, t, "user", ("> m%d\n" % (t - 1) if t else "") + f"m{t}") for t in range(10)] + [(1, 11, "user", "> m4\nlate"), (2, 0, None, "only"), (None, None, "u", "lost")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    part, stretch = chat_formatting.PART, chat_formatting.STRETCH
+    chat_formatting.PART, chat_formatting.STRETCH = 4, 3
+    try:
+        out = {(r.conv_id, r.thread, r.part): r for r in chat_formatting.threads(messages).collect()}
+    finally:
+        chat_formatting.PART, chat_formatting.STRETCH = part, stretch
+    assert [out[1, 0, k].turns for k in range(3)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 11]] and out[1, 0, 2].parents == [7, 8, 4]
+    assert out[2, 0, 0].formatted == "<|user|>\nonly\n<|end|>\n" and out[None, None, 0].turns == [-1] and "> m" not in out[1, 0, 0].formatted
+    quoted = chat_formatting.conversations(chat_formatting.quoted_surrogate(common.load(spark, "/root/testdata/sf0.01", "conversations")))
+    linked, n = quoted.agg(F.count("parent"), F.count("*")).collect()[0]
+    assert linked > n / 2
+
+
+def test_line_sets_by_join(spark, monkeypatch):
+    """With more candidate lines than the marks take, texts are joined to them, with the same result."""
+    d = common.load(spark, SF, "documents")
+    want = sorted(map(str, line_dedup.repeated_lines(d, min_words=1).collect()))
+    monkeypatch.setattr(line_dedup, "MARKED", 0)
+    assert sorted(map(str, line_dedup.repeated_lines(d, min_words=1).collect())) == want
+    monkeypatch.setattr(line_dedup, "CELL", 3)  # most words are split into grids of cells
+    monkeypatch.setattr(line_dedup, "PART", 500)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    assert sorted(map(str, line_dedup.repeated_lines(d, min_words=1).collect())) == want
+
+
+def test_html_region_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randint(0, 25))]
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        first, end = html_extraction.best_region(scores)
+        assert sum(scores[first:end]) == max([0.0, *sums.values()])
+
+
+def test_html_weights_decide(spark):
+    """Without marks, class names known to PRIOR or HTML5 elements, what is the article is learnt from other pages."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    shell = '<div class="zork"><p>{a}</p></div><div class="bar1"><a href="x">{b}</a></div>{open}<div class="frumious"><p>{c}</p><p>{d}</p></div>{close}<div class="zork"><p>{e}</p></div>'
+    page = lambda mark: shell.format(a=say(12), b=say(3), c=say(30), d=say(20), e=say(25), open=f"<{mark}>" if mark else "", close=f"</{mark}>" if mark else "")
+    marked = [page(rng.choice(["article", "main"])) for _ in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(marked)], "page_id long, html string")
+    weights = html_extraction.learn(df)
+    assert weights.odds[".zork"] < 0 and weights.cost["p"] <= 1 and html_extraction.Weights().odds.get(".zork") is None
+    plain = page("")
+    want = "\n".join(re.findall("<p>([^<]*)</p>", plain)[1:3])
+    assert html_extraction.article(plain, weights) == want != html_extraction.article(plain, html_extraction.Weights())
+    other = weights.odds | {".zork": 3.0, ".frumious": -6.0}
+    assert html_extraction.article(plain, html_extraction.Weights(other, weights.cost)) != want
+
+
+def test_html_without_marks(spark):
+    """The pages' own articles are found when their article tags are taken away before scoring."""
+    pages = common.load(spark, SF, "pages")
+    weights = html_extraction.learn(pages)
+    want = {r.page_id: r.text for r in html_extraction.op8_html_extraction(spark, SF).collect()}
+    for r in pages.collect():
+        bare = re.sub("</?article>", "", r.html)
+        assert "<article" not in bare and html_extraction.article(bare, weights) == want[r.page_id]
+
+
+def test_html_hostile_pages():
+    import time
+
+    w = html_extraction.Weights()
+    pages = ["<a " * 350_000, "<a " * 350_000 + ">", '<a ">' * 200_000 + '"', "<div>" * 100_000 + "</p>" * 100_000, "<div><p><div>" + "<b>" * 60_000 + "<p></p>" * 60_000, "<script " * 100_000 + ">", "<svg " * 100_000, "<!--" * 200_000, "<ul><li>a" * 50_000, "<p>&#" + "9" * 10_000 + ";</p>", "".join(f'<div class="x{chr(97 + i % 26) * (i % 300)}">x' for i in range(20_000))]
+    for page in pages:
+        began = time.process_time()
+        html_extraction.article(page, w)
+        assert time.process_time() - began < 8  # quadratic scans take minutes
+    assert html_extraction.article("<p>Win<img>dow</p>", w) == "Window" and html_extraction.article("<p>One two three four.</p><svg/><p>five</p>", w) == "One two three four.\nfive"
+    assert html_extraction.article('<article><div class="review-body"><p>One two three four.</p></div><p class="notice">Five six</p></article>', w) == "One two three four.\nFive six"
