@@ -48,9 +48,11 @@ def w2(spark, d):
 _STEPS = ["o_custkey AS release_id", "o_orderkey AS seq", "CASE o_orderkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'published' WHEN 2 THEN 'withdrawn' ELSE 'draft' END AS status"]
 
 
-@query("p13_release_lifecycle", f"""WITH x AS (SELECT {', '.join(_STEPS)} FROM orders), y AS (SELECT *, CASE status WHEN 'draft' THEN 0 WHEN 'published' THEN 1 ELSE 2 END AS k FROM x),
-z AS (SELECT *, k = coalesce(lag(k) OVER (PARTITION BY release_id ORDER BY seq), -1) + 1 AS legal FROM y)
-SELECT release_id, arg_max(status, seq) FILTER (legal) AS status, count(*) FILTER (NOT legal) AS n_illegal FROM z GROUP BY release_id""")
+@query("p13_release_lifecycle", f"""WITH x AS (SELECT {', '.join(_STEPS)} FROM orders),
+a AS (SELECT release_id, count(*) AS n, min(seq) FILTER (status = 'draft') AS d FROM x GROUP BY release_id),
+b AS (SELECT a.*, (SELECT min(seq) FROM x WHERE x.release_id = a.release_id AND x.status = 'published' AND x.seq > a.d) AS p FROM a),
+c AS (SELECT b.*, (SELECT min(seq) FROM x WHERE x.release_id = b.release_id AND x.status = 'withdrawn' AND x.seq > b.p) AS w FROM b)
+SELECT release_id, CASE WHEN w IS NOT NULL THEN 'withdrawn' WHEN p IS NOT NULL THEN 'published' WHEN d IS NOT NULL THEN 'draft' END AS status, n - (d IS NOT NULL)::BIGINT - (p IS NOT NULL)::BIGINT - (w IS NOT NULL)::BIGINT AS n_illegal FROM c""")
 def p13(spark, d):
     return r.release_lifecycle(table(spark, d, "orders").selectExpr(*_STEPS))
 

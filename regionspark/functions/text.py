@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionspark import dims
+from regionspark.functions.geometry import let
 
 #: White space of the reference's splitting, as a character class (Java's \s lacks most of it). Fixed value.
 BLANK = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -28,12 +29,17 @@ def _nfc(text: Column) -> Column:
     return nfc(text)
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+\\z", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK + "+", " "))
 
 
 def normalize_text(text: Column) -> Column:
-    """A1: NFC, white space runs as one space, trimmed. Only texts beyond ASCII visit Python."""
+    """A1: NFC, white space runs as one space, trimmed. Texts of ASCII alone go to Python as nulls."""
     return collapse(F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text))
 
 
@@ -77,8 +83,11 @@ def grapheme_ends(text: Column) -> Column:
 
 
 def boundaries_are_graphemes(text: Column, bounds: Column) -> Column:
-    """A5: whether all bounds (array of int) are grapheme boundaries of the text."""
-    return F.forall(bounds, lambda b: (b == 0) | F.array_contains(grapheme_ends(text), b))
+    """A5: whether all bounds (array of int) are grapheme boundaries of the text: a cut inside a grapheme makes two of it.
+    One scan of the text a bound."""
+    n = lambda x: F.size(graphemes(x))
+    cut = lambda b: n(F.substring(text, F.lit(1), b)) + n(F.substring(text, b + 1, F.length(text)))
+    return let(n(text), lambda whole: F.forall(bounds, lambda b: (b == 0) | ((b > 0) & (b <= F.length(text)) & (cut(b) == whole))))
 
 
 def glossary_translate(masked: Column, target: str, glossary: list[tuple[str, str]]) -> Column:

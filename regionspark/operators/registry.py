@@ -35,20 +35,23 @@ def config_lifecycle(log: DataFrame) -> DataFrame:
         .when(F.col("_made") == 0, "not_found").when(F.col("action") == "publish", F.when(F.col("_pub") == 0, "ok").otherwise("conflict"))
         .otherwise(F.when(F.col("_pub") == 1, "ok").otherwise("conflict")))
     live = F.when((F.col("outcome") == "ok") & (F.col("action") != "create"), F.col("seq"))
-    last = F.max(live).over(W.partitionBy("scope"))
-    status = F.when(live.isNull(), None).when(live == last, "published").otherwise("superseded")
+    last = rows.withColumn("_live", live).groupBy(F.col("scope").alias("_s")).agg(F.max("_live").alias("_last"))  # one row a scope
+    status = F.when(live.isNull(), None).when(live == F.col("_last"), "published").otherwise("superseded")
     source = F.when((F.col("action") == "rollback") & (F.col("outcome") == "ok"), F.col("version"))
-    return rows.select(*log.columns, "outcome", status.alias("status"), source.alias("source_version"))
+    return rows.join(last, F.col("scope").eqNullSafe(F.col("_s")), "left").select(*log.columns, "outcome", status.alias("status"), source.alias("source_version"))
 
 
 def release_lifecycle(log: DataFrame) -> DataFrame:
-    """P13 on (release_id, seq, status): each step is legal if it follows draft -> published -> withdrawn by one; the
-    release's status is that of its last legal step."""
-    order = F.when(F.col("status") == "draft", 0).when(F.col("status") == "published", 1).when(F.col("status") == "withdrawn", 2)
-    w = W.partitionBy("release_id").orderBy("seq")
-    before = F.coalesce(F.lag(order).over(w), F.lit(-1))
-    rows = log.withColumn("legal", order == before + 1)
-    return rows.groupBy("release_id").agg(F.max_by(F.when(F.col("legal"), F.col("status")), F.when(F.col("legal"), F.col("seq"))).alias("status"), F.sum(F.when(F.col("legal"), 0).otherwise(1)).alias("n_illegal"))
+    """P13 on (release_id, seq, status): a release goes from draft to published to withdrawn. A step is legal if it makes
+    the next state from the present one, so the legal steps are the first draft, the first publication after it and the
+    first withdrawal after that; all others change nothing. (release_id, status: null without a draft, n_illegal)."""
+    w = W.partitionBy("release_id")
+    first = lambda status, after=None: F.min(F.when((F.col("status") == status) & (F.lit(True) if after is None else F.col("seq") > F.col(after)), F.col("seq"))).over(w)
+    rows = log.withColumn("_draft", first("draft")).withColumn("_published", first("published", "_draft")).withColumn("_withdrawn", first("withdrawn", "_published"))
+    each = rows.groupBy("release_id").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("_draft", "_published", "_withdrawn")])
+    made = [F.col(c).isNotNull() for c in ("_draft", "_published", "_withdrawn")]
+    status = F.when(made[2], "withdrawn").when(made[1], "published").when(made[0], "draft")
+    return each.select("release_id", status.alias("status"), (F.col("n") - made[0].cast("long") - made[1].cast("long") - made[2].cast("long")).alias("n_illegal"))
 
 
 def compare_installed(manifest: DataFrame, installed: DataFrame, fields=("version", "object_version", "sha256", "size_bytes")) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from regionspark.functions import geometry as g
 from regionspark.functions import spans as s
-from regionspark.functions.text import script_language
+from regionspark.functions.text import script_language, strip
 
 MAX_ITEMS, MAX_CHARS, MAX_ITEM = 100, 20_000, 5_000
+#: Items that one task packs into batches.
+ITEMS_PER_BUCKET = 10_000
 
 
 def prepare(regions: DataFrame, brands: list[str] | None = None) -> DataFrame:
@@ -21,46 +23,58 @@ def prepare(regions: DataFrame, brands: list[str] | None = None) -> DataFrame:
     return rows.withColumn("masked", s.mask_text(F.col("text"), F.col("spans")))
 
 
-def unit_status(language: Column, masked: Column, error: Column, detected: Column, restored: Column, target: str, source: str | None, detects: bool) -> Column:
-    """P1's precedence as one expression; source is the language filter, if there is one."""
-    out = F.when(F.lit(not detects) & (language != source if source else language == target), "skipped_language")
-    out = out.when(s.fully_protected(masked), "skipped_protected").when(error.isNotNull(), "failed")
-    wrong = F.coalesce(detected != source if source else detected == target, F.lit(False))
-    return out.when(F.lit(detects) & wrong, "skipped_language").when(restored.isNull(), "failed").otherwise("translated")
+def unit_status(language: Column, masked: Column, called: Column, error: Column, detected: Column, restored: Column, target: str, source: str | None, detects: bool) -> Column:
+    """P1's precedence as one expression. source is the language filter, if there is one; detects: the provider reports
+    languages, so the filter waits for its answer; called: whether the provider answered for the text; detected: the
+    language that it reports, or else the region's."""
+    out = F.when(s.fully_protected(masked), "skipped_protected").when(~called | error.isNotNull(), "failed")
+    out = out.when(~detected.eqNullSafe(F.lit(source)) if source else detected.eqNullSafe(F.lit(target)), "skipped_language")
+    out = out.when(restored.isNull(), "failed").otherwise("translated")
+    return F.when(~language.eqNullSafe(F.lit(source)), "skipped_language").otherwise(out) if source and not detects else out
 
 
 def classify_units(regions: DataFrame, provider_items: DataFrame, keys: list[str], target: str, source: str | None = None, detects: bool = False, brands: list[str] | None = None) -> DataFrame:
     """Regions (keys, text, language_code) and provider items (keys, translated_text, source_language, error_code) to
-    units (keys, source_text, translated_text, status, error_code); texts that are not translated stay as they were."""
-    rows = prepare(regions, brands).join(provider_items.select(*keys, "translated_text", "source_language", "error_code"), keys, "left")
-    rows = rows.withColumn("_restored", s.restore_text(F.col("translated_text"), F.col("spans")))
-    status = unit_status(F.col("language_code"), F.col("masked"), F.col("error_code"), F.col("source_language"), F.col("_restored"), target, source, detects)
-    rows = rows.withColumn("status", status)
-    code = F.when(F.col("status") == "failed", F.coalesce("error_code", F.when(F.col("translated_text").isNull(), "missing_item").otherwise("placeholder_damaged")))
-    return rows.select(*keys, F.col("text").alias("source_text"), "language_code", F.when(F.col("status") == "translated", F.col("_restored")).otherwise(F.col("text")).alias("translated_text"), "status", code.alias("error_code"))
-
-
-def batch_keys(items: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+    units (keys, source_text, language_code, translated_text, status, error_code); texts that are not translated stay as
+    they were, a null translation is an empty one, and language_code is the detected one once the provider has answered."""
+    items = provider_items.select(*keys, "translated_text", "source_language", "error_code", F.lit(True).alias("_called"))
+    rows = prepare(regions, brands).join(items, keys, "left")
+    called = F.coalesce("_called", F.lit(False))
+    detected = F.coalesce("source_language", "language_code")
+    rows = rows.withColumn("_restored", s.restore_text(F.coalesce("translated_text", F.lit("")), F.col("spans")))
+    rows = rows.withColumn("status", unit_status(F.col("language_code"), F.col("masked"), called, F.col("error_code"), detected, F.col("_restored"), target, source, detects))
+    early = (F.col("status") == "skipped_protected") | ((F.col("status") == "skipped_language") & ~F.col("language_code").eqNullSafe(F.lit(source)) if source and not detects else F.lit(False))
+    code = F.when(F.col("status") == "failed", F.when(~called, "missing_item").otherwise(F.coalesce("error_code", F.lit("placeholder_damaged"))))
+    return rows.select(*keys, F.col("text").alias("source_text"), F.when(early, F.col("language_code")).otherwise(detected).alias("language_code"),
+        F.when(F.col("status") == "translated", F.col("_restored")).otherwise(F.col("text")).alias("translated_text"), "status", code.alias("error_code"))
+
+
+def batch_keys(items: DataFrame, order: list[str], buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
     """P2 packing: batch_key per item (text) so that a batch has at most 100 items and 20 000 characters: inside a hash
-    bucket by running characters in steps of 15 000 (an item adds 5 000 at most), then by hundreds."""
+    bucket by running characters in steps of 15 000 (an item adds 5 000 at most), then by hundreds. Buckets hold about
+    ITEMS_PER_BUCKET items however many there are, unless their number is given. Items that differ in `by` share no batch."""
+    buckets = buckets or -(-max(items.count(), 1) // ITEMS_PER_BUCKET)
+    by = by or []
     bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-    before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("_b", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = items.withColumn("_b", bucket).withColumn("_c", F.floor(before / 15_000))
-    rank = F.row_number().over(W.partitionBy("_b", "_c").orderBy(*order)) - 1
-    return rows.withColumn("batch_key", F.concat_ws("-", "_b", "_c", F.floor(rank / MAX_ITEMS))).drop("_b", "_c")
+    rank = F.row_number().over(W.partitionBy("_b", *by, "_c").orderBy(*order)) - 1
+    return rows.withColumn("batch_key", F.concat_ws("-", "_b", *by, "_c", F.floor(rank / MAX_ITEMS))).drop("_b", "_c")
 
 
-def translate_batches(items: DataFrame, client: Callable[[list[str]], list[str]], order: list[str]) -> DataFrame:
+def translate_batches(items: DataFrame, client: Callable[..., list[str]], order: list[str], by: list[str] | None = None) -> DataFrame:
     """P2 on items (order columns, text): client translates the texts of one batch; an exception or a wrong count fails the
     batch's items, texts over 5 000 characters fail beforehand. Adds translated_text and error_code. Run it after the
-    filters that spare calls: Catalyst pushes nothing through it."""
-    small = batch_keys(items.where(F.length("text") <= MAX_ITEM), order)
+    filters that spare calls: Catalyst pushes nothing through it. With `by` a batch has one value of these columns, which
+    the client gets after the texts."""
+    by = by or []
+    small = batch_keys(items.where(F.length("text") <= MAX_ITEM), order, by=by)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", translated_text string, error_code string"
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf["text"].tolist()
         try:
-            out = list(client(texts))
+            out = list(client(texts, *[pdf[c].iloc[0] for c in by]))
             error = None if len(out) == len(texts) else "invalid_response"
         except Exception as e:  # a provider's failure is data here
             error = getattr(e, "code", "provider_failed")
@@ -86,14 +100,10 @@ def translate_batches(items: DataFrame, client: Callable[[list[str]], list[str]]
 def retry_script_mismatches(units: DataFrame, client: Callable[[list[str], str], list[str]], keys: list[str], target: str) -> DataFrame:
     """Units (keys, text, detected, translated_text, error_code) that the provider took for the target language though
     their script says otherwise go through once more with the script's language as source; one pass, never a loop."""
-    script = script_language(F.col("text"), F.col("detected"))
-    rows = units.withColumn("_script", script)
-    again = rows.where((F.col("detected") == target) & F.col("_script").isNotNull() & (F.col("_script") != target))
-    out = None
-    for code in ("ko", "th", "hi", "bn", "ru", "ar", "fa", "ur", "zh-Hans", "zh-Hant", "ja"):
-        part = translate_batches(again.where(F.col("_script") == code).select(*keys, "text"), lambda t, c=code: client(t, c), keys).select(*keys, F.lit(code).alias("_d"), F.col("translated_text").alias("_t"), F.col("error_code").alias("_e"))
-        out = part if out is None else out.unionByName(part)
-    rows = rows.join(out, keys, "left")
+    rows = units.withColumn("_d", script_language(F.col("text"), F.col("detected")))
+    again = rows.where((F.col("detected") == target) & F.col("_d").isNotNull() & (F.col("_d") != target))
+    done = translate_batches(again.select(*keys, "text", "_d"), client, keys, by=["_d"]).select(*keys, "_d", F.col("translated_text").alias("_t"), F.col("error_code").alias("_e"))
+    rows = units.join(done, keys, "left")
     pick = lambda new, old: F.when(F.col("_d").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
     return rows.select(*keys, "text", pick("_d", "detected"), pick("_t", "translated_text"), pick("_e", "error_code"))
 
@@ -102,10 +112,10 @@ def manual_regions(specs: DataFrame) -> DataFrame:
     """P5 on specs (spec_id, mode auto|source_text|translated_text, box, width, height, source_text, translated_text,
     recognised_text, unit_status, unit_text): the displayed source, the text and a code: box_outside, manual_ocr_empty,
     manual_translation_skipped or null."""
-    source = F.trim(F.when(F.col("mode") == "auto", F.col("recognised_text")).otherwise(F.col("source_text")))
+    source = strip(F.when(F.col("mode") == "auto", F.col("recognised_text")).otherwise(F.col("source_text")))
     source = F.coalesce(source, F.lit(""))
     direct = F.col("mode") == "translated_text"
     code = F.when(~g.box_inside(F.col("box"), F.col("width"), F.col("height")), "box_outside").when((F.col("mode") == "auto") & (source == ""), "manual_ocr_empty").when(~direct & (F.coalesce("unit_status", F.lit("")) != "translated"), "manual_translation_skipped")
-    shown = F.when(source == "", F.trim("translated_text")).otherwise(source)
-    text = F.when(direct, F.trim("translated_text")).otherwise(F.col("unit_text"))
+    shown = F.when(source == "", strip(F.col("translated_text"))).otherwise(source)
+    text = F.when(direct, strip(F.col("translated_text"))).otherwise(F.col("unit_text"))
     return specs.withColumn("code", code).select("spec_id", shown.alias("displayed_source"), F.when(F.col("code").isNull(), text).alias("text"), "code")
