@@ -15,38 +15,48 @@ RULES = (
     ("model", re.compile(r"\b(?=[A-Za-z0-9._/-]*[A-Za-z])(?=[A-Za-z0-9._/-]*\d)[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*\b")),
     ("number", re.compile(r"(?<![\w])\d+(?:[.,]\d+)*(?:%|[xX]\d+)?(?![\w])")),
 )
+#: Characters by which texts and brands meet.
+GRAM = 8
 PLACEHOLDER = r'<x id="\d+"/>'
 SPAN = "start int, end int, text string, kind string, ord int"
 
 
-def _brand_pattern(term: str) -> re.Pattern:
-    return re.compile(rf"(?<![A-Za-z0-9_]){re.escape(term)}(?![A-Za-z0-9_])" if term.isascii() else re.escape(term), re.I)
+_SPANS = f"array<struct<{','.join(x.replace(' ', ':') for x in SPAN.split(', '))}>>"
+
+
+def _brand_rule(terms: list[str]) -> re.Pattern:
+    """All brands at once, the longest at each place; a brand of ASCII stands alone, others may touch what is around them."""
+    alone, any_place = [re.escape(b) for b in terms if b.isascii()], [re.escape(b) for b in terms if not b.isascii()]
+    kinds = [*([rf"(?<![A-Za-z0-9_])(?:{'|'.join(alone)})(?![A-Za-z0-9_])"] if alone else []), *any_place]
+    return re.compile(f"(?=({'|'.join(kinds)}))", re.I)
 
 
 def find_spans(df: DataFrame, text: str, brands: list[str] | None = None, out: str = "candidates") -> DataFrame:
     """Df with `out`, an array of candidate spans (offsets in code points, kind, ord: rule order). brands are a
-    parameter list; whole-text brand fragments (A26) count. Texts that cannot match (no digit, dot, www or brand) skip Python."""
+    parameter list; whole texts that are a part of a brand (A26) count. Texts that cannot match (no digit, dot, www or
+    brand) go to Python as nulls."""
     terms = sorted({b.strip() for b in brands or () if b.strip()}, key=lambda b: (-len(b), b))
-    patterns = [*RULES, *[("brand", _brand_pattern(b)) for b in terms]]
-    keys = ["".join(c.casefold() for c in b if c.isalnum()) for b in terms]
-
-    def fragment(t: str) -> bool:
-        key = "".join(c.casefold() for c in t if c.isalnum())
-        return any(key != k and len(key) < len(k) and len(key) >= (3 if key.isascii() else 2) and key in k for k in keys)
+    brand = _brand_rule(terms) if terms else None
 
-    @F.pandas_udf(f"array<struct<{','.join(x.replace(' ', ':') for x in SPAN.split(', '))}>>")
+    @F.pandas_udf(_SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         rows = []
         for t in texts:
-            found = [] if t is None else [{"start": m.start(), "end": m.end(), "text": m.group(), "kind": k, "ord": min(i, 4)} for i, (k, p) in enumerate(patterns) for m in p.finditer(t)]
-            if t and keys and fragment(t):
-                found.append({"start": 0, "end": len(t), "text": t, "kind": "brand", "ord": 4})
+            found = [] if t is None else [{"start": m.start(), "end": m.end(), "text": m.group(), "kind": k, "ord": i} for i, (k, p) in enumerate(RULES) for m in p.finditer(t)]
+            if t and brand:
+                found += [{"start": m.start(1), "end": m.end(1), "text": m[1], "kind": "brand", "ord": len(RULES)} for m in brand.finditer(t)]
             rows.append(found)
         return pd.Series(rows)
 
     needs = F.col(text).rlike(r"(?i)[0-9]|\p{Nd}|www\.|\.(?:com|net|org|cn|io|co|shop)\b|https?://") if not terms else F.lit(True)
-    none = F.array().cast(f"array<struct<{','.join(x.replace(' ', ':') for x in SPAN.split(', '))}>>")
-    return df.withColumn(out, F.coalesce(spans(F.when(needs, F.col(text))), none))
+    none = F.array().cast(_SPANS)
+    found = F.coalesce(spans(F.when(needs, F.col(text))), none)
+    if not terms:
+        return df.withColumn(out, found)
+    own = _key(F.col(text))
+    part = (F.length(own) >= _least(own)) & F.exists(F.array(*[_key(F.lit(b)) for b in terms]), lambda b: (F.length(b) > F.length(own)) & F.contains(b, own))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.col(text).alias("text"), F.lit("brand").alias("kind"), F.lit(len(RULES)).alias("ord"))).cast(_SPANS)
+    return df.withColumn(out, found).withColumn(out, F.concat(F.col(out), F.when(part, whole).otherwise(none)))
 
 
 def resolve_spans(candidates: Column) -> Column:
@@ -88,12 +98,19 @@ def _key(text: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), F.lit("ß"), F.lit("ss"))
 
 
+def _least(key: Column) -> Column:
+    """Fewest characters of a part of a brand: three of ASCII, two with others."""
+    return F.when(key.rlike(r"^[\x00-\x7F]*$"), 3).otherwise(2)
+
+
 def brand_fragments(df: DataFrame, text: str, brands: DataFrame) -> DataFrame:
     """(text, brand) where the whole text is a proper part of a brand name, three ASCII characters or two others at
-    least. Parts of brands are enumerated and joined by equality, so no pair of text and brand is compared in vain."""
-    parts = brands.select("brand", _key(F.col("brand")).alias("k")).where("length(k) between 3 and 200 or (length(k) = 2)")
-    cut = parts.select("brand", "k", F.explode(F.sequence(F.lit(1), F.length("k"))).alias("i")).select("brand", "k", "i", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("k") - F.col("i") + 1))).alias("n"))
-    cut = cut.select("brand", F.length("k").alias("_l"), F.expr("substring(k, i, n)").alias("_p")).where(F.length("_p") < F.col("_l")).distinct()
+    least. Texts up to GRAM characters meet the brand parts of just their length; longer ones meet by their first GRAM
+    characters and are then looked for in the brand, so a brand of n characters is GRAM * n keys at most."""
+    keyed = brands.select("brand", _key(F.col("brand")).alias("_b"))
+    cut = keyed.select("brand", "_b", F.explode(F.sequence(F.lit(2), F.lit(GRAM))).alias("_n")).where(F.length("_b") >= F.col("_n"))
+    cut = cut.select("brand", "_b", F.explode(F.sequence(F.lit(1), F.length("_b") - F.col("_n") + 1)).alias("_i"), "_n").select("brand", "_b", F.expr("substring(_b, _i, _n)").alias("_p")).distinct()
     rows = df.withColumn("_k", _key(F.col(text)))
-    least = F.when(F.col("_k").rlike(r"^[\x00-\x7F]*$"), 3).otherwise(2)
-    return rows.where(F.length("_k") >= least).join(cut, rows._k == F.col("_p")).select(*df.columns, "brand")
+    rows = rows.where(F.length("_k") >= _least(F.col("_k"))).withColumn("_g", F.substring("_k", 1, GRAM))
+    inside = (F.length("_k") < F.length("_b")) & ((F.length("_k") <= GRAM) | F.contains("_b", "_k"))
+    return rows.join(cut, rows._g == F.col("_p")).where(inside).select(*df.columns, "brand")

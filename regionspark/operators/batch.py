@@ -43,21 +43,36 @@ def stage_violations(events: DataFrame) -> DataFrame:
 def unique_names(items: DataFrame, existing: DataFrame, suffix: str) -> DataFrame:
     """W5 on items (ord, stem) and existing (name): stem-translated, then -2, -3 and so on, passing over names that exist.
 
-    The k-th item of a stem takes the k-th free number. Taken numbers of a stem, sorted, shift it: with t taken numbers
-    below the answer the answer is k + t, so item k is matched with the count of taken numbers whose rank-adjusted
-    value lies below k. Numbers are joined by stem, never enumerated."""
+    The k-th item of a stem takes the k-th free number. A taken number with f free ones below it comes before the items
+    from f + 1 on, so sorting both together and counting the taken ones before an item gives how far it is shifted; no
+    number is enumerated and no item meets a taken name. Both counts are made in two levels, stretches of STRETCH places
+    and then inside a stretch, so a stem that a third of all items have is spread over tasks. ord is a whole number that
+    orders the items."""
     base = F.concat(F.col("stem"), F.lit("-translated"))
-    k = F.row_number().over(W.partitionBy("stem").orderBy("ord"))
-    rows = items.withColumn("_k", k)
+    rows = _running(items, ["stem"], F.col("ord"), F.lit(1), "_k")
     name = F.col("name")
-    taken = existing.where(name.endswith(suffix)).select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("n")).distinct()
-    taken = taken.select(F.regexp_replace("n", r"-translated(?:-(?:[2-9]|[1-9]\d+))?$", "").alias("_stem"), F.regexp_extract("n", r"-translated(?:-([2-9]|[1-9]\d+))?$", 1).alias("d"), F.col("n").rlike(r"-translated(?:-(?:[2-9]|[1-9]\d+))?$").alias("ok")).where("ok")
-    taken = taken.select("_stem", F.when(F.col("d") == "", 1).otherwise(F.col("d").cast("int")).alias("slot"))
-    order = W.partitionBy("_stem").orderBy("slot")
-    taken = taken.withColumn("_free", F.col("slot") - F.row_number().over(order))  # free numbers below this one
-    before = rows.join(taken, (rows.stem == taken._stem) & (F.col("_free") < F.col("_k"))).groupBy("ord").agg(F.count("*").alias("_t"))
-    rows = rows.join(before, "ord", "left").withColumn("_slot", F.col("_k") + F.coalesce("_t", F.lit(0)))
-    return rows.select(*items.columns, F.concat(base, F.when(F.col("_slot") > 1, F.concat(F.lit("-"), "_slot")).otherwise(""), F.lit(suffix)).alias("target"))
+    mark = r"-translated(?:-([2-9]|[1-9]\d+))?$"
+    taken = existing.where(name.endswith(suffix)).select(F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("n")).distinct().where(F.col("n").rlike(mark))
+    taken = taken.select(F.regexp_replace("n", mark, "").alias("stem"), F.regexp_extract("n", mark, 1).alias("d"))
+    taken = taken.select("stem", F.when(F.col("d") == "", 1).otherwise(F.col("d").cast("long")).alias("slot"))
+    taken = _running(taken, ["stem"], F.col("slot"), F.lit(1), "_j").select("stem", (F.col("slot") - F.col("_j") + 1).alias("_at"), F.lit(1).alias("_t"))
+    both = rows.select("stem", F.struct(*items.columns).alias("_row"), F.col("_k").alias("_at"), F.lit(0).alias("_t")).unionByName(taken, allowMissingColumns=True)
+    both = _running(both, ["stem"], F.col("_at"), F.col("_t"), "_before", F.desc("_t")).where("_t = 0").withColumn("_slot", F.col("_at") + F.col("_before"))
+    return both.select("_row.*", "_slot").select(*items.columns, F.concat(base, F.when(F.col("_slot") > 1, F.concat(F.lit("-"), "_slot")).otherwise(""), F.lit(suffix)).alias("target"))
+
+
+#: Places of an order that are counted in one task.
+STRETCH = 100_000
+
+
+def _running(df: DataFrame, keys: list[str], place: Column, value: Column, out: str, *ties: Column) -> DataFrame:
+    """df with `out`: the sum of value over a key's rows up to this one by place (and ties)."""
+    rows = df.withColumn("_stretch", F.floor(place / STRETCH))
+    sums = rows.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_part"))
+    ahead = F.coalesce(F.sum("_part").over(W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "_stretch", ahead.alias("_ahead"))
+    inside = F.sum(value).over(W.partitionBy(*keys, "_stretch").orderBy(place, *ties).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn(out, inside).join(sums, [*keys, "_stretch"]).withColumn(out, F.col(out) + F.col("_ahead")).drop("_stretch", "_ahead")
 
 
 def check_selection(selection: DataFrame, items: DataFrame) -> DataFrame:
@@ -75,27 +90,32 @@ def plan_exports(selection: DataFrame, items: DataFrame, existing: DataFrame, su
     return checked.join(named, "ord", "left").select("batch_id", "item_id", "ord", "problem", "target")
 
 
-def isolate_failures(df: DataFrame, fn: Callable[[pd.Series], object], schema: str) -> tuple[DataFrame, DataFrame]:
-    """Fn runs on each row (a pandas Series) and gives a value of `schema`'s type; (good rows with result, failed rows
-    with error). Rows go through Python in Arrow batches; a failing row does not touch the others."""
+def isolate_failures(df: DataFrame, fn: Callable[[pd.DataFrame], list], schema: str) -> DataFrame:
+    """Df with result and error. fn gets a batch of rows (a pandas frame) and gives one value of `schema`'s type for
+    each; where it fails or gives another number of values, the batch's rows go through it one by one, so a failing row
+    does not touch the others. One frame comes back: write it before it is split by `error is null`, so that fn runs once
+    and no row is lost between the two parts."""
     from pyspark.sql import types as T
 
     out = T.StructType([*df.schema.fields, T.StructField("result", T._parse_datatype_string(schema)), T.StructField("error", T.StringType())])
 
+    def one(row: pd.DataFrame) -> tuple[object, str | None]:
+        try:
+            return list(fn(row))[0], None
+        except Exception as e:  # the point of the operator: any failure becomes a row
+            return None, str(e) or type(e).__name__
+
     def run(batches):
         for pdf in batches:
-            result, error = [], []
-            for _, row in pdf.iterrows():
-                try:
-                    result.append(fn(row))
-                    error.append(None)
-                except Exception as e:  # the point of the operator: any failure becomes a row
-                    result.append(None)
-                    error.append(str(e) or type(e).__name__)
-            yield pdf.assign(result=pd.Series(result, index=pdf.index, dtype=object), error=error)
-
-    done = df.mapInPandas(run, out)
-    return done.where("error is null").drop("error"), done.where("error is not null").drop("result")
+            try:
+                done = [(x, None) for x in fn(pdf)]
+            except Exception:  # some row fails
+                done = []
+            if len(done) != len(pdf):
+                done = [one(pdf.iloc[k : k + 1]) for k in range(len(pdf))]
+            yield pdf.assign(result=pd.Series([x for x, _ in done], index=pdf.index, dtype=object), error=[e for _, e in done])
+
+    return df.mapInPandas(run, out)
 
 
 def pending(old: DataFrame, new: DataFrame, exported: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regionspark import dims
 from regionspark.functions import geometry as g
+from regionspark.functions.text import strip
 
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 #: Labels and patterns of credentials.
@@ -45,17 +46,20 @@ def accept_refinement(regions: DataFrame) -> DataFrame:
     and by 200-pixel strips, so a long image does not pair all its regions."""
     at = F.instr("candidate", F.col("text")) - 1
     extra = F.length("candidate") - F.length("text")
-    rows = regions.withColumn("_ok", (F.length("candidate") > 0) & (at >= 0) & extra.between(1, 2) & (F.col("candidate_confidence") + 0.005 >= F.col("confidence")))
+    ok = (F.length("candidate") > 0) & (at >= 0) & extra.between(1, 2) & (F.col("candidate_confidence") + 0.005 >= F.col("confidence"))
     grown = g.extend_quad(F.col("polygon"), at, extra - at, F.greatest(F.lit(1), F.length("text")), F.col("width"), F.col("height"))
-    rows = rows.withColumn("_grown", F.when(F.col("_ok"), grown)).withColumn("_old", g.bbox(F.col("polygon"))).withColumn("_new", g.bbox(F.col("_grown")))
-    strips = lambda b: F.sequence(F.floor(F.col(f"{b}.min_y") / 200).cast("int"), F.floor(F.col(f"{b}.max_y") / 200).cast("int"))
-    a = rows.where("_new is not null").select("image_id", "seq", "_old", "_new", F.explode(strips("_new")).alias("strip"))
-    b = rows.select("image_id", F.col("seq").alias("_s"), F.col("_old").alias("_b"), F.explode(strips("_old")).alias("strip"))
+    both = g.let(F.when(ok, grown), lambda q: F.struct(q.alias("polygon"), g.bbox(q).alias("box")))  # one evaluation for polygon and box
+    strips = lambda b: F.sequence(F.floor(b["min_y"] / 200).cast("int"), F.floor(b["max_y"] / 200).cast("int"))
+    boxed = g.let(g.bbox(F.col("polygon")), lambda b: F.struct(b.alias("box"), strips(b).alias("strips")))
+    b = regions.select("image_id", F.col("seq").alias("_s"), boxed.alias("o")).select("image_id", "_s", F.col("o.box").alias("_b"), F.explode("o.strips").alias("strip"))
+    new = regions.where(ok).select("image_id", "seq", g.bbox(F.col("polygon")).alias("_old"), both.alias("n")).select("image_id", "seq", "_old", F.col("n.box").alias("_new"))
+    a = new.select("image_id", "seq", "_old", "_new", F.explode(strips(F.col("_new"))).alias("strip"))
     hit = a.join(b, ["image_id", "strip"]).where("seq <> _s").where(g.overlap_area(F.col("_new"), F.col("_b")) > g.overlap_area(F.col("_old"), F.col("_b")) + 1)
     blocked = hit.select("image_id", "seq").distinct().withColumn("_blocked", F.lit(True))
-    out = rows.join(blocked, ["image_id", "seq"], "left").withColumn("accepted", F.col("_ok") & F.col("_grown").isNotNull() & F.col("_blocked").isNull())
-    new = {"text": "candidate", "confidence": "candidate_confidence", "polygon": "_grown"}
-    return out.select(*[F.when(F.col("accepted"), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in regions.columns], "accepted")
+    rows = regions.join(blocked, ["image_id", "seq"], "left").withColumn("_grown", F.when(ok & F.col("_blocked").isNull(), grown))
+    accepted = F.col("_grown").isNotNull()
+    after = {"text": "candidate", "confidence": "candidate_confidence", "polygon": "_grown"}
+    return rows.select(*[F.when(accepted, F.col(after[c])).otherwise(F.col(c)).alias(c) if c in after else F.col(c) for c in regions.columns], accepted.alias("accepted"))
 
 
 def check_image_limits(images: DataFrame, limits: DataFrame) -> DataFrame:
@@ -86,16 +90,28 @@ def check_release_spec(df: DataFrame) -> DataFrame:
     ))
 
 
+def check_release_manifest(df: DataFrame, now: Column) -> DataFrame:
+    """B3, client side: reasons why an offered release is refused; instead of an object key it has a download_url (http or
+    https, a host, no user or password) and its expiry (download_url_expires_at), which must lie after `now`."""
+    named = [(~F.col(c).rlike(SAFE_NAME), c) for c in ("model_id", "version", "filename")]
+    target = F.struct("platform", "architecture").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in dims.TARGETS])
+    host = F.regexp_extract("download_url", r"^(?i:https?)://([^/?#]*)", 1)
+    return df.withColumn("reasons", reasons(
+        *named, ((F.length("object_version") == 0) | (F.length("object_version") > 256) | F.col("object_version").rlike(r"[\x00-\x1F]"), "object_version"), (~target, "target"), (F.col("size_bytes") <= 0, "size"),
+        (~F.col("sha256").rlike(r"^[0-9a-f]{64}\z"), "sha256"), (F.col("download_url_expires_at") <= now, "expired"), ((host == "") | host.rlike("^[^@]+@"), "download_url"),
+    ))
+
+
 def check_plan(df: DataFrame) -> DataFrame:
     """B4."""
-    name = F.trim("name")
+    name = strip(F.col("name"))
     return df.withColumn("reasons", reasons((~F.length(name).between(1, 100), "name"), (F.col("amount_minor") < 0, "amount"), (~F.col("currency").rlike(r"^[A-Z]{3}\z"), "currency"), (~F.col("duration_days").between(1, 3650), "duration")))
 
 
 def check_translation_requests(items: DataFrame) -> DataFrame:
     """B5 on (request_id, source_language, target_language, item_id, text): one row per request with reasons."""
     text = F.col("text")
-    bad_item = ~F.coalesce(F.col("item_id").rlike(r"^[A-Za-z0-9._-]{1,64}\z") & F.length(text).between(1, 5000) & (F.trim(text) != ""), F.lit(False))
+    bad_item = ~F.coalesce(F.col("item_id").rlike(r"^[A-Za-z0-9._-]{1,64}\z") & F.length(text).between(1, 5000) & (strip(text) != ""), F.lit(False))
     each = items.groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("ids"), F.sum(F.length(text)).alias("chars"), F.bool_or(bad_item).alias("bad"), F.first("source_language").alias("source"), F.first("target_language").alias("target"))
     known = lambda c: F.col(c).isin(*dims.LANGUAGES)
     return each.select("request_id", "n", "chars", reasons((~F.col("n").between(1, 100), "item_count"), (F.col("ids") != F.col("n"), "item_ids"), (F.col("bad"), "item"), (F.col("chars") > 20_000, "characters"), (F.col("source").isNotNull() & ~known("source"), "source_language"), (~known("target"), "target_language")).alias("reasons"))
