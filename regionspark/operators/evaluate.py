@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionspark.functions import geometry as g
+from regionspark.functions.text import boundaries_are_graphemes
 
 
 def score_pairs(expected: DataFrame, predicted: DataFrame, strip: int = 200) -> DataFrame:
@@ -43,13 +44,18 @@ def recognition_metrics(samples: DataFrame, least_recall: float = 0.9, least_acc
     """G4 on (language, sample_id, n_expected, n_matched, n_chars, n_errors, elapsed_ms, rss, failed): per language."""
     each = samples.groupBy("language").agg(
         F.count("*").alias("samples"), F.sum("n_expected").alias("expected"), F.sum("n_matched").alias("matched"), F.sum("n_chars").alias("characters"), F.sum("n_errors").alias("errors"),
-        F.avg("elapsed_ms").alias("mean_elapsed_ms"), F.max("rss").alias("max_rss"), F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("sample_id")))).alias("failed_samples"),
+        F.avg("elapsed_ms").alias("mean_elapsed_ms"), F.max("rss").alias("max_rss"), F.count_if("failed").alias("n_failed"),
     )
     each = each.withColumn("recall", F.try_divide("matched", "expected")).withColumn("accuracy", F.greatest(F.lit(0.0), 1 - F.try_divide("errors", "characters")))
     good = (F.col("recall") >= least_recall) & (F.col("accuracy") >= least_accuracy)
     return each.withColumn("verdict", F.when(F.col("recall").isNull() | F.col("accuracy").isNull(), "not_evaluated").when(good, "passed").otherwise("failed"))
 
 
+def failed_samples(samples: DataFrame) -> DataFrame:
+    """(language, sample_id) of failed samples, as rows, as there may be many."""
+    return samples.where("failed").select("language", "sample_id").distinct()
+
+
 def repair_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, median, 95th percentile (linear), maximum and sum."""
     return runs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"), F.sum(value).alias("sum"))
@@ -63,24 +69,28 @@ def risk_flags(ssim: Column, mae: Column, gmsd: Column) -> Column:
 def layout_violations(layouts: DataFrame) -> DataFrame:
     """G9 on (case_id, text, width, lines array<struct<text_start,text_end,direction,clusters array<struct<text_start,text_end,
     glyph_ids array<int>>>>>, ink_bounds array<double>): names of the broken rules per layout."""
-    from regionspark.functions.text import boundaries_are_graphemes
-
     lines, n = F.col("lines"), F.length("text")
-    ranged = lambda x: (x["text_start"] >= 0) & (x["text_start"] <= x["text_end"]) & (x["text_end"] <= n)
-    glyph0 = F.exists(lines, lambda x: F.exists(x["clusters"], lambda c: F.array_contains(c["glyph_ids"], 0)))
+    clusters = F.flatten(F.transform(lines, lambda x: x["clusters"]))
+    ranged = F.forall(clusters, lambda c: (c["text_start"] >= 0) & (c["text_start"] < c["text_end"]) & (c["text_end"] <= n))
     bounds = F.flatten(F.transform(lines, lambda x: F.array(x["text_start"], x["text_end"])))
-    ink = F.col("ink_bounds")
-    bad = [(glyph0, "missing_glyph"), (~boundaries_are_graphemes(F.col("text"), bounds), "splits_grapheme"), (~F.forall(lines, lambda x: ranged(x) & F.forall(x["clusters"], ranged)), "range"), ((ink[0] < -1) | (ink[2] > F.col("width") + 1), "outside")]
+    ink = F.col("ink_bounds")  # left, top, width, height
+    bad = [(F.exists(clusters, lambda c: F.array_contains(c["glyph_ids"], 0)), "missing_glyph"), (~boundaries_are_graphemes(F.col("text"), bounds), "splits_grapheme"), (~ranged, "range"), ((ink[0] < -1) | (ink[0] + ink[2] > F.col("width") + 1), "outside")]
     return layouts.select("case_id", F.array_compact(F.array(*[F.when(b, name) for b, name in bad])).alias("violations"))
 
 
 def comparison_report(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row: cases of each side, common cases, missing pairs, matches of each field."""
+    """One row: cases of each side, common cases, missing pairs, matches of each field and, where both sides carry
+    `violations` (G9), how many layouts of common cases break a rule."""
     from regionspark.operators.routing import compare_backends
 
     both = compare_backends(left, right, key, fields).agg(F.count("*").alias("common"), *[F.count_if(F.col(f"{f}_match")).alias(f"{f}_matches") for f in fields])
     a, b = left.agg(F.countDistinct(key).alias("n_left")), right.agg(F.countDistinct(key).alias("n_right"))
-    return both.join(F.broadcast(a)).join(F.broadcast(b)).withColumn("missing_pairs", F.greatest("n_left", "n_right") - F.col("common"))  # one row each
+    out = both.join(F.broadcast(a)).join(F.broadcast(b)).withColumn("missing_pairs", F.greatest("n_left", "n_right") - F.col("common"))  # one row each
+    if "violations" not in left.columns or "violations" not in right.columns:
+        return out
+    side = lambda df, other: df.join(other.select(key).distinct(), key, "left_semi").select((F.size("violations") > 0).alias("bad"))
+    broken = side(left, right).union(side(right, left)).agg(F.count_if("bad").alias("structural_violations"))
+    return out.join(F.broadcast(broken))
 
 
 def evidence_gate(runs: DataFrame, checks: dict[str, Column]) -> DataFrame:

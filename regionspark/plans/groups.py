@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from regionspark.functions import geometry as g
+from regionspark.session import shared_dir
 
 
 def paragraphs(rows: DataFrame, cjk: Column, least: int = 10) -> DataFrame:
@@ -67,23 +66,23 @@ def visual_pairs(layers: DataFrame, strip: float = 400.0) -> DataFrame:
 def visual_groups(layers: DataFrame, pairs: DataFrame) -> DataFrame:
     """(image_id, seq, component): smallest seq reachable over the pairs. Each round takes the least label of the
     neighbours, hooks the seq that is a label to the least one found under it, takes that label's label, and is
-    checkpointed; it ends when no label moves, however many rounds that takes."""
+    checkpointed; it ends when no label moves, however many rounds that takes. Only layers that have a pair go through
+    the rounds."""
     spark = layers.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="regionspark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     both = pairs.union(pairs.select("image_id", "b", "a")).distinct().checkpoint()
-    labels = layers.select("image_id", "seq", F.col("seq").alias("component"))
-    while True:
+    labels = both.groupBy("image_id", F.col("a").alias("seq")).agg(F.least("seq", F.min("b")).alias("component")).checkpoint()  # layers that have a pair
+    moved = True
+    while moved:
         near = both.join(labels.withColumnRenamed("seq", "b"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("seq")).agg(F.min("component").alias("near"))
-        step = labels.join(near, ["image_id", "seq"], "left").select("image_id", "seq", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("now"))
-        step = step.checkpoint()
+        step = labels.join(near, ["image_id", "seq"]).select("image_id", "seq", F.col("component").alias("was"), F.least("component", "near").alias("now")).checkpoint()
         hooks = step.groupBy("image_id", F.col("was").alias("seq")).agg(F.min("now").alias("hook"))
         hooked = step.join(hooks, ["image_id", "seq"], "left").select("image_id", "seq", "was", F.least("now", "hook").alias("now"))
         above = hooked.select("image_id", F.col("seq").alias("now"), F.col("now").alias("above"))
         new = hooked.join(above, ["image_id", "now"], "left").select("image_id", "seq", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")).checkpoint()
-        labels = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            return labels
+        labels, moved = new.drop("moved"), new.where("moved").limit(1).count()
+    return layers.select("image_id", "seq").join(labels, ["image_id", "seq"], "left").select("image_id", "seq", F.coalesce("component", "seq").alias("component"))
 
 
 def group_consensus(layers: DataFrame, image_width: Column) -> DataFrame:

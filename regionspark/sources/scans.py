@@ -48,11 +48,13 @@ def read_region_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return rows, rows.groupBy("id").count().where("count > 1").select("id")
 
 
-def read_layout_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case; what a case leaves out comes from its language."""
+def read_layout_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One row per case, what a case leaves out coming from its language; and the case ids that occur more than once,
+    with which the file is refused."""
     rows = spark.read.json(path, schema=LAYOUT_CASES, multiLine=True).select(F.explode("languages").alias("l")).select("l", F.explode("l.cases").alias("c"))
     both = [F.coalesce(F.col(f"c.{f}"), F.col(f"l.{f}")).alias(f) for f in ("direction", "alignment", "width", "height", "font_size")]
-    return rows.select(F.col("c.id").alias("case_id"), F.col("l.language_code").alias("language_code"), F.col("c.text").alias("text"), *both)
+    cases = rows.select(F.col("c.id").alias("case_id"), F.col("l.language_code").alias("language_code"), F.col("c.text").alias("text"), *both)
+    return cases, cases.groupBy("case_id").count().where("count > 1").select("case_id")
 
 
 def read_runs(spark: SparkSession, glob: str, schema: str) -> DataFrame:

@@ -34,12 +34,14 @@ def limiter(limit: int, window_s: float) -> Callable[[State, dict], dict]:
 
 def progress(state: State, row: dict) -> dict:
     """Counts after each update; an older seq of an item changes nothing."""
-    items = state.setdefault("items", {})
+    items, counts = state.setdefault("items", {}), state.setdefault("counts", {})
     old = items.get(str(row["item"]))
     if old is None or row["id"] > old[0]:
         items[str(row["item"])] = [row["id"], row["status"]]
-    count = lambda s: sum(v[1] == s for v in items.values())
-    return {"id": row["id"], "total": len(items), "completed": count("completed"), "failed": count("failed"), "cancelled": count("cancelled")}
+        counts[row["status"]] = counts.get(row["status"], 0) + 1
+        if old:
+            counts[old[1]] -= 1
+    return {"id": row["id"], "total": len(items), **{c: counts.get(c, 0) for c in ("completed", "failed", "cancelled")}}
 
 
 def stages(state: State, row: dict) -> dict:
@@ -67,40 +69,64 @@ def binder(state: State, row: dict) -> dict:
 
 
 def replay(limit: int = 100) -> Callable[[State, dict], dict]:
-    """Layers under replace, add, delete, undo and redo. A change names the layer, its text before and after; one whose
-    before is not current is stale; a new change clears redo; at most `limit` changes can be undone."""
+    """Layers under add, replace, delete, manual, undo and redo. An edit names the layer, its text before and after,
+    for add and manual the place to insert at (none: the end), for manual the background patch that comes with it. One
+    whose before is not current is stale_edit, a second layer or patch of one id duplicate_layer or duplicate_patch; a new
+    edit clears redo; at most `limit` edits can be undone; one that cannot be taken back as it was is stale_undo."""
 
     def fold(state: State, row: dict) -> dict:
-        layers, undo, redo = state.setdefault("layers", []), state.setdefault("undo", []), state.setdefault("redo", [])
-        find = lambda k: next((i for i, x in enumerate(layers) if x[0] == k), None)
-
-        def apply(c: list, back: bool) -> None:
-            kind, layer, before, after, at = c
+        layers, patches, undo, redo = (state.setdefault(x, []) for x in ("layers", "patches", "undo", "redo"))
+
+        def place(layer):
+            return next((i for i, x in enumerate(layers) if x[0] == layer), None)
+
+        def forward(kind, layer, before, after, at, patch) -> str:
+            here = place(layer)
+            if kind in ("add", "manual"):
+                if kind == "manual" and patch in patches:
+                    return "duplicate_patch"
+                if here is not None:
+                    return "duplicate_layer"
+                layers.insert(at, [layer, after])
+                if kind == "manual":
+                    patches.append(patch)
+            elif here is None or layers[here][1] != before:
+                return "stale_edit"
+            elif kind == "replace":
+                layers[here][1] = after
+            else:
+                del layers[here]
+            return "ok"
+
+        def back(kind, layer, before, after, at, patch) -> str:
+            here = place(layer)
+            if kind == "delete":
+                if here is not None:
+                    return "duplicate_layer"
+                layers.insert(at, [layer, before])
+                return "ok"
+            if here is None or layers[here][1] != after or (kind == "manual" and patches[-1:] != [patch]):
+                return "stale_undo"
             if kind == "replace":
-                layers[find(layer)][1] = before if back else after
-            elif (kind == "add") != back:
-                layers.insert(at, [layer, after if kind == "add" else before])
+                layers[here][1] = before
             else:
-                del layers[find(layer)]
+                del layers[here]
+                del patches[len(patches) - (kind == "manual") :]
+            return "ok"
 
-        result, kind = "ok", row["event"]
+        kind = row["event"]
         if kind in ("undo", "redo"):
-            source, target = (undo, redo) if kind == "undo" else (redo, undo)
-            if source:
-                change = source.pop()
-                apply(change, kind == "undo")
-                target.append(change)
-            else:
-                result = f"nothing_to_{kind}"
+            source, target, step = (undo, redo, back) if kind == "undo" else (redo, undo, forward)
+            result = step(*source[-1]) if source else f"nothing_to_{kind}"
+            if result == "ok":
+                target.append(source.pop())
         else:
-            at = find(row["layer"])
-            current = None if at is None else layers[at][1]
-            if current != (None if kind == "add" else row["before"]) or (kind != "add" and at is None):
-                result = "stale_edit"
-            else:
-                change = [kind, row["layer"], row["before"], row["after"], len(layers) if at is None else at]
-                apply(change, False)
-                undo.append(change)
+            here, at = place(row["layer"]), row.get("at")
+            spot = (len(layers) if at is None else min(max(int(at), 0), len(layers))) if kind in ("add", "manual") else here
+            edit = [kind, row["layer"], row["before"], row["after"], spot, row.get("patch")]
+            result = forward(*edit)
+            if result == "ok":
+                undo.append(edit)
                 del undo[:-limit], redo[:]
         return {"id": row["id"], "result": result, "layers": json.dumps(layers), "n_undo": len(undo), "n_redo": len(redo)}
 
