@@ -77,20 +77,20 @@ def b3(spark, d):
     return c.check_release_spec(rows).select("id", "reasons")
 
 
-_PLAN = ["c_custkey AS id", "CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE c_name END AS name", "CAST(floor(c_acctbal * 100) AS BIGINT) AS amount_minor", "CASE WHEN c_custkey % 4 = 0 THEN lower(substring(c_mktsegment, 1, 3)) ELSE substring(c_mktsegment, 1, 3) END AS currency", "c_custkey % 4000 * 3 AS duration_days"]
+_PLAN = ["c_custkey AS id", "CASE WHEN c_custkey % 9 = 0 THEN chr(9) || chr(10) WHEN c_custkey % 9 = 1 THEN chr(9) || c_name || ' ' ELSE c_name END AS name", "CAST(floor(c_acctbal * 100) AS BIGINT) AS amount_minor", "CASE WHEN c_custkey % 4 = 0 THEN lower(substring(c_mktsegment, 1, 3)) ELSE substring(c_mktsegment, 1, 3) END AS currency", "c_custkey % 4000 * 3 AS duration_days"]
 
 
-@query("b4_plan", f"WITH x AS (SELECT {', '.join(_PLAN)} FROM customer) SELECT id, {_reasons_sql(('NOT length(trim(name)) BETWEEN 1 AND 100', 'name'), ('amount_minor < 0', 'amount'), (chr(78) + 'OT regexp_full_match(currency, ' + chr(39) + '[A-Z]{3}' + chr(39) + ')', 'currency'), ('NOT duration_days BETWEEN 1 AND 3650', 'duration'))} AS reasons FROM x")
+@query("b4_plan", f"WITH x AS (SELECT {', '.join(_PLAN)} FROM customer) SELECT id, {_reasons_sql(('NOT length(trim(name, chr(32) || chr(9) || chr(10))) BETWEEN 1 AND 100', 'name'), ('amount_minor < 0', 'amount'), (chr(78) + 'OT regexp_full_match(currency, ' + chr(39) + '[A-Z]{3}' + chr(39) + ')', 'currency'), ('NOT duration_days BETWEEN 1 AND 3650', 'duration'))} AS reasons FROM x")
 def b4(spark, d):
     return c.check_plan(table(spark, d, "customer").selectExpr(*_PLAN)).select("id", "reasons")
 
 
-@query("b5_translation_request", f"""WITH i AS (SELECT conv_id AS request_id, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'xx' ELSE 'en' END AS source, CASE WHEN conv_id % 7 = 0 THEN 'tlh' ELSE 'fr' END AS target, CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE 't' || turn END AS item_id, CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' ELSE text END AS text FROM conversations),
-e AS (SELECT request_id, count(*) AS n, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS chars, bool_or(NOT (regexp_full_match(item_id, '[A-Za-z0-9._-]{{1,64}}') AND length(text) BETWEEN 1 AND 5000 AND trim(text) <> '')) AS bad, any_value(source) AS source, any_value(target) AS target FROM i GROUP BY request_id)
+@query("b5_translation_request", f"""WITH i AS (SELECT conv_id AS request_id, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'xx' ELSE 'en' END AS source, CASE WHEN conv_id % 7 = 0 THEN 'tlh' ELSE 'fr' END AS target, CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE 't' || turn END AS item_id, CASE WHEN (conv_id + turn) % 13 = 0 THEN chr(9) || chr(10) ELSE text END AS text FROM conversations),
+e AS (SELECT request_id, count(*) AS n, count(DISTINCT item_id) AS ids, sum(length(text))::BIGINT AS chars, bool_or(NOT (regexp_full_match(item_id, '[A-Za-z0-9._-]{{1,64}}') AND length(text) BETWEEN 1 AND 5000 AND trim(text, ' ' || chr(9) || chr(10)) <> '')) AS bad, any_value(source) AS source, any_value(target) AS target FROM i GROUP BY request_id)
 SELECT request_id, n, chars, {_reasons_sql(('NOT n BETWEEN 1 AND 100', 'item_count'), ('ids <> n', 'item_ids'), ('bad', 'item'), ('chars > 20000', 'characters'), (f"source IS NOT NULL AND source NOT IN {dims.LANGUAGES}", 'source_language'), (f"target NOT IN {dims.LANGUAGES}", 'target_language'))} AS reasons FROM e""")
 def b5(spark, d):
     rows = table(spark, d, "conversations").selectExpr("conv_id AS request_id", "CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'xx' ELSE 'en' END AS source_language", "CASE WHEN conv_id % 7 = 0 THEN 'tlh' ELSE 'fr' END AS target_language",
-        "CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE 't' || turn END AS item_id", "CASE WHEN (conv_id + turn) % 13 = 0 THEN '  ' ELSE text END AS text")
+        "CASE WHEN conv_id % 11 = 0 THEN 'same' ELSE 't' || turn END AS item_id", "CASE WHEN (conv_id + turn) % 13 = 0 THEN chr(9) || chr(10) ELSE text END AS text")
     return c.check_translation_requests(rows)
 
 
@@ -131,9 +131,13 @@ def b9(spark, d):
     return c.secret_findings(rows, "path", "text", (*c.SECRET_RULES, *_TOKEN), gate=False)
 
 
-@query("b9_textual_gate", r"""WITH b AS (SELECT doc_id, strlen(text) AS n, length(regexp_replace(text, '[^\t\n\r\x20-\x7E]', '', 'g')) AS p FROM documents WHERE strlen(text) <= 65536) SELECT doc_id, n = 0 OR p >= 0.85 * n AS textual FROM b""")
+@query("b9_textual_gate", r"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN repeat('a', 66000) || repeat('é', 9000) WHEN doc_id % 10 = 4 THEN repeat('é', 40000) || repeat('a', 90000) WHEN doc_id % 10 = 5 THEN text || chr(1) ELSE text END AS text FROM documents),
+h AS (SELECT doc_id, hex(encode(text))[:131072] AS h FROM x),
+b AS (SELECT doc_id, length(h) / 2 AS n, length(regexp_replace(h, '(09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])|..', '\1', 'g')) / 2 AS p FROM h) SELECT doc_id, n = 0 OR p >= 0.85 * n AS textual FROM b""")
 def b9_gate(spark, d):
-    return table(spark, d, "documents").where(F.octet_length("text") <= 65536).select("doc_id", c.looks_textual(F.col("text")).alias("textual"))
+    k = F.col("doc_id") % 10
+    long = F.when(k == 3, F.concat(F.repeat(F.lit("a"), F.lit(66000)), F.repeat(F.lit("é"), F.lit(9000)))).when(k == 4, F.concat(F.repeat(F.lit("é"), F.lit(40000)), F.repeat(F.lit("a"), F.lit(90000)))).when(k == 5, F.concat("text", F.chr(F.lit(1)))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", c.looks_textual(long).alias("textual"))
 
 
 @query("b10_forbidden_literals", "WITH n AS (SELECT unnest(['track(1)', '/fr/', 'charset', 'Apache License']) AS needle) SELECT page_id AS path, needle FROM pages JOIN n ON contains(html, needle)")

@@ -68,11 +68,18 @@ def a4(spark, d):
 
 
 @query("a5_graphemes", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents)
-SELECT doc_id, seq::INT AS seq, length(s)::INT AS n_graphemes, TRUE AS middle_is_boundary FROM l WHERE NOT regexp_matches(s, '[^\x20-\x7E]')""")
+SELECT doc_id, seq::INT AS seq, len(string_split(s, '')) - CASE WHEN s = '' THEN 1 ELSE 0 END AS n_graphemes FROM l""")
 def a5(spark, d):
-    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", "text").where(~F.col("text").rlike(r"[^\x20-\x7E]"))
-    middle = F.array(F.lit(0), F.floor(F.length("text") / 2).cast("int"), F.length("text"))
-    return rows.select("doc_id", "seq", F.size(t.graphemes(F.col("text"))).alias("n_graphemes"), g.let(t.grapheme_ends(F.substring("text", 1, 200)), lambda e: F.forall(F.transform(middle, lambda b: F.least(b, F.lit(200))), lambda b: (b == 0) | F.array_contains(e, b))).alias("middle_is_boundary"))
+    return regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.size(t.graphemes(F.col("text"))).cast("long").alias("n_graphemes"))
+
+
+@query("a5_grapheme_bounds", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents) SELECT doc_id, seq::INT AS seq, length(s) >= 0 AS ends_ok, length(s) < 0 AS inside_ok FROM l")
+def a5_bounds(spark, d):
+    """Lines between two graphemes of several characters: places at their ends and places inside them."""
+    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.concat(F.lit("e\u0301"), F.translate("text", "\r", " "), F.lit("\U0001F469\u200D\U0001F4BB")).alias("text"))
+    n = F.length("text")
+    inside = [t.boundaries_are_graphemes(F.col("text"), F.array(b)) for b in (F.lit(1), n - 1, n - 2)]
+    return rows.select("doc_id", "seq", t.boundaries_are_graphemes(F.col("text"), F.array(F.lit(0), F.lit(2), n - 3, n)).alias("ends_ok"), (inside[0] | inside[1] | inside[2]).alias("inside_ok"))
 
 
 _GLOSSARY = [("the", "LE"), ("and the", "ET LE"), ("of", "DE")]

@@ -13,6 +13,7 @@ from regionspark.functions.text import collapse
 from regionspark.operators import batch as b
 from regionspark.operators import routing
 from regionspark.plans import units as u
+from regionspark.session import shared_dir
 from regionspark.sources import scans
 from regionspark.streaming import jobs
 from regionspark.surrogates import regions, table
@@ -53,18 +54,20 @@ def a24(spark, d):
     return rows.select("page_id", F.explode("candidates").alias("c")).where("c.kind = 'url'").select("page_id", "c.start", "c.end", "c.text")
 
 
-@query("a25_brand_spans")
+@query("a25_brand_spans", r"""WITH x AS (SELECT doc_id, replace(' ' || replace(text, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' ' AS t FROM documents), m AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)[^A-Za-z0-9_](the|apache  license)[^A-Za-z0-9_]')) AS n FROM x) SELECT doc_id, n FROM m WHERE n > 0""")
 def a25(spark, d):
-    rows = s.find_spans(table(spark, d, "documents").select("doc_id", "text"), "text", ["the", "Apache License"])
-    return rows.select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 'brand'").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("c.start").alias("first"))
+    text = F.concat(F.replace(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))), F.lit("\n"), F.lit(" \n ")), F.lit(" "))  # so that neighbours share no character
+    rows = s.find_spans(table(spark, d, "documents").select("doc_id", text.alias("text")), "text", ["the", "Apache  License"])
+    return rows.select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 'brand'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("a26_brand_fragments", """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS t FROM part), b AS (SELECT DISTINCT p_name AS brand FROM part WHERE p_partkey % 20 = 0),
-k AS (SELECT brand, lower(regexp_replace(brand, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM b) SELECT id, t, brand FROM w JOIN k ON length(lower(t)) >= 3 AND length(lower(t)) < length(k) AND contains(k, lower(t))""")
+@query("a26_brand_fragments", """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS t FROM part), n AS (SELECT DISTINCT t FROM w), b AS (SELECT DISTINCT p_name AS brand FROM part),
+k AS (SELECT brand, lower(regexp_replace(brand, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM b), h AS (SELECT t, brand FROM n JOIN k ON length(lower(t)) >= 3 AND length(lower(t)) < length(k) AND contains(k, lower(t))) SELECT t, brand, count(*) AS n FROM w JOIN h USING (t) GROUP BY ALL""")
 def a26(spark, d):
     part = table(spark, d, "part")
     words = part.select(F.col("p_partkey").alias("id"), F.explode(F.split("p_name", " ")).alias("t")).distinct()
-    return s.brand_fragments(words, "t", part.where("p_partkey % 20 = 0").select(F.col("p_name").alias("brand")).distinct())
+    found = s.brand_fragments(words.select("t").distinct(), "t", part.select(F.col("p_name").alias("brand")).distinct())
+    return words.join(found, "t").groupBy("t", "brand").agg(F.count("*").alias("n"))
 
 
 @query("a27_resolve_spans", """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey AS id, (l_quantity * 2)::INT AS st, (l_quantity * 2)::INT + (l_partkey % 9 + 1)::INT AS en, 0 AS ord FROM lineitem),
@@ -96,13 +99,20 @@ def a30(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.restore_text(t, spans).alias("restored"))
 
 
-@query("p1_classify_units", r"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq FROM documents),
-p AS (SELECT *, regexp_replace(text, '[0-9@./:<>=_-]', ' ', 'g') AS t FROM l)
-SELECT doc_id, seq, CASE WHEN lang = 'en' THEN 'skipped_language' WHEN NOT regexp_matches(t, '[\p{L}\p{N}]') THEN 'skipped_protected' WHEN seq % 7 = 3 THEN 'failed' ELSE 'translated' END AS status FROM p""")
+_P1_TEXT = "CASE WHEN seq % 6 = 1 THEN 'https://shop.example.com/p/' || doc_id || ' 25%' WHEN seq % 6 = 2 THEN 'note ' || t || ' SKU-AB' || doc_id WHEN seq % 6 = 3 THEN '!!!' ELSE 'note ' || t END"
+
+
+@query("p1_classify_units", rf"""WITH l AS (SELECT doc_id, lang, unnest(string_split(replace(text, '<', '('), chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq FROM documents),
+p AS (SELECT *, {_P1_TEXT} AS x, coalesce(CASE seq % 7 WHEN 3 THEN 'en' WHEN 4 THEN NULL ELSE lang END, lang) AS detected FROM l),
+s AS (SELECT *, CASE WHEN seq % 6 IN (1, 3) THEN 'skipped_protected' WHEN seq % 7 = 5 THEN 'failed' WHEN detected = 'en' THEN 'skipped_language' WHEN seq % 6 = 2 AND seq % 5 = 4 THEN 'failed' ELSE 'translated' END AS status FROM p)
+SELECT doc_id, seq, status, CASE WHEN status = 'skipped_protected' THEN lang ELSE detected END AS language_code, CASE WHEN status = 'failed' THEN CASE WHEN seq % 7 = 5 THEN 'provider_failed' ELSE 'placeholder_damaged' END END AS error_code,
+CASE WHEN status = 'translated' THEN x || '!' ELSE x END AS translated_text FROM s""")
 def p1(spark, d):
-    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.regexp_replace("text", r"[0-9@./:<>=_-]", " ").alias("text"), "language_code")
-    items = rows.select("doc_id", "seq", F.when(F.col("seq") % 7 != 3, F.col("text")).alias("translated_text"), F.col("language_code").alias("source_language"), F.when(F.col("seq") % 7 == 3, "provider_failed").alias("error_code"))
-    return u.classify_units(rows, items, ["doc_id", "seq"], "en").select("doc_id", "seq", "status")
+    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.replace("text", F.lit("<"), F.lit("(")).alias("t"), "language_code").withColumn("text", F.expr(_P1_TEXT)).drop("t")
+    k = F.col("seq") % 7
+    back = F.when((F.col("seq") % 6 == 2) & (F.col("seq") % 5 == 4), "without placeholders").otherwise(F.concat("masked", F.lit("!")))  # what the provider makes of the masked text
+    items = u.prepare(rows).select("doc_id", "seq", F.when(k != 5, back).alias("translated_text"), F.when(k == 3, "en").when(k != 4, F.col("language_code")).alias("source_language"), F.when(k == 5, "provider_failed").alias("error_code"))
+    return u.classify_units(rows, items, ["doc_id", "seq"], "en").select("doc_id", "seq", "status", "language_code", "error_code", "translated_text")
 
 
 def _upper(texts: list[str]) -> list[str]:
@@ -111,45 +121,51 @@ def _upper(texts: list[str]) -> list[str]:
     return [t.upper() for t in texts]
 
 
-@query("p2_translate_batches")
+_LONG = "CASE WHEN (conv_id + turn) % 50 = 0 THEN repeat(text || ' ', 40) ELSE text END"
+
+
+@query("p2_translate_batches", f"SELECT conv_id, turn, CASE WHEN length({_LONG}) <= 5000 THEN length({_LONG})::INT END AS n, CASE WHEN length({_LONG}) > 5000 THEN 'item_too_long' END AS error_code FROM conversations")
 def p2(spark, d):
-    items = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return u.translate_batches(items, _upper, ["conv_id", "turn"]).select("conv_id", "turn", F.length("translated_text").alias("n"), "error_code")
+    items = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{_LONG} AS text")
+    return u.translate_batches(items, lambda texts: [x[::-1] for x in texts], ["conv_id", "turn"]).select("conv_id", "turn", F.length("translated_text").alias("n"), "error_code")
 
 
-@query("p2_batch_bounds", "SELECT TRUE AS items_ok, TRUE AS chars_ok, count(*) AS n FROM conversations WHERE length(text) <= 5000")
+@query("p2_batch_bounds", f"SELECT TRUE AS items_ok, TRUE AS chars_ok, count(*) AS n, sum(length({_LONG}))::BIGINT AS n_chars FROM conversations WHERE length({_LONG}) <= 5000")
 def p2_bounds(spark, d):
-    rows = u.batch_keys(table(spark, d, "conversations").where(F.length("text") <= 5000), ["conv_id", "turn"])
+    """What the packing promises: no batch over 100 items or 20 000 characters, no item twice or lost."""
+    rows = u.batch_keys(table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{_LONG} AS text").where(F.length("text") <= u.MAX_ITEM), ["conv_id", "turn"])
     each = rows.groupBy("batch_key").agg(F.count("*").alias("k"), F.sum(F.length("text")).alias("c"))
-    return each.agg(F.bool_and(F.col("k") <= 100).alias("items_ok"), F.bool_and(F.col("c") <= 20000).alias("chars_ok"), F.sum("k").alias("n"))
+    return each.agg(F.bool_and(F.col("k") <= 100).alias("items_ok"), F.bool_and(F.col("c") <= 20000).alias("chars_ok"), F.sum("k").alias("n"), F.sum("c").alias("n_chars"))
 
 
-@query("p3_retry_script_mismatches")
+@query("p3_retry_script_mismatches", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS seq FROM documents),
+x AS (SELECT doc_id, seq, t || CASE seq % 3 WHEN 0 THEN '字' WHEN 1 THEN 'д' ELSE '' END AS text, CASE seq % 3 WHEN 0 THEN 'zh-Hans' WHEN 1 THEN 'ru' END AS code FROM l)
+SELECT doc_id, seq, coalesce(code, 'en') AS detected, CASE WHEN code IS NULL THEN 'first' WHEN length(text) <= 5000 THEN code || ':' || length(text) END AS translated_text, CASE WHEN code IS NOT NULL AND length(text) > 5000 THEN 'item_too_long' END AS error_code FROM x""")
 def p3(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 3 == 0, "字").otherwise("")).alias("text"), F.lit("en").alias("detected"), F.lit("first").alias("translated_text"), F.lit(None).cast("string").alias("error_code"))
-    return u.retry_script_mismatches(rows, lambda t, c: [f"{c}:{len(x)}" for x in t], ["doc_id"], "en").select("doc_id", "detected", "translated_text", "error_code")
+    mark = F.when(F.col("seq") % 3 == 0, "字").when(F.col("seq") % 3 == 1, "д").otherwise("")
+    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.concat("text", mark).alias("text"), F.lit("en").alias("detected"), F.lit("first").alias("translated_text"), F.lit(None).cast("string").alias("error_code"))
+    return u.retry_script_mismatches(rows, lambda t, c: [f"{c}:{len(x)}" for x in t], ["doc_id", "seq"], "en").select("doc_id", "seq", "detected", "translated_text", "error_code")
 
 
-@query("p5_manual_regions", """WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'source_text' ELSE 'translated_text' END AS mode, p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END AS src, p_brand AS tr, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_type END AS rec, CASE WHEN p_partkey % 7 = 0 THEN 'skipped_language' ELSE 'translated' END AS st FROM part),
-y AS (SELECT *, trim(CASE WHEN mode = 'auto' THEN rec ELSE src END) AS s FROM x), z AS (SELECT *, CASE WHEN p_size < 10 THEN 'box_outside' WHEN mode = 'auto' AND s = '' THEN 'manual_ocr_empty' WHEN mode <> 'translated_text' AND st <> 'translated' THEN 'manual_translation_skipped' END AS code FROM y)
+@query("p5_manual_regions", """WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'source_text' ELSE 'translated_text' END AS mode, p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END AS src, p_brand AS tr, CASE WHEN p_partkey % 5 = 0 THEN ' ' || chr(9) || chr(10) ELSE p_type END AS rec, CASE WHEN p_partkey % 7 = 0 THEN 'skipped_language' ELSE 'translated' END AS st FROM part),
+y AS (SELECT *, trim(CASE WHEN mode = 'auto' THEN rec ELSE src END, ' ' || chr(9) || chr(10)) AS s FROM x), z AS (SELECT *, CASE WHEN p_size < 10 THEN 'box_outside' WHEN mode = 'auto' AND s = '' THEN 'manual_ocr_empty' WHEN mode <> 'translated_text' AND st <> 'translated' THEN 'manual_translation_skipped' END AS code FROM y)
 SELECT id AS spec_id, CASE WHEN s = '' THEN tr ELSE s END AS displayed_source, CASE WHEN code IS NULL THEN CASE WHEN mode = 'translated_text' THEN tr ELSE 'u' END END AS text, code FROM z""")
 def p5(spark, d):
     k = F.col("p_partkey")
     box = g.box(F.lit(50.0), F.col("p_size") * 1.0, F.lit(20.0), F.lit(20.0), F.lit(0.0))
     return u.manual_regions(table(spark, d, "part").select(k.alias("spec_id"), F.when(k % 3 == 0, "auto").when(k % 3 == 1, "source_text").otherwise("translated_text").alias("mode"), box.alias("box"), F.lit(100).alias("width"), F.lit(100).alias("height"),
-        F.when(k % 2 == 0, "").otherwise(F.col("p_name")).alias("source_text"), F.col("p_brand").alias("translated_text"), F.when(k % 5 == 0, " ").otherwise(F.col("p_type")).alias("recognised_text"), F.when(k % 7 == 0, "skipped_language").otherwise("translated").alias("unit_status"), F.lit("u").alias("unit_text")))
+        F.when(k % 2 == 0, "").otherwise(F.col("p_name")).alias("source_text"), F.col("p_brand").alias("translated_text"), F.when(k % 5 == 0, " \t\n").otherwise(F.col("p_type")).alias("recognised_text"), F.when(k % 7 == 0, "skipped_language").otherwise("translated").alias("unit_status"), F.lit("u").alias("unit_text")))
 
 
-def _fussy(row) -> int:
-    if row["o_orderkey"] % 10 == 0:
+def _fussy(rows) -> list[int]:
+    if (rows["o_orderkey"] % 10 == 0).any():
         raise ValueError("bad image")
-    return int(row["o_orderkey"]) * 2
+    return [int(x) * 2 for x in rows["o_orderkey"]]
 
 
 @query("p6_isolate_failures", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey * 2 END AS result, CASE WHEN o_orderkey % 10 = 0 THEN 'bad image' END AS error FROM orders")
 def p6(spark, d):
-    good, bad = b.isolate_failures(table(spark, d, "orders").select("o_orderkey"), _fussy, "bigint")
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad.withColumn("result", F.lit(None).cast("bigint")))
+    return b.isolate_failures(table(spark, d, "orders").select("o_orderkey"), _fussy, "bigint")
 
 
 _NAMED = "url || CASE page_id % 4 WHEN 0 THEN '/a.PNG' WHEN 1 THEN '/b.webp' WHEN 2 THEN '/c.gif' ELSE '/D.jpeg' END"
@@ -166,12 +182,7 @@ def s6(spark, d):
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="regionspark-")
-    return f"{base.rstrip('/')}/out-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query("s7_report_round_trip", "SELECT lang AS language, count(*) AS n, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY lang")
@@ -190,10 +201,13 @@ def s8(spark, d):
     return spark.read.schema("o_orderkey long, version int, batch_id string").parquet(path)
 
 
-@query("x1_rate_limiter")
+@query("x1_rate_limiter", """WITH RECURSIVE e AS (SELECT event_type AS scope, user_id AS identity, event_id AS id, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT scope, identity, id, k, TRUE AS allowed, [t] AS kept FROM e WHERE k = 1 UNION ALL
+SELECT scope, identity, id, k, len(w) < 2, CASE WHEN len(w) < 2 THEN list_append(w, t) ELSE w END FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.t - 432000) AS w FROM r JOIN e ON e.scope = r.scope AND e.identity = r.identity AND e.k = r.k + 1))
+SELECT scope, identity, id, allowed FROM r""")
 def x1(spark, d):
-    rows = table(spark, d, "events").selectExpr("event_type AS scope", "user_id % 20 AS identity", "event_id AS id", "CAST(ts AS TIMESTAMP) AS ts")
-    return jobs.batch(rows, ["scope", "identity"], jobs.limiter(5, 86400.0), "scope string, identity long, id long, allowed boolean")
+    rows = table(spark, d, "events").selectExpr("event_type AS scope", "user_id AS identity", "event_id AS id", "CAST(ts AS TIMESTAMP) AS ts")
+    return jobs.batch(rows, ["scope", "identity"], jobs.limiter(2, 432000.0), "scope string, identity long, id long, allowed boolean")
 
 
 @query("x2_batch_progress", """WITH e AS (SELECT user_id AS batch_id, event_id AS id, event_id % 10 AS item, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'running' END AS status, ts FROM events),
@@ -223,6 +237,54 @@ def x4(spark, d):
 
 @query("p14_edit_log_replay")
 def p14(spark, d):
-    event = F.get(F.array(*[F.lit(x) for x in ("add", "add", "replace", "undo", "redo", "delete")]), (F.col("event_id") % 6).cast("int"))
-    rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), (F.col("event_id") % 4).cast("string").alias("layer"), F.lit("x").alias("before"), F.lit("x").alias("after"))
+    event = F.get(F.array(*[F.lit(x) for x in ("add", "manual", "replace", "undo", "redo", "delete", "add")]), (F.col("event_id") % 7).cast("int"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), (F.col("event_id") % 4).cast("string").alias("layer"), F.lit("x").alias("before"), F.lit("x").alias("after"), F.when(F.col("event_id") % 3 == 0, 0).alias("at"), (F.col("event_id") % 2).cast("string").alias("patch"))
     return jobs.batch(rows, ["doc"], jobs.replay(), "doc long, id long, result string, layers string, n_undo long, n_redo long")
+
+
+@query("s2_sniff_format", """WITH x AS (SELECT page_id, page_id % 4 AS k, page_id % 3 AS s FROM pages)
+SELECT page_id || CASE s WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.webp' END AS path, CASE k WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'WEBP' END AS detected, CASE WHEN k = 3 OR k <> s THEN 'extension_content_mismatch' END AS code,
+CASE WHEN k = 0 THEN (page_id % 1000 + 1)::INT END AS width, CASE WHEN k = 0 THEN (page_id % 777 + 1)::INT END AS height FROM x""")
+def s2(spark, d):
+    k, n = F.col("page_id") % 4, lambda m: F.lpad(F.hex(F.col("page_id") % m + 1), 8, "0")
+    head = F.when(k == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), n(1000), n(777))).when(k == 1, "FFD8FFE000104A464946").when(k == 2, "524946460000000057454250").otherwise("474946383961")
+    rows = table(spark, d, "pages").select(F.concat("page_id", F.when(F.col("page_id") % 3 == 0, ".png").when(F.col("page_id") % 3 == 1, ".JPG").otherwise(".webp")).alias("path"), F.unhex(F.concat(head, F.hex(F.encode("html", "UTF-8")))).alias("content"))
+    return scans.sniff_format(rows)
+
+
+def _json(rows, path: str) -> str:
+    """Files of one JSON value each."""
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+    return f"{path}/*.json"
+
+
+@query("s3_region_manifest", """WITH x AS (SELECT doc_id, 'd' || CASE WHEN doc_id % 40 = 7 THEN doc_id - 1 ELSE doc_id END AS id, lang FROM documents), c AS (SELECT id, count(*) AS n FROM x GROUP BY id)
+SELECT x.id, lang AS language_code, 1 AS n_regions, n > 1 AS repeated FROM x JOIN c USING (id)""")
+def s3(spark, d):
+    """Manifests of 200 documents each, written and read again."""
+    region = F.struct(F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(9.0), F.lit(9.0))).alias("polygon"), F.col("text"), F.lit("easy").alias("difficulty"))
+    sample = F.struct(F.concat(F.lit("d"), F.when(F.col("doc_id") % 40 == 7, F.col("doc_id") - 1).otherwise(F.col("doc_id"))).alias("id"), F.lit("x.png").alias("image"), F.col("lang").alias("language_code"), F.array(region).alias("expected_regions"))
+    files = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 200).alias("k")).agg(F.collect_list(sample).alias("samples")).select(F.lit("demo").alias("dataset_kind"), F.lit("none").alias("adapter"), "samples")
+    samples, twice = scans.read_region_manifest(spark, _json(files, _folder(spark)))
+    return samples.join(twice.withColumn("_twice", F.lit(True)), "id", "left").select("id", "language_code", F.size("expected_regions").alias("n_regions"), F.coalesce("_twice", F.lit(False)).alias("repeated"))
+
+
+@query("s4_layout_cases", """SELECT doc_id::VARCHAR AS case_id, lang AS language_code, CASE WHEN lang = 'de' THEN 'rtl' ELSE 'ltr' END AS direction, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 500)::INT ELSE 520 END AS width, length(text)::INT AS n, FALSE AS repeated FROM documents WHERE lang IS NOT NULL""")
+def s4(spark, d):
+    """Case files of 200 documents each, widths partly left to the language."""
+    case = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 500).cast("int")).alias("width"))
+    groups = table(spark, d, "documents").where("lang is not null").groupBy(F.floor(F.col("doc_id") / 200).alias("k"), "lang").agg(F.collect_list(case).alias("cases"))
+    language = F.struct(F.col("lang").alias("language_code"), F.when(F.col("lang") == "de", "rtl").otherwise("ltr").alias("direction"), F.lit(520).alias("width"), F.col("cases"))
+    files = groups.groupBy("k").agg(F.collect_list(language).alias("languages")).select(F.lit(1).alias("schema_version"), "languages")  # 200 documents' cases
+    cases, twice = scans.read_layout_cases(spark, _json(files, _folder(spark)))
+    marked = cases.join(twice.withColumn("_twice", F.lit(True)), "case_id", "left")
+    return marked.select("case_id", "language_code", "direction", "width", F.length("text").alias("n"), F.coalesce("_twice", F.lit(False)).alias("repeated"))
+
+
+@query("s5_runs", "SELECT doc_id AS case_id, length(text)::BIGINT AS n, backend FROM documents, (VALUES ('one'), ('two')) b(backend) WHERE backend = 'one' OR doc_id % 2 = 0")
+def s5(spark, d):
+    """Result files of two backends, each in the backend's folder."""
+    folder, rows = _folder(spark), table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.length("text").cast("long").alias("n"))
+    for backend, part in (("one", rows), ("two", rows.where("case_id % 2 = 0"))):
+        part.groupBy(F.floor(F.col("case_id") / 200)).agg(F.collect_list(F.struct("case_id", "n")).alias("cases")).select("cases").write.option("maxRecordsPerFile", 1).json(f"{folder}/{backend}")
+    return scans.read_runs(spark, f"{folder}/*/*.json", "cases array<struct<case_id:long,n:long>>").select(F.explode("cases").alias("c"), "backend").select("c.*", "backend")
