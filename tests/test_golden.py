@@ -114,7 +114,7 @@ def test_sources(spark, tmp_path):
     samples, twice = scans.read_region_manifest(spark, f"file://{tmp_path}/m.json")
     assert samples.count() == 3 and [r.id for r in twice.collect()] == ["x"]
     (tmp_path / "c.json").write_text(json.dumps({"schema_version": 1, "languages": [{"language_code": "ar", "direction": "rtl", "width": 100, "cases": [{"id": "1", "text": "t"}, {"id": "2", "text": "u", "width": 50}]}]}))
-    assert {(r.case_id, r.width, r.direction) for r in scans.read_layout_cases(spark, f"file://{tmp_path}/c.json").collect()} == {("1", 100, "rtl"), ("2", 50, "rtl")}
+    assert {(r.case_id, r.width, r.direction) for r in scans.read_layout_cases(spark, f"file://{tmp_path}/c.json")[0].collect()} == {("1", 100, "rtl"), ("2", 50, "rtl")}
     (tmp_path / "runs" / "one").mkdir(parents=True)
     (tmp_path / "runs" / "one" / "r.json").write_text('{"case_id": "1"}')
     assert one(scans.read_runs(spark, f"file://{tmp_path}/runs/*/*.json", "case_id string")).backend == "one"
@@ -149,3 +149,144 @@ def test_plan_stays_in_the_jvm(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = routing.route_profiles(df, "lang")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_unit_precedence(spark):
+    """Order of the outcomes: language filter without detection, protection, provider error, detected language, damage."""
+    rows = spark.createDataFrame([(1, "!!!", "en"), (2, "text", "en"), (3, "texte", "fr"), (4, "le prix 25%", "fr"), (5, "rien", "fr"), (6, "texte", None)], "id int, text string, language_code string")
+    items = spark.createDataFrame([(1, "x", None, None), (2, None, None, "provider_failed"), (3, "text", "en", None), (4, "the price", None, None), (5, None, None, None)], "id int, translated_text string, source_language string, error_code string")
+    out = {r.id: r for r in units.classify_units(rows, items, ["id"], "en").collect()}
+    assert [(out[i].status, out[i].error_code) for i in range(1, 7)] == [("skipped_protected", None), ("failed", "provider_failed"), ("skipped_language", None), ("failed", "placeholder_damaged"), ("translated", None), ("failed", "missing_item")]
+    assert out[3].language_code == "en" and out[5].translated_text == "" and out[4].translated_text == "le prix 25%"
+    kept = {r.id: r.status for r in units.classify_units(rows, items, ["id"], "en", source="fr").collect()}
+    assert kept == {1: "skipped_language", 2: "skipped_language", 3: "skipped_language", 4: "failed", 5: "translated", 6: "skipped_language"}
+    told = {r.id: r.status for r in units.classify_units(rows, items, ["id"], "en", source="fr", detects=True).collect()}
+    assert told == {1: "skipped_protected", 2: "failed", 3: "skipped_language", 4: "failed", 5: "translated", 6: "failed"}
+
+
+def test_release_steps(spark):
+    logs = {1: "draft withdrawn published", 2: "published withdrawn", 3: "draft published withdrawn draft", 4: "published draft published published", 5: "draft draft"}
+    df = spark.createDataFrame([(k, i, x) for k, v in logs.items() for i, x in enumerate(v.split())], "release_id int, seq int, status string")
+    out = {r.release_id: (r.status, r.n_illegal) for r in registry.release_lifecycle(df).collect()}
+    assert out == {1: ("published", 1), 2: (None, 2), 3: ("withdrawn", 1), 4: ("published", 2), 5: ("draft", 1)}
+
+
+def test_blank_is_not_text(spark):
+    plans = spark.createDataFrame([(1, "\t\n", 1, "EUR", 3), (2, "\u3000a\xa0", 1, "EUR", 3)], "id int, name string, amount_minor long, currency string, duration_days int")
+    assert {r.id: r.reasons for r in checks.check_plan(plans).collect()} == {1: ["name"], 2: []}
+    items = spark.createDataFrame([(1, "fr", "en", "a", "\n\t"), (2, "fr", "en", "a", " x ")], "request_id int, source_language string, target_language string, item_id string, text string")
+    assert {r.request_id: r.reasons for r in checks.check_translation_requests(items).collect()} == {1: ["item"], 2: []}
+
+
+def test_long_brands(spark):
+    brand = "Ab" * 150 + " XYZ Corner"
+    texts = ["ab" * 10, "xyz corner", "corner", brand, "or", "cornerx", "ab" * 10]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = sorted(r.text for r in s.brand_fragments(df, "text", spark.createDataFrame([(brand,)], "brand string")).collect())
+    assert out == sorted(["ab" * 10, "ab" * 10, "xyz corner", "corner"])
+
+
+def test_failures_run_once_a_good_batch(spark, tmp_path):
+    df = spark.range(0, 40, 1, 4)
+
+    def fn(rows):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write(f"{len(rows)}\n")
+        if (rows["id"] == 5).any():
+            raise ValueError("five")
+        return [int(x) + 1 for x in rows["id"]]
+
+    out = {r.id: (r.result, r.error) for r in b.isolate_failures(df, fn, "long").collect()}
+    assert out == {i: (None, "five") if i == 5 else (i + 1, None) for i in range(40)}
+    assert sorted(int(x) for x in (tmp_path / "calls").read_text().split()) == [1] * 10 + [10] * 4  # one batch falls apart
+
+
+def test_batches_do_not_mix_languages(spark):
+    df = spark.createDataFrame([(i, "xy"[i % 2], f"t{i}") for i in range(250)], "id int, code string, text string")
+    out = units.translate_batches(df, lambda texts, code: [code + x for x in texts], ["id"], by=["code"]).collect()
+    assert len(out) == 250 and all(r.translated_text == r.code + r.text for r in out)
+
+
+def test_names_pass_over_taken_numbers(spark):
+    b.STRETCH, before = 3, b.STRETCH
+    try:
+        items = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "ord int, stem string")
+        taken = [f"a-translated{x}.png" for x in ("", "-2", "-3", "-5", "-9", "-10", "-11", "-30", "-1", "-x")] + ["b-translated-4.png", "c-translated.png", "a-translated-4.jpg"]
+        out = {r.ord: r.target for r in b.unique_names(items, spark.createDataFrame([(x,) for x in taken], "name string"), ".png").collect()}
+    finally:
+        b.STRETCH = before
+    used, want = set(taken), {}
+    for i in range(40):
+        stem, n = "ab"[i % 2], 1
+        while (name := f"{stem}-translated{'' if n == 1 else f'-{n}'}.png") in used:
+            n += 1
+        used.add(name)
+        want[i] = name
+    assert out == want
+
+
+def test_manifest_checks(spark):
+    good = dict(model_id="m", version="1", platform="windows", architecture="x86_64", filename="f", object_version="v", size_bytes=1, sha256="a" * 64, download_url="https://host.example/x?y=1", download_url_expires_at=dt.datetime(2024, 1, 2))
+    rows = [good, good | {"download_url": "ftp://host/x"}, good | {"download_url": "https:///x"}, good | {"download_url": "https://u:p@host/x"}, good | {"download_url_expires_at": dt.datetime(2024, 1, 1)}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "model_id string, version string, platform string, architecture string, filename string, object_version string, size_bytes int, sha256 string, download_url string, download_url_expires_at timestamp").coalesce(1)
+    assert [r.reasons for r in checks.check_release_manifest(df, F.lit(dt.datetime(2024, 1, 1))).collect()] == [[], ["download_url"], ["download_url"], ["download_url"], ["expired"]]
+
+
+def test_comparison_counts_broken_layouts(spark):
+    side = lambda rows: spark.createDataFrame(rows, "case_id string, n int, violations array<string>")
+    out = one(evaluate.comparison_report(side([("a", 1, []), ("b", 2, ["range"]), ("c", 3, ["range"])]), side([("a", 1, ["outside"]), ("b", 3, [])]), "case_id", ["n"]))
+    assert (out.common, out.n_matches, out.missing_pairs, out.structural_violations) == (2, 1, 1, 2)
+
+
+def test_replay_of_regions(spark):
+    edits = [("d", 1, "add", "a", None, "1", None, None), ("d", 2, "add", "b", None, "1", 0, None), ("d", 3, "add", "a", None, "9", None, None), ("d", 4, "manual", "m", None, "5", 1, "p"), ("d", 5, "manual", "n", None, "5", None, "p"), ("d", 6, "undo", None, None, None, None, None), ("d", 7, "manual", "n", None, "5", None, "p"), ("d", 8, "delete", "a", "1", None, None, None), ("d", 9, "undo", None, None, None, None, None)]
+    out = jobs.batch(_log(spark, edits, "event string, layer string, before string, after string, at int, patch string"), ["doc"], jobs.replay(), "doc string, id long, result string, layers string, n_undo long, n_redo long").orderBy("id").collect()
+    assert [r.result for r in out] == ["ok", "ok", "duplicate_layer", "ok", "duplicate_patch", "ok", "ok", "ok", "ok"]
+    assert json.loads(out[3].layers) == [["b", "1"], ["m", "5"], ["a", "1"]] and json.loads(out[-1].layers) == [["b", "1"], ["a", "1"], ["n", "5"]]
+
+
+_STREAMS = {
+    "limiter": ("scope string, identity string", ["scope", "identity"], jobs.limiter(2, 30.0), "scope string, identity string, id long, allowed boolean", lambda i: (f"s{i % 2}", f"k{i % 5}"), ""),
+    "progress": ("batch_id long", ["batch_id"], jobs.progress, "batch_id long, id long, total long, completed long, failed long, cancelled long", lambda i: (i % 3,), ", item long, status string"),
+    "stages": ("job_id long", ["job_id"], jobs.stages, "job_id long, id long, violation boolean", lambda i: (i % 9,), ", event string, stage string"),
+    "binder": ("code long", ["code"], jobs.binder, "code long, id long, outcome string", lambda i: (i % 7,), ", event string, device string, days int"),
+    "replay": ("doc long", ["doc"], jobs.replay(3), "doc long, id long, result string, layers string, n_undo long, n_redo long", lambda i: (i % 4,), ", event string, layer string, before string, after string, at int, patch string"),
+}
+
+
+def _payload(name, i):
+    stage = ("ocr", "translation", "inpainting", "layout", "rendering")
+    return {
+        "limiter": (),
+        "progress": (i * 7 % 11, ("running", "completed", "failed", "cancelled")[i * 5 % 4]),
+        "stages": (("advance", "advance", "advance", "complete")[i % 4], stage[i // 9 % 5]),
+        "binder": ("disable" if i % 41 == 40 else "activate", f"d{i // 50}", 1),
+        "replay": (("add", "replace", "undo", "redo", "delete", "manual")[i * 5 % 6], f"l{i % 3}", "x" if i % 6 else None, "x", None if i % 2 else 0, f"p{i % 2}"),
+    }[name]
+
+
+@pytest.mark.parametrize("name", sorted(_STREAMS))
+def test_stream_with_rocksdb_equals_batch(spark, tmp_path, name):
+    """Each job as a stream of several micro-batches with the state store that session.configure sets, against its batch twin."""
+    from regionspark import session
+
+    keys_schema, keys, fold, out_schema, key, more = _STREAMS[name]
+    schema = f"{keys_schema}, id long, ts timestamp{more}"
+    data = [(*key(i), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 3), *_payload(name, i)) for i in range(240)]
+    for k in range(3):
+        spark.createDataFrame(data[80 * k : 80 * k + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(setting, session.SETTINGS[setting])
+    try:
+        for k in range(3):  # one micro-batch a run, in order, from the same checkpoint
+            path = tmp_path / "all"
+            path.mkdir(exist_ok=True)
+            for f in (tmp_path / "in" / f"{k}").glob("part-*.parquet"):
+                f.rename(path / f"{k}-{f.name}")
+            rows = spark.readStream.schema(schema).parquet(str(path))
+            query = jobs.stream(rows, keys, fold, out_schema).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination(180)
+    finally:
+        spark.conf.unset(setting)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, jobs.batch(spark.createDataFrame(data, schema), keys, fold, out_schema).collect()))
