@@ -1,6 +1,8 @@
 """The pipeline's stages on their own inputs."""
 
+import hashlib
 import random
+import re
 
 import corpus_pipeline as p
 from pyspark.sql import functions as F
@@ -57,3 +59,97 @@ def test_short_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in p.lines(spark, docs, SF).collect()}
     assert {i: r.text for i, r in out.items()} == want and all(r.n_chars == len(r.text) for r in out.values())
+
+
+def _kept_lines(rows):
+    seen, out = [], []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        kept = []
+        for line in (r["text"] or "").split("\n"):
+            w = set(common_words(line))
+            if not any(w and 100 * len(w & x) >= 80 * len(w | x) for x in seen):
+                kept.append(line)
+            seen.append(w)
+        text = "\n".join(kept)
+        if text == r["text"] or common_words(text):
+            out.append(r | {"text": text})
+    return out
+
+
+def common_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def _one_of_each(rows):
+    sets = {}
+    for r in rows:
+        w = common_words(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
+
+
+def _mixed(rows):
+    size = {r["doc_id"]: len(common_words(r["text"])) for r in rows}
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    left, free, target = 1.5 * sum(total.values()), dict(weight), {}
+    while free:
+        unit = left / sum(free.values())
+        full = [s for s in free if unit * weight[s] > 2 * total[s]]
+        for s in full or list(free):
+            target[s] = min(unit * weight[s], 2.0 * total[s])
+        left -= sum(target[s] for s in full)
+        free = {s: w for s, w in free.items() if s not in full} if full else {}
+    queue = []
+    for s in sources:
+        begin = 0
+        turns = sorted((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]) for r in rows if r["source"] == s and size[r["doc_id"]])
+        for epoch in (1, 2):
+            for turn, k in turns:
+                n = size[k]
+                pieces = [(0, n)] if begin + n <= target[s] else [(i, 1) for i in range(n) if begin + i < target[s]]
+                queue += [((begin + at + w) / target[s], s is None, s or "", turn, k, epoch, at, w) for at, w in pieces]
+                begin += n
+    taken, budget = {}, int(1.5 * sum(total.values()))
+    for *_, k, _, _, w in sorted(queue):
+        w = min(w, budget)
+        budget -= w
+        taken[k] = taken.get(k, 0) + w
+    out = []
+    for r in rows:
+        n, t = size[r["doc_id"]], taken.get(r["doc_id"], 0)
+        if t:
+            ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])]
+            out += [r] * (t // n) + ([r | {"text": r["text"][: ends[t % n - 1]]}] if t % n else [])
+    return out
+
+
+def test_against_brute_force(spark, tmp_path):
+    """All stages on a few documents against plain Python: the rules by their SQL, line and document sets compared pair by
+    pair, one sorted queue, and the tokenizer's own library."""
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
+    from regionspark.llm import byte_bpe, quality_rules
+
+    docs = common.load(spark, SF, "documents").where("doc_id < 90").unionByName(common.load(spark, SF, "documents").where("doc_id between 20 and 40").withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat("text", F.lit(" and one more"))}))
+    docs = docs.union(spark.createDataFrame([(2000, "Menu\nRead more\nof this text with ten words or more in the first line", "en", None, 70), (2001, "menu\nread  more\nanother first line that has more than ten words in it again", "en", "zz", 70)], docs.schema))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    kept = {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality_rules.ORACLE}) WHERE kept").fetchall()}
+    rows = [r.asDict() for r in docs.collect() if r.doc_id in kept]
+    own = byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    want = sorted((r["doc_id"], lib.encode_ordinary(r["text"])) for r in _mixed(_one_of_each(_kept_lines(rows))))
+    got = sorted((r.doc_id, [int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]) for r in p.run(spark, str(tmp_path)).collect())
+    assert got == want and len(kept) > 40
