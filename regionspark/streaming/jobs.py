@@ -1,7 +1,7 @@
 """Streaming jobs X1-X4 with their batch twins, and the edit log replay P14.
 
-Each job is a per-key fold over rows in (ts, id) order. The batch twin folds a key's whole log with applyInPandas; the
-stream keeps the fold's small state per key with applyInPandasWithState and folds each micro-batch's rows in order.
+Each job is a per-key fold over rows in (ts, id) order. The batch twin folds sorted rows as they come; the stream keeps the
+fold's small state per key with applyInPandasWithState and folds each micro-batch's rows in order.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from regionspark import dims
@@ -138,14 +141,22 @@ def _rows(pdf: pd.DataFrame) -> list[dict]:
 
 
 def batch(df: DataFrame, keys: list[str], fold: Callable[[State, dict], dict], schema: str) -> DataFrame:
-    """The batch twin: df has keys, ts, id and what the fold reads; schema: keys and the fold's columns. Scales over keys."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: State = {}
-        own = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([own | fold(state, r) for r in _rows(pdf)])
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    """The batch twin: df has keys, ts, id and what the fold reads; schema: keys and the fold's columns. Rows come sorted by
+    key and time, and only the fold's state is carried on, so a key's log is never held as a whole."""
+    wanted = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, {}
+        for rows in batches:
+            out = []
+            for row in rows.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    key, state = own, {}
+                out.append(dict(zip(keys, own)) | fold(state, row))
+            yield pa.RecordBatch.from_pylist(out, schema=wanted)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "ts", "id").mapInArrow(run, schema)
 
 
 def stream(df: DataFrame, keys: list[str], fold: Callable[[State, dict], dict], schema: str, watermark: str | None = None) -> DataFrame:
