@@ -13,18 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from regionspark.llm.common import load
+from regionspark.llm.common import load, small_batches
 
 #: The sample of labelled rows: labels (those of most rows), documents a label, letters taken of each, letters a label and
 #: letters of all labels. Bounds the model.
 LABELS, DOCUMENTS, PER_DOCUMENT, LETTERS, ALL_LETTERS = 200, 200, 1000, 40_000, 400_000
 #: Symbols that get a column in the table of next states; the others are looked up in a sorted list.
-COLUMNS = 64
+COLUMNS = 48
 #: Long texts are parsed in windows of so many letters side by side; see _Parser.phrases.
 WINDOW = 256
 #: Scale of the score: bits per letter become odds at this rate.
 SHARP = 8
-LANES = 4096
+LANES = 2048
 
 _LETTER: np.ndarray | None = None
 
@@ -256,6 +256,7 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
     wins, ties go to the first by code point. Columns of these names are replaced, others stay. Whole texts are parsed in
     one go; no shuffle.
     """
+    small_batches(docs.sparkSession)
     shared, mark = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
@@ -291,8 +292,8 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
             flush()
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    row, found = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]), predict(F.col(text))
-    return docs.select(F.struct(row.alias("row"), found.alias("found")).alias("both")).select("both.row.*", "both.found.*")
+    kept, found = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], f"found_{mark}"
+    return docs.select("*", predict(F.col(text)).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(key: str = "doc_id"):
