@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections import defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, compress, count
 
 import ahocorasick
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionspark.llm.common import binaries, load, mix
+from regionspark.llm.common import binaries, load, mix, small_batches
 
 #: White space as the pattern's \s means it: the Unicode property, without the four ASCII separators that Python adds.
 _SPACE = r"\p{White_Space}"
@@ -31,20 +32,20 @@ _SPACE = r"\p{White_Space}"
 _OTHER = re.compile(r"[^\t-\r -~\xc0-\u024f]")
 _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 #: Entries of a worker's memory of pieces; it is emptied when full, so results never depend on it.
-PIECES = 400_000
+PIECES = 160_000
 #: Pieces up to so many bytes are encoded many at a time; slots of the memory of pairs of tokens.
-SHORT, SLOTS = 64, 1 << 21
+SHORT, SLOTS = 64, 1 << 20
 #: Pieces that are encoded at once; a power of two.
-GROUP = 1 << 15
+GROUP = 1 << 14
 #: Characters of text whose pieces are gathered before new ones are encoded together.
-GATHER = 2 << 20
+GATHER = 1 << 20
 
 
 class _Lookup:
     """An unchanging map of distinct 64-bit keys to 32-bit values (0 or more) for whole arrays: -1 where a key is missing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(4 * len(keys)).bit_length())
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.mask, self.keys, self.values = np.uint64(size - 1), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         left, at = np.arange(len(keys)), (mix(keys) & self.mask).astype(np.int64)
         while len(left):
@@ -73,10 +74,6 @@ class Encoder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {i: b for b, i in self.ranks.items()}
-        self.ends = ahocorasick.Automaton()
-        for token, i in self.ranks.items():
-            self.ends.add_word(token.decode("latin-1"), (len(token), i))
-        self.ends.make_automaton()
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s+", _SPACE + "+"))
         plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\t-\r {_LETTERS}0-9]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")
         self.plain = re.compile(plain.replace(r"(?!\S)", r"(?![^\t-\r ])").replace(r"\s+", r"[\t-\r ]+"))
@@ -85,6 +82,15 @@ class Encoder:
         self._tables = None
         self.forget()
 
+    @cached_property
+    def ends(self) -> ahocorasick.Automaton:
+        """All tokens that end at a place; only long pieces and prefix tables need it."""
+        out = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            out.add_word(token.decode("latin-1"), (len(token), i))
+        out.make_automaton()
+        return out
+
     def pieces(self, text: str) -> list[str]:
         return (self.pattern if _OTHER.search(text) else self.plain).findall(text)
 
@@ -164,18 +170,19 @@ class Encoder:
         """Trie of the tokens, mergeable pairs, token sizes, and the parts at both edges of a token (filled when needed)."""
         if self._tables:
             return
-        nodes, ends, merged = {b"": 0}, {}, []
+        nodes, ends, pairs, whole = {b"": 0}, {}, array("Q"), array("i")
         for token, i in self.ranks.items():
             for k in range(1, len(token) + 1):
                 nodes.setdefault(token[:k], len(nodes))
             ends[nodes[token]] = i
-            merged += [(self.ranks[token[:k]] << 32 | self.ranks[token[k:]], i) for k in range(1, len(token)) if token[:k] in self.ranks and token[k:] in self.ranks]
-        keys = np.array([nodes[n[:-1]] << 8 | n[-1] for n in nodes if n], np.uint64)
+            both = [self.ranks[token[:k]] << 32 | self.ranks[token[k:]] for k in range(1, len(token)) if token[:k] in self.ranks and token[k:] in self.ranks]
+            pairs.extend(both)
+            whole.extend([i] * len(both))
+        keys = np.fromiter((nodes[n[:-1]] << 8 | n[-1] for n in nodes if n), np.uint64, len(nodes) - 1)
         self.child = _Lookup(keys, np.arange(1, len(nodes), dtype=np.int32))
         self.token_of = np.full(len(nodes), -1, np.int32)
         self.token_of[list(ends)] = list(ends.values())
-        merged = np.array(merged, np.uint64).reshape(-1, 2)
-        self.merged = _Lookup(merged[:, 0].copy(), merged[:, 1].astype(np.int32))
+        self.merged = _Lookup(np.frombuffer(pairs, np.uint64), np.frombuffer(whole, np.int32))
         most = max(self.tokens) + 1
         self.size_of = np.zeros(most, np.int64)
         for i, token in self.tokens.items():
@@ -384,10 +391,12 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | No
     every executor can open. No shuffle.
     """
     path, pattern = _vocabulary(path, pattern)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf(T.BinaryType())
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array(encoder(path, pattern).encode_texts(texts.to_pylist()), pa.binary())
+        own = encoder(path, pattern)
+        return pa.concat_arrays([pa.array([], pa.binary()), *[pa.array(own.encode_texts(texts.slice(k, 500).to_pylist()), pa.binary()) for k in range(0, len(texts), 500)]])
 
     return docs.withColumn(out, ids(F.col(text)))
 
