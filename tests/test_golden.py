@@ -290,3 +290,21 @@ def test_stream_with_rocksdb_equals_batch(spark, tmp_path, name):
         spark.conf.unset(setting)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(str, got.collect())) == sorted(map(str, jobs.batch(spark.createDataFrame(data, schema), keys, fold, out_schema).collect()))
+
+
+def test_greedy_matching_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = list({(f"s{rng.randrange(4)}", rng.randrange(12), rng.randrange(12)): None for _ in range(200)})
+    rows = [(*x, rng.choice([0.3, 0.5, 0.7, 0.7, 0.9])) for x in pairs]
+    want = set()
+    for sample in {r[0] for r in rows}:
+        used = set()
+        for e in range(12):
+            free = [(iou, p) for s_, e_, p, iou in rows if (s_, e_) == (sample, e) and iou >= 0.5 and p not in used]
+            if free:
+                used.add(max(free)[1])
+                want.add((sample, e, max(free)[1]))
+    out = evaluate.match_greedily(spark.createDataFrame(rows, "sample_id string, seq_e int, seq_p int, iou double"))
+    assert {tuple(r) for r in out.collect()} == want
