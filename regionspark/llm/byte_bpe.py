@@ -11,9 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections import defaultdict
 from functools import cached_property, lru_cache
-from itertools import chain, compress, count
 
 import ahocorasick
 import numpy as np
@@ -25,49 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionspark.llm.common import binaries, load, mix, small_batches
+from regionspark.llm.pieces import PIECES, Lookup, Memory
 
 #: White space as the pattern's \s means it: the Unicode property, without the four ASCII separators that Python adds.
 _SPACE = r"\p{White_Space}"
 #: Texts of these characters alone are split by re, which is twice as fast; there the classes are plain ranges.
 _OTHER = re.compile(r"[^\t-\r -~\xc0-\u024f]")
 _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-#: Entries of a worker's memory of pieces; it is emptied when full, so results never depend on it.
-PIECES = 160_000
 #: Pieces up to so many bytes are encoded many at a time; slots of the memory of pairs of tokens.
 SHORT, SLOTS = 64, 1 << 20
 #: Pieces that are encoded at once; a power of two.
 GROUP = 1 << 14
-#: Characters of text whose pieces are gathered before new ones are encoded together.
-GATHER = 1 << 20
-
-
-class _Lookup:
-    """An unchanging map of distinct 64-bit keys to 32-bit values (0 or more) for whole arrays: -1 where a key is missing."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
-        self.mask, self.keys, self.values = np.uint64(size - 1), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        left, at = np.arange(len(keys)), (mix(keys) & self.mask).astype(np.int64)
-        while len(left):
-            free = np.flatnonzero(self.values[at] < 0)
-            _, one = np.unique(at[free], return_index=True)  # of those that want a slot, one gets it
-            got = free[one]
-            self.keys[at[got]], self.values[at[got]] = keys[left[got]], values[left[got]]
-            rest = np.delete(np.arange(len(left)), got)
-            left, at = left[rest], (at[rest] + 1) & int(self.mask)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = (mix(keys) & self.mask).astype(np.int64)
-        out = self.values[at]
-        on = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
-        while len(on):
-            at[on] = (at[on] + 1) & int(self.mask)
-            out[on] = self.values[at[on]]
-            on = on[(out[on] >= 0) & (self.keys[at[on]] != keys[on])]
-        return out
 
 
-class Encoder:
+class Encoder(Memory):
     """Encodes pieces by ranks. One per Python worker and vocabulary."""
 
     def __init__(self, path: str, pattern: str):
@@ -179,10 +148,10 @@ class Encoder:
             pairs.extend(both)
             whole.extend([i] * len(both))
         keys = np.fromiter((nodes[n[:-1]] << 8 | n[-1] for n in nodes if n), np.uint64, len(nodes) - 1)
-        self.child = _Lookup(keys, np.arange(1, len(nodes), dtype=np.int32))
+        self.child = Lookup(keys, np.arange(1, len(nodes), dtype=np.int32))
         self.token_of = np.full(len(nodes), -1, np.int32)
         self.token_of[list(ends)] = list(ends.values())
-        self.merged = _Lookup(np.frombuffer(pairs, np.uint64), np.frombuffer(whole, np.int32))
+        self.merged = Lookup(np.frombuffer(pairs, np.uint64), np.frombuffer(whole, np.int32))
         most = max(self.tokens) + 1
         self.size_of = np.zeros(most, np.int64)
         for i, token in self.tokens.items():
@@ -290,48 +259,6 @@ class Encoder:
             parts.append(flat)
         return np.concatenate([np.zeros(0, np.int32), *parts]), counts
 
-    def forget(self) -> None:
-        """Empty the memory of pieces: piece to number, and by number where its ids are and how often it was met."""
-        self.numbers, self.flat, self.at, self.met = defaultdict(count().__next__), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def forget_rare(self) -> None:
-        """Keep the half of the memory that was met most often."""
-        keep = np.sort(np.argsort(-self.met, kind="stable")[: PIECES // 2])
-        wanted = np.zeros(len(self.met), bool)
-        wanted[keep] = True
-        old, counts, met = list(compress(self.numbers, wanted.tolist())), np.diff(self.at)[keep], self.met[keep]
-        flat = self.flat[np.repeat(self.at[keep] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-        self.forget()
-        self.numbers.update(zip(old, map(lambda _: self.numbers.default_factory(), old)))
-        self.flat, self.at, self.met = flat, np.concatenate([[0], np.cumsum(counts)]), met // 2
-
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; the pieces not met before are encoded together."""
-        out, i = [], 0
-        while i < len(texts):
-            split, size = [], 0
-            while i < len(texts) and size < GATHER:
-                split.append(self.pieces(texts[i] or ""))
-                size += len(texts[i] or "")
-                i += 1
-            if len(self.numbers) > PIECES:
-                self.forget_rare()
-            known, lengths = len(self.numbers), np.fromiter(map(len, split), np.int64, len(split))
-            number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum())
-            flat, counts = self.encode_many(list(self.numbers)[known:])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            self.flat = np.concatenate([self.flat, flat])
-            self.met = np.append(self.met, np.zeros(len(counts), np.int64)) + np.bincount(number, minlength=len(self.numbers))
-            first, many = self.at[number], self.at[number + 1] - self.at[number]
-            ends = np.concatenate([[0], np.cumsum(many)])
-            ids = self.flat[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])].astype("<u4").tobytes()
-            bounds = (4 * ends[np.concatenate([[0], np.cumsum(lengths)])]).tolist()
-            out += [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_texts([text])[0]
-
     def decode_many(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and where each id's bytes start (with the end of all)."""
         self.tables()
