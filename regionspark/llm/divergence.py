@@ -19,7 +19,7 @@ from regionspark.llm.common import dropped, load, small_batches, written
 
 LEAST_DOCS, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 #: Terms of a block of a column; sources of a tile of pairs. A task of pairs holds 2 * TILE blocks.
-BLOCK, TILE = 1 << 14, 16
+BLOCK, TILE = 1 << 12, 16
 #: Columns of fewest distinct counts by which the vocabulary is ordered first.
 LEAD = 8
 #: Distinct terms that a task counts before it passes them on; bytes of text that it splits at once.
