@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionspark.functions import geometry as g
+from regionspark.functions.edit_distance import edit_distance
 from regionspark.functions.text import boundaries_are_graphemes
 
 
@@ -47,9 +48,8 @@ def match_greedily(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def character_errors(expected: Column, found: Column) -> Column:
-    """Edit distance; an unmatched text costs its length, one at least. Texts that are alike are compared in a narrow
-    band, whose cost grows with their length; only others need the whole table."""
-    distance = F.when(expected == found, 0).otherwise(g.let(F.levenshtein(expected, found, 64), lambda near: F.when(near >= 0, near).otherwise(F.levenshtein(expected, found))))
+    """Edit distance; an unmatched text costs its length, one at least. Equal texts do not leave the JVM."""
+    distance = F.when(expected == found, 0).otherwise(edit_distance(F.when(expected != found, expected), found))
     return F.when(found.isNull(), F.greatest(F.lit(1), F.length(expected))).otherwise(distance)
 
 
