@@ -73,13 +73,19 @@ def a5(spark, d):
     return regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.size(t.graphemes(F.col("text"))).cast("long").alias("n_graphemes"))
 
 
-@query("a5_grapheme_bounds", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents) SELECT doc_id, seq::INT AS seq, length(s) >= 0 AS ends_ok, length(s) < 0 AS inside_ok FROM l")
+_FLAGS = "\U0001F1E9\U0001F1EA\U0001F1EB\U0001F1F7\U0001F1EA"  # two flags and half of a third
+
+
+@query("a5_grapheme_bounds", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents), n AS (SELECT doc_id, seq::INT AS seq, length(s) AS n FROM l)
+SELECT doc_id, seq, n + 5 AS n_ends, concat_ws(',', 1, n + 3, n + 5, n + 8, n + 9) AS inside, n >= 0 AS ends_ok, n < 0 AS flag_cut_ok, n < 0 AS past_ok FROM n""")
 def a5_bounds(spark, d):
-    """Lines between two graphemes of several characters: places at their ends and places inside them."""
-    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.concat(F.lit("e\u0301"), F.translate("text", "\r", " "), F.lit("\U0001F469\u200D\U0001F4BB")).alias("text"))
-    n = F.length("text")
-    inside = [t.boundaries_are_graphemes(F.col("text"), F.array(b)) for b in (F.lit(1), n - 1, n - 2)]
-    return rows.select("doc_id", "seq", t.boundaries_are_graphemes(F.col("text"), F.array(F.lit(0), F.lit(2), n - 3, n)).alias("ends_ok"), (inside[0] | inside[1] | inside[2]).alias("inside_ok"))
+    """Lines between graphemes of several characters: all places of each line, and bounds at all ends, inside a flag, past the end."""
+    rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.concat(F.lit("e\u0301"), F.translate("text", "\r", " "), F.lit(_FLAGS), F.lit("\U0001F469\u200D\U0001F4BB")).alias("text"))
+    text, n = F.col("text"), F.length("text")
+    inside = F.array_join(F.array_compact(F.transform(t.grapheme_marks(text), lambda mark, i: F.when(mark == "0", (i + 1).cast("string")))), ",")
+    ends = t.grapheme_ends(text)
+    ok = [t.boundaries_are_graphemes(text, bounds) for bounds in (F.concat(F.array(F.lit(0)), ends), F.array(F.lit(0), n - 5), F.array(n + 1))]
+    return rows.select("doc_id", "seq", F.size(ends).cast("long").alias("n_ends"), inside.alias("inside"), ok[0].alias("ends_ok"), ok[1].alias("flag_cut_ok"), ok[2].alias("past_ok"))
 
 
 _GLOSSARY = [("the", "LE"), ("and the", "ET LE"), ("of", "DE")]

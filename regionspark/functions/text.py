@@ -76,18 +76,23 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\X"), 0)
 
 
+def grapheme_marks(text: Column) -> Column:
+    """A5: for each code point '1' if a grapheme ends after it, else '0'. One scan of the text, in time of its length; flags
+    pair their regional indicators from the first of a run on."""
+    marks = F.transform(graphemes(text), lambda g: F.concat(F.repeat(F.lit("0"), F.length(g) - 1), F.lit("1")))
+    return F.when(F.length(text) > 0, F.split(F.array_join(marks, ""), "")).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+
+
 def grapheme_ends(text: Column) -> Column:
     """A5: offsets (code points) at which a grapheme ends."""
-    step = lambda acc, g: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(g)))
-    return F.aggregate(graphemes(text), F.array().cast("array<int>"), step)
+    return F.array_compact(F.transform(grapheme_marks(text), lambda mark, i: F.when(mark == "1", i + 1)))
 
 
 def boundaries_are_graphemes(text: Column, bounds: Column) -> Column:
-    """A5: whether all bounds (array of int) are grapheme boundaries of the text: a cut inside a grapheme makes two of it.
-    One scan of the text a bound."""
-    n = lambda x: F.size(graphemes(x))
-    cut = lambda b: n(F.substring(text, F.lit(1), b)) + n(F.substring(text, b + 1, F.length(text)))
-    return let(n(text), lambda whole: F.forall(bounds, lambda b: (b == 0) | ((b > 0) & (b <= F.length(text)) & (cut(b) == whole))))
+    """A5: whether all bounds (array of int) are grapheme boundaries of the text: 0 or the end of a grapheme. The marks are
+    made once a text and looked up, so many bounds cost no more scans."""
+    at = lambda marks: F.forall(bounds, lambda b: (b == 0) | (b > 0) & F.coalesce(F.get(marks, b - 1) == "1", F.lit(False)))
+    return let(grapheme_marks(text), at)
 
 
 def glossary_translate(masked: Column, target: str, glossary: list[tuple[str, str]]) -> Column:

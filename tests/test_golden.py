@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ def one(df):
     return df.collect()[0]
 
 
+def test_grapheme_bounds(spark):
+    import regex
+
+    flags = "\U0001F1E9\U0001F1EA\U0001F1EB"
+    assert one(spark.createDataFrame([(flags,)], "x string").select(t.grapheme_ends(F.col("x")), t.boundaries_are_graphemes(F.col("x"), F.array(F.lit(1))), t.boundaries_are_graphemes(F.col("x"), F.array(F.lit(0), F.lit(2), F.lit(3)))))[:] == ([2, 3], False, True)
+    rng, letters = random.Random(6), ["a", "e\u0301", "\u0301", "\u200d", "\U0001F469", "\U0001F4BB", *flags, "\U0001F3FD", "각", "\u1100", "\u1161", "กำ", "\r", "\n", "\r\n", "नि", " "]
+    texts = ["", None, "a" * 5000, *("".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    every = F.when(F.col("x").isNotNull(), F.transform(F.sequence(F.lit(-1), F.length("x") + 1), lambda b: t.boundaries_are_graphemes(F.col("x"), F.array(b))))
+    for r in df.select("x", t.grapheme_ends(F.col("x")).alias("ends"), every.alias("ok")).collect():
+        assert r.ends == (None if r.x is None else [m.end() for m in regex.finditer(r"\X", r.x)])
+        assert r.ok == (None if r.x is None else [b in {0, *r.ends} for b in range(-1, len(r.x) + 2)])
+
+
 def test_protect_and_restore(spark):
     df = spark.createDataFrame([("ACME X100 SKU-AB12 visit https://example.com/p/99 save 25%",), ("SKU-X100 https://shop.example.com/X200",), ("SKU-AB12 25%",)], "text string")
     rows = units.prepare(df, ["ACME"]).withColumn("back", s.restore_text(F.col("masked"), F.col("spans"))).withColumn("full", s.fully_protected(F.col("masked"))).collect()
