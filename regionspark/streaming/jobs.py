@@ -22,12 +22,14 @@ State = dict
 #: Largest state that a key keeps is bounded by the fold: the limiter holds at most `limit` times, the others a few values.
 
 
-def limiter(limit: int, window_s: float) -> Callable[[State, dict], dict]:
-    """Sliding log; a request is allowed iff fewer than `limit` allowed ones lie in (t - window, t]."""
+def scoped_limiter(policies: dict[str, tuple[int, float]]) -> Callable[[State, dict], dict]:
+    """Sliding log with the limit and window of the row's scope; a request is allowed iff fewer than `limit` allowed ones
+    lie in (t - window, t]."""
 
     def fold(state: State, row: dict) -> dict:
+        limit, window = policies[row["scope"]]
         t = row["ts"].timestamp()
-        kept = [x for x in state.get("allowed", []) if x > t - window_s]
+        kept = [x for x in state.get("allowed", []) if x > t - window]
         ok = len(kept) < limit
         state["allowed"] = kept + [t] if ok else kept
         return {"id": row["id"], "allowed": ok}
@@ -35,6 +37,12 @@ def limiter(limit: int, window_s: float) -> Callable[[State, dict], dict]:
     return fold
 
 
+def limiter(limit: int, window_s: float) -> Callable[[State, dict], dict]:
+    """X1 with one limit for all scopes."""
+    fold = scoped_limiter({"": (limit, window_s)})
+    return lambda state, row: fold(state, row | {"scope": ""})
+
+
 def progress(state: State, row: dict) -> dict:
     """Counts after each update; an older seq of an item changes nothing."""
     items, counts = state.setdefault("items", {}), state.setdefault("counts", {})
