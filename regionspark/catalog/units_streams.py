@@ -11,7 +11,7 @@ from regionspark.functions import geometry as g
 from regionspark.functions import spans as s
 from regionspark.functions.text import collapse
 from regionspark.operators import batch as b
-from regionspark.operators import routing
+from regionspark.operators import registry, routing
 from regionspark.plans import units as u
 from regionspark.session import shared_dir
 from regionspark.sources import scans
@@ -210,6 +210,22 @@ def x1(spark, d):
     return jobs.batch(rows, ["scope", "identity"], jobs.limiter(2, 432000.0), "scope string, identity long, id long, allowed boolean")
 
 
+_POLICIES = {scope: (n // 10, w * 7200.0) for scope, n, w in dims.RATE_POLICIES}  # the users' events are days apart
+_SCOPE = [f"'{s}'" for s in _POLICIES]
+
+
+@query("x1_limits_by_scope", f"""WITH RECURSIVE {dims.values_sql("policies", "scope, max_requests, window_s", [(s, n, w) for s, (n, w) in _POLICIES.items()])},
+e AS (SELECT p.*, user_id AS identity, event_id AS id, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY scope, user_id ORDER BY ts, event_id) AS k FROM events JOIN policies p ON p.scope = [{', '.join(_SCOPE)}][user_id % 6 + 1]),
+r AS (SELECT scope, identity, id, k, TRUE AS allowed, [t] AS kept FROM e WHERE k = 1 UNION ALL
+SELECT scope, identity, id, k, len(w) < max_requests, CASE WHEN len(w) < max_requests THEN list_append(w, t) ELSE w END FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.t - window_s) AS w FROM r JOIN e ON e.scope = r.scope AND e.identity = r.identity AND e.k = r.k + 1))
+SELECT scope, identity, id, allowed FROM r""")
+def x1_scopes(spark, d):
+    """The limiter with the limit and window of each scope."""
+    scope = F.expr(f"array({', '.join(_SCOPE)})[CAST(user_id % 6 AS INT)]")
+    rows = table(spark, d, "events").select(scope.alias("scope"), F.col("user_id").alias("identity"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.batch(rows, ["scope", "identity"], jobs.scoped_limiter(_POLICIES), "scope string, identity long, id long, allowed boolean")
+
+
 @query("x2_batch_progress", """WITH e AS (SELECT user_id AS batch_id, event_id AS id, event_id % 10 AS item, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'running' END AS status, ts FROM events),
 l AS (SELECT batch_id, item, arg_max(status, id) AS status FROM e GROUP BY ALL) SELECT batch_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM l GROUP BY batch_id""")
 def x2(spark, d):
@@ -225,14 +241,14 @@ SELECT job_id, id, o > 0 OR (event = 'advance' AND NOT coalesce(stage = ['ocr',
 def x3(spark, d):
     stage = F.get(F.array(*[F.lit(x) for x in dims.STAGES]), (F.col("event_id") % 5).cast("int"))
     rows = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "complete").otherwise("advance").alias("event"), stage.alias("stage"))
-    return jobs.batch(rows, ["job_id"], jobs.stages, "job_id long, id long, violation boolean")
+    return b.stage_monitor(rows, ["job_id"], ["ts", "id"]).select("job_id", "id", "violation")
 
 
 @query("x4_activation_binder", """WITH a AS (SELECT o_custkey AS code, o_orderkey AS id, 'd' || o_orderkey % 3 AS device, (o_custkey % 900 + 1)::INT AS days, o_orderdate AS ts FROM orders), f AS (SELECT code, min((ts, id, device, days)) AS m FROM a GROUP BY code)
 SELECT a.code, a.id, CASE WHEN device <> m[3] THEN 'device_mismatch' WHEN m[1] + to_days(m[4]) <= ts THEN 'code_expired' ELSE 'ok' END AS outcome FROM a JOIN f USING (code)""")
 def x4(spark, d):
     rows = table(spark, d, "orders").selectExpr("o_custkey AS code", "o_orderkey AS id", "'d' || o_orderkey % 3 AS device", "CAST(o_custkey % 900 + 1 AS INT) AS days", "CAST(o_orderdate AS TIMESTAMP) AS ts", "'activate' AS event")
-    return jobs.batch(rows, ["code"], jobs.binder, "code long, id long, outcome string")
+    return registry.binder_outcomes(rows)
 
 
 @query("p14_edit_log_replay")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from regionspark import dims
+from regionspark.plans import automata
 
 
 def counts_by_status(units: DataFrame, key: str = "image_id") -> DataFrame:
@@ -28,16 +29,18 @@ def latest_state(log: DataFrame) -> DataFrame:
     return log.groupBy("batch_id", "item_id").agg(F.max_by(F.struct("status", "seq"), "seq").alias("m")).select("batch_id", "item_id", F.col("m.status").alias("status"), F.col("m.seq").alias("seq"))
 
 
+def stage_monitor(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Events with `violation`: the n-th advance must name the n-th stage, complete needs all five, and nothing may
+    follow a terminal event. An automaton over each key's rows; a key with very many rows is split over tasks."""
+    symbol = automata.stage_symbol(F.col("event"), F.col("stage"), dims.STAGES)
+    rows = automata.states_before(events, keys, order, symbol, automata.stage_machine(dims.STAGES), out="_state")
+    return rows.withColumn("violation", automata.stage_broken(F.col("_state"), symbol, dims.STAGES)).drop("_state")
+
+
 def stage_violations(events: DataFrame) -> DataFrame:
-    """W7 on (job_id, seq, event, stage): the n-th advance must name the n-th stage, complete needs all five, and nothing
-    may follow a terminal event. (job_id, valid, n_violations)."""
-    w = W.partitionBy("job_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    n = F.sum((F.col("event") == "advance").cast("int")).over(w)
-    over = F.sum(F.col("event").isin("complete", "cancel", "fail").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    expected = F.get(F.array(*[F.lit(s) for s in dims.STAGES]), F.col("_n") - 1)
-    rows = events.withColumn("_n", n).withColumn("_over", F.coalesce(over, F.lit(0)))
-    bad = (F.col("_over") > 0) | ((F.col("event") == "advance") & ~F.coalesce(F.col("stage") == expected, F.lit(False))) | ((F.col("event") == "complete") & (F.col("_n") != len(dims.STAGES)))
-    return rows.groupBy("job_id").agg((~F.bool_or(bad)).alias("valid"), F.count_if(bad).alias("n_violations"))
+    """W7 on (job_id, seq, event, stage): (job_id, valid, n_violations); combined before the shuffle."""
+    rows = stage_monitor(events.select("job_id", "seq", "event", "stage"), ["job_id"], ["seq"])
+    return rows.groupBy("job_id").agg((~F.bool_or("violation")).alias("valid"), F.count_if("violation").alias("n_violations"))
 
 
 def unique_names(items: DataFrame, existing: DataFrame, suffix: str) -> DataFrame:

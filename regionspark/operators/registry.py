@@ -103,6 +103,22 @@ def activation_outcomes(attempts: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.select(*attempts.columns, outcome.alias("outcome"))
 
 
+def binder_outcomes(log: DataFrame) -> DataFrame:
+    """X4 on a log (code, id, ts, event activate or disable, device, days), in (ts, id) order: (code, id, outcome).
+
+    The first activation binds its device unless the code was disabled before it, and a disable refuses all that follows; so a
+    code's state is two least rows, combined before the shuffle, and a code with very many rows is split by the skew join."""
+    rows = log.select("code", "id", "ts", "event", "device", "days").withColumn("_at", F.struct("ts", "id"))
+    first = F.min_by(F.struct("device", (F.col("ts") + F.make_dt_interval(days="days")).alias("expires")), F.when(F.col("event") != "disable", F.col("_at")))
+    state = rows.groupBy(F.col("code").alias("_c")).agg(first.alias("_first"), F.min(F.when(F.col("event") == "disable", F.col("_at"))).alias("_off"))
+    rows = rows.join(state, F.col("code").eqNullSafe(F.col("_c")))
+    outcome = (
+        F.when(F.col("event") == "disable", "disabled").when(F.col("_off") < F.col("_at"), "code_disabled")
+        .when(~F.col("_first.device").eqNullSafe(F.col("device")), "device_mismatch").when(F.col("_first.expires") <= F.col("ts"), "code_expired").otherwise("ok")
+    )
+    return rows.select("code", "id", outcome.alias("outcome"))
+
+
 def code_status(disabled: Column, device: Column, expires_at: Column, now: Column) -> Column:
     """P11."""
     return F.when(disabled, "disabled").when(expires_at <= now, "expired").when(device.isNotNull(), "active").otherwise("unbound")
