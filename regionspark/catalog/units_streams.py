@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from regionspark import dims
+from regionspark.functions import dictionary
 from regionspark.functions import geometry as g
 from regionspark.functions import spans as s
 from regionspark.functions.text import collapse
@@ -61,6 +62,36 @@ def a25(spark, d):
     return rows.select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 'brand'").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+_TERMS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term FROM benchmark"
+
+
+def _terms(spark, d):
+    """Every word of the benchmark's texts, as it is written there."""
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("term")).distinct()
+
+
+@query("a25_brand_table", f"""WITH b AS ({_TERMS}), w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, count(*) AS n_terms, sum(n)::BIGINT AS n_matches FROM n JOIN b ON lower(term) = w GROUP BY doc_id""")
+def a25_table(spark, d):
+    """The terms of a table, each with all its own matches."""
+    found = dictionary.term_matches(table(spark, d, "documents"), ["doc_id"], "text", _terms(spark, d))
+    return found.groupBy("doc_id").agg(F.countDistinct("term").alias("n_terms"), F.count("*").alias("n_matches"))
+
+
+@query("b10_needle_table", f"WITH n AS ({_TERMS}) SELECT page_id, term FROM pages JOIN n ON contains(html, term)")
+def b10_table(spark, d):
+    return dictionary.holds(table(spark, d, "pages"), ["page_id"], "html", _terms(spark, d))
+
+
+@query("a6_glossary_table", f"""WITH b AS ({_TERMS}), m AS (SELECT map_from_entries(list((k, v))) AS m FROM (SELECT lower(term) AS k, '#' || min(length(term)) || '#' AS v FROM b GROUP BY 1)),
+x AS (SELECT doc_id, ' ' || regexp_replace(text, '[^A-Za-z]', ' ', 'g') || ' ' AS s FROM documents), r AS (SELECT doc_id, s, array_to_string(list_transform(string_split(s, ' '), lambda w: coalesce(m[lower(w)], w)), ' ') AS r FROM x, m)
+SELECT doc_id, CASE WHEN r <> s THEN r ELSE '【模拟 fr】' || s END AS translated FROM r""")
+def a6_table(spark, d):
+    plain = F.concat(F.lit(" "), F.regexp_replace("text", "[^A-Za-z]", " "), F.lit(" "))
+    glossary = _terms(spark, d).select(F.col("term").alias("source"), F.concat(F.lit("#"), F.length("term"), F.lit("#")).alias("to"))
+    return table(spark, d, "documents").select("doc_id", dictionary.translate_by_glossary(plain, "fr", glossary).alias("translated"))
+
+
 @query("a26_brand_fragments", """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS t FROM part), n AS (SELECT DISTINCT t FROM w), b AS (SELECT DISTINCT p_name AS brand FROM part),
 k AS (SELECT brand, lower(regexp_replace(brand, '[^\\p{L}\\p{N}]', '', 'g')) AS k FROM b), h AS (SELECT t, brand FROM n JOIN k ON length(lower(t)) >= 3 AND length(lower(t)) < length(k) AND contains(k, lower(t))) SELECT t, brand, count(*) AS n FROM w JOIN h USING (t) GROUP BY ALL""")
 def a26(spark, d):

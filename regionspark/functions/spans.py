@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regionspark.functions.dictionary import Dictionary
+
 # What is protected, in order of precedence.
 RULES = (
     ("url", re.compile(r"https?://[^\s]+|www\.[^\s]+|\b(?:[A-Za-z0-9-]+\.)+(?:com|net|org|cn|io|co|shop)\b(?:/[^\s]*)?", re.I)),
@@ -24,27 +26,19 @@ SPAN = "start int, end int, text string, kind string, ord int"
 _SPANS = f"array<struct<{','.join(x.replace(' ', ':') for x in SPAN.split(', '))}>>"
 
 
-def _brand_rule(terms: list[str]) -> re.Pattern:
-    """All brands at once, the longest at each place; a brand of ASCII stands alone, others may touch what is around them."""
-    alone, any_place = [re.escape(b) for b in terms if b.isascii()], [re.escape(b) for b in terms if not b.isascii()]
-    kinds = [*([rf"(?<![A-Za-z0-9_])(?:{'|'.join(alone)})(?![A-Za-z0-9_])"] if alone else []), *any_place]
-    return re.compile(f"(?=({'|'.join(kinds)}))", re.I)
-
-
 def find_spans(df: DataFrame, text: str, brands: list[str] | None = None, out: str = "candidates") -> DataFrame:
-    """Df with `out`, an array of candidate spans (offsets in code points, kind, ord: rule order). brands are a
-    parameter list; whole texts that are a part of a brand (A26) count. Texts that cannot match (no digit, dot, www or
+    """Df with `out`, an array of candidate spans (offsets in code points, kind, ord: rule order); every brand
+    gives its own ones. brands are a parameter list (term_matches takes a table); whole texts that are a part of a brand (A26) count. Texts that cannot match (no digit, dot, www or
     brand) go to Python as nulls."""
     terms = sorted({b.strip() for b in brands or () if b.strip()}, key=lambda b: (-len(b), b))
-    brand = _brand_rule(terms) if terms else None
 
     @F.pandas_udf(_SPANS)
     def spans(texts: pd.Series) -> pd.Series:
-        rows = []
+        rows, words = [], Dictionary(terms, "brand")
         for t in texts:
             found = [] if t is None else [{"start": m.start(), "end": m.end(), "text": m.group(), "kind": k, "ord": i} for i, (k, p) in enumerate(RULES) for m in p.finditer(t)]
-            if t and brand:
-                found += [{"start": m.start(1), "end": m.end(1), "text": m[1], "kind": "brand", "ord": len(RULES)} for m in brand.finditer(t)]
+            if t and terms:
+                found += [{"start": a, "end": b, "text": t[a:b], "kind": "brand", "ord": len(RULES)} for a, b, _ in words.find(t)]
             rows.append(found)
         return pd.Series(rows)
 
