@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from regionspark import dims
 from regionspark.functions import geometry as g
 from regionspark.functions.text import strip
+from regionspark.plans import boxes
+from regionspark.session import written
 
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
 #: Labels and patterns of credentials.
@@ -42,24 +44,23 @@ def confidence_status(df: DataFrame, confidence: str, text: str, threshold: floa
 def accept_refinement(regions: DataFrame) -> DataFrame:
     """A23 on regions (image_id, seq, text, confidence, polygon, candidate, candidate_confidence, width, height): accepted
     if the candidate contains the text with one or two more characters, loses at most 0.005 confidence and its grown
-    polygon covers no other region of the image more than before (by over one pixel). Neighbours are looked up by image
-    and by 200-pixel strips, so a long image does not pair all its regions."""
+    polygon covers no other region of the image more than before (by over one pixel).
+
+    Candidates are grown once and written; grown boxes meet their neighbours in cells that are cut where regions are dense.
+    Only the blocked ones, few as a rule, are joined back; Spark broadcasts them if they are small enough."""
     at = F.instr("candidate", F.col("text")) - 1
     extra = F.length("candidate") - F.length("text")
     ok = (F.length("candidate") > 0) & (at >= 0) & extra.between(1, 2) & (F.col("candidate_confidence") + 0.005 >= F.col("confidence"))
     grown = g.extend_quad(F.col("polygon"), at, extra - at, F.greatest(F.lit(1), F.length("text")), F.col("width"), F.col("height"))
-    both = g.let(F.when(ok, grown), lambda q: F.struct(q.alias("polygon"), g.bbox(q).alias("box")))  # one evaluation for polygon and box
-    strips = lambda b: F.sequence(F.floor(b["min_y"] / 200).cast("int"), F.floor(b["max_y"] / 200).cast("int"))
-    boxed = g.let(g.bbox(F.col("polygon")), lambda b: F.struct(b.alias("box"), strips(b).alias("strips")))
-    b = regions.select("image_id", F.col("seq").alias("_s"), boxed.alias("o")).select("image_id", "_s", F.col("o.box").alias("_b"), F.explode("o.strips").alias("strip"))
-    new = regions.where(ok).select("image_id", "seq", g.bbox(F.col("polygon")).alias("_old"), both.alias("n")).select("image_id", "seq", "_old", F.col("n.box").alias("_new"))
-    a = new.select("image_id", "seq", "_old", "_new", F.explode(strips(F.col("_new"))).alias("strip"))
-    hit = a.join(b, ["image_id", "strip"]).where("seq <> _s").where(g.overlap_area(F.col("_new"), F.col("_b")) > g.overlap_area(F.col("_old"), F.col("_b")) + 1)
-    blocked = hit.select("image_id", "seq").distinct().withColumn("_blocked", F.lit(True))
-    rows = regions.join(blocked, ["image_id", "seq"], "left").withColumn("_grown", F.when(ok & F.col("_blocked").isNull(), grown))
-    accepted = F.col("_grown").isNotNull()
-    after = {"text": "candidate", "confidence": "candidate_confidence", "polygon": "_grown"}
-    return rows.select(*[F.when(accepted, F.col(after[c])).otherwise(F.col(c)).alias(c) if c in after else F.col(c) for c in regions.columns], accepted.alias("accepted"))
+    rows = written(regions.select(F.struct(*[F.col(f"`{c}`") for c in regions.columns]).alias("row"), F.when(ok, grown).alias("grown")))
+    sides = rows.select("row.image_id", F.struct("row.seq", g.bbox(F.col("row.polygon")).alias("old")).alias("own"), F.when(F.col("grown").isNotNull(), g.bbox(F.col("grown"))).alias("new"))
+    hit = boxes.overlapping(sides.where("new is not null"), sides.withColumn("box", F.col("own.old")), ["image_id"], ("own", "own"), ("new", "box"))
+    more = g.overlap_area(F.col("left_box"), F.col("right_box")) > g.overlap_area(F.col("left.old"), F.col("right_box")) + 1
+    blocked = hit.where(F.col("left.seq") != F.col("right.seq")).where(more).select(F.col("image_id").alias("_i"), F.col("left.seq").alias("_s")).distinct().withColumn("_blocked", F.lit(True))
+    rows = rows.join(blocked, (F.col("row.image_id") == F.col("_i")) & (F.col("row.seq") == F.col("_s")), "left")
+    accepted = F.col("grown").isNotNull() & F.col("_blocked").isNull()
+    after = {"text": "row.candidate", "confidence": "row.candidate_confidence", "polygon": "grown"}
+    return rows.select(*[F.when(accepted, F.col(after[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in after else F.col(f"row.`{c}`") for c in regions.columns], accepted.alias("accepted"))
 
 
 def check_image_limits(images: DataFrame, limits: DataFrame) -> DataFrame:

@@ -10,17 +10,17 @@ from pyspark.sql import types as T
 from regionspark.functions import geometry as g
 from regionspark.functions.edit_distance import edit_distance
 from regionspark.functions.text import boundaries_are_graphemes
+from regionspark.plans import boxes
 
 
-def score_pairs(expected: DataFrame, predicted: DataFrame, strip: int = 200) -> DataFrame:
-    """J13 on (sample_id, seq, polygon): overlapping expected and predicted regions of a sample with their IoU. Only pairs
-    that share a strip of `strip` pixels are compared, so a long sample does not pair all its regions."""
-    strips = F.sequence(F.floor(F.col("b.min_y") / strip).cast("int"), F.floor(F.col("b.max_y") / strip).cast("int"))
-    side = lambda df, n: df.withColumn("b", g.bbox(F.col("polygon"))).select("sample_id", F.col("seq").alias(f"seq_{n}"), F.col("b").alias(f"b_{n}"), F.explode(strips).alias("strip"))
-    pairs = side(expected, "e").join(side(predicted, "p"), ["sample_id", "strip"])
-    # a pair is taken in the strip of the lower of its two upper edges only
-    first = F.floor(F.greatest("b_e.min_y", "b_p.min_y") / strip).cast("int")
-    return pairs.where(F.col("strip") == first).withColumn("iou", g.bbox_iou(F.col("b_e"), F.col("b_p"))).where("iou > 0").select("sample_id", "seq_e", "seq_p", "iou")
+def score_pairs(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """J13 on (sample_id, seq, polygon): overlapping expected and predicted regions of a sample with their IoU. Pairs are
+    found in cells that are cut where regions are dense, so neither a long nor a crowded sample pairs all its regions."""
+    side = lambda df: df.select("sample_id", F.col("seq").cast("long").alias("seq"), g.bbox(F.col("polygon")).alias("box"))
+    pairs = boxes.overlapping(side(expected), side(predicted), ["sample_id"], ("seq", "seq"))
+    types = [df.schema["seq"].dataType for df in (expected, predicted)]
+    out = pairs.select("sample_id", F.col("left").cast(types[0]).alias("seq_e"), F.col("right").cast(types[1]).alias("seq_p"), g.bbox_iou(F.col("left_box"), F.col("right_box")).alias("iou"))
+    return out.where("iou > 0")
 
 
 def match_greedily(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:

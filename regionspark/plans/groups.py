@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from regionspark.functions import geometry as g
+from regionspark.plans import boxes
 from regionspark.session import shared_dir
 
 
@@ -42,14 +43,20 @@ def mask_bounds(erased: DataFrame) -> DataFrame:
     return p.groupBy("image_id").agg(F.min("p.x").alias("min_x"), F.min("p.y").alias("min_y"), F.max("p.x").alias("max_x"), F.max("p.y").alias("max_y"))
 
 
-def visual_pairs(layers: DataFrame, strip: float = 400.0) -> DataFrame:
+#: Half width and height of a layer's reach, in its heights: two layers that look alike differ in height by a factor of 1.3
+#: at most, so their reaches overlap where their centres are within the limits of visual_pairs.
+REACH_X, REACH_Y = 0.37, 1.21
+
+
+def visual_pairs(layers: DataFrame) -> DataFrame:
     """J14 on layers (image_id, seq, box struct, font_family, r, g, b, bg_r, bg_g, bg_b, chroma, texture, has_path): pairs (a < b)
-    that look alike. Pairs meet by image, font and strip of height, so an image's layers are not all paired."""
-    reach = F.sequence(F.floor((F.col("box.center_y") - F.col("box.height") * 1.8) / strip).cast("int"), F.floor((F.col("box.center_y") + F.col("box.height") * 1.8) / strip).cast("int"))
-    rows = layers.where("not has_path")
-    a = rows.select("image_id", "font_family", F.explode(reach).alias("strip"), F.struct("seq", "box", "r", "g", "b", "bg_r", "bg_g", "bg_b", "chroma", "texture").alias("a"))
-    c = a.withColumnRenamed("a", "c")
-    A, C = F.col("a"), F.col("c")
+    that look alike. Pairs meet by image and font where their reaches overlap, in cells that are cut where layers are dense."""
+    b, seq = F.col("box"), layers.schema["seq"].dataType
+    reach = F.struct((b["center_x"] - b["height"] * REACH_X).alias("min_x"), (b["center_y"] - b["height"] * REACH_Y).alias("min_y"), (b["center_x"] + b["height"] * REACH_X).alias("max_x"), (b["center_y"] + b["height"] * REACH_Y).alias("max_y"))
+    look = F.struct("seq", "box", "r", "g", "b", "bg_r", "bg_g", "bg_b", "chroma", "texture")
+    rows = layers.where("not has_path").select("image_id", "font_family", look.alias("look"), reach.alias("reach"))
+    pairs = boxes.overlapping(rows, rows, ["image_id", "font_family"], ("look", "look"), ("reach", "reach"))
+    A, C = F.col("left"), F.col("right")
     ah, ch = A["box"]["height"], C["box"]["height"]
     low, high = F.least(ah, ch), F.greatest(ah, ch)
     turn = lambda x: F.abs(x["box"]["rotation_degrees"])
@@ -60,7 +67,7 @@ def visual_pairs(layers: DataFrame, strip: float = 400.0) -> DataFrame:
         (A["seq"] < C["seq"]) & (high <= low * 1.3) & (turn(A) <= 3) & (turn(C) <= 3) & (F.abs(A["box"]["rotation_degrees"] - C["box"]["rotation_degrees"]) <= 3) & (F.abs(A["box"]["center_x"] - C["box"]["center_x"]) <= high * 0.65)
         & (gap >= -0.35 * low) & (gap <= high * 1.25) & (dist(["r", "g", "b"]) <= 25) & (F.abs(A["texture"] - C["texture"]) <= 35) & ((ground <= 35) | ((A["chroma"] <= 25) & (C["chroma"] <= 25) & (ground <= 60)))
     )
-    return a.join(c, ["image_id", "font_family", "strip"]).where(alike).select("image_id", A["seq"].alias("a"), C["seq"].alias("b")).distinct()
+    return pairs.where(alike).select("image_id", A["seq"].cast(seq).alias("a"), C["seq"].cast(seq).alias("b")).distinct()
 
 
 def visual_groups(layers: DataFrame, pairs: DataFrame) -> DataFrame:
