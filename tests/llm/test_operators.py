@@ -498,12 +498,41 @@ def test_html_weights_decide(spark):
     marked = [page(rng.choice(["article", "main"])) for _ in range(40)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(marked)], "page_id long, html string")
     weights = html_extraction.learn(df)
-    assert weights.odds[".zork"] < 0 and weights.cost["p"] <= 1 and html_extraction.Weights().odds.get(".zork") is None
+    assert weights.score["div"] < weights.score["p"] < 0 < weights.score["w"]
     plain = page("")
     want = "\n".join(re.findall("<p>([^<]*)</p>", plain)[1:3])
     assert html_extraction.article(plain, weights) == want != html_extraction.article(plain, html_extraction.Weights())
-    other = weights.odds | {".zork": 3.0, ".frumious": -6.0}
-    assert html_extraction.article(plain, html_extraction.Weights(other, weights.cost)) != want
+    other = weights.score | {"div": -0.01, "a": -0.01}
+    assert html_extraction.article(plain, html_extraction.Weights(other)) != want
+
+
+def test_html_region_and_costs_decide(spark, monkeypatch):
+    """On the given pages, without their marks and names too, the region finds the article; without it, or without the costs
+    of tags, or before learning, most pages come out otherwise."""
+    pages = common.load(spark, SF, "pages")
+    weights, texts = html_extraction.learn(pages), [r.html for r in pages.collect()]
+    want = [html_extraction.article(x, weights) for x in texts]
+    bare = [re.sub(r'</?article>|\s(?:class|id|role)="[^"]*"', "", x) for x in texts]
+    assert [html_extraction.article(x, weights) for x in bare] == want
+    free = html_extraction.Weights({k: v if k[:2] in ("w", "w@") else 0.0 for k, v in weights.score.items()})
+    for other in (free, html_extraction.Weights()):
+        assert sum(html_extraction.article(x, other) != w for x, w in zip(texts, want)) > 0.9 * len(texts)
+    monkeypatch.setattr(html_extraction, "best_region", lambda scores: (0, len(scores)))
+    assert sum(html_extraction.article(x, weights) != w for x, w in zip(texts, want)) > 0.9 * len(texts)
+
+
+def test_html_loses_no_text(spark):
+    """Wrappers with names of other things, pages in a form, lists of links in an article, elements that nothing closes."""
+    for weights in (html_extraction.Weights(), html_extraction.learn(common.load(spark, SF, "pages"))):
+        text = lambda page: html_extraction.article(page, weights)  # noqa: B023, E731
+        for wrap in ("<div class='page with-sidebar'>{}</div>", "<div class='ad-hoc-networks'>{}</div>", "<form id=aspnetForm><div>{}</div></form>", "<div class=sidebar>{}</div>", "<div class='page no-ads'>{}</div>"):
+            assert text(wrap.format("<p>a b c d e f g</p>")) == "a b c d e f g", wrap
+        for tag in ("svg", "canvas", "noscript", "select"):
+            assert text(f"<p>one two three four five</p><{tag}><p>six seven eight nine ten</p>") == "one two three four five\nsix seven eight nine ten", tag
+        assert text("<p>one two three</p><script>no more") == "one two three"
+        assert text("<article><p>x y z w</p><ul><li><a href=1>l1</a><li><a href=2>l2</a></ul><p>end of article here</p></article>") == "x y z w\nend of article here"
+        assert text("<main><p>one two three</p><div class=comments><p>" + "no " * 90 + "</p></div><footer>so long</footer></main>") == "one two three"
+    assert text("<p>" + "word " * 30 + "</p><div id=foot><p>Copyright 2020 All rights</p></div>") == " ".join(["word"] * 30)
 
 
 def test_html_without_marks(spark):
