@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from regionspark.llm.common import load, small_batches
 
-#: The sample of labelled rows: labels (those of most rows), documents a label, letters taken of each, letters a label and
-#: letters of all labels. Bounds the model.
-LABELS, DOCUMENTS, PER_DOCUMENT, LETTERS, ALL_LETTERS = 200, 200, 1000, 40_000, 400_000
+#: The sample of labelled rows: documents a label, letters taken of each, most and fewest letters a label, and letters of all
+#: labels between these two. Every label is learnt; more than LABELS of them are no languages, and an error.
+DOCUMENTS, PER_DOCUMENT, LETTERS, FEWEST, ALL_LETTERS, LABELS = 200, 1000, 40_000, 1000, 400_000, 5000
 #: Symbols that get a column in the table of next states; the others are looked up in a sorted list.
 COLUMNS = 48
 #: Long texts are parsed in windows of so many letters side by side; see _Parser.phrases.
@@ -74,22 +74,24 @@ def automaton(text: np.ndarray) -> np.ndarray:
     return np.array([(s, c, t) for s, own in enumerate(step) for c, t in own.items()], np.int32).reshape(-1, 3)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", labels: int = LABELS, documents: int = DOCUMENTS, per_document: int = PER_DOCUMENT, letters: int = LETTERS) -> list[tuple[str, int, bytes]]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", documents: int = DOCUMENTS, per_document: int = PER_DOCUMENT, letters: int = LETTERS) -> list[tuple[str, int, bytes]]:
     """A model per label: (label, letters learnt, packed transitions). Rows without text or label teach nothing.
 
-    The sample is bounded: the `labels` labels of most rows (ties by code point); of each the `documents` rows with the
-    lowest hashes of their key (a filter by hash that keeps about twice as many comes first, so no label gathers in one
-    task); of each row a span of per_document symbols from a place that its hash decides; `letters` in all, and fewer where
-    the labels together would pass ALL_LETTERS. What reaches the driver is bounded by 3 transitions a letter.
+    The sample is bounded: of each label the `documents` rows with the lowest hashes of their key (a filter by hash that
+    keeps about twice as many comes first, so no label gathers in one task); of each row a span of per_document symbols
+    from a place that its hash decides; `letters` a label, and fewer, but FEWEST at least, where the labels together would
+    pass ALL_LETTERS. What reaches the driver is bounded by 3 transitions a letter. More than LABELS labels raise an error.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("turn"))
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()
+    if len(top) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     counts = docs.sparkSession.createDataFrame(top, "lang string, n long")
     share = F.col("turn").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     some = rows.join(F.broadcast(counts), "lang").where(share * F.col("n") < 2 * documents + 20)
     first = F.row_number().over(W.partitionBy("lang").orderBy(share, "text"))
     some = some.withColumn("rank", first).where(F.col("rank") <= documents).select("lang", "rank", "turn", "text")
-    most = min(letters, ALL_LETTERS // max(len(top), 1))
+    most = min(letters, max(FEWEST, ALL_LETTERS // max(len(top), 1)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -158,8 +160,20 @@ class _Parser:
             entry[:, rare] = self._rare(state[:, rare].ravel(), np.tile(symbol[rare], len(state))).reshape(len(state), -1)
         return entry
 
+    def long_phrases(self, part: np.ndarray, lanes: int) -> np.ndarray:
+        """phrases() of one text, (models, 1), in stretches of `lanes` windows that hand on each model's state."""
+        total, came = np.zeros((len(self.roots), 1), np.int64), None
+        for k in range(0, len(part), lanes * WINDOW):
+            n, came = self.parsed([part[k : k + lanes * WINDOW]], came)
+            total += n
+        return total
+
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
-        """(models, texts): phrases of each text; a letter that a sample lacks ends one.
+        """(models, texts): phrases of each text; a letter that a sample lacks ends one."""
+        return self.parsed(parts)[0]
+
+    def parsed(self, parts: list[np.ndarray], begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """phrases(), and the state of each model after the last text. begun: the states in which the one text goes on.
 
         All windows are parsed at once as if a phrase began with each. Then each window but a text's first is parsed again
         from where the window before ends, up to the first place at which both parses begin a phrase, as they are one from
@@ -184,10 +198,12 @@ class _Parser:
             begins[k] = (entry >= _NEW) & live
         after = begins.sum(axis=0)  # phrases that begin inside a window, after its first letter's
         inner = np.ones(lanes, bool)
-        inner[first[:-1]] = False
+        inner[first[:-1]] = begun is not None
         lane = np.tile(np.flatnonzero(inner), models)
         model = np.repeat(np.arange(models), int(inner.sum()))
         came = state[model, lane - 1]
+        if begun is not None:
+            came[lane == 0] = begun
         count, met = np.zeros(len(lane), np.int64), np.full(len(lane), -1)
         on, own = np.arange(len(lane)), came.copy()
         for k in range(WINDOW):
@@ -206,9 +222,9 @@ class _Parser:
             both = new & (begins[k, model[on], lane[on]] if k else True)  # the fresh parse always begins at the first letter
             met[on[both]] = k
             on = on[~both]
-        total = np.ones((models, len(parts)), np.int64)
+        total = np.full((models, len(parts)), int(begun is None), np.int64)
         text = np.repeat(np.arange(len(parts)), cut)
-        np.add.at(total, (np.tile(np.arange(models)[:, None], len(parts)), np.arange(len(parts))[None, :]), after[:, first[:-1]])
+        np.add.at(total, (np.tile(np.arange(models)[:, None], len(parts)), np.arange(len(parts))[None, :]), after[:, first[:-1]] if begun is None else 0)
         so_far = np.cumsum(begins, axis=0, dtype=np.int16)
         value = count + np.where(met >= 0, after[model, lane] - so_far[met, model, lane], 0)
         lost = np.flatnonzero(met < 0)
@@ -227,7 +243,13 @@ class _Parser:
         place = {(int(m), int(x)): i for i, (m, x) in enumerate(zip(model, lane))} if fixed else {}
         for (m, at), (n, _) in fixed.items():
             total[m, text[at]] += n - int(value[place[m, at]])
-        return total
+        last = state[:, -1].copy()
+        for i in lost[lane[lost] == lanes - 1].tolist():
+            last[model[i]] = own[i]
+        for (m, at), (_, now) in fixed.items():
+            if at == lanes - 1:
+                last[m] = now if now >= 0 else state[m, -1]
+        return total, last
 
     def _one(self, symbols_: np.ndarray, state: int, begins: np.ndarray) -> tuple[int, int, bool]:
         """A window letter by letter from `state`: phrases that begin in it, the state at its end, whether it met the fresh parse."""
@@ -253,8 +275,8 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
 
     Bits per letter are phrases / letters of the text, times log2 of the letters that the largest model has learnt: a
     pointer costs the same in all models, so a label of a few letters does not win by cheap ones. The label with fewest
-    wins, ties go to the first by code point. Columns of these names are replaced, others stay. Whole texts are parsed in
-    one go; no shuffle.
+    wins, ties go to the first by code point. Columns of these names are replaced, others stay. Whole texts are parsed,
+    very long ones in stretches, so memory grows with neither their length nor the labels times it; no shuffle.
     """
     small_batches(docs.sparkSession)
     shared, mark = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
@@ -282,6 +304,10 @@ def identify(docs: DataFrame, models: list[tuple[str, int, bytes]], text: str =
             part = symbols(t)
             if not (part != 32).any():
                 continue
+            if -(-len(part) // WINDOW) * len(names) > 8 * LANES:  # a long text goes through in stretches
+                bits = own.long_phrases(part, max(1, 4 * LANES // len(names))) * pointer / len(part)
+                pred[i], score[i] = names[bits.argmin()], 1 / np.exp2(-SHARP * (bits - bits.min())).sum()
+                continue
             wait.append(part)
             rows.append(i)
             lanes += -(-len(part) // WINDOW)

@@ -448,8 +448,28 @@ def test_language_windows_and_large_alphabets(spark):
     part = language_id.symbols(text)
     seen, learnt = "".join(map(chr, part)), ["".join(wide), "".join(map(chr, language_id.symbols(sample)))]
     assert parser.phrases([part, part[:300]])[:, 0].tolist() == [_longest_matches(x, seen) for x in learnt]
-    many = spark.createDataFrame([(i, f"text number {'abcdefghij'[i % 10]} " * 5, f"l{i}") for i in range(450)], "doc_id long, text string, lang string")
-    assert len(language_id.fit(many)) == language_id.LABELS and language_id.identify(many, language_id.fit(many)).where("lang_pred <> 'und'").count() == 450
+    rng = random.Random(1)
+    own = {i: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for i in range(450)}
+    many = spark.createDataFrame([(2 * i + k, " ".join(rng.choice(own[i]) for _ in range(60)), f"l{i}") for i in own for k in range(2)], "doc_id long, text string, lang string")
+    models = language_id.fit(many.where("doc_id % 2 = 0"))
+    assert [m[0] for m in models] == sorted(f"l{i}" for i in own)
+    out = language_id.identify(many.where("doc_id % 2 = 1"), models)
+    assert out.where("lang = lang_pred").count() == 450
+
+
+def test_long_texts_in_stretches(spark):
+    """A text that goes through in stretches has the phrases of one that goes through at once, whatever the stretch."""
+    rng = random.Random(1)
+    learnt = [language_id.symbols("".join(rng.choice(al) for _ in range(n))) for al, n in (("abc de", 2000), ("abcdef g", 3000), ("xyz ", 900), ("abab c", 2500))]
+    parser = language_id._Parser([(str(i), len(x), language_id.automaton(x).tobytes()) for i, x in enumerate(learnt)])
+    for _ in range(25):
+        part = language_id.symbols("".join(rng.choice(rng.choice(["abc de", "abab", "xyz", "qabcé "])) for _ in range(rng.randint(1, 6000))))
+        for lanes in (1, 2, 5):
+            assert (parser.long_phrases(part, lanes) == parser.phrases([part])).all()
+    words = "der die und ist nicht " * 20, "the and of is not " * 20
+    df = spark.createDataFrame([(i, words[i % 2], "de" if i % 2 == 0 else "en") for i in range(8)], "doc_id long, text string, lang string")
+    long = spark.createDataFrame([(1, words[0] * 5000), (2, words[1] * 5000), (3, "1 2 3 " * 300_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identify(long, language_id.fit(df)).orderBy("doc_id").collect()] == ["de", "en", "und"]
 
 
 def test_threads(spark):
