@@ -132,9 +132,9 @@ def j1(spark, d):
     return r.route_profiles(table(spark, d, "documents").selectExpr("doc_id", "CASE doc_id % 6 WHEN 0 THEN 'bn' WHEN 1 THEN 'xx' WHEN 2 THEN 'ko' ELSE lang END AS lang"), "lang")
 
 
-@query("j2_coverage_matrix", "SELECT n_nationkey AS key, n_name, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) AS supported FROM nation")
+@query("j2_coverage_matrix", "SELECT k AS key, n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey * 7 % 50 = k) AS supported FROM (SELECT n_nationkey AS k, n_name FROM nation)")
 def j2(spark, d):
-    return r.coverage_matrix(table(spark, d, "nation").selectExpr("n_nationkey AS key", "n_name"), table(spark, d, "supplier").where("s_acctbal > 9000").selectExpr("s_nationkey AS key"), "key")
+    return r.coverage_matrix(table(spark, d, "nation").selectExpr("n_nationkey AS key", "n_name"), table(spark, d, "supplier").selectExpr("s_nationkey * 7 % 50 AS key"), "key")
 
 
 @query("j3_coverage_mismatch", f"WITH {dims.LANGUAGES_SQL}, f AS (SELECT DISTINCT CASE WHEN doc_id % 6 = 1 THEN 'xx' ELSE lang END AS k FROM documents) SELECT coalesce(language_code, k) AS language_code, CASE WHEN k IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM languages FULL JOIN f ON k = language_code WHERE k IS NULL OR language_code IS NULL")
@@ -214,9 +214,9 @@ def t3(spark, d):
     return r.top_candidates(queries, names)
 
 
-@query("u2_common_cases", "SELECT o_orderkey AS case_id FROM orders INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 25")
+@query("u2_common_cases", "SELECT o_orderkey AS case_id FROM orders INTERSECT SELECT l_orderkey + l_linenumber FROM lineitem")
 def u2(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey AS case_id").intersect(table(spark, d, "lineitem").where("l_quantity > 25").selectExpr("l_orderkey AS case_id"))
+    return table(spark, d, "orders").selectExpr("o_orderkey AS case_id").intersect(table(spark, d, "lineitem").selectExpr("l_orderkey + l_linenumber AS case_id"))
 
 
 @query("u3_union_branches", f"WITH {_UNITS_SQL} SELECT image_id, seq, status FROM units")

@@ -84,7 +84,7 @@ def g8(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), flags.alias("flags")).where(F.size("flags") > 0)
 
 
-_BK = "SELECT o_custkey % 700 AS case_id, count(*) AS line_count, max(o_orderpriority) AS directions FROM orders WHERE o_orderkey % {m} = 0 GROUP BY 1"
+_BK = "SELECT o_custkey % {m} AS case_id, count(*) AS line_count, max(o_orderpriority) AS directions FROM orders GROUP BY 1"
 
 
 def _layouts(spark, d):
@@ -102,11 +102,11 @@ def g9(spark, d):
     return e.layout_violations(_layouts(spark, d))
 
 
-@query("g10_comparison_report", f"""WITH a AS ({_BK.format(m=2)}), b AS ({_BK.format(m=37)}) SELECT count(*) AS common, count(*) FILTER (a.line_count = b.line_count) AS line_count_matches, count(*) FILTER (a.directions = b.directions) AS directions_matches,
+@query("g10_comparison_report", f"""WITH a AS ({_BK.format(m=700)}), b AS ({_BK.format(m=350)}) SELECT count(*) AS common, count(*) FILTER (a.line_count = b.line_count) AS line_count_matches, count(*) FILTER (a.directions = b.directions) AS directions_matches,
 (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, greatest((SELECT count(*) FROM a), (SELECT count(*) FROM b)) - count(*) AS missing_pairs FROM a JOIN b USING (case_id)""")
 def g10(spark, d):
-    side = lambda m: table(spark, d, "orders").where(f"o_orderkey % {m} = 0").groupBy(F.expr("o_custkey % 700").alias("case_id")).agg(F.count("*").alias("line_count"), F.max("o_orderpriority").alias("directions"))
-    return e.comparison_report(side(2), side(37), "case_id", ["line_count", "directions"])
+    side = lambda m: table(spark, d, "orders").groupBy(F.expr(f"o_custkey % {m}").alias("case_id")).agg(F.count("*").alias("line_count"), F.max("o_orderpriority").alias("directions"))
+    return e.comparison_report(side(700), side(350), "case_id", ["line_count", "directions"])
 
 
 @query("g11_evidence_gate", """WITH x AS (SELECT count(*) >= 100 AS enough, bool_and(l_quantity > 0) AS preserved, max(l_quantity) - min(l_quantity) <= 5 AS stable FROM lineitem)
@@ -125,6 +125,18 @@ def g12(spark, d):
     return e.layout_signature(table(spark, d, "orders").selectExpr("o_orderstatus AS backend", "o_orderkey", "o_orderpriority"), "backend", ["o_orderkey", "o_orderpriority"])
 
 
+@query("g12_canonical_signature", """WITH c AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'one' ELSE 'two' END AS backend, o_orderkey AS k FROM orders),
+j AS (SELECT backend, '"' || k || '":{"lines":[{"clusters":[[0,' || k % 7 || '],[' || k % 7 || ',9]],"direction":"ltr","range":[0,9]}]}' AS j, k::VARCHAR AS s FROM c),
+b AS (SELECT backend, '"' || backend || '":{' || string_agg(j, ',' ORDER BY s) || '}' AS b FROM j GROUP BY backend)
+SELECT (SELECT count(*) FROM c) AS n, sha256('{' || string_agg(b, ',' ORDER BY backend) || ',"zero":{}}') AS signature FROM b""")
+def g12_canonical(spark, d):
+    k = F.col("o_orderkey")
+    cluster = lambda a, b: F.struct(a.alias("text_start"), b.alias("text_end"))
+    line = F.struct(F.lit(0).alias("text_start"), F.lit(9).alias("text_end"), F.lit("ltr").alias("direction"), F.array(cluster(F.lit(0), (k % 7).cast("int")), cluster((k % 7).cast("int"), F.lit(9))).alias("clusters"))
+    rows = table(spark, d, "orders").select(F.when(k % 2 == 0, "one").otherwise("two").alias("backend"), k.cast("string").alias("case_id"), F.array(line).alias("lines"), F.lit("p").alias("path"))
+    return e.canonical_signature(rows, ("two", "one", "zero"))
+
+
 @query("g13_versions_agree", "SELECT min(p_brand) = max(p_brand) AND bool_and(regexp_full_match(p_brand, 'Brand#[0-9]+')) AS agree, count(*) AS n FROM part")
 def g13(spark, d):
     return e.versions_agree(table(spark, d, "part"), "p_brand", r"^Brand#[0-9]+\z")

@@ -32,6 +32,22 @@ def w1(spark, d):
 _LOG = ["o_custkey % 40 AS scope", "o_orderkey AS seq", "CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'create' WHEN 2 THEN 'publish' WHEN 3 THEN 'publish' ELSE 'rollback' END AS action", "o_custkey % 97 AS version"]
 
 
+_VERSION_LOG = ["o_custkey % 40 AS scope", "o_orderkey AS seq", "CASE o_orderkey % 7 WHEN 0 THEN 'create' WHEN 1 THEN 'create' WHEN 2 THEN 'publish' WHEN 3 THEN 'publish' WHEN 4 THEN 'publish' ELSE 'rollback' END AS action", "o_custkey % 23 AS version"]
+
+
+@query("w2_config_versions", f"""WITH RECURSIVE x AS (SELECT {', '.join(_VERSION_LOG)} FROM orders), e AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq) AS k FROM x),
+r AS (SELECT scope, 0::BIGINT AS k, 0::BIGINT AS seq, '' AS action, 0::BIGINT AS version, 0::BIGINT AS n, []::BIGINT[] AS drafts, '' AS outcome, NULL::BIGINT AS made, NULL::BIGINT AS source_version FROM (SELECT DISTINCT scope FROM x) UNION ALL
+SELECT scope, k, seq, action, version, CASE WHEN outcome = 'ok' AND action <> 'publish' THEN n + 1 ELSE n END,
+       CASE WHEN outcome = 'ok' AND action = 'create' THEN list_append(drafts, n + 1) WHEN outcome = 'ok' AND action = 'publish' THEN list_filter(drafts, lambda v: v <> version) ELSE drafts END, outcome,
+       CASE WHEN outcome = 'ok' THEN CASE WHEN action = 'publish' THEN version ELSE n + 1 END END, CASE WHEN outcome = 'ok' AND action = 'rollback' THEN version END
+FROM (SELECT e.scope, e.k, e.seq, e.action, e.version, r.n, r.drafts, CASE WHEN e.action = 'create' THEN 'ok' WHEN e.version < 1 OR e.version > r.n THEN 'not_found' WHEN list_contains(r.drafts, e.version) <> (e.action = 'publish') THEN 'conflict' ELSE 'ok' END AS outcome
+      FROM r JOIN e ON e.scope = r.scope AND e.k = r.k + 1)),
+l AS (SELECT scope, max(seq) FILTER (outcome = 'ok' AND action <> 'create') AS last FROM r WHERE k > 0 GROUP BY scope)
+SELECT scope, seq, action, version, outcome, made, source_version, CASE WHEN outcome = 'ok' AND action <> 'create' THEN CASE WHEN seq = last THEN 'published' ELSE 'superseded' END END AS status FROM r JOIN l USING (scope) WHERE k > 0""")
+def w2_versions(spark, d):
+    return r.config_versions(table(spark, d, "orders").selectExpr(*_VERSION_LOG))
+
+
 @query("w2_config_lifecycle", f"""WITH x AS (SELECT {', '.join(_LOG)} FROM orders),
 c AS (SELECT scope, version, min(seq) FILTER (action = 'create') AS made FROM x GROUP BY ALL),
 p AS (SELECT x.scope, x.version, min(x.seq) AS pub FROM x JOIN c USING (scope, version) WHERE action = 'publish' AND x.seq > c.made GROUP BY ALL),

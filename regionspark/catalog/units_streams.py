@@ -188,6 +188,19 @@ def p5(spark, d):
         F.when(k % 2 == 0, "").otherwise(F.col("p_name")).alias("source_text"), F.col("p_brand").alias("translated_text"), F.when(k % 5 == 0, " \t\n").otherwise(F.col("p_type")).alias("recognised_text"), F.when(k % 7 == 0, "skipped_language").otherwise("translated").alias("unit_status"), F.lit("u").alias("unit_text")))
 
 
+@query("p5_manual_units", """WITH x AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'source_text' ELSE 'translated_text' END AS mode, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS shown, p_name, CASE p_partkey % 4 WHEN 0 THEN 'fr' ELSE 'en' END AS lang FROM part),
+y AS (SELECT *, CASE WHEN mode = 'translated_text' THEN 'translated' WHEN lang = 'fr' THEN 'skipped_language' WHEN id % 7 = 0 THEN 'failed' ELSE 'translated' END AS st FROM x), z AS (SELECT *, CASE WHEN mode = 'auto' AND shown = '' THEN 'manual_ocr_empty' WHEN mode = 'source_text' AND shown = '' AND st <> 'translated' THEN 'manual_translation_skipped' WHEN st <> 'translated' THEN 'manual_translation_skipped' END AS code FROM y)
+SELECT id AS spec_id, CASE WHEN shown = '' THEN 'given' ELSE shown END AS displayed_source, CASE WHEN code IS NULL THEN CASE WHEN mode = 'translated_text' THEN 'given' ELSE 'T ' || CASE WHEN shown = '' THEN 'given' ELSE shown END END END AS text, code FROM z""")
+def p5_units(spark, d):
+    """Specs whose shown text goes through P1: languages that are skipped, items that the provider does not answer."""
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    shown = F.when(k % 5 == 0, "").otherwise(F.col("p_name"))
+    specs = part.select(k.alias("spec_id"), F.when(k % 3 == 0, "auto").when(k % 3 == 1, "source_text").otherwise("translated_text").alias("mode"), g.box(F.lit(50.0), F.lit(50.0), F.lit(20.0), F.lit(20.0), F.lit(0.0)).alias("box"), F.lit(100).alias("width"), F.lit(100).alias("height"),
+        shown.alias("source_text"), F.lit(" given ").alias("translated_text"), shown.alias("recognised_text"), F.when(k % 4 == 0, "fr").otherwise("en").alias("ocr_language"), F.when(k % 4 == 0, "fr").otherwise("en").alias("recognised_language"))
+    items = part.where("p_partkey % 7 <> 0").select(k.alias("spec_id"), F.concat(F.lit("T "), F.when(shown == "", "given").otherwise(shown)).alias("translated_text"), F.lit(None).cast("string").alias("source_language"), F.lit(None).cast("string").alias("error_code"))
+    return u.manual_units(specs, items, "fr")
+
+
 def _fussy(rows) -> list[int]:
     if (rows["o_orderkey"] % 10 == 0).any():
         raise ValueError("bad image")
@@ -229,7 +242,7 @@ def s8(spark, d):
     scans.write_results(rows.withColumn("version", F.lit(1)), path)
     scans.write_results(rows.where("batch_id = 'F'").withColumn("version", F.lit(2)), path)
     scans.clear_results(spark, path, "P")
-    return spark.read.schema("o_orderkey long, version int, batch_id string").parquet(path)
+    return scans.load_results(spark, path, "o_orderkey long, version int")
 
 
 @query("x1_rate_limiter", """WITH RECURSIVE e AS (SELECT event_type AS scope, user_id AS identity, event_id AS id, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +124,44 @@ def layout_signature(layouts: DataFrame, group: str, fields: list[str]) -> DataF
     return layouts.select(group, digest.alias("_d")).groupBy(group).agg(F.count("*").alias("n"), *words).select(group, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(8)]), 256).alias("signature"))
 
 
+def canonical_signature(layouts: DataFrame, backends: tuple[str, ...], order: str = "path") -> DataFrame:
+    """G12 as a whole document has it: one row (n, signature), the SHA-256 of the canonical JSON of all layouts (backend, case_id,
+    lines array<struct<text_start,text_end,direction,clusters array<struct<text_start,text_end>>>>, `order`): backends and
+    cases by name, of a repeated case the last one by `order`, backends without a case as empty objects.
+
+    The digest is sequential by its nature, so the sorted rows stream through one task, which holds a batch of them and 32
+    bytes; they are sorted, and made JSON, in all tasks before."""
+    pair = lambda x: F.array(x["text_start"], x["text_end"])
+    lines = F.transform("lines", lambda x: F.struct(F.transform(x["clusters"], pair).alias("clusters"), x["direction"].alias("direction"), pair(x).alias("range")))
+    last = layouts.where(F.col("backend").isin(*backends)).groupBy("backend", "case_id").agg(F.max_by("lines", order).alias("lines"))
+    rows = last.select("backend", F.col("case_id").cast("string").alias("case_id"), F.to_json(F.struct(lines.alias("lines"))).alias("json"))
+    names = sorted(backends)
+
+    def run(batches):
+        digest, at, n = hashlib.sha256(b"{"), -1, 0
+
+        def opened(to: int) -> None:
+            nonlocal at
+            while at < to:
+                at += 1
+                digest.update((("}," if at else "") + json.dumps(names[at], ensure_ascii=False) + ":{").encode())
+
+        own = None
+        for batch in batches:
+            for backend, case, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if backend is None:
+                    continue
+                opened(names.index(backend))
+                digest.update(((("," if backend == own else "") + json.dumps(case, ensure_ascii=False)) + ":" + text).encode())
+                own, n = backend, n + 1
+        opened(len(names) - 1)
+        digest.update(b"}}" if names else b"}")
+        yield pa.RecordBatch.from_pydict({"n": [n], "signature": [digest.hexdigest()]})
+
+    begin = layouts.sparkSession.createDataFrame([(None, None, None)], "backend string, case_id string, json string")  # without a row no task would run
+    return rows.unionByName(begin).orderBy("backend", "case_id").coalesce(1).mapInArrow(run, "n long, signature string")
+
+
 def versions_agree(sources: DataFrame, version: str, pattern: str) -> DataFrame:
     """One row: whether all sources carry one version of the right form."""
     return sources.agg(F.coalesce((F.min(version) == F.max(version)) & F.bool_and(F.col(version).isNotNull() & F.col(version).rlike(pattern)), F.lit(False)).alias("agree"), F.count("*").alias("n"))

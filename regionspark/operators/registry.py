@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from regionspark.streaming.jobs import batch
+
 #: Fixed value: the symbols of activation codes.
 ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
@@ -41,6 +43,44 @@ def config_lifecycle(log: DataFrame) -> DataFrame:
     return rows.join(last, F.col("scope").eqNullSafe(F.col("_s")), "left").select(*log.columns, "outcome", status.alias("status"), source.alias("source_version"))
 
 
+def _versions(state: dict, row: dict) -> dict:
+    """One step of config_versions; the state is how many versions there are and which of them are drafts."""
+    n, drafts, target = state.get("n", 0), state.setdefault("drafts", set()), row["version"]
+    made = source = None
+    if row["action"] == "create":
+        outcome, made = "ok", n + 1
+        drafts.add(made)
+    elif target is None or not 1 <= target <= n:
+        outcome = "not_found"
+    elif (target in drafts) != (row["action"] == "publish"):
+        outcome = "conflict"
+    elif row["action"] == "publish":
+        outcome, made = "ok", target
+        drafts.remove(target)
+    else:
+        outcome, made, source = "ok", n + 1, target
+    state["n"] = max(n, made or 0)
+    return {"seq": row["seq"], "outcome": outcome, "made": made, "source_version": source}
+
+
+def config_versions(log: DataFrame) -> DataFrame:
+    """W2 with numbers from the log: (scope, seq, action, version) to (scope, seq, action, version, outcome, made,
+    source_version, status). create makes the scope's next version, a draft; publish makes a draft current; rollback to a version
+    that is no draft makes a new current version, with a number of its own, whose source it is. made: the version that the
+    row made or published; status: published for the row of the scope's current version, superseded for earlier ones.
+
+    Whether a rollback finds its target depends on the numbers given before, so a scope's log is folded in order; the fold holds
+    the drafts only. The current version of a scope is one row, combined before the shuffle."""
+    rows = log.select("scope", "seq", "action", F.col("version").cast("long").alias("version"), F.timestamp_micros(F.lit(0)).alias("ts"), F.col("seq").alias("id"))
+    kind = {f.name: f.dataType.simpleString() for f in log.schema.fields}
+    done = batch(rows, ["scope"], _versions, f"scope {kind['scope']}, seq {kind['seq']}, outcome string, made long, source_version long")
+    done = log.select("scope", "seq", "action", "version").join(done.withColumnsRenamed({"scope": "_s", "seq": "_q"}), F.col("scope").eqNullSafe(F.col("_s")) & (F.col("seq") == F.col("_q")))
+    live = F.when((F.col("outcome") == "ok") & (F.col("action") != "create"), F.col("seq"))
+    last = done.groupBy(F.col("scope").alias("_l")).agg(F.max(live).alias("_last"))
+    status = F.when(live.isNotNull(), F.when(live == F.col("_last"), "published").otherwise("superseded"))
+    return done.join(last, F.col("scope").eqNullSafe(F.col("_l")), "left").select("scope", "seq", "action", "version", "outcome", "made", "source_version", status.alias("status"))
+
+
 def release_lifecycle(log: DataFrame) -> DataFrame:
     """P13 on (release_id, seq, status): a release goes from draft to published to withdrawn. A step is legal if it makes
     the next state from the present one, so the legal steps are the first draft, the first publication after it and the

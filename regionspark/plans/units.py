@@ -119,3 +119,15 @@ def manual_regions(specs: DataFrame) -> DataFrame:
     shown = F.when(source == "", strip(F.col("translated_text"))).otherwise(source)
     text = F.when(direct, strip(F.col("translated_text"))).otherwise(F.col("unit_text"))
     return specs.withColumn("code", code).select("spec_id", shown.alias("displayed_source"), F.when(F.col("code").isNull(), text).alias("text"), "code")
+
+
+def manual_units(specs: DataFrame, provider_items: DataFrame, target: str, source: str | None = None, detects: bool = False, brands: list[str] | None = None) -> DataFrame:
+    """P5 with its P1: specs (as in manual_regions, without the unit's columns, but with ocr_language and
+    recognised_language) and provider items by spec_id. What is shown goes through P1 as a region of its own, in the language of the
+    filter or else of the recognition (auto: the one it found); specs that give their translation are left out of it."""
+    typed = strip(F.col("source_text"))
+    text = F.coalesce(F.when(F.col("mode") == "auto", strip(F.col("recognised_text"))).otherwise(F.when(typed != "", typed).otherwise(strip(F.col("translated_text")))), F.lit(""))
+    language = F.when(F.col("mode") == "auto", F.col("recognised_language")).otherwise(F.coalesce(F.lit(source), F.col("ocr_language")))
+    regions = specs.where("mode <> 'translated_text'").select("spec_id", text.alias("text"), language.alias("language_code")).where("text <> ''")
+    units = classify_units(regions, provider_items, ["spec_id"], target, source, detects, brands).select("spec_id", F.col("status").alias("unit_status"), F.col("translated_text").alias("unit_text"))
+    return manual_regions(specs.drop("unit_status", "unit_text").join(units, "spec_id", "left"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +79,59 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _commit(changes: DataFrame, path: str) -> None:
+    """Append changes (key, run) to the folder of commits. The commit is written beside its place and moved there in one step, which
+    fails if another writer has taken the number; then the next one is tried."""
+    spark = changes.sparkSession
+    staged, fs = _files(spark, f"{path}/staged/{uuid.uuid4().hex}")
+    changes.coalesce(1).write.json(staged.toString())
+    commits, _ = _files(spark, f"{path}/commits")
+    fs.mkdirs(commits)
+    n = max([int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(commits)], default=0)
+    while True:
+        n += 1
+        place, _ = _files(spark, f"{path}/commits/n={n}")
+        if not fs.exists(place) and fs.rename(staged, place):
+            return
+
+
 def write_results(df: DataFrame, path: str, key: str = "batch_id") -> None:
-    """Replaces the partitions that df has rows for and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Replaces the partitions that df has rows for and leaves the others. The rows are written to a run's folder of their own and
+    count from the commit that names it; a write that fails before that changes nothing for a reader."""
+    run = uuid.uuid4().hex
+    df.write.partitionBy(key).parquet(f"{path}/runs/run={run}")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/runs/run={run}").select(F.col(key).cast("string").alias(key)).distinct()
+    _commit(written.withColumn("run", F.lit(run)), path)
 
 
 def clear_results(spark: SparkSession, path: str, batch: str, key: str = "batch_id") -> None:
-    """Drops one batch's partition."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={batch}")
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    """Drops one batch, by a commit that names no run for it; readers that have begun keep their rows."""
+    _commit(spark.createDataFrame([(batch, "")], f"{key} string, run string"), path)
+
+
+def _current(spark: SparkSession, path: str, key: str) -> DataFrame:
+    rows = spark.read.schema(f"{key} string, run string, n long").json(f"{path}/commits")
+    return rows.groupBy(key).agg(F.max_by("run", "n").alias("run")).where("run <> ''")
+
+
+def load_results(spark: SparkSession, path: str, schema: str, key: str = "batch_id") -> DataFrame:
+    """The rows of each batch's last committed run. schema: the columns but the key. Runs are folders, so those that no
+    commit names are pruned by the join."""
+    rows = spark.read.schema(f"{schema}, run string, {key} string").parquet(f"{path}/runs")
+    return rows.join(_current(spark, path, key), ["run", key], "left_semi").select(*[c for c in rows.columns if c not in ("run", key)], key)
+
+
+def vacuum_results(spark: SparkSession, path: str, key: str = "batch_id") -> int:
+    """Deletes the runs that no batch's last commit names, and what failed writes left; how many. Not while a write is going on."""
+    runs, fs = _files(spark, f"{path}/runs")
+    live = {r.run for r in _current(spark, path, key).select("run").distinct().toLocalIterator()}
+    gone = [x.getPath() for x in fs.listStatus(runs) if x.getPath().getName().removeprefix("run=") not in live]
+    for p in gone:
+        fs.delete(p, True)
+    fs.delete(_files(spark, f"{path}/staged")[0], True)
+    return len(gone)
