@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from regionspark.functions import geometry as g
 from regionspark.plans import boxes
-from regionspark.session import shared_dir
+from regionspark.session import shared_dir, written
 
 
 def paragraphs(rows: DataFrame, cjk: Column, least: int = 10) -> DataFrame:
@@ -70,16 +73,70 @@ def visual_pairs(layers: DataFrame) -> DataFrame:
     return pairs.where(alike).select("image_id", A["seq"].cast(seq).alias("a"), C["seq"].cast(seq).alias("b")).distinct()
 
 
-def visual_groups(layers: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(image_id, seq, component): smallest seq reachable over the pairs. Each round takes the least label of the
-    neighbours, hooks the seq that is a label to the least one found under it, takes that label's label, and is
-    checkpointed; it ends when no label moves, however many rounds that takes. Only layers that have a pair go through
-    the rounds."""
-    spark = layers.sparkSession
+#: Pairs of an image up to which one task joins them at once.
+SMALL = 100_000
+
+
+def visual_groups(layers: DataFrame, pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(image_id, seq, component): smallest seq reachable over the pairs. Images of at most `small` pairs are finished in
+    one pass over their sorted pairs, one image after another; the others go through _rounds(), whose work is spread over
+    all tasks. Layers without a pair are components of their own."""
+    seq = layers.schema["seq"].dataType
+    pairs = written(pairs.select("image_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    large = written(pairs.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select("image_id"))
+    few = pairs.join(large, "image_id", "left_anti")
+    labels = _joined(few)
+    if not large.isEmpty():
+        labels = labels.unionByName(_rounds(pairs.join(large, "image_id", "left_semi")))
+    labels = labels.select("image_id", F.col("seq").cast(seq).alias("seq"), F.col("component").cast(seq).alias("component"))
+    return layers.select("image_id", "seq").join(labels, ["image_id", "seq"], "left").select("image_id", "seq", F.coalesce("component", "seq").alias("component"))
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(image_id, seq, component) of pairs (image_id, a, b): every image's pairs are joined as they come, with the lower root
+    above; a task holds one image at a time."""
+    schema = T.StructType([pairs.schema["image_id"], T.StructField("seq", T.LongType()), T.StructField("component", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        image, above, out = None, {}, ([], [], [])
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        def finish() -> None:
+            for x in above:
+                out[0].append(image)
+                out[1].append(x)
+                out[2].append(root(x))
+
+        for batch in batches:
+            for own, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if own != image:
+                    finish()
+                    image, above = own, {}
+                x, y = root(above.setdefault(a, a)), root(above.setdefault(b, b))
+                above[max(x, y)] = min(x, y)
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+                out = ([], [], [])
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+
+    return pairs.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(run, schema)
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """The same by rounds over all tasks. Each takes the least label of the neighbours, hooks the seq that is a label to the
+    least one found under it, takes that label's label, and is checkpointed; it ends when no label moves, however many rounds
+    that takes."""
+    spark = pairs.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     both = pairs.union(pairs.select("image_id", "b", "a")).distinct().checkpoint()
-    labels = both.groupBy("image_id", F.col("a").alias("seq")).agg(F.least("seq", F.min("b")).alias("component")).checkpoint()  # layers that have a pair
+    labels = both.groupBy("image_id", F.col("a").alias("seq")).agg(F.least("seq", F.min("b")).alias("component")).checkpoint()
     moved = True
     while moved:
         near = both.join(labels.withColumnRenamed("seq", "b"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("seq")).agg(F.min("component").alias("near"))
@@ -89,7 +146,7 @@ def visual_groups(layers: DataFrame, pairs: DataFrame) -> DataFrame:
         above = hooked.select("image_id", F.col("seq").alias("now"), F.col("now").alias("above"))
         new = hooked.join(above, ["image_id", "now"], "left").select("image_id", "seq", F.least("now", "above").alias("component"), (F.least("now", "above") < F.col("was")).alias("moved")).checkpoint()
         labels, moved = new.drop("moved"), new.where("moved").limit(1).count()
-    return layers.select("image_id", "seq").join(labels, ["image_id", "seq"], "left").select("image_id", "seq", F.coalesce("component", "seq").alias("component"))
+    return labels
 
 
 def group_consensus(layers: DataFrame, image_width: Column) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regionspark.plans import boxes
+from regionspark.plans import boxes, groups
 
 SIDE = "k string, id long, box struct<min_x:double,min_y:double,max_x:double,max_y:double>"
 
@@ -41,3 +41,16 @@ def test_a_crowded_strip_costs_no_quadratic_task(spark):
     each = leaves.groupBy(*boxes._CELL).count().agg(F.max("count"), F.sum("count")).collect()[0]
     assert each[0] <= 256 and each[1] < 1.05 * n
     assert boxes.overlapping(rows, rows, ["k"], ("id", "id")).count() == n
+
+
+@pytest.mark.parametrize("small", [0, 5, 100_000])
+def test_groups_in_one_pass_and_in_rounds(spark, small):
+    rng = random.Random(small)
+    layers = [(i, s) for i in (1, 2, 3, None) for s in range(30)]
+    pairs = [(i, *sorted(rng.sample(range(30), 2))) for i, n in ((1, 4), (2, 25), (3, 0)) for _ in range(n)] + [(2, k, k + 1) for k in range(20, 29)][::-1]
+    out = groups.visual_groups(spark.createDataFrame(layers, "image_id long, seq int"), spark.createDataFrame(pairs, "image_id long, a int, b int").repartition(3), small)
+    want = {(i, s): s for i, s in layers}
+    for _ in range(30):
+        for i, a, b in pairs:
+            want[i, a] = want[i, b] = min(want[i, a], want[i, b])
+    assert {(r.image_id, r.seq): r.component for r in out.collect()} == want and out.count() == len(layers)
