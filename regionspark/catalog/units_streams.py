@@ -299,7 +299,7 @@ def x4(spark, d):
 def p14(spark, d):
     event = F.get(F.array(*[F.lit(x) for x in ("add", "manual", "replace", "undo", "redo", "delete", "add")]), (F.col("event_id") % 7).cast("int"))
     rows = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), event.alias("event"), (F.col("event_id") % 4).cast("string").alias("layer"), F.lit("x").alias("before"), F.lit("x").alias("after"), F.when(F.col("event_id") % 3 == 0, 0).alias("at"), (F.col("event_id") % 2).cast("string").alias("patch"))
-    return jobs.batch(rows, ["doc"], jobs.replay(), "doc long, id long, result string, layers string, n_undo long, n_redo long")
+    return jobs.batch(rows, ["doc"], jobs.replay(), "doc long, id long, result string, change string, layers string, n_undo long, n_redo long")
 
 
 @query("s2_sniff_format", """WITH x AS (SELECT page_id, page_id % 4 AS k, page_id % 3 AS s FROM pages)

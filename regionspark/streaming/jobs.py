@@ -7,6 +7,7 @@ fold's small state per key with applyInPandasWithState and folds each micro-batc
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,49 +80,95 @@ def binder(state: State, row: dict) -> dict:
     return {"id": row["id"], "outcome": "code_expired" if state["expires"] <= t else "ok"}
 
 
-def replay(limit: int = 100) -> Callable[[State, dict], dict]:
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+_WIDTH = 10  # digits of a key's whole part
+
+
+def between(a: str | None, b: str | None) -> str:
+    """A key that sorts after a (none: the beginning) and before b (none: the end). A key is a whole number of _WIDTH digits in
+    base 36 and, where two neighbours leave no other room, a fraction; so keys stay short at both ends however many come."""
+    whole = [int(x[:_WIDTH], 36) if x else None for x in (a, b)]
+    if not a or not b or whole[1] - whole[0] > 1:
+        n = (whole[0] + whole[1]) // 2 if a and b else whole[0] + 1 if a else whole[1] - 1 if b else 36**_WIDTH // 2
+        out = ""
+        for _ in range(_WIDTH):
+            n, digit = divmod(n, 36)
+            out = _DIGITS[digit] + out
+        return out
+    out, k = "", 0
+    while True:
+        low = _DIGITS.index(a[k]) if k < len(a) else 0
+        high = _DIGITS.index(b[k]) if b and k < len(b) else 36
+        if high - low > 1:
+            return out + _DIGITS[(low + high) // 2]
+        out, k = out + _DIGITS[low], k + 1
+        if high > low:
+            b = None  # from here on anything is before it
+
+
+def replay(limit: int = 100, every: int = 100) -> Callable[[State, dict], dict]:
     """Layers under add, replace, delete, manual, undo and redo. An edit names the layer, its text before and after,
     for add and manual the place to insert at (none: the end), for manual the background patch that comes with it. One
     whose before is not current is stale_edit, a second layer or patch of one id duplicate_layer or duplicate_patch; a new
-    edit clears redo; at most `limit` edits can be undone; one that cannot be taken back as it was is stale_undo."""
+    edit clears redo; at most `limit` edits can be undone; one that cannot be taken back as it was is stale_undo.
 
-    def fold(state: State, row: dict) -> dict:
-        layers, patches, undo, redo = (state.setdefault(x, []) for x in ("layers", "patches", "undo", "redo"))
+    A layer has an order key that stays its own while others come and go. A row gives what it changed, [layer, order key, text], with
+    a null key where the layer went; every `every`-th row of a key gives all layers too, so the output grows with the log
+    and not with its square. Layers sorted by order key are the layers in order."""
 
-        def place(layer):
-            return next((i for i, x in enumerate(layers) if x[0] == layer), None)
+    def fold(state: State, row: dict) -> dict:
+        layers, keys, patches, undo, redo = (state.setdefault(x, y) for x, y in (("layers", {}), ("keys", []), ("patches", []), ("undo", []), ("redo", [])))
+        change = None
+
+        def put(layer: str, text: str, at: int) -> None:
+            nonlocal change
+            at = min(max(at, 0), len(keys))
+            key = between(keys[at - 1] if at else None, keys[at] if at < len(keys) else None)
+            keys.insert(at, key)
+            layers[layer] = [key, text]
+            change = [layer, key, text]
+
+        def drop(layer: str) -> None:
+            nonlocal change
+            del keys[bisect_left(keys, layers.pop(layer)[0])]
+            change = [layer, None, None]
+
+        def write(layer: str, text: str) -> None:
+            nonlocal change
+            layers[layer][1] = text
+            change = [layer, *layers[layer]]
 
         def forward(kind, layer, before, after, at, patch) -> str:
-            here = place(layer)
             if kind in ("add", "manual"):
                 if kind == "manual" and patch in patches:
                     return "duplicate_patch"
-                if here is not None:
+                if layer in layers:
                     return "duplicate_layer"
-                layers.insert(at, [layer, after])
+                put(layer, after, at)
                 if kind == "manual":
                     patches.append(patch)
-            elif here is None or layers[here][1] != before:
+            elif layer not in layers or layers[layer][1] != before:
                 return "stale_edit"
             elif kind == "replace":
-                layers[here][1] = after
+                write(layer, after)
             else:
-                del layers[here]
+                drop(layer)
             return "ok"
 
         def back(kind, layer, before, after, at, patch) -> str:
-            here = place(layer)
             if kind == "delete":
-                if here is not None:
+                if layer in layers:
                     return "duplicate_layer"
-                layers.insert(at, [layer, before])
+                put(layer, before, at)
                 return "ok"
-            if here is None or layers[here][1] != after or (kind == "manual" and patches[-1:] != [patch]):
+            if layer not in layers or layers[layer][1] != after or (kind == "manual" and patches[-1:] != [patch]):
                 return "stale_undo"
             if kind == "replace":
-                layers[here][1] = before
+                write(layer, before)
             else:
-                del layers[here]
+                drop(layer)
                 del patches[len(patches) - (kind == "manual") :]
             return "ok"
 
@@ -132,14 +179,17 @@ def replay(limit: int = 100) -> Callable[[State, dict], dict]:
             if result == "ok":
                 target.append(source.pop())
         else:
-            here, at = place(row["layer"]), row.get("at")
-            spot = (len(layers) if at is None else min(max(int(at), 0), len(layers))) if kind in ("add", "manual") else here
+            at = row.get("at")
+            new = kind in ("add", "manual")
+            spot = (len(keys) if at is None else min(max(int(at), 0), len(keys))) if new else bisect_left(keys, layers[row["layer"]][0]) if row["layer"] in layers else None
             edit = [kind, row["layer"], row["before"], row["after"], spot, row.get("patch")]
             result = forward(*edit)
             if result == "ok":
                 undo.append(edit)
                 del undo[:-limit], redo[:]
-        return {"id": row["id"], "result": result, "layers": json.dumps(layers), "n_undo": len(undo), "n_redo": len(redo)}
+        state["rows"] = state.get("rows", 0) + 1
+        whole = json.dumps(sorted([k, x, t] for x, (k, t) in layers.items())) if state["rows"] % every == 0 else None
+        return {"id": row["id"], "result": result, "change": json.dumps(change) if change else None, "layers": whole, "n_undo": len(undo), "n_redo": len(redo)}
 
     return fold
 

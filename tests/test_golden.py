@@ -139,10 +139,60 @@ def _log(spark, rows, schema):
     return spark.createDataFrame([(*r[:2], dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r[1]), *r[2:]) for r in rows], f"doc string, id long, ts timestamp, {schema}")
 
 
+def _plain(row):
+    return [x[1:] for x in json.loads(row.layers)]
+
+
+def test_order_keys():
+    rng, keys = random.Random(1), []
+    for i in range(3000):
+        at = (len(keys), 0, rng.randint(0, len(keys)))[i % 3]
+        keys.insert(at, jobs.between(keys[at - 1] if at else None, keys[at] if at < len(keys) else None))
+    assert keys == sorted(keys) and len(set(keys)) == len(keys) and max(map(len, keys)) < 30
+    keys = [jobs.between(None, None)]
+    for _ in range(5000):
+        keys.append(jobs.between(keys[-1], None))
+    assert max(map(len, keys)) == 10
+
+
+def test_replay_changes_add_up(spark):
+    """The changes of all rows, applied in order, give the layers of every snapshot; edits against a plain list of layers."""
+    rng = random.Random(4)
+    rows, layers, changes = [], [], {}
+    for i in range(1500):
+        kind = rng.choice(["add", "add", "manual", "replace", "delete", "undo", "redo"])
+        rows.append(("d", i, kind, f"l{rng.randrange(12)}", rng.choice("xy"), rng.choice("xy"), rng.choice([None, 0, 2, 99]), f"p{i}"))
+    fold, state, size = jobs.replay(20, 50), {}, 0
+    for doc, i, event, layer, before, after, at, patch in rows:
+        out = fold(state, {"id": i, "event": event, "layer": layer, "before": before, "after": after, "at": at, "patch": patch})
+        names = [x[0] for x in layers]
+        if event in ("add", "manual"):
+            assert out["result"] == ("duplicate_layer" if layer in names else "ok")
+            if layer not in names:
+                layers.insert(len(layers) if at is None else min(at, len(layers)), [layer, after])
+        elif event in ("replace", "delete"):
+            here = names.index(layer) if layer in names else None
+            ok = here is not None and layers[here][1] == before
+            assert out["result"] == ("ok" if ok else "stale_edit")
+            if ok:
+                layers[here : here + 1] = [[layer, after]] if event == "replace" else []
+        if out["change"]:
+            name, key, text = json.loads(out["change"])
+            changes.pop(name, None)
+            if key is not None:
+                changes[name] = [key, name, text]
+            if event in ("undo", "redo"):  # what these did is known from the change; the plain list follows
+                layers = [x[1:] for x in sorted(changes.values())]
+        assert [x[1:] for x in sorted(changes.values())] == layers
+        assert (out["layers"] is None) == (i % 50 != 49) and (out["layers"] is None or json.loads(out["layers"]) == sorted(changes.values()))
+        size += len(out["change"] or "")
+    assert size < 60 * len(rows)
+
+
 def test_replay(spark):
     edits = [("d", 1, "add", "a", None, "1"), ("d", 2, "replace", "a", "1", "2"), ("d", 3, "undo", None, None, None), ("d", 4, "redo", None, None, None), ("d", 5, "undo", None, None, None), ("d", 6, "replace", "a", "1", "3"), ("d", 7, "replace", "a", "2", "9"), ("d", 8, "redo", None, None, None)]
-    out = jobs.batch(_log(spark, edits, "event string, layer string, before string, after string"), ["doc"], jobs.replay(2), "doc string, id long, result string, layers string, n_undo long, n_redo long").orderBy("id").collect()
-    assert [r.result for r in out[5:]] == ["ok", "stale_edit", "nothing_to_redo"] and out[5].n_redo == 0 and json.loads(out[-1].layers) == [["a", "3"]]
+    out = jobs.batch(_log(spark, edits, "event string, layer string, before string, after string"), ["doc"], jobs.replay(2, 1), "doc string, id long, result string, change string, layers string, n_undo long, n_redo long").orderBy("id").collect()
+    assert [r.result for r in out[5:]] == ["ok", "stale_edit", "nothing_to_redo"] and out[5].n_redo == 0 and _plain(out[-1]) == [["a", "3"]]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -255,9 +305,9 @@ def test_comparison_counts_broken_layouts(spark):
 
 def test_replay_of_regions(spark):
     edits = [("d", 1, "add", "a", None, "1", None, None), ("d", 2, "add", "b", None, "1", 0, None), ("d", 3, "add", "a", None, "9", None, None), ("d", 4, "manual", "m", None, "5", 1, "p"), ("d", 5, "manual", "n", None, "5", None, "p"), ("d", 6, "undo", None, None, None, None, None), ("d", 7, "manual", "n", None, "5", None, "p"), ("d", 8, "delete", "a", "1", None, None, None), ("d", 9, "undo", None, None, None, None, None)]
-    out = jobs.batch(_log(spark, edits, "event string, layer string, before string, after string, at int, patch string"), ["doc"], jobs.replay(), "doc string, id long, result string, layers string, n_undo long, n_redo long").orderBy("id").collect()
+    out = jobs.batch(_log(spark, edits, "event string, layer string, before string, after string, at int, patch string"), ["doc"], jobs.replay(every=1), "doc string, id long, result string, change string, layers string, n_undo long, n_redo long").orderBy("id").collect()
     assert [r.result for r in out] == ["ok", "ok", "duplicate_layer", "ok", "duplicate_patch", "ok", "ok", "ok", "ok"]
-    assert json.loads(out[3].layers) == [["b", "1"], ["m", "5"], ["a", "1"]] and json.loads(out[-1].layers) == [["b", "1"], ["a", "1"], ["n", "5"]]
+    assert _plain(out[3]) == [["b", "1"], ["m", "5"], ["a", "1"]] and _plain(out[-1]) == [["b", "1"], ["a", "1"], ["n", "5"]]
 
 
 _STREAMS = {
@@ -265,7 +315,7 @@ _STREAMS = {
     "progress": ("batch_id long", ["batch_id"], jobs.progress, "batch_id long, id long, total long, completed long, failed long, cancelled long", lambda i: (i % 3,), ", item long, status string"),
     "stages": ("job_id long", ["job_id"], jobs.stages, "job_id long, id long, violation boolean", lambda i: (i % 9,), ", event string, stage string"),
     "binder": ("code long", ["code"], jobs.binder, "code long, id long, outcome string", lambda i: (i % 7,), ", event string, device string, days int"),
-    "replay": ("doc long", ["doc"], jobs.replay(3), "doc long, id long, result string, layers string, n_undo long, n_redo long", lambda i: (i % 4,), ", event string, layer string, before string, after string, at int, patch string"),
+    "replay": ("doc long", ["doc"], jobs.replay(3), "doc long, id long, result string, change string, layers string, n_undo long, n_redo long", lambda i: (i % 4,), ", event string, layer string, before string, after string, at int, patch string"),
 }
 
 
