@@ -78,6 +78,16 @@ def g7(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean", "median", "p95")})
 
 
+@query("g7_sketched_summary", "SELECT l_returnflag AS backend, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS max, count(*) > 0 AS median_ok, count(*) > 0 AS p95_ok FROM lineitem GROUP BY 1")
+def g7_sketched(spark, d):
+    """Sketches by flag and status, merged to flags; whether the quantiles' own ranks among all rows are near enough."""
+    rows = table(spark, d, "lineitem").selectExpr("l_returnflag AS backend", "l_linestatus AS strategy", "l_extendedprice AS v")
+    out = e.sketched_summary(e.repair_sketches(rows, ["backend", "strategy"], "v"), ["backend"])
+    near = lambda q, rank: (F.avg((F.col("v") < F.col(q)).cast("int")) <= rank + e.RANK_ERROR) & (F.avg((F.col("v") <= F.col(q)).cast("int")) >= rank - e.RANK_ERROR)
+    ok = rows.join(out.select("backend", "median", "p95"), "backend").groupBy("backend").agg(near("median", 0.5).alias("median_ok"), near("p95", 0.95).alias("p95_ok"))
+    return out.join(ok, "backend").select("backend", "n", F.round("mean", 4).alias("mean"), "max", "median_ok", "p95_ok")
+
+
 @query("g8_risk_cases", """WITH x AS (SELECT l_orderkey AS case_id, l_linenumber AS n, list_filter([CASE WHEN 1 - l_discount < 0.95 THEN 'low_ssim' END, CASE WHEN l_quantity > 10 THEN 'high_mae' END, CASE WHEN l_tax * 5 > 0.2 THEN 'high_gmsd' END], lambda v: v IS NOT NULL) AS flags FROM lineitem) SELECT * FROM x WHERE len(flags) > 0""")
 def g8(spark, d):
     flags = e.risk_flags(1 - F.col("l_discount"), F.col("l_quantity"), F.col("l_tax") * 5)

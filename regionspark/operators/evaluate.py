@@ -77,6 +77,26 @@ def repair_summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max"), F.sum(value).alias("sum"))
 
 
+#: Size of a quantile sketch, and the share of its rows by which a rank may be off (99 of 100 times; far more than it is as a rule).
+SKETCH, RANK_ERROR = 1000, 0.01
+
+
+def repair_sketches(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """G7 in a form that can be stored and merged: (keys, n, total, max, sketch), the sketch (KLL) a few kilobytes however
+    many values there are; combined before the shuffle. Null values are left out, as in repair_summary's measures."""
+    v = F.col(value).cast("double")
+    return runs.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, SKETCH).alias("sketch"))
+
+
+def sketched_summary(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """G7 from stored sketches of any finer keys: (keys, n, mean, median, p95, max, sum). median and p95 are values of the data
+    whose rank is within RANK_ERROR of the one asked for; repair_summary gives the exact ones, which hold all distinct values
+    of a group in one task."""
+    each = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("sum"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("_s"))
+    at = lambda rank: F.kll_sketch_get_quantile_double("_s", F.lit(rank))
+    return each.select(*keys, "n", (F.col("sum") / F.col("n")).alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), "max", "sum")
+
+
 def risk_flags(ssim: Column, mae: Column, gmsd: Column) -> Column:
     """G8."""
     return F.array_compact(F.array(F.when(ssim < 0.95, "low_ssim"), F.when(mae > 10, "high_mae"), F.when(gmsd > 0.2, "high_gmsd")))

@@ -66,3 +66,17 @@ def test_results_are_replaced_as_a_whole(spark, tmp_path):
     assert load() == [(i, 3, "a") for i in range(0, 20, 2)]
     scans.write_results(rows.limit(0).withColumn("version", F.lit(4)), path)
     assert scans.vacuum_results(spark, path) >= 1 and load() == [(i, 3, "a") for i in range(0, 20, 2)] and open_.columns == ["id", "version", "batch_id"]
+
+
+def test_sketches_merge_within_the_error(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("day"), F.when(F.col("id") % 11 == 0, None).otherwise(F.exp((F.col("id") * 7919 % 10_007) / 900)).alias("v"))  # skewed
+    stored = evaluate.repair_sketches(rows, ["k", "day"], "v")
+    assert stored.agg(F.max(F.length("sketch"))).collect()[0][0] < 50_000
+    exact = {r.k: r for r in evaluate.repair_summary(rows.where("v is not null"), ["k"], "v").collect()}
+    values = {k: sorted(r.v for r in rows.where(f"k = {k} and v is not null").collect()) for k in range(3)}
+    for r in evaluate.sketched_summary(stored, ["k"]).collect():
+        assert r.n == exact[r.k].n and r.max == exact[r.k].max and abs(r.mean / exact[r.k].mean - 1) < 1e-9
+        for got, rank in ((r.median, 0.5), (r.p95, 0.95)):
+            assert abs(sum(v <= got for v in values[r.k]) / r.n - rank) < evaluate.RANK_ERROR
+    few = evaluate.sketched_summary(evaluate.repair_sketches(spark.createDataFrame([(1, 5.0), (1, None), (1, 7.0), (1, 9.0)], "k long, v double"), ["k"], "v"), ["k"]).collect()
+    assert [(x.n, x.median, x.p95, x.max) for x in few] == [(3, 7.0, 9.0, 9.0)]
