@@ -1,6 +1,6 @@
 """Pairs of boxes that overlap, by cells that are cut in two where they are dense.
 
-All boxes of a key start in cells of one size. A cell that holds too many boxes is halved along the axis that fewer of them
+A key of few boxes pairs all of them: that is bounded and needs no cells. Boxes of the other keys start in cells of one size. A cell that holds too many boxes is halved along the axis that fewer of them
 cross, and so on, so that a crowded strip or page costs no quadratic task and empty space no cells. Cells do not overlap, and
 a pair is taken only in the cell of its reference point, the corner of its common part that is nearest to the origin, so it
 comes once.
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from regionspark.functions.geometry import overlap_area
 from regionspark.session import written
 
-#: Cells are 2^START pixels wide and high at first and 2^LEAST at least; boxes that a cell may hold before it is cut.
+#: Cells are 2^START pixels wide and high at first and 2^LEAST at least; boxes that a key may hold without cells, and that a
+#: cell may hold before it is cut.
 START, LEAST, DENSE = 10, 2, 256
 
 
@@ -82,18 +83,29 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[s
     def side(df: DataFrame, n: int) -> DataFrame:
         b = F.col(boxes[n])
         whole = F.struct(*[b[c].cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
-        rows = df.select(F.struct(*[F.col(k) for k in keys]).alias("key"), F.lit(n).alias("side"), F.col(ids[n]).alias("id"), whole.alias("box"))
-        known = [F.col(f"key.{k}").isNotNull() for k in keys] + [F.col("box.max_x") > F.col("box.min_x"), F.col("box.max_y") > F.col("box.min_y")]
-        for k in known:
-            rows = rows.where(k)
-        return rows
+        return df.select(F.struct(*[F.col(k) for k in keys]).alias("key"), F.lit(n).alias("side"), F.col(ids[n]).alias("id"), whole.alias("box"))
 
     same = left.select(F.col(ids[0]).alias("id")).schema[0].dataType == right.select(F.col(ids[1]).alias("id")).schema[0].dataType
     if not same:
         raise ValueError("both sides need ids of one type")
-    leaves = _leaves(side(left, 0).unionByName(side(right, 1)), dense)
-    a = leaves.where("side = 0").select(*_CELL, F.col("id").alias("left"), F.col("box").alias("left_box"))
-    b = leaves.where("side = 1").select(*_CELL, F.col("id").alias("right"), F.col("box").alias("right_box"))
-    here = lambda axis: F.floor(F.greatest(f"left_box.min_{axis}", f"right_box.min_{axis}") / F.pow(F.lit(2.0), F.col(f"l{axis}"))) == F.col(f"i{axis}")
-    pairs = a.join(b, list(_CELL)).where(here("x") & here("y")).where(overlap_area(F.col("left_box"), F.col("right_box")) > 0)
-    return pairs.select("key.*", "left", "right", "left_box", "right_box")
+    # written, as boxes come from polygons and each step below reads them; filtered after that, or the filters work them out again
+    rows = written(side(left, 0).unionByName(side(right, 1))).where("box.max_x > box.min_x and box.max_y > box.min_y")
+    for k in keys:
+        rows = rows.where(F.col(f"key.{k}").isNotNull())
+    many = written(rows.groupBy("key").count().where(F.col("count") > dense).select("key"))
+    if many.isEmpty():
+        return _pairs(rows, ["key"])
+    cells = _pairs(_leaves(rows.join(many, "key", "left_semi"), dense), list(_CELL), _reference("x") & _reference("y"))
+    return _pairs(rows.join(many, "key", "left_anti"), ["key"]).unionByName(cells)
+
+
+def _reference(axis: str) -> Column:
+    """Whether the corner of the common part lies in the pair's cell."""
+    return F.floor(F.greatest(f"left_box.min_{axis}", f"right_box.min_{axis}") / F.pow(F.lit(2.0), F.col(f"l{axis}"))) == F.col(f"i{axis}")
+
+
+def _pairs(rows: DataFrame, on: list[str], where: Column | None = None) -> DataFrame:
+    a = rows.where("side = 0").select(*on, F.col("id").alias("left"), F.col("box").alias("left_box"))
+    b = rows.where("side = 1").select(*on, F.col("id").alias("right"), F.col("box").alias("right_box"))
+    pairs = a.join(b, on).where(overlap_area(F.col("left_box"), F.col("right_box")) > 0)
+    return (pairs if where is None else pairs.where(where)).select("key.*", "left", "right", "left_box", "right_box")

@@ -13,13 +13,13 @@ SIDE = "k string, id long, box struct<min_x:double,min_y:double,max_x:double,max
 def make(rng, n, kind):
     out = []
     for i in range(n):
-        x, y = {"page": (rng.uniform(-500, 4000), rng.uniform(-500, 4000)), "strip": (rng.uniform(0, 20000), 5.0), "crowd": (rng.uniform(0, 60), rng.uniform(0, 60)), "lines": (0.0, 3.0 * i), "stack": (7.0, 7.0)}[kind]
+        x, y = {"page": (rng.uniform(-500, 4000), rng.uniform(-500, 4000)), "mixed": (rng.uniform(-50, 300), rng.uniform(-50, 60)), "strip": (rng.uniform(0, 20000), 5.0), "crowd": (rng.uniform(0, 60), rng.uniform(0, 60)), "lines": (0.0, 3.0 * i), "stack": (7.0, 7.0)}[kind]
         w, h = {"page": (rng.uniform(1, 900), rng.uniform(1, 90)), "lines": (5000.0, 4.0)}.get(kind, (rng.choice([0.0, 1.0, 4.0]), rng.uniform(0.5, 5)))
-        out.append((rng.choice(["a", "b", None]) if kind == "page" else "a", i, (x, y, x + w, y + h)))
+        out.append((rng.choice(["a", "b", None]) if kind == "page" else f"few {i % 7}" if kind == "mixed" and i % 9 == 0 else "a", i, (x, y, x + w, y + h)))
     return out
 
 
-@pytest.mark.parametrize("kind,dense", [("page", 20), ("page", 256), ("strip", 8), ("crowd", 8), ("lines", 8), ("stack", 8)])
+@pytest.mark.parametrize("kind,dense", [("page", 20), ("page", 256), ("mixed", 12), ("strip", 8), ("crowd", 8), ("lines", 8), ("stack", 8)])
 def test_all_pairs(spark, kind, dense):
     rng = random.Random(4)
     n = 60 if kind == "stack" else 200
