@@ -15,7 +15,7 @@ from regionspark.operators import batch as b
 from regionspark.operators import registry, routing
 from regionspark.plans import units as u
 from regionspark.session import shared_dir
-from regionspark.sources import scans
+from regionspark.sources import runs, scans
 from regionspark.streaming import jobs
 from regionspark.surrogates import regions, table
 
@@ -348,3 +348,17 @@ def s5(spark, d):
     for backend, part in (("one", rows), ("two", rows.where("case_id % 2 = 0"))):
         part.groupBy(F.floor(F.col("case_id") / 200)).agg(F.collect_list(F.struct("case_id", "n")).alias("cases")).select("cases").write.option("maxRecordsPerFile", 1).json(f"{folder}/{backend}")
     return scans.read_runs(spark, f"{folder}/*/*.json", "cases array<struct<case_id:long,n:long>>").select(F.explode("cases").alias("c"), "backend").select("c.*", "backend")
+
+
+@query("s5_run_stream", "SELECT doc_id AS case_id, length(text)::BIGINT AS n, lpad((doc_id % 4)::VARCHAR, 3, '0') AS run FROM documents")
+def s5_stream(spark, d):
+    """Four runs of all documents' cases; a stream reads two, ends, and goes on with the others from its checkpoint."""
+    runs.register(spark)
+    folder, rows = _folder(spark), table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.length("text").cast("long").alias("n"))
+    for n in range(4):
+        part = rows.where(F.col("case_id") % 4 == n).groupBy(F.floor(F.col("case_id") / 200)).agg(F.collect_list(F.struct("case_id", "n")).alias("cases"))
+        part.select("cases").write.option("maxRecordsPerFile", 1).json(f"{folder}/runs/{n:03}")
+        if n % 2:
+            cases = spark.readStream.format("region_runs").schema("case_id long NOT NULL, n long, _run string").option("records", "cases").load(f"{folder}/runs")
+            cases.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/cases").awaitTermination()
+    return runs.refuse_repeated(spark.read.schema("case_id long, n long, _run string").parquet(f"{folder}/cases"), "case_id").withColumnRenamed("_run", "run")
