@@ -301,6 +301,92 @@ def test_quality_classifier_brute_force(spark):
     assert (np.diff(best) >= 0).all() and len(best) == 5 and np.allclose(best[1:4], best[1])
 
 
+def test_quality_classifier_rounds_brute_force(spark):
+    """Both views, two rounds of pseudo-labels and the combined score, with loops over documents and dictionaries of features."""
+    import math
+
+    import xxhash
+
+    q = quality_classifier
+    d, labels = common.load(spark, SF, "documents").select("doc_id", "text", "lang", "source"), common.load(spark, SF, "labels")
+    known = {r.doc_id: int(r.quality > 0) for r in labels.collect()}
+    fold = {k: zlib.crc32(str(k).encode()) % q.FOLDS for k in known}
+    code = lambda t: ((t[0] | t[1] << 8 | t[2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+    band = lambda x: str(math.floor(math.log(x + 1) / math.log(1.5)))
+
+    def hashed(name, value):
+        return xxhash.xxh64_intdigest(value.encode(), xxhash.xxh64_intdigest(name.encode(), 42))
+
+    features = {}
+    for r in d.collect():
+        t, n = r.text.encode(), r.text.count("\n") + 1
+        named = {"source": r.source or "", "lang": r.lang or "", "length": band(len(r.text)), "lines": band(n), "line": band(len(r.text) / n)}
+        meta = common.mix(np.array([hashed(k, v) for k, v in named.items()], np.uint64)) & np.uint64(q.META - 1)
+        features[r.doc_id] = ([code(t[i : i + 3]) for i in range(len(t) - 2)], meta.tolist())
+
+    def trained(rounds):
+        views, taught = None, []
+        for _ in range(rounds + 1):
+            counts = [[{}, {}], [{}, {}]]  # view, class: feature -> weight
+            told = 0
+            for k, own in features.items():
+                weight = [[0.0, 0.0], [0.0, 0.0]]
+                if k in known and fold[k] not in (q.CALIBRATION, q.HELD_OUT):
+                    weight[0][known[k]] = weight[1][known[k]] = 1.0
+                elif k not in known and views:
+                    sure = [chance(views, v, own[v]) for v in (0, 1)]
+                    for v in (0, 1):
+                        weight[v][1] += q.PSEUDO * (sure[1 - v] >= q.CONFIDENT)
+                        weight[v][0] += q.PSEUDO * (sure[1 - v] <= 1 - q.CONFIDENT)
+                        told += sum(weight[v]) > 0
+                for v in (0, 1):
+                    for c in (0, 1):
+                        for x in own[v] if weight[v][c] else ():
+                            counts[v][c][x] = counts[v][c].get(x, 0.0) + weight[v][c]
+            taught.append(told)
+            views = []
+            for v, size in ((0, q.TEXT), (1, q.META)):
+                total = [sum(c.values()) + size for c in counts[v]]
+                odds = {x: math.log((counts[v][1].get(x, 0) + 1) / total[1]) - math.log((counts[v][0].get(x, 0) + 1) / total[0]) for x in set(counts[v][0]) | set(counts[v][1])}
+                views.append([odds, math.log(1 / total[1]) - math.log(1 / total[0]), None, None])
+                judged = sorted((k for k in known if fold[k] == q.CALIBRATION and k in features))
+                scores = [mean(views[v], v, features[k][v]) for k in judged]
+                edges = np.unique(np.quantile(scores, np.linspace(0, 1, q.BINS + 1)[1:-1]))
+                good, n = np.zeros(len(edges) + 1), np.zeros(len(edges) + 1)
+                for k, s in zip(judged, scores):
+                    at = sum(e <= s for e in edges)
+                    good[at] += known[k]
+                    n[at] += 1
+                views[v][2:] = edges, q._isotonic(good, n)
+        return views, taught
+
+    def mean(view, v, own):
+        total = sum(view[0].get(x, view[1]) for x in own)
+        return total if v else total / max(len(own), 1)
+
+    def chance(views, v, own):
+        return views[v][3][sum(e <= mean(views[v], v, own) for e in views[v][2])]
+
+    for rounds in (1, 2):
+        views, taught = trained(rounds)
+        assert taught[0] == 0 and taught[-1] > 0  # pseudo-labels do teach
+        got = q.train(d, labels, rounds=rounds)
+        for mine, theirs in zip(views, got):
+            seen = np.full(len(theirs.odds), mine[1])
+            seen[list(mine[0])] = list(mine[0].values())
+            assert np.allclose(seen, theirs.odds, atol=1e-9) and np.allclose(mine[2], theirs.edges) and np.allclose(mine[3], theirs.chance)
+        logit = lambda p: math.log(p / (1 - p))
+        spread = [float(np.std([logit(p) for p in v[3]])) for v in views]
+        agree = 0
+        for r in q.score(d, got).collect():
+            p = [chance(views, v, features[r.doc_id][v]) for v in (0, 1)]
+            if np.allclose([r.p_text, r.p_meta], p):  # a score on the very edge of a bin may fall to either side
+                agree += 1
+                assert abs(r.score - 1 / (1 + math.exp(-(spread[0] * logit(p[0]) + spread[1] * logit(p[1])) / sum(spread)))) < 1e-9
+        assert agree >= 0.98 * len(features)
+    assert not np.allclose(got[0].odds, q.train(d, labels, rounds=0)[0].odds)
+
+
 CLASH = ["_id", "_gone", "_words", "_size", "_lang", "_edit", "row", "found", "both", "lines", "id", "other", "d", "s", "m", "mark", "words", "taken", "cut", "copies", "rank", "slot", "label", "meta", "size", "new", "own"]
 
 
