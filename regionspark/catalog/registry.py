@@ -187,7 +187,11 @@ def t2(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey AS release_id", "p_brand AS model_id", "p_size").orderBy(F.desc("release_id"))
 
 
-@query("u4_effective_config", "SELECT max(o_orderkey) AS version, 'cache' AS source, TRUE AS warning FROM orders WHERE o_orderstatus = 'O'")
+@query("u4_effective_config", """WITH b AS (SELECT o_orderstatus AS status, max(o_orderkey) AS version FROM orders GROUP BY ALL),
+c(n, rank, source, status) AS (VALUES (0, 0, 'remote', 'P'), (0, 1, 'cache', 'O'), (0, 2, 'builtin', 'F'), (1, 0, 'remote', ''), (1, 1, 'cache', 'O'), (1, 2, 'builtin', 'F'), (2, 0, 'remote', ''), (2, 1, 'cache', ''), (2, 2, 'builtin', 'F')),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY rank) AS k FROM c JOIN b USING (status)) SELECT n, version, source, source <> 'remote' AS warning FROM r WHERE k = 1""")
 def u4(spark, d):
+    """All sources, two of them, the last one only, and none."""
     best = lambda s: table(spark, d, "orders").where(F.col("o_orderstatus") == s).groupBy().agg(F.max("o_orderkey").alias("version")).where("version is not null")
-    return r.effective_config(best("none"), best("O"), best("F"))
+    cases = [r.effective_config(*map(best, sources)).select(F.lit(n).alias("n"), "version", "source", "warning") for n, sources in enumerate(("POF", ("", "O", "F"), ("", "", "F"), ("", "", "")))]
+    return cases[0].union(cases[1]).union(cases[2]).union(cases[3])

@@ -49,9 +49,19 @@ def flagship(spark, d):
 _URL = r"https?://[^\s]+"
 
 
-@query("a24_url_spans", rf"SELECT page_id, 2 AS start, (2 + length(url))::INT AS \"end\", url AS text FROM pages".replace('\\"', '"'))
+# Two addresses a page, behind words of 0 to 39 letters beyond ASCII
+_TWO_URLS = "repeat('é', (page_id % 40)::INT) || ' ' || url || ' 和 ' || url || ' b'"
+
+
+def _two_urls(spark, d):
+    filler = F.repeat(F.lit("é"), (F.col("page_id") % 40).cast("int"))
+    return s.find_spans(table(spark, d, "pages").select("page_id", F.concat(filler, F.lit(" "), "url", F.lit(" 和 "), "url", F.lit(" b")).alias("t")), "t")
+
+
+@query("a24_url_spans", """WITH x AS (SELECT page_id, url AS text, (page_id % 40)::INT + 1 AS b, length(url)::INT AS n FROM pages)
+SELECT page_id, b + k * (n + 3) AS start, b + k * (n + 3) + n AS "end", text FROM x, (VALUES (0), (1)) v(k)""")
 def a24(spark, d):
-    rows = s.find_spans(table(spark, d, "pages").select("page_id", F.concat(F.lit("a "), "url", F.lit(" b")).alias("t")), "t")
+    rows = _two_urls(spark, d)
     return rows.select("page_id", F.explode("candidates").alias("c")).where("c.kind = 'url'").select("page_id", "c.start", "c.end", "c.text")
 
 
@@ -116,18 +126,28 @@ def a28(spark, d):
     return rows.select("doc_id", F.coalesce(s.restore_text(F.col("masked"), F.col("spans")) == F.col("text"), F.lit(False)).alias("same"))
 
 
+@query("a28_mask_text", f"""SELECT page_id, repeat('é', (page_id % 40)::INT) || ' <x id="0"/> 和 <x id="1"/> b' AS masked, {_TWO_URLS} AS restored FROM pages""")
+def a28_text(spark, d):
+    rows = _two_urls(spark, d).withColumn("spans", s.resolve_spans(F.col("candidates"))).withColumn("masked", s.mask_text(F.col("t"), F.col("spans")))
+    return rows.select("page_id", "masked", s.restore_text(F.col("masked"), F.col("spans")).alias("restored"))
+
+
 @query("a29_fully_protected", r"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '<x id="0"/> - <x id="12"/>!' WHEN doc_id % 3 = 1 THEN '' ELSE text END AS m FROM documents) SELECT doc_id, NOT regexp_matches(regexp_replace(m, '<x id="\d+"/>', '', 'g'), '[\p{L}\p{N}]') AS protected FROM x""")
 def a29(spark, d):
     m = F.when(F.col("doc_id") % 3 == 0, '<x id="0"/> - <x id="12"/>!').when(F.col("doc_id") % 3 == 1, "").otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", s.fully_protected(m).alias("protected"))
 
 
-@query("a30_restore_text", """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN NULL WHEN p_partkey % 4 = 2 THEN NULL ELSE p_brand || ' and ' || p_type END AS restored FROM part""")
+@query("a30_restore_text", """WITH x AS (SELECT p_partkey AS id, p_partkey % 5 AS n, p_partkey // 5 % 3 AS damage, list_transform(range(0, p_partkey % 5), lambda i: p_brand || ' <' || i || '> ' || p_type) AS texts FROM part)
+SELECT id, CASE WHEN n = 0 OR damage = 0 THEN 'a ' || coalesce(array_to_string(list_reverse(texts), ' | '), '') || ' z' END AS restored FROM x""")
 def a30(spark, d):
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.col("p_brand").alias("text")), F.struct(F.lit(9).alias("start"), F.col("p_type").alias("text")))
-    k = F.col("p_partkey") % 4
-    t = F.when(k == 1, '<x id="0"/> and').when(k == 2, '<x id="0"/> and <x id="1"/> <x id="1"/>').otherwise('<x id="0"/> and <x id="1"/>')
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.restore_text(t, spans).alias("restored"))
+    """No to four spans that come back in reverse order; of two thirds of the texts one placeholder is lost or there twice."""
+    n, damage = (F.col("p_partkey") % 5).cast("int"), F.floor(F.col("p_partkey") / 5) % 3
+    spans = F.transform(F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), n), lambda i: F.struct(i.alias("start"), F.concat("p_brand", F.lit(" <"), i.cast("string"), F.lit("> "), "p_type").alias("text")))
+    marks = F.reverse(F.transform(F.col("spans"), lambda _, i: s.placeholder(i)))
+    marks = F.when(damage == 1, F.slice(marks, F.lit(2), F.lit(5))).when(damage == 2, F.concat(marks, F.slice(marks, F.lit(1), F.lit(1)))).otherwise(marks)
+    rows = table(spark, d, "part").withColumn("spans", spans).withColumn("t", F.concat(F.lit("a "), F.array_join(marks, " | "), F.lit(" z")))
+    return rows.select(F.col("p_partkey").alias("id"), s.restore_text(F.col("t"), F.col("spans")).alias("restored"))
 
 
 _P1_TEXT = "CASE WHEN seq % 6 = 1 THEN 'https://shop.example.com/p/' || doc_id || ' 25%' WHEN seq % 6 = 2 THEN 'note ' || t || ' SKU-AB' || doc_id WHEN seq % 6 = 3 THEN '!!!' ELSE 'note ' || t END"
