@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionspark.llm.common import chunks, load, mix, text_bytes, word_bounds, word_hashes
+from regionspark.llm.common import chunks, load, mix, text_bytes, word_bounds, word_hashes, written
 
 BITS = 128
 K = 5
+#: Bits in which near fingerprints may differ.
+RADIUS = 3
 #: Bytes of text whose votes are counted at once in a task.
 VOTE_BYTES = 1 << 17
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -87,13 +89,13 @@ def likeness(a: Column | str, b: Column | str, bits: int = BITS) -> Column:
     return F.greatest(F.lit(0.0), F.cos(F.lit(np.pi) * distance(a, b, bits) / bits))
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None, bits: int = BITS) -> DataFrame:
-    """(query_id, doc_id, distance): all rows of prints (doc_id, fingerprint) within `radius` bits of each query.
+def near_prints(prints: DataFrame, wanted: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS) -> DataFrame:
+    """(fingerprint, wanted, distance): the fingerprints of prints within `radius` bits of each one of wanted (columns
+    fingerprint; nulls are left out, repeated ones count once).
 
     The fingerprint is cut into `blocks` blocks (radius + 2 by default); with at most radius wrong bits some
-    blocks - radius blocks are right, so there is one table per choice of that many blocks, keyed by them. Rows with
-    equal fingerprints are one entry of the tables, so copies do not multiply the candidates; a pair is reported by
-    the first table it meets in. Null ids and fingerprints are left out; queries must be few beside prints.
+    blocks - radius blocks are right, so there is one table per choice of that many blocks, keyed by them. wanted must be few
+    beside prints.
     """
     blocks = blocks or radius + 2
     edges = [round(i * bits / 4 / blocks) for i in range(blocks + 1)]
@@ -102,13 +104,32 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | N
     def keyed(rows: DataFrame, name: str) -> DataFrame:
         cut = lambda t: F.concat(*[F.substring(name, edges[b] + 1, edges[b + 1] - edges[b]) for b in t])
         each = F.array(*[F.struct(F.lit(i).alias("table"), cut(t).alias("value")) for i, t in enumerate(tables)])
-        return rows.select(name, F.explode(each).alias("k")).select(name, "k.*")
+        return rows.where(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(each).alias("k")).select(name, "k.*")
 
-    d = prints.where("doc_id is not null and fingerprint is not null").select("doc_id", "fingerprint")
-    q = queries.where("doc_id is not null and fingerprint is not null").select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("wanted"))
-    left, right = keyed(d.select("fingerprint").distinct(), "fingerprint"), keyed(q.select("wanted").distinct(), "wanted")
-    pairs = left.join(right, ["table", "value"]).select("fingerprint", "wanted").where(distance("fingerprint", "wanted", bits) <= radius).distinct()
-    return q.join(pairs, "wanted").join(d, "fingerprint").select("query_id", "doc_id", distance("fingerprint", "wanted", bits).alias("distance"))
+    away = distance("fingerprint", "wanted", bits)
+    return keyed(prints, "fingerprint").join(keyed(wanted, "wanted"), ["table", "value"]).where(away <= radius).select("fingerprint", "wanted").distinct().withColumn("distance", away)
+
+
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS) -> DataFrame:
+    """(query_id, doc_id, distance): all rows of prints (doc_id, fingerprint) within `radius` bits of each query. Rows with equal
+    fingerprints are one entry of the tables, so copies do not multiply the candidates. Null ids and fingerprints are left
+    out."""
+    known = "doc_id is not null and fingerprint is not null"
+    d, q = prints.where(known).select("doc_id", "fingerprint"), queries.where(known).select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("wanted"))
+    pairs = near_prints(d, q.select(F.col("wanted").alias("fingerprint")), radius, blocks, bits)
+    return q.join(pairs, "wanted").join(d, "fingerprint").select("query_id", "doc_id", "distance")
+
+
+def with_near_counts(rows: DataFrame, is_query: Column, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """rows (fingerprint, ...) with near_docs: how many other rows have a fingerprint within `radius` bits; null where is_query is
+    not true or the fingerprint is null. Counted by fingerprint, so that groups of copies are never paired."""
+    columns = rows.columns
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "fingerprint", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    asked, sizes = rows.where("asked"), rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    found = near_prints(sizes, asked, radius, None, bits).join(sizes, "fingerprint").groupBy("wanted").agg((F.sum("n") - 1).alias("near_docs"))
+    counted = asked.join(found, asked.fingerprint == found.wanted, "left").select("row", "near_docs")
+    others = rows.where("not asked").select("row", F.lit(None).cast("long").alias("near_docs"))
+    return others.union(counted).select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "near_docs")
 
 
 # --- the query: a text, its edited form and the next document ---------------------------------------------------------
@@ -184,5 +205,7 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, k: int = K) -> DataFr
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = edited_fingerprints(load(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    """Besides the likenesses, near_docs: for ids divisible by 20, how many other documents lie within RADIUS bits."""
+    rows = written(edited_fingerprints(load(spark, sf_dir, "documents")))
+    rows = with_near_counts(rows, F.col("doc_id") % 20 == 0)
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), "near_docs")

@@ -135,6 +135,26 @@ def test_fingerprints(spark):
     value = {r.doc_id: int(r.fingerprint, 16) for r in prints.collect()}
     want = {(q, x) for q in value if q % 20 == 0 for x in value if (value[q] ^ value[x]).bit_count() <= 4}
     assert {(r.query_id, r.doc_id) for r in found} == want and len(found) == len(want)
+    for k, r in out.items():
+        near = sum((value[k] ^ x).bit_count() <= fingerprints.RADIUS for x in value.values()) - 1
+        assert r.near_docs == (near if k % 20 == 0 else None) and r.fingerprint == f"{value[k]:032x}"
+
+
+def test_near_counts(spark):
+    """Copies, near copies, no id, no fingerprint and no rows, against all pairs of rows."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(128) for _ in range(6)]
+    values = [base[0]] * 40 + [b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, 6))) for b in base for _ in range(25)] + [None, None]
+    rows = [(None if i % 17 == 0 else i // 2, None if v is None else f"{v:032x}", i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string, place int").withColumn("n", F.lit("clash")).withColumn("wanted", F.lit("clash"))
+    got = fingerprints.with_near_counts(df, F.col("doc_id") % 5 == 0)
+    assert got.columns == [*df.columns, "near_docs"] and fingerprints.with_near_counts(df.limit(0), F.col("doc_id") % 5 == 0).count() == 0
+    out = got.collect()
+    assert len(out) == len(rows) and all(r.n == r.wanted == "clash" for r in out)
+    for r in out:
+        v = values[r.place]
+        near = None if v is None else sum(x is not None and (x ^ v).bit_count() <= fingerprints.RADIUS for x in values) - 1
+        assert r.near_docs == (near if r.doc_id is not None and r.doc_id % 5 == 0 else None)
 
 
 def _components(texts, linked):
