@@ -50,6 +50,28 @@ def test_odd_inputs(spark):
     assert chat_formatting.conversations(chat).count() == 4 and chat_formatting.conversations(chat.limit(0)).count() == 0
 
 
+def test_odd_values(spark):
+    """What odd rows give, not only how many there are."""
+    df = docs(spark, ODD)
+    by_id = lambda rows, *c: [tuple(r[x] for x in c) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    sizes = [0, 0, 0, 1, 12, 5000, 4, 6]
+    assert by_id(quality_rules.ledger(df), "n_words") == [(n,) for n in sizes]
+    assert by_id(jaccard_join.linked(df), "n_shingles", "component_id") == [(n, i) for i, n in enumerate([0, 0, 0, 1, 6, 1, 1, 2])]
+    assert {r.doc_id for r in jaccard_join.one_of_each(df.union(df)).collect()} == set(range(8))
+    line = "same line here with many words"
+    assert by_id(line_dedup.without_repeats(df), "text", "n_removed") == [(t, 0) for t in ODD[:4]] + [(line, 1), (ODD[5], 0), (ODD[6], 0), ("", 1)]
+    mixed = by_id(mixing.mix(df), "size", "source_size", "target", "taken")
+    assert [m[:2] for m in mixed] == [(n, 5007 if i % 2 else 16) for i, n in enumerate(sizes)]
+    assert all(abs(m[2] - (7502.5 if i % 2 else 32)) < 1e-6 for i, m in enumerate(mixed))
+    assert sum(m[3] for m in mixed[::2]) == 32 and abs(sum(m[3] for m in mixed[1::2]) - 7502.5) <= 1 and all(m[3] <= 2 * m[0] for m in mixed)
+    coded = byte_bpe.decode(byte_bpe.encode(df)).collect()
+    assert [bytes(r.decoded).decode() for r in sorted(coded, key=lambda r: r.doc_id)] == [t or "" for t in ODD]
+    prints = [r[0] for r in by_id(fingerprints.simhash(df), "fingerprint")]
+    assert prints[0] == prints[1] == prints[2] == "0" * 32 and len(set(prints[2:])) == 6
+    edited = [r[0] for r in by_id(fingerprints.edited_fingerprints(df), "n_chars")]
+    assert edited == [len(t or "") for t in ODD]
+
+
 def test_quality_windows(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["a b c d e f a b c d e g", "w " * 40]
