@@ -67,3 +67,16 @@ def test_many_terms(spark):
     began = time.time()
     found = sum(len(own.find(t)) for t in texts)
     assert found == sum(len([w for w in t.split() if w != "other"]) for t in texts) and time.time() - began < 20
+
+
+def test_matches_leave_in_bounded_batches(spark, monkeypatch):
+    """A text of very many matches is handed on in pieces, and a literal leaves it once."""
+    texts = [(1, "a b " * 30_000), (1, "a b " * 30_000), (2, None), (3, "K\u212ab a")]
+    words = d.Dictionary(["a", "b"], "literal")
+    assert sorted(words.held(texts[0][1])) == [0, 1]
+    df, terms = spark.createDataFrame(texts, "id long, text string").coalesce(1), spark.createDataFrame([("a",), ("b",), ("k",)], "term string")
+    assert sorted(map(tuple, d.holds(df, ["id"], "text", terms).collect())) == [(1, "a"), (1, "b"), (3, "a"), (3, "b")]
+    found = d.term_matches(df, ["id"], "text", terms)
+    assert found.count() == 120_001 and not d.term_matches(df.where("id = 3"), ["id"], "text", terms).where("term <> 'a'").count()
+    sizes = found.mapInArrow(lambda batches: (d.pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg(F.max("n")).collect()[0][0]
+    assert sizes <= d.OUT
