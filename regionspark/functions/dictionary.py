@@ -249,7 +249,20 @@ def replaced(text: str, words: Dictionary, to: list[str]) -> tuple[str, bool]:
     whether one changed anything. A term that is not found cannot change the text, so only those found are tried; a replacement
     may make a later term, so what is around it is scanned again. Where no replacement can (see inert), each place of the
     text goes to its first term in one pass."""
-    wanted, changed = sorted({i for _, _, i in words.find(text)}), False
+    if not len(words.places) and words.calm(to):
+        return _words_replaced(text, words, to)
+    hits = sorted((i, start, end) for start, end, i in words._hits(text))
+    wanted, changed = sorted({i for i, _, _ in hits}), False
+    if all(map(words.inert(to).__getitem__, wanted)):
+        gone, made, parts, at = bytearray(len(text)), [], [], 0
+        for i, start, end in hits:
+            if gone.find(1, start, end) < 0:
+                gone[start:end] = b"\1" * (end - start)
+                made.append((start, end, i))
+        for start, end, i in sorted(made):
+            parts += [text[at:start], to[i]]
+            at, changed = end, changed or text[start:end] != to[i]
+        return "".join([*parts, text[at:]]), changed
     while wanted:
         i, parts, at = wanted.pop(0), [], 0
         made, length = [], 0

@@ -80,3 +80,27 @@ def test_matches_leave_in_bounded_batches(spark, monkeypatch):
     assert found.count() == 120_001 and not d.term_matches(df.where("id = 3"), ["id"], "text", terms).where("term <> 'a'").count()
     sizes = found.mapInArrow(lambda batches: (d.pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg(F.max("n")).collect()[0][0]
     assert sizes <= d.OUT
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_one_pass_glossary_equals_term_after_term(seed):
+    """Replacements that share no letter with a term, in one pass; terms overlap each other and themselves."""
+    rng = random.Random(seed)
+    terms = sorted({"".join(rng.choice(["ab", "b", "a b", "A", "é", "s", "ſ", "K", "-"]) for _ in range(rng.randint(1, 4))) for _ in range(25)}, key=lambda t: (-len(t), t))
+    terms = [t for t in terms if t[0] not in " -" and t[-1] not in " -"]
+    to = [f"#{i}" for i in range(len(terms))]
+    words = d.Dictionary(terms, "word")
+    assert all(words.inert(to))
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "b", "a b", "A", "É", "S", "s", "\u212a", "-", " ", " ", "#1"]) for _ in range(rng.randint(0, 15)))
+        want = text
+        for t, x in zip(terms, to):
+            want = re.sub(rf"(?<!\w){re.escape(t)}(?!\w)", x, want, flags=re.I)
+        assert d.replaced(text, words, to) == (want, want != text)
+
+
+def test_long_text_of_many_terms_is_one_pass():
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(4000)}, key=lambda t: (-len(t), t))
+    words, text, began = d.Dictionary(terms, "word"), " ".join(rng.choice(terms) for _ in range(40_000)), time.time()
+    assert d.replaced(text, words, ["#"] * len(terms))[0] == " ".join(["#"] * 40_000) and time.time() - began < 5
