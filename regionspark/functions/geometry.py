@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,13 +134,40 @@ def arc_tangent(a: Column, t: Column) -> Column:
     return point(at("x"), at("y"))
 
 
-def _steps(a: Column, n: int) -> Column:
-    return let(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: arc_point(a, i / F.lit(float(n)))), lambda p: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hypot(p[i]["x"] - p[i - 1]["x"], p[i]["y"] - p[i - 1]["y"])))
+#: Arcs whose pieces a task holds at a time.
+ARCS = 2000
+
+
+def _steps(arcs: pa.Array, n: int) -> np.ndarray:
+    """Lengths of n straight pieces of each arc, a row an arc; NaN where a coordinate is null."""
+    t = np.arange(n + 1) / n
+    r = 1 - t
+
+    def along(c: str) -> np.ndarray:
+        s, k, e = (pc.cast(pc.struct_field(arcs, [p, c]), pa.float64()).to_numpy(zero_copy_only=False)[:, None] for p in ("start", "control", "end"))
+        return r * r * s + 2 * r * t * k + t * t * e
+
+    return np.hypot(np.diff(along("x"), axis=1), np.diff(along("y"), axis=1))
+
+
+def _known(arcs: pa.Array) -> np.ndarray:
+    out = np.ones(len(arcs), bool)
+    for p in ("start", "control", "end"):
+        for c in "xy":
+            out &= pc.is_valid(pc.struct_field(arcs, [p, c])).to_numpy(zero_copy_only=False)
+    return out
 
 
 def arc_length(a: Column, n: int = 96) -> Column:
     """Length of the curve in n straight pieces."""
-    return total(_steps(a, n))
+
+    @F.arrow_udf("double")
+    def length(arcs: pa.Array) -> pa.Array:
+        parts = [arcs.slice(i, ARCS) for i in range(0, len(arcs), ARCS)]
+        out = [np.cumsum(_steps(p, n), axis=1)[:, -1] for p in parts]
+        return pa.chunked_array([pa.array(x, mask=~_known(p)) for x, p in zip(out, parts)], pa.float64()).combine_chunks()
+
+    return length(a)
 
 
 def default_arc(b: Column, bend: Column) -> Column:
@@ -158,14 +188,25 @@ def transform_arc(a: Column, old: Column, new: Column) -> Column:
 
 def arc_position_at(a: Column, distance: Column, n: int = 192) -> Column:
     """The t at which the curve has come so far: the first of n pieces that reaches the distance, then linear; 1 beyond."""
-    state = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("i"), F.lit(None).cast("double").alias("t"))
-
-    def step(s: Column, d: Column) -> Column:
-        reach = s["run"] + d
-        t = (s["i"] + F.when(d > 0, (distance - s["run"]) / d).otherwise(0.0)) / n
-        return F.struct(reach.alias("run"), (s["i"] + 1).alias("i"), F.coalesce(s["t"], F.when(distance <= reach, t)).alias("t"))
 
-    return F.coalesce(F.aggregate(_steps(a, n), state, step)["t"], F.lit(1.0))
+    def placed(arcs: pa.Array, goals: np.ndarray) -> np.ndarray:
+        step = _steps(arcs, n)
+        run = np.cumsum(step, axis=1)
+        come = (goals[:, None] <= run) | np.isnan(run)
+        first, row = come.argmax(axis=1), np.arange(len(goals))
+        before = np.where(first > 0, run[row, first - 1], 0.0)
+        piece = step[row, first]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            t = (first + np.where(piece == 0, 0.0, (goals - before) / piece)) / n
+        return np.where(come[row, first] & _known(arcs), t, 1.0)
+
+    @F.arrow_udf("double")
+    def position(arcs: pa.Array, goals: pa.Array) -> pa.Array:
+        goals = pc.fill_null(pc.cast(goals, pa.float64()), float("inf")).to_numpy(zero_copy_only=False)
+        out = [placed(arcs.slice(i, ARCS), goals[i : i + ARCS]) for i in range(0, len(arcs), ARCS)]
+        return pa.array(np.concatenate([np.empty(0), *out]))
+
+    return position(a, distance)
 
 
 def clamp_crop(min_x: Column, min_y: Column, max_x: Column, max_y: Column, context: int, width: Column, height: Column) -> Column:

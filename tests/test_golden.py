@@ -373,3 +373,55 @@ def test_greedy_matching_brute_force(spark):
                 want.add((sample, e, max(free)[1]))
     out = evaluate.match_greedily(spark.createDataFrame(rows, "sample_id string, seq_e int, seq_p int, iou double"))
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_arc_pieces_against_plain_loops(spark):
+    """A17, A19 beside a loop over the pieces; nulls, an arc that is a point, distances below 0 and beyond the end."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(i, *(rng.uniform(-50, 50) for _ in range(6)), rng.choice([-1.0, 0.0, 5.0, 40.0, 500.0])) for i in range(50)] + [(50, *[3.0] * 6, 0.0), (51, *[3.0] * 6, 1.0), (52, None, *[1.0] * 5, 2.0), (53, *[1.0, 2.0, 3.0, 4.0, 5.0, 6.0], None)]
+    df = spark.createDataFrame(rows, "i long, sx double, sy double, kx double, ky double, ex double, ey double, goal double")
+    a = g.arc(g.point(F.col("sx"), F.col("sy")), g.point(F.col("kx"), F.col("ky")), g.point(F.col("ex"), F.col("ey")))
+    got = {r.i: (r.length, r.at) for r in df.select("i", g.arc_length(a).alias("length"), g.arc_position_at(a, F.col("goal")).alias("at")).collect()}
+
+    def pieces(v, n):
+        at = [tuple((1 - t) ** 2 * v[c] + 2 * (1 - t) * t * v[2 + c] + t * t * v[4 + c] for c in (0, 1)) for t in (k / n for k in range(n + 1))]
+        return [math.dist(p, q) for p, q in zip(at, at[1:])]
+
+    for i, *v, goal in rows:
+        if None in v:
+            assert got[i] == (None, 1.0)
+            continue
+        run, want = 0.0, 1.0
+        for k, step in enumerate(pieces(v, 192)):
+            if goal is not None and goal <= run + step:
+                want = (k + ((goal - run) / step if step else 0.0)) / 192
+                break
+            run += step
+        assert got[i] == pytest.approx((sum(pieces(v, 96)), want), abs=1e-9)
+
+
+def test_failing_rows_cost_few_calls(spark, tmp_path):
+    """1000 rows, three of which fail, in far fewer calls than rows; every row's outcome as if it went alone."""
+    calls = f"{tmp_path}/calls"
+
+    def fn(pdf):
+        with open(calls, "a") as f:
+            f.write("x")
+        if pdf["id"].isin([0, 500, 999]).any():
+            raise ValueError("bad " + "".join(map(str, pdf["id"])) if len(pdf) == 1 else "several")
+        return [int(x) + 1 for x in pdf["id"]]
+
+    out = {r.id: (r.result, r.error) for r in b.isolate_failures(spark.range(0, 1000, 1, 1), fn, "long").collect()}
+    assert out == {i: (None, f"bad {i}") if i in (0, 500, 999) else (i + 1, None) for i in range(1000)}
+    assert len(open(calls).read()) < 100
+
+
+def test_retried_units_are_not_joined(spark):
+    """Units that share their key keep their own outcome, null texts and languages stay."""
+    rows = [(1, "字", "en", "a", None), (1, "plain", "en", "b", None), (2, None, "en", "c", None), (3, "字", None, "d", "e"), (4, "д" * 5001, "en", "x", None), (5, "д", "fr", "y", None)]
+    df = spark.createDataFrame(rows, "id long, text string, detected string, translated_text string, error_code string")
+    got = units.retry_script_mismatches(df, lambda t, c: [f"{c}:{len(x)}" for x in t], ["id"], "en")
+    assert sorted(((r.id, r.detected, r.translated_text, r.error_code) for r in got.collect()), key=str) == sorted(
+        [(1, "zh-Hans", "zh-Hans:1", None), (1, "en", "b", None), (2, "en", "c", None), (3, None, "d", "e"), (4, "ru", None, "item_too_long"), (5, "fr", "y", None)], key=str)
