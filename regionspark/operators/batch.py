@@ -93,10 +93,14 @@ def plan_exports(selection: DataFrame, items: DataFrame, existing: DataFrame, su
     return checked.join(named, "ord", "left").select("batch_id", "item_id", "ord", "problem", "target")
 
 
+#: Rows of a batch that go one by one at once where it fails.
+SINGLE = 16
+
+
 def isolate_failures(df: DataFrame, fn: Callable[[pd.DataFrame], list], schema: str) -> DataFrame:
     """Df with result and error. fn gets a batch of rows (a pandas frame) and gives one value of `schema`'s type for
-    each; where it fails or gives another number of values, the batch's rows go through it one by one, so a failing row
-    does not touch the others. One frame comes back: write it before it is split by `error is null`, so that fn runs once
+    each; where it fails or gives another number of values, a small batch's rows go through it one by one, a larger batch is
+    halved, and so on down to single rows, so a failing row does not touch the others. One frame comes back: write it before it is split by `error is null`, so that fn runs once
     and no row is lost between the two parts."""
     from pyspark.sql import types as T
 
@@ -108,14 +112,39 @@ def isolate_failures(df: DataFrame, fn: Callable[[pd.DataFrame], list], schema:
         except Exception as e:  # the point of the operator: any failure becomes a row
             return None, str(e) or type(e).__name__
 
+    def whole(pdf: pd.DataFrame) -> list | None:
+        try:
+            done = [(x, None) for x in fn(pdf)]
+        except Exception:  # some row fails
+            return None
+        return done if len(done) == len(pdf) else None
+
+    def halved(pdf: pd.DataFrame) -> list[tuple[object, str | None]]:
+        """Of a batch that fails; a half is not tried as a whole where the other one did not fail."""
+        done, open_ = [], [(0, len(pdf), True)]
+        while open_:
+            begin, end, fails = open_.pop()
+            if end - begin == 1:
+                done.append(one(pdf.iloc[begin:end]))
+                continue
+            own = None if fails else whole(pdf.iloc[begin:end])
+            if own is not None:
+                done += own
+                continue
+            middle = (begin + end) // 2
+            own = whole(pdf.iloc[begin:middle]) if middle - begin > 1 else [one(pdf.iloc[begin:middle])]
+            if own is not None:
+                done += own
+                open_.append((middle, end, own[0][1] is None))
+            else:
+                open_ += [(middle, end, False), (begin, middle, True)]
+        return done
+
     def run(batches):
         for pdf in batches:
-            try:
-                done = [(x, None) for x in fn(pdf)]
-            except Exception:  # some row fails
-                done = []
-            if len(done) != len(pdf):
-                done = [one(pdf.iloc[k : k + 1]) for k in range(len(pdf))]
+            done = whole(pdf)
+            if done is None:
+                done = halved(pdf) if len(pdf) > SINGLE else [one(pdf.iloc[k : k + 1]) for k in range(len(pdf))]
             yield pdf.assign(result=pd.Series([x for x, _ in done], index=pdf.index, dtype=object), error=[e for _, e in done])
 
     return df.mapInPandas(run, out)
