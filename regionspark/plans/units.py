@@ -99,13 +99,12 @@ def translate_batches(items: DataFrame, client: Callable[..., list[str]], order:
 
 def retry_script_mismatches(units: DataFrame, client: Callable[[list[str], str], list[str]], keys: list[str], target: str) -> DataFrame:
     """Units (keys, text, detected, translated_text, error_code) that the provider took for the target language though
-    their script says otherwise go through once more with the script's language as source; one pass, never a loop."""
-    rows = units.withColumn("_d", script_language(F.col("text"), F.col("detected")))
-    again = rows.where((F.col("detected") == target) & F.col("_d").isNotNull() & (F.col("_d") != target))
-    done = translate_batches(again.select(*keys, "text", "_d"), client, keys, by=["_d"]).select(*keys, "_d", F.col("translated_text").alias("_t"), F.col("error_code").alias("_e"))
-    rows = units.join(done, keys, "left")
-    pick = lambda new, old: F.when(F.col("_d").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
-    return rows.select(*keys, "text", pick("_d", "detected"), pick("_t", "translated_text"), pick("_e", "error_code"))
+    their script says otherwise go through once more with the script's language as source; one pass, never a loop. The others
+    stay where they are; no unit is joined."""
+    other = F.when(F.col("detected") == target, script_language(F.col("text"), F.col("detected")))
+    rows = units.select(*keys, "text", "detected", "translated_text", "error_code", F.when(other != target, other).alias("_d"))
+    again = translate_batches(rows.where("_d is not null").select(*keys, "text", F.col("_d").alias("detected")), client, keys, by=["detected"])
+    return rows.where("_d is null").drop("_d").unionByName(again)
 
 
 def manual_regions(specs: DataFrame) -> DataFrame:
