@@ -51,6 +51,31 @@ def _alike(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, siz
     return out
 
 
+def _bounds(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, n: np.ndarray, m: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the distance of some pairs is at most, by character for character from the front or from the back, and at least, by
+    the characters that one text has more of than the other. Most pairs of a text and its edited copy meet."""
+    most, least = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+    ends = np.cumsum(n[some] + m[some])
+    begin = 0
+    while begin < len(some):  # groups of CELLS characters, for the memory of their counts
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CELLS, "right")))
+        own = some[begin:end]
+        short = np.minimum(n[own], m[own])
+        differ = []
+        for shift_a, shift_b in ((0, 0), (n[own] - short, m[own] - short)):
+            x, first = _spread(a_at[own] + shift_a, short)
+            y, _ = _spread(b_at[own] + shift_b, short)
+            differ.append(np.add.reduceat((a[x] != b[y]).astype(np.int64), first))
+        most[begin:end] = np.abs(n[own] - m[own]) + np.minimum(*differ)
+        (x, _), (y, _), pair = _spread(a_at[own], n[own]), _spread(b_at[own], m[own]), np.arange(len(own))
+        keys, at = np.unique(np.concatenate([np.repeat(pair, n[own]) << 21 | a[x], np.repeat(pair, m[own]) << 21 | b[y]]), return_inverse=True)
+        more = np.bincount(at[: len(x)], minlength=len(keys)) - np.bincount(at[len(x) :], minlength=len(keys))
+        sides = [np.bincount(keys >> 21, np.maximum(d, 0), len(own)) for d in (more, -more)]
+        least[begin:end] = np.maximum(*sides).astype(np.int64)
+        begin = end
+    return most, least
+
+
 def distances(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Edit distance of each pair of texts, neither of which is null."""
     (a, a0), (b, b0) = _points(left), _points(right)
@@ -60,6 +85,9 @@ def distances(left: pa.Array, right: pa.Array) -> np.ndarray:
     n, m = n - head - tail, m - head - tail
     out = np.maximum(n, m)
     open_ = np.flatnonzero(np.minimum(n, m) > 0)
+    most, least = _bounds(a, b, a0[:-1] + head, b0[:-1] + head, n, m, open_)
+    out[open_] = most
+    open_ = open_[most > least]
     swap = n[open_] < m[open_]  # the longer one lies along the columns
     texts = np.concatenate([a, b])
     at_a, at_b = a0[:-1][open_] + head[open_], len(a) + b0[:-1][open_] + head[open_]

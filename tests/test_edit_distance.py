@@ -59,3 +59,31 @@ def test_column(spark):
     for r in df.select("a", "b", character_errors(F.col("a"), F.col("b")).alias("n"), e.edit_distance(F.col("a"), F.col("b")).alias("d")).collect():
         want = None if r.a is None or r.b is None else brute(r.a, r.b)
         assert r.d == want and r.n == (max(1, len(r.a or "")) if r.b is None else want)
+
+
+def test_bounds_that_meet_end_pairs(monkeypatch):
+    """Replaced letters and an appended one need no bit vectors; pairs whose bounds differ still get them."""
+    import random
+
+    import pyarrow as pa
+
+    from regionspark.functions import edit_distance as d
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aeio ü字") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    copies = [t.replace("e", "o") + "x" for t in texts]
+    groups, own = [], d._group
+    monkeypatch.setattr(d, "_group", lambda *a: groups.append(1) or own(*a))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    assert d.distances(pa.array(texts), pa.array(copies)).tolist() == [plain(a, b) for a, b in zip(texts, copies)] and not groups
+    others = texts[1:] + texts[:1]
+    monkeypatch.setattr(d, "CELLS", 500)
+    assert d.distances(pa.array(texts), pa.array(others)).tolist() == [plain(a, b) for a, b in zip(texts, others)] and groups
