@@ -81,10 +81,10 @@ SELECT doc_id, seq, n + 5 AS n_ends, concat_ws(',', 1, n + 3, n + 5, n + 8, n +
 def a5_bounds(spark, d):
     """Lines between graphemes of several characters: all places of each line, and bounds at all ends, inside a flag, past the end."""
     rows = regions(spark, d).select(F.col("image_id").alias("doc_id"), "seq", F.concat(F.lit("e\u0301"), F.translate("text", "\r", " "), F.lit(_FLAGS), F.lit("\U0001F469\u200D\U0001F4BB")).alias("text"))
-    text, n = F.col("text"), F.length("text")
-    inside = F.array_join(F.array_compact(F.transform(t.grapheme_marks(text), lambda mark, i: F.when(mark == "0", (i + 1).cast("string")))), ",")
-    ends = t.grapheme_ends(text)
-    ok = [t.boundaries_are_graphemes(text, bounds) for bounds in (F.concat(F.array(F.lit(0)), ends), F.array(F.lit(0), n - 5), F.array(n + 1))]
+    rows = rows.select("doc_id", "seq", F.length("text").alias("n"), t.grapheme_ends(F.col("text")).alias("ends"))  # once a line
+    n, ends = F.col("n"), F.col("ends")
+    inside = F.array_join(F.array_except(F.sequence(F.lit(1), n), ends).cast("array<string>"), ",")
+    ok = [t.ends_hold(ends, bounds) for bounds in (F.concat(F.array(F.lit(0)), ends), F.array(F.lit(0), n - 5), F.array(n + 1))]
     return rows.select("doc_id", "seq", F.size(ends).cast("long").alias("n_ends"), inside.alias("inside"), ok[0].alias("ends_ok"), ok[1].alias("flag_cut_ok"), ok[2].alias("past_ok"))
 
 

@@ -425,3 +425,29 @@ def test_retried_units_are_not_joined(spark):
     got = units.retry_script_mismatches(df, lambda t, c: [f"{c}:{len(x)}" for x in t], ["id"], "en")
     assert sorted(((r.id, r.detected, r.translated_text, r.error_code) for r in got.collect()), key=str) == sorted(
         [(1, "zh-Hans", "zh-Hans:1", None), (1, "en", "b", None), (2, "en", "c", None), (3, None, "d", "e"), (4, "ru", None, "item_too_long"), (5, "fr", "y", None)], key=str)
+
+
+def test_graphemes_between_plain_letters(spark):
+    """A5: runs of ASCII beside marks that join, prepended characters, flags, line ends and control characters."""
+    rng = random.Random(8)
+    parts = ["ab c", "e", "́", "\r", "\n", "\r\n", "؀", "‍", "\U0001F1E9", "\U0001F469", "\U0001F4BB", "\x01", "\x7f", "~", " ", "字", "ß", "ᄀ", "ᅡ"]
+    df = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(500)] + [(500, None)], "i int, x string")
+    plain = F.regexp_extract_all("x", F.lit(r"\X"), 0)
+    ends = F.array_compact(F.transform(t.grapheme_marks(F.col("x")), lambda m, i: F.when(m == "1", i + 1)))
+    for r in df.select("x", plain.alias("want"), t.graphemes(F.col("x")).alias("got"), ends.alias("ends"), t.grapheme_ends(F.col("x")).alias("own")).collect():
+        assert r.got == r.want and r.own == r.ends, repr(r.x)
+        if r.x is not None:
+            at, want = 0, []
+            for p in r.want:
+                at += len(p)
+                want.append(at)
+            assert r.own == want
+
+
+def test_graphemes_are_scanned_once_a_line():
+    import inspect
+
+    from regionspark.catalog import text_geometry
+
+    source = inspect.getsource(text_geometry.a5_bounds)
+    assert source.count("grapheme_ends") == 1 and "boundaries_are_graphemes" not in source and "grapheme_marks" not in source
