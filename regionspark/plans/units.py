@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regionspark.functions import geometry as g
 from regionspark.functions import spans as s
 from regionspark.functions.text import script_language, strip
+from regionspark.session import written
 
 MAX_ITEMS, MAX_CHARS, MAX_ITEM = 100, 20_000, 5_000
 #: Items that one task packs into batches.
@@ -102,7 +103,8 @@ def retry_script_mismatches(units: DataFrame, client: Callable[[list[str], str],
     their script says otherwise go through once more with the script's language as source; one pass, never a loop. The others
     stay where they are; no unit is joined."""
     other = F.when(F.col("detected") == target, script_language(F.col("text"), F.col("detected")))
-    rows = units.select(*keys, "text", "detected", "translated_text", "error_code", F.when(other != target, other).alias("_d"))
+    rows = units.select(*keys, "text", "detected", "translated_text", "error_code", other.alias("_o")).withColumn("_d", F.when(F.col("_o") != target, F.col("_o"))).drop("_o")
+    rows = written(rows)  # the scripts are looked for once; counting, packing and the others read the result
     again = translate_batches(rows.where("_d is not null").select(*keys, "text", F.col("_d").alias("detected")), client, keys, by=["detected"])
     return rows.where("_d is null").drop("_d").unionByName(again)
 
