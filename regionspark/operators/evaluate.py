@@ -6,6 +6,8 @@ import hashlib
 import json
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from regionspark.functions import geometry as g
 from regionspark.functions.edit_distance import edit_distance
 from regionspark.functions.text import boundaries_are_graphemes
 from regionspark.plans import boxes
+from regionspark.session import written
 
 
 def score_pairs(expected: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -149,16 +152,37 @@ def canonical_signature(layouts: DataFrame, backends: tuple[str, ...], order: st
     lines array<struct<text_start,text_end,direction,clusters array<struct<text_start,text_end>>>>, `order`): backends and
     cases by name, of a repeated case the last one by `order`, backends without a case as empty objects.
 
-    The digest is sequential by its nature, so the sorted rows stream through one task, which holds a batch of them and 32
-    bytes; they are sorted, and made JSON, in all tasks before."""
+    The digest is sequential by its nature. The rows are sorted, made JSON and joined to pieces of PIECE characters in all tasks and
+    written in their order; one task reads the pieces, file after file, and holds one batch of them and 32 bytes."""
     pair = lambda x: F.array(x["text_start"], x["text_end"])
     lines = F.transform("lines", lambda x: F.struct(F.transform(x["clusters"], pair).alias("clusters"), x["direction"].alias("direction"), pair(x).alias("range")))
     last = layouts.where(F.col("backend").isin(*backends)).groupBy("backend", "case_id").agg(F.max_by("lines", order).alias("lines"))
     rows = last.select("backend", F.col("case_id").cast("string").alias("case_id"), F.to_json(F.struct(lines.alias("lines"))).alias("json"))
     names = sorted(backends)
 
+    def joined(batches):
+        own, held, size = None, [], 0
+
+        def piece() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"backend": [own], "n": [len(held)], "text": [",".join(held)]})
+
+        for batch in batches:
+            for backend, case, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and (backend != own or size >= PIECE):
+                    yield piece()
+                    held, size = [], 0
+                own = backend
+                held.append(json.dumps(case, ensure_ascii=False) + ":" + text)
+                size += len(held[-1])
+        if held:
+            yield piece()
+
+    pieces = written(rows.orderBy("backend", "case_id").mapInArrow(joined, "backend string, n long, text string"))
+
     def run(batches):
-        digest, at, n = hashlib.sha256(b"{"), -1, 0
+        for _ in batches:
+            pass
+        digest, at, n, own = hashlib.sha256(b"{"), -1, 0, None
 
         def opened(to: int) -> None:
             nonlocal at
@@ -166,20 +190,30 @@ def canonical_signature(layouts: DataFrame, backends: tuple[str, ...], order: st
                 at += 1
                 digest.update((("}," if at else "") + json.dumps(names[at], ensure_ascii=False) + ":{").encode())
 
-        own = None
-        for batch in batches:
-            for backend, case, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if backend is None:
-                    continue
-                opened(names.index(backend))
-                digest.update(((("," if backend == own else "") + json.dumps(case, ensure_ascii=False)) + ":" + text).encode())
-                own, n = backend, n + 1
+        for backend, count, text in _in_order(pieces_at):
+            opened(names.index(backend))
+            digest.update((("," if backend == own else "") + text).encode())
+            own, n = backend, n + count
         opened(len(names) - 1)
         digest.update(b"}}" if names else b"}")
         yield pa.RecordBatch.from_pydict({"n": [n], "signature": [digest.hexdigest()]})
 
-    begin = layouts.sparkSession.createDataFrame([(None, None, None)], "backend string, case_id string, json string")  # without a row no task would run
-    return rows.unionByName(begin).orderBy("backend", "case_id").coalesce(1).mapInArrow(run, "n long, signature string")
+    pieces_at = pieces._scratch
+    return layouts.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "n long, signature string")
+
+
+#: Characters of a piece of the canonical JSON, and how many pieces are read at a time.
+PIECE, PIECES = 1 << 20, 8
+
+
+def _in_order(folder: str):
+    """(backend, n, text) of the pieces in a folder that Spark wrote in order: part after part, row after row."""
+    system, path = fs.FileSystem.from_uri(folder)
+    files = system.get_file_info(fs.FileSelector(path))
+    for f in sorted(x.path for x in files if x.base_name.startswith("part-")):
+        with system.open_input_file(f) as source:
+            for batch in pq.ParquetFile(source).iter_batches(PIECES, columns=["backend", "n", "text"]):
+                yield from zip(*(batch.column(i).to_pylist() for i in range(3)))
 
 
 def versions_agree(sources: DataFrame, version: str, pattern: str) -> DataFrame:

@@ -49,6 +49,17 @@ def test_canonical_signature(spark):
     assert evaluate.canonical_signature(df.limit(0), ("qt", "hb")).collect()[0].signature == empty
 
 
+def test_canonical_signature_sorts_before_its_one_task(spark, monkeypatch):
+    """Pieces that are cut anywhere give one digest, and the last task reads them without a sort or a shuffle of its own."""
+    line = F.array(F.struct(F.lit(0).alias("text_start"), F.lit(9).alias("text_end"), F.lit("ltr").alias("direction"), F.array(F.struct(F.lit(0).alias("text_start"), F.lit(9).alias("text_end"))).alias("clusters")))
+    df = spark.range(0, 500, 1, 7).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("backend"), F.col("id").cast("string").alias("case_id"), line.alias("lines"), F.lit("p").alias("path"))
+    want = evaluate.canonical_signature(df, ("a", "b", "c"))
+    plan = want._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Repartition" not in plan
+    monkeypatch.setattr(evaluate, "PIECE", 50)
+    assert want.collect() == evaluate.canonical_signature(df.repartition(3), ("c", "b", "a")).collect()
+
+
 def test_results_are_replaced_as_a_whole(spark, tmp_path):
     path, schema = f"file://{tmp_path}/results", "id long, version int"
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id long, batch_id string")
