@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.functions.geometry import overlap_area
 from regionspark.session import written
 
 #: Cells are 2^START pixels wide and high at first and 2^LEAST at least; boxes that a key may hold without cells, and that a
@@ -77,35 +76,44 @@ def _leaves(rows: DataFrame, dense: int) -> DataFrame:
     return out
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, str], boxes: tuple[str, str] = ("box", "box"), dense: int = DENSE) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, str], boxes: tuple[str, str] = ("box", "box"), dense: int = DENSE, where: Column | None = None, plain: bool = False) -> DataFrame:
     """(keys, left id, right id, left box, right box as `left`, `right`, `left_box`, `right_box`) of all pairs within a key
-    whose boxes share an area. Rows whose key, or a bound of whose box, is null are in no pair; equal rows pair each."""
+    whose boxes share an area and for whose `left` and `right` `where` holds. Rows whose key, or a bound of whose box, is null
+    are in no pair; equal rows pair each. plain: boxes are columns of written tables, which may be read more than once."""
     def side(df: DataFrame, n: int) -> DataFrame:
         b = F.col(boxes[n])
-        whole = F.struct(*[b[c].cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+        whole = F.struct(*[b[c].cast("double").alias(c) for c in _BOUNDS])
         return df.select(F.struct(*[F.col(k) for k in keys]).alias("key"), F.lit(n).alias("side"), F.col(ids[n]).alias("id"), whole.alias("box"))
 
     same = left.select(F.col(ids[0]).alias("id")).schema[0].dataType == right.select(F.col(ids[1]).alias("id")).schema[0].dataType
     if not same:
         raise ValueError("both sides need ids of one type")
     # written, as boxes come from polygons and each step below reads them; filtered after that, or the filters work them out again
-    rows = written(side(left, 0).unionByName(side(right, 1))).where("box.max_x > box.min_x and box.max_y > box.min_y")
+    rows = side(left, 0).unionByName(side(right, 1))
+    rows = (rows if plain else written(rows)).where("box.max_x > box.min_x and box.max_y > box.min_y")
     for k in keys:
         rows = rows.where(F.col(f"key.{k}").isNotNull())
     many = written(rows.groupBy("key").count().where(F.col("count") > dense).select("key"))
     if many.isEmpty():
-        return _pairs(rows, ["key"])
-    cells = _pairs(_leaves(rows.join(many, "key", "left_semi"), dense), list(_CELL), _reference("x") & _reference("y"))
-    return _pairs(rows.join(many, "key", "left_anti"), ["key"]).unionByName(cells)
+        return _pairs(rows, ["key"], where)
+    own = _reference("x") & _reference("y")
+    cells = _pairs(_leaves(rows.join(many, "key", "left_semi"), dense), list(_CELL), own if where is None else where & own)
+    return _pairs(rows.join(many, "key", "left_anti"), ["key"], where).unionByName(cells)
 
 
 def _reference(axis: str) -> Column:
     """Whether the corner of the common part lies in the pair's cell."""
-    return F.floor(F.greatest(f"left_box.min_{axis}", f"right_box.min_{axis}") / F.pow(F.lit(2.0), F.col(f"l{axis}"))) == F.col(f"i{axis}")
+    return F.floor(F.greatest(f"a_min_{axis}", f"b_min_{axis}") / F.pow(F.lit(2.0), F.col(f"l{axis}"))) == F.col(f"i{axis}")
+
+
+_BOUNDS = ("min_x", "min_y", "max_x", "max_y")
 
 
 def _pairs(rows: DataFrame, on: list[str], where: Column | None = None) -> DataFrame:
-    a = rows.where("side = 0").select(*on, F.col("id").alias("left"), F.col("box").alias("left_box"))
-    b = rows.where("side = 1").select(*on, F.col("id").alias("right"), F.col("box").alias("right_box"))
-    pairs = a.join(b, on).where(overlap_area(F.col("left_box"), F.col("right_box")) > 0)
-    return (pairs if where is None else pairs.where(where)).select("key.*", "left", "right", "left_box", "right_box")
+    """The bounds are compared as plain columns: the join evaluates little code for a pair, which the JVM compiles; areas of
+    structs in the condition made a method too long for that."""
+    side = lambda n, own, name: rows.where(F.col("side") == n).select(*on, F.col("id").alias(name), *[F.col(f"box.{c}").alias(f"{own}_{c}") for c in _BOUNDS])
+    meet = [F.col(f"{p}_min_{c}") < F.col(f"{q}_max_{c}") for c in "yx" for p, q in ("ab", "ba")]
+    pairs = side(0, "a", "left").join(side(1, "b", "right"), on).where(meet[0] & meet[1] & meet[2] & meet[3])
+    box = lambda own: F.struct(*[F.col(f"{own}_{c}").alias(c) for c in _BOUNDS])
+    return (pairs if where is None else pairs.where(where)).select("key.*", "left", "right", box("a").alias("left_box"), box("b").alias("right_box"))
