@@ -27,28 +27,85 @@ def signed_area(quad: Column) -> Column:
     return total(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: quad[i]["x"] * quad[(i + 1) % 4]["y"] - quad[(i + 1) % 4]["x"] * quad[i]["y"])) / 2
 
 
-def order_quad(points: Column) -> Column:
-    """Points by angle about their centre, from the one with least x + y (then y), positive area; null if there are
-    not four different points or no area."""
-    return let(points, _ordered)
+QUAD = "array<struct<x:double,y:double>>"
+_CORNER = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+
+def _corners(quads: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which polygons have four points, or `most` at most, none of whose first four lacks a coordinate, and x and y of these four
+    points of those polygons, a row each."""
+    sizes = pc.fill_null(pc.list_value_length(quads), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = (sizes >= 4) & (sizes <= (most or sizes.max(initial=0)))
+    points = quads.flatten()
+    at = (np.cumsum(sizes) - sizes)[some][:, None] + np.arange(4)
+    x, y = (pc.cast(pc.struct_field(points, c), pa.float64()) for c in "xy")
+    known = np.ones(len(at), bool)
+    for v in (x, y):
+        if v.null_count:
+            known &= v.is_valid().to_numpy(zero_copy_only=False)[at].all(axis=1)
+    some[some] = known
+    return some, *(v.to_numpy(zero_copy_only=False)[at[known]] for v in (x, y))
+
+
+def _quads(some: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """x and y, a row a polygon, as polygons at the places `some`, null elsewhere."""
+    points = pa.StructArray.from_arrays([pa.array(x.ravel()), pa.array(y.ravel())], fields=list(_CORNER))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * some)]), pa.int32()), points, mask=pa.array(~some))
+
+
+def _area(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)):
+        out = out + (x[:, i] * y[:, j] - x[:, j] * y[:, i])
+    return out / 2
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which quads have four different points and an area, and x and y of all by order_quad's rule. NaN comes after all numbers
+    and equals NaN, as in Spark."""
+    same = lambda a, b: (a == b) | (np.isnan(a) & np.isnan(b))
+    less = lambda a, b: (a < b) | (np.isnan(b) & ~np.isnan(a))
+    good = np.ones(len(x), bool)
+    for i in range(4):
+        for j in range(i):
+            good &= ~(same(x[:, i], x[:, j]) & same(y[:, i], y[:, j]))
+    cx, cy = ((((v[:, 0] + v[:, 1]) + v[:, 2]) + v[:, 3]) / 4 for v in (x, y))
+    order = np.argsort(np.arctan2(y - cy[:, None], x - cx[:, None]), axis=1, kind="stable")
+    x, y = (np.take_along_axis(v, order, 1) for v in (x, y))
+    start, row = np.zeros(len(x), np.int64), np.arange(len(x))
+    total_ = x + y
+    for i in range(1, 4):
+        a, b = total_[:, i], total_[row, start]
+        start[less(a, b) | (same(a, b) & less(y[:, i], y[row, start]))] = i
+    turn = (start[:, None] + np.arange(4)) % 4
+    x, y = (np.take_along_axis(v, turn, 1) for v in (x, y))
+    area = _area(x, y)
+    back = np.where(area[:, None] < 0, [0, 3, 2, 1], [0, 1, 2, 3])
+    return good & ~(np.abs(area) < 1e-6), *(np.take_along_axis(v, back, 1) for v in (x, y))
+
+
+def _in_order(some: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    with np.errstate(invalid="ignore", over="ignore"):
+        good, x, y = _ordered(x, y)
+    some = some.copy()
+    some[some] = good
+    return _quads(some, x[good], y[good])
 
 
-def _ordered(points: Column) -> Column:
-    cx, cy = total(F.transform(points, lambda p: p["x"])) / 4, total(F.transform(points, lambda p: p["y"])) / 4
-    by_angle = F.array_sort(F.transform(points, lambda p, i: F.struct(F.atan2(p["y"] - cy, p["x"] - cx).alias("a"), i.alias("i"), p["x"].alias("x"), p["y"].alias("y"))))
+def order_quad(points: Column) -> Column:
+    """Points by angle about their centre, from the one with least x + y (then y), positive area; null if there are
+    not four different points or no area, or if a coordinate is null."""
 
-    def rotated(s: Column) -> Column:
-        start = F.array_min(F.transform(s, lambda p, i: F.struct((p["x"] + p["y"]).alias("k"), p["y"].alias("y"), i.alias("i"))))["i"]
-        r = F.transform(F.concat(F.slice(s, start + 1, 4), F.slice(s, F.lit(1), start)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-        return let(r, lambda q: F.when(signed_area(q) < 0, F.array(q[0], q[3], q[2], q[1])).otherwise(q))
+    @F.arrow_udf(QUAD)
+    def ordered(quads: pa.Array) -> pa.Array:
+        return _in_order(*_corners(quads, 4))
 
-    good = (F.size(points) == 4) & (F.size(F.array_distinct(points)) == 4)
-    return let(F.when(good, let(by_angle, rotated)), lambda q: F.when(F.abs(signed_area(q)) >= 1e-6, q))
+    return ordered(points)
 
 
 def bbox(quad: Column) -> Column:
     """Struct of min_x, min_y, max_x, max_y."""
-    xs, ys = F.transform(quad, lambda p: p["x"]), F.transform(quad, lambda p: p["y"])
+    xs, ys = quad["x"], quad["y"]
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
 
 
@@ -103,18 +160,28 @@ def box_inside(b: Column, width: Column, height: Column) -> Column:
 
 
 def extend_quad(quad: Column, prefix: Column, suffix: Column, characters: Column, width: Column, height: Column) -> Column:
-    """The quad grown along its baseline by 1.1 character widths for each added character, inside the image."""
-    return order_quad(let(quad, lambda q: _extended(q, prefix, suffix, characters, width, height)))
-
-
-def _extended(quad: Column, prefix: Column, suffix: Column, characters: Column, width: Column, height: Column) -> Column:
-    p0, p1, p2, p3 = (quad[i] for i in range(4))
-    length = F.greatest(F.lit(1.0), F.sqrt((p1["x"] - p0["x"]) * (p1["x"] - p0["x"]) + (p1["y"] - p0["y"]) * (p1["y"] - p0["y"])))
-    ux, uy = (p1["x"] - p0["x"]) / length, (p1["y"] - p0["y"]) / length
-    left, right = length / characters * prefix * 1.1, length / characters * suffix * 1.1
-    clamp = lambda v, most: F.least((most - 1).cast("double"), F.greatest(F.lit(0.0), v))
-    moved = lambda p, by: point(clamp(p["x"] + ux * by, width), clamp(p["y"] + uy * by, height))
-    return F.array(moved(p0, -left), moved(p1, right), moved(p2, right), moved(p3, -left))
+    """The quad grown along its baseline by 1.1 character widths for each added character, inside the image (a side that is
+    null is no bound); null if a point, or a number of characters, is null, or if there are no characters."""
+
+    @F.arrow_udf(QUAD)
+    def extended(quads: pa.Array, *numbers: pa.Array) -> pa.Array:
+        some, x, y = _corners(quads)
+        before, after, each, wide, high = (pc.cast(v, pa.float64()).to_numpy(zero_copy_only=False) for v in numbers)
+        known = some & (each != 0)
+        for v in numbers[:3]:
+            known &= v.is_valid().to_numpy(zero_copy_only=False)
+        x, y = (v[known[some]] for v in (x, y))
+        before, after, each, wide, high = (v[known] for v in (before, after, each, wide, high))
+        with np.errstate(invalid="ignore", over="ignore"):
+            dx, dy = x[:, 1] - x[:, 0], y[:, 1] - y[:, 0]
+            length = np.maximum(1.0, np.sqrt(dx * dx + dy * dy))
+            left, right = -(length / each * before * 1.1), length / each * after * 1.1
+            by = np.stack([left, right, right, left], axis=1)
+            clamp = lambda v, most: np.fmin((most - 1)[:, None], np.maximum(0.0, v))
+            x, y = clamp(x + (dx / length)[:, None] * by, wide), clamp(y + (dy / length)[:, None] * by, high)
+        return _in_order(known, x, y)
+
+    return extended(quad, prefix, suffix, characters, width, height)
 
 
 def arc(start: Column, control: Column, end: Column) -> Column:

@@ -46,21 +46,25 @@ def accept_refinement(regions: DataFrame) -> DataFrame:
     if the candidate contains the text with one or two more characters, loses at most 0.005 confidence and its grown
     polygon covers no other region of the image more than before (by over one pixel).
 
-    Candidates are grown once and written; grown boxes meet their neighbours in cells that are cut where regions are dense.
-    Only the blocked ones, few as a rule, are joined back; Spark broadcasts them if they are small enough."""
+    Candidates are grown once and written with their boxes; grown boxes meet their neighbours in cells that are cut where regions
+    are dense. The blocked ones are joined back to the rows that have a grown polygon; the others need no join."""
     at = F.instr("candidate", F.col("text")) - 1
     extra = F.length("candidate") - F.length("text")
     ok = (F.length("candidate") > 0) & (at >= 0) & extra.between(1, 2) & (F.col("candidate_confidence") + 0.005 >= F.col("confidence"))
-    grown = g.extend_quad(F.col("polygon"), at, extra - at, F.greatest(F.lit(1), F.length("text")), F.col("width"), F.col("height"))
-    rows = written(regions.select(F.struct(*[F.col(f"`{c}`") for c in regions.columns]).alias("row"), F.when(ok, grown).alias("grown")))
-    sides = rows.select("row.image_id", F.struct("row.seq", g.bbox(F.col("row.polygon")).alias("old")).alias("own"), F.when(F.col("grown").isNotNull(), g.bbox(F.col("grown"))).alias("new"))
-    hit = boxes.overlapping(sides.where("new is not null"), sides.withColumn("box", F.col("own.old")), ["image_id"], ("own", "own"), ("new", "box"))
+    grown = g.extend_quad(F.when(ok, F.col("polygon")), at, extra - at, F.greatest(F.lit(1), F.length("text")), F.col("width"), F.col("height"))
+    rows = regions.select(F.struct(*[F.col(f"`{c}`") for c in regions.columns]).alias("row"), grown.alias("grown"))
+    rows = written(rows.select("row", "grown", F.struct("row.seq", g.bbox(F.col("row.polygon")).alias("old")).alias("own"), F.when(F.col("grown").isNotNull(), g.bbox(F.col("grown"))).alias("new")))
+    sides = rows.select("row.image_id", "own", "new", F.col("own.old").alias("old"))
+    others = F.col("left.seq") != F.col("right.seq")
+    hit = boxes.overlapping(sides.where("new is not null"), sides, ["image_id"], ("own", "own"), ("new", "old"), where=others, plain=True)
     more = g.overlap_area(F.col("left_box"), F.col("right_box")) > g.overlap_area(F.col("left.old"), F.col("right_box")) + 1
-    blocked = hit.where(F.col("left.seq") != F.col("right.seq")).where(more).select(F.col("image_id").alias("_i"), F.col("left.seq").alias("_s")).distinct().withColumn("_blocked", F.lit(True))
-    rows = rows.join(blocked, (F.col("row.image_id") == F.col("_i")) & (F.col("row.seq") == F.col("_s")), "left")
-    accepted = F.col("grown").isNotNull() & F.col("_blocked").isNull()
+    hit = written(hit.select(F.col("image_id").alias("_i"), F.col("left.seq").alias("_s"), more.alias("_blocked")))  # as in score_pairs
+    blocked = hit.where("_blocked").distinct()
+    tried = rows.where("grown is not null").join(blocked, (F.col("row.image_id") == F.col("_i")) & (F.col("row.seq") == F.col("_s")), "left")
+    tried = tried.select("row", "grown", F.col("_blocked").isNull().alias("accepted"))
+    out = tried.unionByName(rows.where("grown is null").select("row", "grown", F.lit(False).alias("accepted")))
     after = {"text": "row.candidate", "confidence": "row.candidate_confidence", "polygon": "grown"}
-    return rows.select(*[F.when(accepted, F.col(after[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in after else F.col(f"row.`{c}`") for c in regions.columns], accepted.alias("accepted"))
+    return out.select(*[F.when(F.col("accepted"), F.col(after[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in after else F.col(f"row.`{c}`") for c in regions.columns], "accepted")
 
 
 def check_image_limits(images: DataFrame, limits: DataFrame) -> DataFrame:
