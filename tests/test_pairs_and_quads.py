@@ -49,6 +49,15 @@ def test_a_filter_on_iou_stays_out_of_the_join(spark):
     assert pairs.where("iou >= 0.5").count() == sum(v >= 0.5 for v in want.values())
 
 
+def test_recognition_reads_pairs_whose_iou_is_known(spark):
+    """G4's own filters must not bring the formula back into the join."""
+    rows = spark.createDataFrame([(s, i, rectangle(0.0, 40.0 * i, 50.0, 30.0)) for s in range(2) for i in range(6)], REGION)
+    found = rows.where("seq <> 4").withColumn("polygon", F.transform("polygon", lambda p: g.point(p["x"], p["y"] + 10 * (F.col("seq") % 3))))
+    matched = evaluate.match_greedily(evaluate.score_pairs(rows, found))
+    assert "Join" not in explained(matched, "simple")
+    assert sorted((r.sample_id, r.seq_e, r.seq_p) for r in matched.collect()) == [(s, i, i) for s in range(2) for i in (0, 1, 3)]
+
+
 @pytest.mark.parametrize("where", [None, "apart"])
 def test_a_condition_on_ids_holds_in_cells_and_without(spark, where):
     rng = random.Random(3)
