@@ -56,8 +56,10 @@ def match_greedily(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def character_errors(expected: Column, found: Column) -> Column:
-    """Edit distance; an unmatched text costs its length, one at least. Equal texts do not leave the JVM."""
-    distance = F.when(expected == found, 0).otherwise(edit_distance(F.when(expected != found, expected), found))
+    """Edit distance; an unmatched text costs its length, one at least. Texts of which one begins or ends the other, equal
+    ones too, differ by what the longer one has more and do not leave the JVM."""
+    part = found.startswith(expected) | found.endswith(expected) | expected.startswith(found) | expected.endswith(found)
+    distance = F.when(part, F.abs(F.length(found) - F.length(expected))).otherwise(edit_distance(F.when(~part, expected), F.when(~part, found)))
     return F.when(found.isNull(), F.greatest(F.lit(1), F.length(expected))).otherwise(distance)
 
 

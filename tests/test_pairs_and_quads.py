@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from regionspark.catalog import evaluation as catalog
 from regionspark.functions import geometry as g
 from regionspark.operators import checks, evaluate
 from regionspark.plans import boxes
@@ -59,6 +60,38 @@ def test_recognition_reads_pairs_whose_iou_is_known(spark):
     assert sorted((r.sample_id, r.seq_e, r.seq_p) for r in matched.collect()) == [(s, i, i) for s in range(2) for i in (0, 1, 3)]
 
 
+def test_shifted_regions_are_made_without_lambdas(spark, tmp_path):
+    spark.createDataFrame([(i, "en", "ab\n\u00e9\n\nabcd\nx") for i in range(4)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected, found = catalog._shifted(spark, str(tmp_path))
+    assert "lambda" not in explained(found, "simple")
+    moved = {(r.sample_id, r.seq): [(p.x, p.y + 10.0 * (r.seq % 3)) for p in r.polygon] for r in expected.collect()}
+    assert len(moved) == 16 and {(r.sample_id, r.seq): [(p.x, p.y) for p in r.polygon] for r in found.collect()} == moved
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_texts_that_begin_or_end_the_other_stay_in_the_jvm(spark, monkeypatch):
+    rng = random.Random(13)
+    text = lambda: "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randrange(6)))
+    pairs = [(text(), text()) for _ in range(300)] + [(a, a + text()) for a in map(str, range(50))] + [("", ""), ("aba", "ab"), ("", "\U0001f600a"), (None, "a"), ("", None), ("ab\u00e9", None), (None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").localCheckpoint()
+    plain = lambda a, b: (None if a is None else max(1, len(a))) if b is None else None if a is None else distance(a, b)
+    got = {r.i: r.e for r in df.select("i", evaluate.character_errors(F.col("a"), F.col("b")).alias("e")).collect()}
+    want = {i: 1 if p == (None, None) else plain(*p) for i, p in enumerate(pairs)}  # greatest() skips a null
+    assert got == want
+    monkeypatch.setattr(evaluate, "edit_distance", lambda a, b: F.when(a.isNotNull() | b.isNotNull(), -1))
+    got = {r.i: r.e for r in df.where("a is not null and b is not null").select("i", evaluate.character_errors(F.col("a"), F.col("b")).alias("e")).collect()}
+    ends = lambda a, b: a.startswith(b) or a.endswith(b)
+    assert got == {i: want[i] if ends(a, b) or ends(b, a) else -1 for i, (a, b) in enumerate(pairs) if a is not None and b is not None}
+
+
 @pytest.mark.parametrize("where", [None, "apart"])
 def test_a_condition_on_ids_holds_in_cells_and_without(spark, where):
     rng = random.Random(3)
