@@ -65,7 +65,7 @@ def g4(spark, d):
     expected, found = _shifted(spark, d)
     texts = regions(spark, d).where(F.length("text") > 0).select(F.col("image_id").alias("sample_id"), "seq", F.col("language_code").alias("language"), "text")
     matched = e.match_greedily(e.score_pairs(expected, found.where("seq % 11 <> 10"))).select("sample_id", F.col("seq_e").cast("int").alias("seq"), "seq_p")
-    each = texts.join(matched, ["sample_id", "seq"], "left").withColumn("errors", e.character_errors(F.col("text"), F.when(F.col("seq_p").isNotNull(), F.concat("text", F.lit("x")))))
+    each = texts.join(matched, ["sample_id", "seq"], "left").withColumn("errors", e.character_errors(F.col("text"), F.when(F.col("seq_p").isNotNull(), F.concat("text", F.lit("x"))), ends=True))
     n, hit = F.count("*"), F.count("seq_p")
     samples = each.groupBy("language", "sample_id").agg(n.alias("n_expected"), hit.alias("n_matched"), F.sum(F.length("text")).alias("n_chars"), F.sum("errors").alias("n_errors"))
     samples = samples.withColumns({"elapsed_ms": F.col("n_chars") * 0.5, "rss": F.col("sample_id") * 10, "failed": F.col("n_matched") < F.col("n_expected")})

@@ -55,11 +55,15 @@ def match_greedily(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.repartition("sample_id").sortWithinPartitions("sample_id", "seq_e", F.desc("iou"), F.desc("seq_p")).mapInArrow(run, out)
 
 
-def character_errors(expected: Column, found: Column) -> Column:
-    """Edit distance; an unmatched text costs its length, one at least. Texts of which one begins or ends the other, equal
-    ones too, differ by what the longer one has more and do not leave the JVM."""
-    part = found.startswith(expected) | found.endswith(expected) | expected.startswith(found) | expected.endswith(found)
-    distance = F.when(part, F.abs(F.length(found) - F.length(expected))).otherwise(edit_distance(F.when(~part, expected), F.when(~part, found)))
+def character_errors(expected: Column, found: Column, ends: bool = False) -> Column:
+    """Edit distance; an unmatched text costs its length, one at least. Equal texts do not leave the JVM; with `ends`, nor do
+    texts of which one begins or ends the other: they differ by what the longer one has more. That works `found` out several
+    times, so it is for cheap expressions."""
+    same, more = expected == found, F.lit(0)
+    if ends:
+        same = found.startswith(expected) | found.endswith(expected) | expected.startswith(found) | expected.endswith(found)
+        more = F.abs(F.length(found) - F.length(expected))
+    distance = F.when(same, more).otherwise(edit_distance(F.when(~same, expected), F.when(~same, found) if ends else found))
     return F.when(found.isNull(), F.greatest(F.lit(1), F.length(expected))).otherwise(distance)
 
 

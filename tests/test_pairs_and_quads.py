@@ -83,11 +83,11 @@ def test_texts_that_begin_or_end_the_other_stay_in_the_jvm(spark, monkeypatch):
     pairs = [(text(), text()) for _ in range(300)] + [(a, a + text()) for a in map(str, range(50))] + [("", ""), ("aba", "ab"), ("", "\U0001f600a"), (None, "a"), ("", None), ("ab\u00e9", None), (None, None)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").localCheckpoint()
     plain = lambda a, b: (None if a is None else max(1, len(a))) if b is None else None if a is None else distance(a, b)
-    got = {r.i: r.e for r in df.select("i", evaluate.character_errors(F.col("a"), F.col("b")).alias("e")).collect()}
+    got = {r.i: r.e for r in df.select("i", evaluate.character_errors(F.col("a"), F.col("b"), ends=True).alias("e")).collect()}
     want = {i: 1 if p == (None, None) else plain(*p) for i, p in enumerate(pairs)}  # greatest() skips a null
     assert got == want
     monkeypatch.setattr(evaluate, "edit_distance", lambda a, b: F.when(a.isNotNull() | b.isNotNull(), -1))
-    got = {r.i: r.e for r in df.where("a is not null and b is not null").select("i", evaluate.character_errors(F.col("a"), F.col("b")).alias("e")).collect()}
+    got = {r.i: r.e for r in df.where("a is not null and b is not null").select("i", evaluate.character_errors(F.col("a"), F.col("b"), ends=True).alias("e")).collect()}
     ends = lambda a, b: a.startswith(b) or a.endswith(b)
     assert got == {i: want[i] if ends(a, b) or ends(b, a) else -1 for i, (a, b) in enumerate(pairs) if a is not None and b is not None}
 
