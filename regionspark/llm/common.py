@@ -43,15 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *more: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors. The write's
-    own shuffle files go as soon as it has ended."""
+    own shuffle files go as soon as it has ended. Frames after df are shares of the same table, written one after another,
+    so the disk holds the shuffle files of one at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes
+        for share in (df, *more):
+            share.write.mode("append").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes
     finally:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)

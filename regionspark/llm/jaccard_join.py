@@ -20,6 +20,8 @@ from regionspark.llm.common import binaries, components, dropped, hashed_texts,
 
 #: 64-bit words of the short sketch that is compared before the sets are.
 SHORT = 8
+#: Shares in which the sketches, and then their blocks, are shuffled.
+SHARES = 4
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -183,6 +185,21 @@ def _close(percent: int) -> Column:
     return (100 * small >= percent * F.greatest("size_a", "size_b")) & (percent * away <= (100 - percent) * small)
 
 
+def _shares(h: Column) -> list[Column]:
+    return [F.pmod(h, F.lit(SHARES)) == i for i in range(SHARES)]
+
+
+def _sketched(docs: DataFrame, heads: DataFrame, percent: int, k: int, lower: bool) -> DataFrame:
+    """(id, n_shingles, short, keys) of the documents that name a class and have blocks to join."""
+    every = docs.mapInArrow(_sketches(percent, k, lower), "doc_id long, n_shingles long, short array<long>, keys array<long>").where(F.size("keys") > 0)
+    return every.join(heads, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """The blocks (id, key) that more than one sketch has, with the number n of those."""
+    return blocks.join(blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
 def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for docs (doc_id, text): documents link when
     100 * intersection >= percent * union of their sets of distinct k-word shingles.
@@ -199,11 +216,10 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, lower: bool = True) -
     # written, so that the joins with it have exchanges on both sides and the rows of a class of very many copies are split
     classes = written(base.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
     heads = classes.select(F.col("class_id").alias("doc_id"))
-    every = docs.mapInArrow(_sketches(percent, k, lower), "doc_id long, n_shingles long, short array<long>, keys array<long>").where(F.size("keys") > 0)
-    full = written(every.join(heads, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
-    marks = full.select("id", F.explode("keys").alias("key"))
-    shared = marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(marks.join(shared, "key"))
+    # both are shuffled share by share: the shuffle files of all blocks at once take three times the disk of the sketches
+    full = written(*[_sketched(docs.where(x), heads, percent, k, lower) for x in _shares(F.xxhash64("doc_id"))])
+    blocks = full.select("id", F.explode("keys").alias("key"))
+    met = written(*[_met(blocks.where(x)) for x in _shares(F.col("key"))])
     sizes = written(full.select("id", "n_shingles", "short"))
     dropped(full)
     popular = met.groupBy("id").agg(F.sum("n").alias("popular"))

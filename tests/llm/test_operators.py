@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -211,6 +212,31 @@ def test_jaccard_join(spark, percent, k):
     assert [out[i].component_id for i in range(len(texts))] == want and [out[i].n_shingles for i in range(len(texts))] == [len(x) for x in sets]
 
 
+def test_jaccard_join_disk(spark, monkeypatch):
+    """No write of the join leaves shuffle files larger than the sketches."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    def size(tops, name):
+        return sum(p.stat().st_size for top in tops for p in Path(top).rglob(name))
+
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    grew, tables, write = [], [], DataFrameWriter.parquet
+
+    def measured(self, path, *args, **more):
+        before = size(local, "shuffle_*")
+        write(self, path, *args, **more)
+        grew.append(size(local, "shuffle_*") - before)
+        tables.append(size([path.removeprefix("file:")], "part-*"))
+
+    monkeypatch.setattr(common, "_CLEAN_UP", "spark.regionspark.none")  # a write's shuffle files stay until they are measured
+    monkeypatch.setattr(DataFrameWriter, "parquet", measured)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300)) for _ in range(3000)]
+    out = jaccard_join.linked(docs(spark, [*texts, texts[7] + " more"]), percent=80, k=5).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i for i in range(3000)} | {3000: 7}
+    assert max(tables) > 4_000_000 and max(grew) < max(tables)
+
+
 def test_long_chains(spark):
     """Chains of 300 in falling and in shuffled order of ids, as components and as visual groups, need few rounds but no cap."""
     falling, shuffled = [0, *range(299, 0, -1)], list(range(1000, 1300))
